@@ -38,6 +38,20 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Delete one staged table that nothing reads any more."""
+    path = df.inputFiles()[:1]
+    for owner, kept in list(_STAGED):
+        if owner is df.sparkSession and path and f"/{kept.rsplit('/', 1)[-1]}/" in path[0]:
+            _delete(owner, kept)
+            _STAGED.remove((owner, kept))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -47,15 +61,10 @@ def _table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 def release(spark: SparkSession) -> None:
     """Delete every staged table of this session; call it when the results built on them are written."""
-    jvm = spark.sparkContext._jvm
-    keep = []
     for owner, path in _STAGED:
-        if owner is not spark:
-            keep.append((owner, path))
-            continue
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _STAGED[:] = keep
+        if owner is spark:
+            _delete(spark, path)
+    _STAGED[:] = [x for x in _STAGED if x[0] is not spark]
 
 
 def bounded_batches(spark: SparkSession, records: int = 4096) -> None:
