@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-1. Every partition pre-tokenises its texts and packs them into blocks: the
-   distinct words of about ``BLOCK_CHARS`` characters, and per text the positions
-   as indexes into them (so a word that occurs thousands of times in a block is
-   sent once, and the positions of a text stay one compressed value).
-2. The blocks' words are exploded and shuffled by word; each distinct word is
-   encoded once, wherever it occurs.
-3. The ids join back to the blocks by (block, index) and each text is put
-   together by position, in vector operations.
-
-Decoding looks up each id in the token-byte table (one entry per rank, bounded by
-the vocabulary and checked), the join of a fixed-size table.
+1. Every partition pre-tokenises its texts and packs them into blocks of about
+   ``BLOCK_CHARS`` characters: the distinct words, and per text the positions as
+   indexes into them.  A word that occurs thousands of times in a block is sent
+   once, and the positions of a block stay one compressed value.
+2. A block's words are dealt into parts by their hash, and one shuffle brings
+   every part together; there each distinct word is encoded once.
+3. The ids go back to their block, and each text is put together by position, in
+   vector operations.
+
+One shuffle carries words and blocks, and both uses read it.  Decoding looks up
+each id in the token-byte table (one entry per rank, bounded by the vocabulary
+and checked), the join of a fixed-size table.
 
 Defined results: null and empty texts have no tokens and decode to no bytes;
 repeated rows and doc_ids are encoded row by row; lone surrogates cannot occur
@@ -28,14 +29,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestar.llm.shared import bounded_batches
 
 BLOCK_CHARS = 12_000_000
+KNOWN_WORDS = 1_000_000
 MAX_VOCABULARY = 1 << 20
 
 
@@ -48,14 +52,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _packed(a: np.ndarray) -> bytes:
+def _packed(*arrays: np.ndarray) -> bytes:
     """Unsigned 32-bit values, byte planes apart, compressed."""
-    return zlib.compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    a = np.concatenate(arrays) if arrays else np.empty(0, np.uint32)
+    return b"".join(len(z := zstandard.compress(p.tobytes(), 1)).to_bytes(4, "little") + z for p in a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    planes, at = [], 0
+    for _ in range(4):
+        n = int.from_bytes(b[at : at + 4], "little")
+        planes.append(np.frombuffer(zstandard.decompress(b[at + 4 : at + 4 + n]), np.uint8))
+        at += 4 + n
+    return np.ascontiguousarray(np.stack(planes, 1)).view("<u4").ravel()
+
+
+def _pieces(items: list[bytes]) -> bytes:
+    """Byte strings as one: count, lengths, contents, compressed."""
+    lengths = np.fromiter(map(len, items), "<u4", len(items))
+    return zstandard.compress(np.array([len(items)], "<u4").tobytes() + lengths.tobytes() + b"".join(items), 1)
+
+
+def _of_pieces(b: bytes) -> tuple[np.ndarray, bytes]:
+    """Lengths and contents."""
+    raw = zstandard.decompress(b)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), raw[4 + 4 * n :]
+
+
+_ROW = "key long, block long, part int, data binary, rows binary"
+_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("rows", pa.binary())])
 
 
 class _Block:
@@ -66,43 +92,46 @@ class _Block:
         put, words = self.words.setdefault, self.words
         self.at.append(np.fromiter((put(w, len(words)) for w in found), np.uint32, len(found)))
         self.rows.append(row)
+        self.chars += sum(map(len, found)) + 64
 
-    def columns(self, block: int) -> list:
-        """The distinct words, most frequent first, and the texts as indexes into them."""
+    def out(self, number: int, parts: int, carried: pa.Schema) -> pa.RecordBatch:
+        """A row for the block (key: its number) and one for each part of its words (key: negative)."""
         at = np.concatenate(self.at) if self.at else np.empty(0, np.uint32)
         often = np.argsort(-np.bincount(at, minlength=len(self.words)), kind="stable")
         rank = np.empty(len(often), np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        words = list(self.words)
-        return [block, [words[k] for k in often], _packed(rank[at]), [len(a) for a in self.at], self.rows]
-
-
-def _blocks(pattern: str, carry: list[str], carried: pa.Schema):
+        words = [w.encode() for w in self.words]
+        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+        # Within a part words are sorted, which compresses well; ``sent`` is where each word stands among all sent.
+        order = sorted(range(len(words)), key=lambda k: (part[k], words[k]))
+        sent = np.empty(len(words), np.uint32)
+        sent[rank[order]] = np.arange(len(words), dtype=np.uint32)
+        held = pa.RecordBatch.from_pylist([dict(zip(carried.names, r, strict=True)) for r in self.rows], carried)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, carried) as w:
+            w.write_batch(held)
+        lengths = np.fromiter(map(len, self.at), np.uint32, len(self.at))
+        sizes = np.array([len(words), len(lengths)], np.uint32)
+        made = [(number, number, -1, _packed(sizes, sent, lengths, rank[at]), zstandard.compress(sink.getvalue().to_pybytes(), 1))]
+        bounds = np.searchsorted(part[order], np.arange(parts + 1)) if order else np.zeros(parts + 1, np.int64)
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            made.append((-1 - p, number, p, _pieces([words[k] for k in order[bounds[p] : bounds[p + 1]]]), None))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _blocks(pattern: str, carried: pa.Schema, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern).findall
         task, made, block = TaskContext.get().partitionId(), 0, _Block()
-
-        def out():
-            number, words, at, lengths, rows = block.columns((task << 28) | made)
-            held = pa.RecordBatch.from_pylist([dict(zip(carry, r, strict=True)) for r in rows], carried)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, carried) as w:
-                w.write_batch(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([words], pa.list_(pa.string())), pa.array([at], pa.binary()), pa.array([lengths], pa.list_(pa.int64())), pa.array([zlib.compress(sink.getvalue().to_pybytes(), 1)], pa.binary())],
-                ["block", "words", "at", "lengths", "rows"],
-            )
-
         for batch in batches:
-            side = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carry]
+            side = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carried.names]
             for text, *row in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), *side, strict=True):
                 block.add(tuple(row), found(text) if text else [])
-                block.chars += len(text or "") + 64
                 if block.chars > BLOCK_CHARS:
-                    yield out()
+                    yield block.out((task << 28) | made, parts, carried)
                     made, block = made + 1, _Block()
         if block.rows:
-            yield out()
+            yield block.out((task << 28) | made, parts, carried)
 
     return run
 
@@ -117,61 +146,61 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
     bounded_batches(spark)
     held = docs.select(*[F.col(f"`{c}`") for c in carry], "text")
     kept = T.StructType([held.schema[c] for c in carry])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     carried = to_arrow_schema(kept)
     sent = spark.sparkContext.broadcast(ranks)
-    blocks = held.mapInArrow(_blocks(pattern, carry, carried), "block long, words array<string>, at binary, lengths array<long>, rows binary").repartition("block")
-
-    def split(batches):
-        for b in batches:
-            for block, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = words.values
-                for k in range(0, len(words), 50_000):
-                    part = words.slice(k, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), part.cast(pa.string())], ["block", "k", "word"])
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+    dealt = held.mapInArrow(_blocks(pattern, carried, parts), _ROW).repartition("key")
 
     def bpe(batches):
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})._core_bpe.encode_single_piece
-        last, ids = None, b""
-        for b in batches:  # sorted by word: each distinct word is encoded once
-            out = []
-            for w in b.column(2).to_pylist():
-                if w != last:
-                    last, ids = w, np.array(one(w.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["block", "k", "ids"])
-
-    # All columns are read, so that both uses share one exchange.
-    words = blocks.mapInArrow(split, "block long, k int, word string")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(bpe, "block long, k int, ids binary")
+        known: dict[bytes, bytes] = {}
+        for b in batches:
+            for key, block, part, data in zip(*[c.to_pylist() for c in b.columns[:4]], strict=True):
+                if key >= 0:
+                    continue
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                lengths, raw = _of_pieces(data)
+                ends = np.cumsum(lengths).tolist()
+                words = [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(one(w), width).tobytes()
+                out = _pieces([known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([out], pa.binary())], ["key", "part", "ids"])
+
+    # Both uses read all columns of ``dealt``, so that they share its exchange.
+    ids = dealt.mapInArrow(bpe, "key long, part int, ids binary")
     schema = T.StructType([*kept.fields, *T._parse_datatype_string(result).fields])
+    arrow = to_arrow_schema(schema)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or left["key"][0].as_py() < 0:
+            return arrow.empty_table()
         table = [b""] * (max(sent.value.values(), default=-1) + 1)
         for token, rank in sent.value.items():
             table[rank] = token
-        order = np.argsort(right["k"].to_numpy())
-        pieces = right["ids"].combine_chunks()
-        pieces = (pieces.combine_chunks() if isinstance(pieces, pa.ChunkedArray) else pieces).take(pa.array(order))
-        offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, pieces.offset * 4) // 4 if len(pieces) else np.zeros(1, np.int32)
-        flat = np.frombuffer(pieces.buffers()[2], "<u4", offsets[-1]) if len(pieces) and offsets[-1] else np.empty(0, "<u4")
-        starts, sizes = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
-        made, rows = [], []
-        for at, lengths, packed in zip(left["at"].to_pylist(), left["lengths"].to_pylist(), left["rows"].to_pylist(), strict=True):
-            rows.append(pa.ipc.open_stream(zlib.decompress(packed)).read_all())
-            at, end = _unpacked(at), 0
-            for n in lengths:
-                mine, end = at[end : end + n], end + n
-                size = sizes[mine]
-                where = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if n else np.empty(0, np.int64)
-                made.append(reduce(flat[where], table))
-        side = pa.concat_tables(rows) if rows else carried.empty_table()
-        for name, column in zip([f.name for f in schema.fields[len(carry) :]], zip(*made, strict=True), strict=True):
-            side = side.append_column(name, pa.array(list(column)))
+        got = [_of_pieces(x) for _, x in sorted(zip(right["part"].to_pylist(), right["ids"].to_pylist(), strict=True))]
+        sizes = np.concatenate([n for n, _ in got]) // np.dtype(width).itemsize if got else np.empty(0, np.int64)
+        flat = np.frombuffer(b"".join(x for _, x in got), width)
+        starts = np.cumsum(sizes) - sizes
+        values = _unpacked(left["data"][0].as_py())
+        n_words, n_texts = int(values[0]), int(values[1])
+        place, lengths, at = np.split(values[2:], [n_words, n_words + n_texts])
+        made, end = [], 0
+        for n in lengths.tolist():
+            mine, end = place[at[end : end + n]], end + n
+            size = sizes[mine]
+            after = np.cumsum(size)
+            where = np.repeat(starts[mine] - after + size, size) + np.arange(after[-1]) if n else np.empty(0, np.int64)
+            made.append(reduce(flat[where].astype(np.uint32), table))
+        side = pa.ipc.open_stream(zstandard.decompress(left["rows"][0].as_py())).read_all()
+        for f, column in zip(list(arrow)[len(carry) :], zip(*made, strict=True), strict=True):
+            side = side.append_column(f, pa.array(list(column), f.type))
         return side
 
-    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, schema)
+    return dealt.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -187,4 +216,4 @@ def digests(ids: np.ndarray, table: list[bytes]) -> tuple[int, str, str]:
 def checked_ids(ids: np.ndarray, table: list[bytes]) -> tuple[int, list[int]]:
     """n_tokens and the ids; fails on ids whose bytes are no text."""
     decode(ids, table).decode()
-    return len(ids), ids.astype(np.int32)
+    return len(ids), ids.astype(np.int32).tolist()
