@@ -101,8 +101,11 @@ _TABLE = re.compile(rf"(?:\bиз|\bfrom|\bсоединение|\bjoin|,)\s+({_NA
 
 
 def code_only(line: str) -> str:
-    """The line with string contents blanked and the comment cut; columns stay as they are."""
-    out, inside, k = [], False, 0
+    """The line with string contents blanked and the comment cut; columns stay as they are.
+
+    A line that starts with ``|`` goes on with the string of the line before.
+    """
+    out, inside, k = [], line.lstrip().startswith("|"), 0
     while k < len(line):
         c = line[k]
         if inside:
