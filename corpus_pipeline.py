@@ -30,11 +30,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of every group linked by 5-word shingles at 0.8, the document with the smallest doc_id."""
+    """Keeps, of every group linked by 5-word shingles at 0.8, the document with the smallest doc_id; rows without doc_id stay."""
     shared.release(spark)
     groups = ngram_join.jaccard_groups(docs, words=5, percent=80, tag="near")
     keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi")
+    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null"))
     # Identical rows are copies too: one stays.
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
     return kept.withColumn("copy", F.row_number().over(again)).where("copy = 1").select(*COLUMNS)
@@ -51,8 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     shared.release(spark)
     mixed = mixing.mix(docs, tag="mix")
-    copies = mixed.where("copies > 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("taken"))
-    sized = docs.select(*COLUMNS).join(copies, "doc_id").withColumn("size", mixing.words_in(F.col("text")))
+    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("taken"))
+    sized = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn("size", mixing.words_in(F.col("text")))
     # Rows that share a doc_id are matched to the decisions by size and source, in turn.
     turn = F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy(F.xxhash64("text")))
     mine = F.filter("taken", lambda t: (t["size"] == F.col("size")) & t["source"].eqNullSafe(F.col("source")))

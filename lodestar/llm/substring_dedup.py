@@ -13,7 +13,8 @@ Only spans that repeat are ever carried with ids past the first count, and a
 span that a third of all documents share is met by a map-side count, a skewed
 join that Spark splits, and min(); its occurrences are never gathered.
 
-Defined results: a null text stays null and an empty one empty; exact copies of
+Defined results: a null text stays null and an empty one empty; a row without
+doc_id stays as it is; exact copies of
 a document but the first end up empty, their rows stay; identical rows that
 share doc_id and text count as one document and stay; extra columns pass
 through unchanged.
@@ -91,7 +92,7 @@ def _occurrences(batches):
     for batch in batches:
         docs, his, lows, n = [], [], [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
+            if not text or doc is None:
                 continue
             place, _, hi, lo = spans(*sentences(text)[1:])
             if not len(place):

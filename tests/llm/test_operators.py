@@ -277,9 +277,9 @@ def test_jaccard_groups(spark, n, percent):
 
 
 def test_jaccard_awkward(awkward, empty):
-    got = ngram_join.jaccard_groups(awkward.where("doc_id is not null"), 4, 85).collect()
+    got = ngram_join.jaccard_groups(awkward, 4, 85).collect()
     by = {x["doc_id"]: x["component_id"] for x in got}
-    assert len(got) == 11 and by[2] == 1 and by[4] == 4 and by[5] == 5
+    assert len(got) == 12 and by[2] == 1 and by[4] == 4 and by[5] == 5
     assert ngram_join.jaccard_groups(empty, 4, 85).count() == 0
 
 
@@ -364,9 +364,9 @@ def test_span_dedup(spark):
 
 
 def test_span_awkward(awkward, empty):
-    got = substring_dedup.dedup_spans(awkward.where("doc_id is not null")).collect()
+    got = substring_dedup.dedup_spans(awkward).collect()
     by = {r["doc_id"]: r["text"] for r in got}
-    assert len(got) == 11 and by[4] is None and by[5] == "" and by[1] == body(1) and by[2] == ""
+    assert len(got) == 12 and by[None] == body(3) and by[4] is None and by[5] == "" and by[1] == body(1) and by[2] == ""
     assert substring_dedup.dedup_spans(empty).count() == 0
 
 
@@ -388,3 +388,13 @@ def test_pipeline(spark, small):
         if name == "span_dedup":
             assert {r["doc_id"]: r["text"] for r in docs.collect()} == brute_spans({r["doc_id"]: r["text"] for r in before.collect()})
     assert docs.where("n_tokens <> size(ids)").count() == 0 and docs.count() > 100
+
+
+def test_pipeline_awkward(spark, awkward, small):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, awkward, small)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9, 10] or kept.where("doc_id = 3").count() == 0  # 3 may be a near copy of 1
+    kept = shared.written(corpus_pipeline.mix_sources(spark, awkward, small), "test-mix")
+    assert kept.columns == awkward.columns and kept.where("doc_id = 1").count() in (0, 1, 2)
+    assert fingerprints.edited_fingerprints(awkward, 0.1, 0.9).count() == 12
