@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,12 +40,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete one staged table that nothing reads any more."""
+    """Delete one staged table that nothing reads any more, and let Spark delete the shuffles of finished jobs.
+
+    Spark frees a shuffle's files when the driver collects the objects that stand for
+    it; between the steps of a long operator that has to be asked for.
+    """
     path = df.inputFiles()[:1]
     for owner, kept in list(_STAGED):
         if owner is df.sparkSession and path and f"/{kept.rsplit('/', 1)[-1]}/" in path[0]:
             _delete(owner, kept)
             _STAGED.remove((owner, kept))
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
