@@ -27,32 +27,33 @@ BLOCK = 4096
 
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, role, speaks_as, segment, start, after, mask_start, mask_after, mask."""
-    base = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    who = base.where("role <> 'system'").select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
-    rows = base.join(who, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv")
+    # The conversation as a struct: equality then holds for a null conv_id too, and every step deals rows by the same key.
+    base = turns.select(F.struct("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    who = base.where("role <> 'system'").select("conv", F.col("role").alias("perspective")).distinct()
     own = F.col("role") == F.col("perspective")
     speaks = F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise("user")
-    head = F.concat(F.lit("<|start|>"), F.col("speaks_as"), F.when(F.col("speaks_as") == "user", F.concat(F.lit(" name="), F.col("role"))).otherwise(F.lit("")), F.lit("\n"))
-    rows = rows.withColumn("speaks_as", speaks).withColumn("head", head).withColumn("segment", F.concat("head", "text", F.lit("<|end|>\n")))
-    rows = rows.withColumn("size", F.length("segment").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    whole = ["conv_id", "perspective"]
+    head = F.concat(F.lit("<|start|>"), speaks, F.when(speaks == "user", F.concat(F.lit(" name="), F.col("role"))).otherwise(F.lit("")), F.lit("\n"))
+    end = F.lit("<|end|>\n")
+    size = (F.length(head) + F.length("text") + F.length(end)).cast("long")
+    # Segments are put together last, so that a text travels once per perspective.
+    rows = base.join(who, "conv").withColumn("size", size).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    whole = ["conv", "perspective"]
     sums = rows.groupBy(*whole, "block").agg(F.sum("size").alias("held"))
     base_of = Window.partitionBy(*whole).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in [*whole, "block"]], F.coalesce(F.sum("held").over(base_of), F.lit(0)).alias("base"))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*whole, "block"]]
+    sums = sums.select(*whole, "block", F.coalesce(F.sum("held").over(base_of), F.lit(0)).alias("base"))
     run = Window.partitionBy(*whole, "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(run), F.lit(0))).join(sums, on)
+    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(run), F.lit(0))).join(sums, [*whole, "block"])
     start = F.col("base") + F.col("within")
     return rows.select(
-        "conv_id",
+        "conv.conv_id",
         "perspective",
         "turn",
         "role",
-        "speaks_as",
-        "segment",
+        speaks.alias("speaks_as"),
+        F.concat(head, "text", end).alias("segment"),
         start.alias("start"),
         (start + F.col("size")).alias("after"),
-        F.when(own, start + F.length("head")).alias("mask_start"),
+        F.when(own, start + F.length(head)).alias("mask_start"),
         F.when(own, start + F.col("size") - 1).alias("mask_after"),
         F.when(own, 1).otherwise(0).alias("mask"),
     )
