@@ -3,8 +3,10 @@
 A text is cut into sentences (a run up to and with ``.``, ``!``, ``?`` or a line
 feed); pieces without a word belong to no span.  From every sentence a span
 runs over the following ones until it has at least ``MIN_SENTENCES`` sentences
-and ``MIN_WORDS`` words; a sentence of ``LONG_WORDS`` words is also a span of its
-own.  Every span is hashed (84 bits, A-Z lower-cased, white space collapsed),
+and ``MIN_WORDS`` words, and to every sentence one runs over those before it in
+the same way, so a repeated run of any length is covered from its first sentence
+to its last; a sentence of ``LONG_WORDS`` words is also a span of its own, and a
+text without any of these is one span as a whole.  Every span is hashed (84 bits, A-Z lower-cased, white space collapsed),
 spans are counted over the whole corpus, and of each repeated span every
 occurrence but the first (smallest doc_id, then position) is removed: the
 sentences that a removed span covers go, the rest of the text stays as it is.
@@ -15,7 +17,7 @@ join that Spark splits, and min(); its occurrences are never gathered.
 
 Defined results: a null text stays null and an empty one empty; a row without
 doc_id stays as it is; exact copies of
-a document but the first end up empty, their rows stay; identical rows that
+a document with a word but the first end up empty, their rows stay; identical rows that
 share doc_id and text count as one document and stay; extra columns pass
 through unchanged.
 """
@@ -39,6 +41,7 @@ LONG_WORDS = 24
 
 _PIECE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _POS_BITS, _DOC_BITS = 30, 14
+_LONE = 1 << (_POS_BITS - 1)
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -65,27 +68,38 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return np.array(ends, np.int64), np.array(counts, np.int64), forms
 
 
-def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place (first sentence, doubled; odd for a lone long one), sentence after the last, two hashes of every span."""
+def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, first sentence, sentence after the last and two hashes of every span.
+
+    The place is the first sentence, doubled, for a shortest run forwards, and the
+    last one, doubled and odd, for all others.  Which of both a run is depends on its
+    own sentences alone, so places of equal spans are in the order of the text.
+    """
     n = len(forms)
     if not n:
         none = np.empty(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     upto = np.concatenate(([0], np.cumsum(counts)))
-    first = np.arange(n)
-    after = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS), first + MIN_SENTENCES)
-    keep = after <= n
+    at = np.arange(n)
+    until = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS), at + MIN_SENTENCES)
+    since = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, at + 1 - MIN_SENTENCES)
+    ahead = np.flatnonzero(until <= n)
+    # A run that is the shortest from either end is taken once.
+    back = np.flatnonzero(since >= 0)
+    back = back[until[since[back]] != back + 1]
     lone = np.flatnonzero(counts >= LONG_WORDS)
-    place = np.concatenate((first[keep] << 1, lone << 1 | 1))
-    after = np.concatenate((after[keep], lone + 1))
-    first = place >> 1
+    place = np.concatenate((ahead << 1, back << 1 | 1, lone << 1 | 1 | _LONE))
+    first = np.concatenate((ahead, since[back], lone))
+    after = np.concatenate((until[ahead], back + 1, lone + 1))
+    if not len(place):  # too short for any run: the whole text is its only span
+        place, first, after = np.array([1]), np.array([0]), np.array([n])
     h = np.fromiter((xxhash.xxh3_64_intdigest(f) for f in forms), np.uint64, n)
     up, down = _powers(_ODD, n), _powers(_INVERSE, n)
     out = []
     for x in (h, mixed(h + np.uint64(1))):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up[:-1])))
         out.append(mixed((total[after] - total[first]) * down[first] + (after - first).astype(np.uint64)))
-    return place, after, out[0], out[1]
+    return place, first, after, out[0], out[1]
 
 
 def _occurrences(batches):
@@ -94,7 +108,7 @@ def _occurrences(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text or doc is None:
                 continue
-            place, _, hi, lo = spans(*sentences(text)[1:])
+            place, _, _, hi, lo = spans(*sentences(text)[1:])
             if not len(place):
                 continue
             top = np.uint64(_POS_BITS + _DOC_BITS)
@@ -167,12 +181,12 @@ def _rewritten(batches):
 def without(text: str, places: list[int]) -> tuple[str, int]:
     """The text without the sentences of the spans at ``places``, and how many those were."""
     ends, counts, forms = sentences(text)
-    place, after, _, _ = spans(counts, forms)
-    until = dict(zip(place.tolist(), after.tolist(), strict=True))
+    place, first, after, _, _ = spans(counts, forms)
+    held = {p: (a, b) for p, a, b in zip(place.tolist(), first.tolist(), after.tolist(), strict=True)}
     edge = np.zeros(len(ends) + 1, np.int64)
     for p in places:
-        edge[p >> 1] += 1
-        edge[until[p]] -= 1
+        edge[held[p][0]] += 1
+        edge[held[p][1]] -= 1
     out = (np.cumsum(edge[:-1]) > 0).tolist()
     starts = [0, *ends[:-1].tolist()]
     return "".join(text[a:b] for a, b, o in zip(starts, ends.tolist(), out, strict=True) if not o), sum(out)

@@ -398,3 +398,33 @@ def test_pipeline_awkward(spark, awkward, small):
     kept = shared.written(corpus_pipeline.mix_sources(spark, awkward, small), "test-mix")
     assert kept.columns == awkward.columns and kept.where("doc_id = 1").count() in (0, 1, 2)
     assert fingerprints.edited_fingerprints(awkward, 0.1, 0.9).count() == 12
+
+
+def every_run(texts):
+    """Units removed by the rule as stated: every repeated run of several sentences and enough words, every copy of a short text."""
+    seen, out = set(), {}
+    for k in sorted(texts):
+        ends, counts, forms = substring_dedup.sentences(texts[k] or "")
+        runs = [(i, j) for i in range(len(forms)) for j in range(i + 2, len(forms) + 1) if sum(counts[i:j]) >= substring_dedup.MIN_WORDS]
+        runs += [(i, i + 1) for i in range(len(forms)) if counts[i] >= substring_dedup.LONG_WORDS]
+        gone = set()
+        for i, j in runs or [(0, len(forms))]:
+            key = (tuple(forms[i:j]), bool(runs))
+            gone |= set(range(i, j)) if key in seen else set()
+            seen.add(key)
+        ends = ends.tolist()
+        out[k] = texts[k] if not gone else "".join(texts[k][a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if i not in gone)
+    return out
+
+
+def test_every_repeated_run_goes(spark):
+    r = random.Random(9)
+    some = [" ".join(f"w{r.randrange(500)}" for _ in range(r.choice([1, 3, 5, 9]))) + "." for _ in range(12)]
+    texts = {k: " ".join(r.choice(some) for _ in range(r.randrange(1, 9))) for k in range(60)}
+    tail = "one two three four five six seven eight nine. " * 2 + "a short tail."
+    texts |= {100: tail, 101: tail, 102: "Few words.", 103: "few  words.", 104: "One sentence of seventeen words " + "or so " * 6, 105: None, 106: "!!!", 107: "!!!"}
+    texts[108] = texts[104]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_spans(docs).collect()}
+    assert got == every_run(texts)
+    assert [got[k] for k in (101, 103, 106, 107, 108)] == ["", "", "!!!", "!!!", ""]
