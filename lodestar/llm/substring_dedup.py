@@ -1,15 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (a run up to and with ``.``, ``!``, ``?`` or a line
-feed); pieces without a word belong to no span.  From every sentence a span
-runs over the following ones until it has at least ``MIN_SENTENCES`` sentences
-and ``MIN_WORDS`` words, and to every sentence one runs over those before it in
-the same way, so a repeated run of any length is covered from its first sentence
-to its last; a sentence of ``LONG_WORDS`` words is also a span of its own, and a
-text without any of these is one span as a whole.  Every span is hashed (84 bits, A-Z lower-cased, white space collapsed),
-spans are counted over the whole corpus, and of each repeated span every
-occurrence but the first (smallest doc_id, then position) is removed: the
-sentences that a removed span covers go, the rest of the text stays as it is.
+feed), and sentences of ``EDGE_WORDS`` words or more at words that their hashes
+choose, so that passages glued to other words are cut alike; parts without a word
+belong to no span.  From every part a span runs over the following ones until it
+has ``MIN_WORDS`` words of at least ``MIN_SENTENCES`` sentences, or
+``LONG_WORDS`` words of one, and to every part one runs over those before it in
+the same way, so a repeated run of any length is covered from its first part to
+its last; a text without any of these is one span as a whole.  Every span is
+hashed (84 bits, A-Z lower-cased, white space collapsed), spans are counted over
+the whole corpus, and of each repeated span every occurrence but the first
+(smallest doc_id, then position) is removed: the parts that a removed span covers
+go, the rest of the text stays as it is.
 
 Only spans that repeat are ever carried with ids past the first count, and a
 span that a third of all documents share is met by a map-side count, a skewed
@@ -38,10 +40,13 @@ from lodestar.llm.shared import bounded_batches, mixed, signed, staged
 MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONG_WORDS = 24
+#: Fixed value: 2 * EDGE_WORDS - 1 + LONG_WORDS is below 50, so no 50 repeated words can lie in the edges alone.
+EDGE_WORDS = 13
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PIECE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _POS_BITS, _DOC_BITS = 30, 14
-_LONE = 1 << (_POS_BITS - 1)
+_WINDOWS = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -51,29 +56,77 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """End offsets (code points) of the pieces with words, their word counts and their normal forms.
+    """``parts`` with the end offsets always."""
+    return parts(text, True)
 
-    A piece without words is joined to the sentence before it (or after it, at the start).
+
+def parts(text: str, placed: bool = False) -> tuple[np.ndarray | None, np.ndarray, list[bytes]]:
+    """End offsets (code points) of the parts with words, their word counts and their normal forms.
+
+    A part is a sentence, or a piece of one that ``_inner_cuts`` takes apart; the form
+    of a piece that its sentence goes on after ends in a space.  A sentence without
+    words is joined to the part before it (or after it, at the start).  The offsets are
+    None unless ``placed``.
     """
-    ends, counts, forms, at = [], [], [], 0
+    found, at = [], 0
     for piece in _PIECE.findall(text):
-        at += len(piece)
+        start, at = at, at + len(piece)
         words = piece.encode().lower().split()
         if words and any(w.strip(b".!?") for w in words):
-            ends.append(at)
-            counts.append(len(words))
-            forms.append(b" ".join(words))
-        elif ends:
-            ends[-1] = at
-    return np.array(ends, np.int64), np.array(counts, np.int64), forms
+            found.append([start, at, piece, words])
+        elif found:
+            found[-1][1] = at
+    cuts = _inner_cuts([words for _, _, _, words in found])
+    ends, counts, forms = [], [], []
+    for (start, end, piece, words), inner in zip(found, cuts, strict=True):
+        since = 0
+        if inner:
+            if placed:
+                after = [m.end() for m in _WORD.finditer(piece)]
+                ends += [start + after[c] for c in inner]
+            for c in inner:
+                counts.append(c + 1 - since)
+                forms.append(b" ".join(words[since : c + 1]) + b" ")
+                since = c + 1
+            words = words[since:]
+        ends.append(end)
+        counts.append(len(words))
+        forms.append(b" ".join(words))
+    return np.array(ends, np.int64) if placed else None, np.array(counts, np.int64), forms
+
+
+def _inner_cuts(found: list[list[bytes]]) -> list[list[int]]:
+    """For every sentence, the words after which it is cut.
+
+    Of every ``EDGE_WORDS`` words in a row that lie in one sentence, the one with the
+    smallest hash (the last of several) is such a word.  Where words repeat, all
+    these choices repeat but those in the first and last ``EDGE_WORDS`` of them.
+    """
+    out: list[list[int]] = [[] for _ in found]
+    some = [k for k, words in enumerate(found) if len(words) >= EDGE_WORDS]
+    if not some:
+        return out
+    h = np.array([xxhash.xxh3_64_intdigest(w) for k in some for w in found[k]], np.uint64)
+    sizes = np.array([len(found[k]) for k in some])
+    owner, starts = np.repeat(np.arange(len(some)), sizes), np.cumsum(sizes) - sizes
+    seen = np.lib.stride_tricks.sliding_window_view(h[::-1], EDGE_WORDS)[::-1]  # each window from its last word
+    inside = np.flatnonzero(owner[: len(h) - EDGE_WORDS + 1] == owner[EDGE_WORDS - 1 :])
+    chosen = np.zeros(len(h), bool)
+    for part in np.split(inside, range(_WINDOWS, len(inside), _WINDOWS)):
+        chosen[part + EDGE_WORDS - 1 - seen[part].argmin(1)] = True
+    chosen[starts + sizes - 1] = False
+    at = np.flatnonzero(chosen)
+    for k, c in zip(owner[at].tolist(), (at - starts[owner[at]]).tolist(), strict=True):
+        out[some[k]].append(c)
+    return out
 
 
 def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, first sentence, sentence after the last and two hashes of every span.
+    """Place, first part, part after the last and two hashes of every span.
 
-    The place is the first sentence, doubled, for a shortest run forwards, and the
-    last one, doubled and odd, for all others.  Which of both a run is depends on its
-    own sentences alone, so places of equal spans are in the order of the text.
+    The place is the first part, doubled, for a shortest run forwards, and the last
+    one, doubled and odd, for all others.  Which of both a run is depends on its own
+    parts alone, so places of equal spans are in the order of the text.
     """
     n = len(forms)
     if not n:
@@ -81,16 +134,20 @@ def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarra
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     upto = np.concatenate(([0], np.cumsum(counts)))
     at = np.arange(n)
-    until = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS), at + MIN_SENTENCES)
-    since = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, at + 1 - MIN_SENTENCES)
+    begins = np.flatnonzero([True, *(not f.endswith(b" ") for f in forms[:-1])])  # where sentences begin
+    own = np.searchsorted(begins, at, "right") - 1
+    other = MIN_SENTENCES - 1
+    enough = np.concatenate((begins, np.full(other, n)))[own + other] + 1
+    until = np.minimum(np.searchsorted(upto, upto[:-1] + LONG_WORDS), np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS), enough))
+    enough = np.concatenate((np.full(other, -1), np.append(begins[1:], n) - 1))[own]
+    since = np.maximum(np.searchsorted(upto, upto[1:] - LONG_WORDS, "right") - 1, np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, enough))
     ahead = np.flatnonzero(until <= n)
     # A run that is the shortest from either end is taken once.
     back = np.flatnonzero(since >= 0)
     back = back[until[since[back]] != back + 1]
-    lone = np.flatnonzero(counts >= LONG_WORDS)
-    place = np.concatenate((ahead << 1, back << 1 | 1, lone << 1 | 1 | _LONE))
-    first = np.concatenate((ahead, since[back], lone))
-    after = np.concatenate((until[ahead], back + 1, lone + 1))
+    place = np.concatenate((ahead << 1, back << 1 | 1))
+    first = np.concatenate((ahead, since[back]))
+    after = np.concatenate((until[ahead], back + 1))
     if not len(place):  # too short for any run: the whole text is its only span
         place, first, after = np.array([1]), np.array([0]), np.array([n])
     h = np.fromiter((xxhash.xxh3_64_intdigest(f) for f in forms), np.uint64, n)
@@ -108,7 +165,7 @@ def _occurrences(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text or doc is None:
                 continue
-            place, _, _, hi, lo = spans(*sentences(text)[1:])
+            place, _, _, hi, lo = spans(*parts(text)[1:])
             if not len(place):
                 continue
             top = np.uint64(_POS_BITS + _DOC_BITS)
@@ -133,7 +190,7 @@ def _rows(docs, his, lows):
 
 
 def dedup_spans(docs: DataFrame, tag: str = "spans") -> DataFrame:
-    """``docs`` with the repeated spans taken out of ``text``, and n_removed: how many sentences went."""
+    """``docs`` with the repeated spans taken out of ``text``, and n_removed: how many parts of it went."""
     bounded_batches(docs.sparkSession)
     key = ["h", "hash2"]
     occ = (
@@ -179,7 +236,7 @@ def _rewritten(batches):
 
 
 def without(text: str, places: list[int]) -> tuple[str, int]:
-    """The text without the sentences of the spans at ``places``, and how many those were."""
+    """The text without the parts of the spans at ``places``, and how many those were."""
     ends, counts, forms = sentences(text)
     place, first, after, _, _ = spans(counts, forms)
     held = {p: (a, b) for p, a, b in zip(place.tolist(), first.tolist(), after.tolist(), strict=True)}

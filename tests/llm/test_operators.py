@@ -428,3 +428,17 @@ def test_every_repeated_run_goes(spark):
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_spans(docs).collect()}
     assert got == every_run(texts)
     assert [got[k] for k in (101, 103, 106, 107, 108)] == ["", "", "!!!", "!!!", ""]
+
+
+@pytest.mark.parametrize("sizes", [(30, 30), (20, 20, 20), (20, 11, 20), (50,), (26, 25), (5, 40, 6)])
+def test_glued_passages_go(spark, sizes):
+    r = random.Random(sum(sizes))
+    new = lambda n: " ".join(f"x{r.randrange(10**9)}" for _ in range(n))
+    rows, passages = [], []
+    for k in range(20):
+        passages.append(". ".join(new(n) for n in sizes))
+        rows += [(d, f"{new(9)}. {new(r.randrange(1, 30))} {passages[-1]} {new(r.randrange(1, 30))}. {new(9)}.") for d in (k, 100 + k)]
+    got = {x["doc_id"]: x["text"] for x in substring_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in enumerate(passages):
+        left = sum(w in got[100 + k].replace(".", " ").split() for w in passage.replace(".", " ").split())
+        assert passage in got[k] and left <= 2 * substring_dedup.EDGE_WORDS - 1
