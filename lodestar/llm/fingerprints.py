@@ -10,10 +10,10 @@ Size of what is broadcast: at most (distinct terms per text) / ``min_share`` ter
 can occur in ``min_share`` of all texts, whatever the corpus size; the count is
 checked all the same, and a larger lexicon is joined by shuffle.
 
-Defined results: null counts as empty; a text without lexicon terms is
-fingerprinted by its own hash, so equal texts always agree and others do not;
-rows that share a doc_id are ordered by text; an empty table gives an empty
-result; extra columns are ignored.
+Defined results: null counts as empty; a text without a lexicon term in any
+subset is fingerprinted by its own hash, so equal texts always agree and those
+texts agree with no other; rows that share a doc_id are ordered by text; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,13 +60,15 @@ def with_terms(rows: DataFrame, words: DataFrame, keys: list[str], text: str = "
 
 
 def hashes(codes: Column, whole: Column) -> Column:
-    """One hash per subset, null where the text has no term of it; then the text's own hash if it has no term at all."""
+    """One hash per subset, null where the text has no term of it; then the text's own hash if all of them are null."""
 
     def within(bit: int) -> Column:
         return F.filter(codes, lambda c: c.bitwiseAND(F.lit(bit)) != 0)
 
     each = [within(1 << k) for k in range(len(RATES))]
-    return F.array(*[F.when(F.size(e) > 0, F.xxhash64(e)) for e in each], F.when(F.size(codes) == 0, whole))
+    every = F.lit((1 << len(RATES)) - 1).cast("long")
+    none = ~F.exists(codes, lambda c: c.bitwiseAND(every) != 0)
+    return F.array(*[F.when(F.size(e) > 0, F.xxhash64(e)) for e in each], F.when(none, whole))
 
 
 def likeness(a: str, b: str) -> Column:

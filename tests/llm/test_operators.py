@@ -442,3 +442,12 @@ def test_glued_passages_go(spark, sizes):
     for k, passage in enumerate(passages):
         left = sum(w in got[100 + k].replace(".", " ").split() for w in passage.replace(".", " ").split())
         assert passage in got[k] and left <= 2 * substring_dedup.EDGE_WORDS - 1
+
+
+def test_texts_outside_every_subset(spark):
+    texts = [f"term{k}" for k in range(120)]
+    docs = spark.createDataFrame([(2 * k + c, t) for k, t in enumerate(texts) for c in range(2)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    assert any(set(got[2 * k]["fingerprint"].split(".")[:-1]) == {"-"} for k in range(120))
+    assert all(got[2 * k]["fingerprint"] == got[2 * k + 1]["fingerprint"] and got[2 * k + 1]["near_next"] == 1.0 for k in range(120))
+    assert len({r["fingerprint"] for r in got.values()}) == 120 and all(got[2 * k]["near_next"] == 0.0 for k in range(120))
