@@ -6,12 +6,15 @@ and the gaps between them are aligned in the same way; a gap without anchors is
 closed by a small exact alignment.  Coverage is the share of the template's words
 that are aligned.
 
-A stretch lies around each occurrence of the template word that is rarest in the
-text; a text that lacks too many of a template's words cannot reach the coverage
-and is passed over, which loses nothing.
+A stretch lies around each occurrence of as many template words, the rarest in the
+text first, as cannot all be missing at the coverage; it grows to the whole text
+until the alignment is as long as the longest common subsequence, which none can
+pass.  A text that lacks too many of a template's words, or has them in another
+order, cannot reach the coverage and is passed over, which loses nothing.
 
 Defined results: a null, empty or wordless text has no license and coverage 0;
-of several templates the best covered wins, then the first listed; repeated rows
+of several templates the best covered wins, then the first listed, and
+``licenses`` lists all that reach the coverage; repeated rows
 are scanned one by one; extra columns pass through, those named like a result
 are replaced.
 """
@@ -41,6 +44,7 @@ TEMPLATES = {
 }
 MIN_COVERAGE = 0.8
 EXACT_CELLS = 20_000
+_FIELDS, _KINDS = ("license", "coverage", "first_word", "after_word"), (pa.string(), pa.float64(), pa.int32(), pa.int32())
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 
 
@@ -117,6 +121,9 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words_of(text)
         self.counts = Counter(self.words)
+        self.masks: dict[str, int] = {}
+        for k, w in enumerate(self.words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << k
         self.needed = sorted(self.counts, key=lambda w: (-len(w), w))  # long words are the least likely in other texts
 
     def may_cover(self, lowered: str, least: float) -> bool:
@@ -129,27 +136,49 @@ class Template:
                     return False
         return True
 
-    def best(self, words: list[str], places: dict[str, list[int]]) -> tuple[float, int, int]:
-        """Coverage and the word span of the best aligned stretch."""
-        held = [w for w in self.counts if w in places]
-        if not held:
+    def most(self, words: list[str]) -> int:
+        """The length of the longest common subsequence of a text and the template: no alignment holds more words."""
+        full, left = (1 << len(self.words)) - 1, (1 << len(self.words)) - 1
+        for w in words:
+            if m := self.masks.get(w):
+                both = left & m
+                left = (left + both | left - both) & full
+        return len(self.words) - left.bit_count()
+
+    def best(self, words: list[str], places: dict[str, list[int]], least: float) -> tuple[float, int, int]:
+        """Coverage and the word span of the best aligned stretch, the tightest stretches first."""
+        size, top, found = len(self.words), self.most(words), (0, 0, 0)
+        if not top or top / size < least:
             return 0.0, 0, 0
-        slack, size, found = len(self.words) // 4 + 2, len(self.words), (0.0, 0, 0)
-        for w in sorted(held, key=lambda w: (len(places[w]), w))[:3]:
-            offsets = [k for k, x in enumerate(self.words) if x == w]
-            for at in places[w]:
-                a, b = max(0, at - offsets[-1] - slack), min(len(words), at - offsets[0] + size + slack)
-                pairs = align(words[a:b], self.words)
-                if len(pairs) / size > found[0]:
-                    found = (len(pairs) / size, a + pairs[0][0], a + pairs[-1][0] + 1)
-            if found[0] >= MIN_COVERAGE:
+        # An alignment that reaches the coverage holds one of any words that stand for more places than may be missing.
+        spare, some = size - math.ceil(least * size - 1e-9), []
+        for w in sorted(self.counts, key=lambda w: (len(places.get(w, ())), w)):
+            if spare < 0:
                 break
-        return found
-
-
-def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[str | None, float, int | None, int | None]:
-    """License, coverage and word span of the best covered template; (None, 0.0, None, None) if none reaches ``least``."""
-    out = (None, 0.0, None, None)
+            spare -= self.counts[w]
+            some.append(w)
+        offsets = {w: [k for k, x in enumerate(self.words) if x == w] for w in some}
+        slack, seen = size // 4 + 2, set()
+        while True:
+            for w in some:
+                for at in places.get(w, ()):
+                    a, b = max(0, at - offsets[w][-1] - slack), min(len(words), at - offsets[w][0] + size + slack)
+                    if (a, b) in seen:
+                        continue
+                    seen.add((a, b))
+                    pairs = align(words[a:b], self.words)
+                    if len(pairs) > found[0]:
+                        found = (len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1)
+                    if found[0] == top:
+                        return found[0] / size, found[1], found[2]
+            if slack >= len(words):
+                return found[0] / size, found[1], found[2]
+            slack *= 2
+
+
+def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[str | None, float, int | None, int | None, list[dict]]:
+    """License, coverage and word span of the best covered template, and all that reach ``least``; (None, 0.0, None, None, []) if none does."""
+    out, every = (None, 0.0, None, None), []
     lowered = text.lower() if text else ""
     some = [t for t in templates if t.may_cover(lowered, least)] if lowered else []
     if some:
@@ -160,27 +189,29 @@ def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAG
             if w in wanted:
                 places.setdefault(w, []).append(k)
         for t in some:
-            coverage, a, b = t.best(words, places)
-            if coverage >= least and coverage > out[1]:
-                out = (t.name, coverage, a, b)
-    return out
+            coverage, a, b = t.best(words, places, least)
+            if coverage >= least and coverage > 0:
+                every.append(dict(zip(_FIELDS, (t.name, coverage, a, b), strict=True)))
+                if coverage > out[1]:
+                    out = (t.name, coverage, a, b)
+    return *out, every
 
 
 _RESULT = "license string, coverage double, first_word int, after_word int"
+_EVERY = pa.list_(pa.struct([(f, k) for f, k in zip(_FIELDS, _KINDS, strict=True)]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = MIN_COVERAGE) -> DataFrame:
-    """``docs`` with license, coverage, first_word and after_word (places among the words of the text)."""
+    """``docs`` with license, coverage, first_word and after_word (places among the words of the text), and the same of every license found, in the templates' order."""
     bounded_batches(docs.sparkSession)
-    held = docs.drop("license", "coverage", "first_word", "after_word")
-    schema = T.StructType([*held.schema.fields, *T._parse_datatype_string(_RESULT).fields])
+    held = docs.drop(*_FIELDS, "licenses")
+    schema = T.StructType([*held.schema.fields, *T._parse_datatype_string(f"{_RESULT}, licenses array<struct<{_RESULT.replace(' ', ': ').replace(',:', ',')}>>").fields])
 
     def run(batches):
         ready = [Template(k, v) for k, v in templates.items()]
         for batch in batches:
             found = [scan(t, ready, least) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            cols = [list(c) for c in zip(*found, strict=True)] or [[]] * 4
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], schema.names)
+            cols = [list(c) for c in zip(*found, strict=True)] or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, (*_KINDS, _EVERY), strict=True))], schema.names)
 
     return held.mapInArrow(run, schema)

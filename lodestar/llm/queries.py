@@ -42,9 +42,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best covered license template of every document."""
+    """The best covered license template of every document, and all that are covered."""
     out = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "license", "coverage", "first_word", "after_word")
+    return out.select("doc_id", "license", "coverage", "first_word", "after_word", "licenses")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -451,3 +451,19 @@ def test_texts_outside_every_subset(spark):
     assert any(set(got[2 * k]["fingerprint"].split(".")[:-1]) == {"-"} for k in range(120))
     assert all(got[2 * k]["fingerprint"] == got[2 * k + 1]["fingerprint"] and got[2 * k + 1]["near_next"] == 1.0 for k in range(120))
     assert len({r["fingerprint"] for r in got.values()}) == 120 and all(got[2 * k]["near_next"] == 0.0 for k in range(120))
+
+
+def test_stretched_and_several_licenses(spark):
+    t = {k: license_scan.words_of(v) for k, v in license_scan.TEMPLATES.items()}
+    gpl, mit = t["GPL-3.0"], t["MIT-text"]
+    fill = [f"filler{k}" for k in range(60)]
+    texts = {0: gpl[:6] + fill[:10] + gpl[6:], 1: mit[:24] + fill[:25] + mit[24:], 2: mit[:24] + fill + mit[24:]}
+    # Words edited out of the notice occur once elsewhere, far from it.
+    lost = ["sublicense", "granted", "copies", "modify"]
+    texts[3] = [w if w not in lost else "edited" for w in mit] + fill * 3 + lost + fill
+    texts[4] = t["MIT"] + fill + gpl
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [(got[k]["license"], got[k]["coverage"]) for k in range(3)] == [("GPL-3.0", 1.0), ("MIT-text", 1.0), ("MIT-text", 1.0)]
+    assert got[3]["license"] == "MIT-text" and got[3]["coverage"] >= 0.8
+    assert [x["license"] for x in got[4]["licenses"]] == ["GPL-3.0", "MIT"]
