@@ -102,19 +102,21 @@ def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
         at = max(end - overlap, at + 1) if overlap < end - at else end
 
 
-def chunks(docs: DataFrame, key: list[str], text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """key, chunk_index, chunk_total, start and chunk of every window of every text.  A text is never split over tasks, its windows are never gathered."""
-    source = docs.select(*key, F.col(text).alias("__text"))
-    out = T.StructType([*source.drop("__text").schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_total", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("chunk", T.StringType())])
+def chunks(docs: DataFrame, key: list[str], text: str, size: int | Column = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, empty: bool = False) -> DataFrame:
+    """key, chunk_index, chunk_total, start and chunk of every window of every text; the size may differ by row, and an empty text has one chunk if ``empty``.  A text is never split over tasks, its windows are never gathered."""
+    sized = size if isinstance(size, Column) else F.lit(size)
+    source = docs.select(*key, sized.cast("int").alias("__size"), F.col(text).alias("__text"))
+    out = T.StructType([*source.drop("__size", "__text").schema.fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_total", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            sizes, texts = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
             rows, index, total, starts, parts = [], [], [], [], []
-            for r, t in enumerate(texts):
-                spans = list(chunk_spans(t or "", size, overlap))
+            for r, (most, t) in enumerate(zip(sizes, texts, strict=True)):
+                t = t or ""
+                spans = list(chunk_spans(t, most, overlap)) or [(0, 0)] * empty
                 for i, (a, b) in enumerate(spans):
                     rows.append(r)
                     index.append(i)
@@ -122,7 +124,7 @@ def chunks(docs: DataFrame, key: list[str], text: str, size: int = CHUNK_SIZE, o
                     starts.append(a)
                     parts.append(t[a:b])
             take = pa.array(rows, pa.int64())
-            kept = [batch.column(i).take(take) for i in range(batch.num_columns - 1)]
+            kept = [batch.column(i).take(take) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(total, pa.int32()), pa.array(starts, pa.int32()), pa.array(parts, pa.string())], [f.name for f in out.fields])
 
     return source.mapInArrow(cut, out)
@@ -146,13 +148,20 @@ def procedure_header(owner: Column, name: Column, is_function: Column, is_export
 
 
 def procedure_chunks(procedures: DataFrame, key: list[str], most: int = 4000, overlap: int = CHUNK_OVERLAP, least: int = 100, marker: str = "…") -> DataFrame:
-    """key, chunk_index, chunk_total, start and content: header and a window of the body, within ``most`` characters together."""
+    """key, chunk_index, chunk_total, start and content: the whole header and a window of the body (the signature, if that is empty).
+
+    Both are within ``most`` characters together, unless the header leaves the window less than ``least``.
+    """
     header = procedure_header(*[F.col(c) for c in ("owner", "name", "is_function", "is_export", "directive", "comment")])
-    held = procedures.select(*key, header.alias("__header"), F.col("body").alias("__body"))
-    budget = most - 400 - len(marker)
-    parts = chunks(held, [*key, "__header"], "__body", max(least, budget), overlap)
+    signature = F.col("signature") if "signature" in procedures.columns else F.lit("")
+    held = procedures.select(*key, header.alias("__header"), F.coalesce(F.nullif("body", F.lit("")), signature, F.lit("")).alias("__body"))
+    lead_size = F.length("__header") + 1
+    budget = F.greatest(F.lit(most) - lead_size - len(marker) - 1, F.lit(least))
+    # What fits with its header is one chunk and needs no marker.
+    size = F.when(lead_size + F.length("__body") <= most, F.greatest(F.length("__body"), F.lit(1))).otherwise(budget)
+    parts = chunks(held, [*key, "__header"], "__body", size, overlap, empty=True)
     lead = F.when(F.col("chunk_index") > 0, F.lit(marker + "\n")).otherwise(F.lit(""))
-    return parts.select(*key, "chunk_index", "chunk_total", "start", F.concat(F.left("__header", F.lit(400)), F.lit("\n"), lead, F.col("chunk")).alias("content"))
+    return parts.select(*key, "chunk_index", "chunk_total", "start", F.concat("__header", F.lit("\n"), lead, F.col("chunk")).alias("content"))
 
 
 def metadata_text(name: Column, synonym: Column, comment: Column, attributes: Column, sections: Column) -> Column:

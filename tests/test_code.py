@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.functions import code
+from lodestar.functions import code, text
 from lodestar.operators import graph
 
 MODULE = """#Область Обработчики
@@ -96,3 +96,23 @@ names = st.text(alphabet="абвгABCxyz_", min_size=1, max_size=8)
 def test_what_is_written_is_read(items):
     text = "\n".join(f"{'Функция' if f else 'Процедура'} {n}(){' Экспорт' if e else ''}\n\tА = \"Процедура Б() \"\"\";\n{'КонецФункции' if f else 'КонецПроцедуры'}" for n, f, e in items)
     assert [(p["name"], p["is_function"], p["is_export"]) for p in code.procedures_of(text)] == items
+
+
+def test_procedure_chunks_keep_header_and_empty_bodies(spark):
+    line = "x = 1;\n"
+    rows = [
+        (1, "c" * 1500, "Procedure A()", line * 1000),
+        (2, "", "Procedure B()", ""),
+        (3, "", "Procedure C()", "y" * 3900),
+        (4, "d" * 5000, "Procedure D()", line * 40),
+        (5, "", "Procedure E()", None),
+    ]
+    schema = "id long, comment string, signature string, body string"
+    procedures = spark.createDataFrame(rows, schema).selectExpr("*", "'Catalog.X' as owner", "'P' as name", "false as is_function", "true as is_export", "'' as directive")
+    got = {}
+    for r in text.procedure_chunks(procedures, ["id"]).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append(r)
+    assert {k: len(v) for k, v in got.items() if k in (2, 3, 5)} == {2: 1, 3: 1, 5: 1}
+    assert got[2][0]["content"].endswith("\nProcedure B()") and got[5][0]["content"].endswith("\nProcedure E()")
+    assert len(got[1]) > 1 and all("c" * 1500 in r["content"] and len(r["content"]) <= 4000 for r in got[1])
+    assert len(got[4]) > 1 and all("d" * 5000 in r["content"] for r in got[4])
