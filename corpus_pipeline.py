@@ -22,9 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps every document that reads like some mixture of the learned languages.
 
     Rejected are texts without a letter and texts that a uniform letter model
-    explains better than any language set; a missing lang is filled in.
+    explains better than any language set; a missing lang is filled in.  If no
+    document has a lang, nothing can be learned: every text with a letter stays.
     """
-    judged = language_id.predict(docs.select(*COLUMNS), language_id.learn(docs))
+    model = language_id.learn(docs)
+    if not model[0]:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    judged = language_id.predict(docs.select(*COLUMNS), model)
     kept = judged.where("lang_pred <> 'und' and fit > 0")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 

@@ -467,3 +467,12 @@ def test_stretched_and_several_licenses(spark):
     assert [(got[k]["license"], got[k]["coverage"]) for k in range(3)] == [("GPL-3.0", 1.0), ("MIT-text", 1.0), ("MIT-text", 1.0)]
     assert got[3]["license"] == "MIT-text" and got[3]["coverage"] >= 0.8
     assert [x["license"] for x in got[4]["licenses"]] == ["GPL-3.0", "MIT"]
+
+
+def test_pipeline_without_languages(spark, awkward, small):
+    import corpus_pipeline
+
+    docs = awkward.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, small)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 2, 3, 7, 9, 10]
