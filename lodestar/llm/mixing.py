@@ -1,23 +1,29 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document's tokens get the rate exp(lambda of its source): the distribution
-closest in relative entropy to the documents as they are, under one token
-constraint per source.  Newton's method solves the convex dual; gradient and
-Hessian are sums over the documents of a source, so one distributed aggregate
-feeds all iterations, and they run side by side for all sources as columns.
+Every document i of a source has the rate exp(lambda c_i), at most ``most``, where
+c_i is its token count over the mean of its source: of all rates that meet the
+source's token target, sum(rate_i size_i) = target, these are the closest in relative
+entropy to taking every document once.  lambda is the root of the dual's gradient,
+found by Newton's method: every round sums gradient and Hessian over the documents of
+every source in one distributed aggregate and keeps the root between bounds, which
+also serves where the bound on rates makes a step too long.  Documents of one source
+and size have equal terms, so the rounds read a table of their counts, which loses
+nothing.  Terms are summed as decimals, so the order of tasks changes no digit.
 
 Rates become copies by sequential Poisson sampling: each document is taken
-floor(rate) times, and documents in the order of their hash once more until the
-source's remaining tokens are met.  Documents of over a hundredth of a source's
-target are dealt first, the rest then fill what is left, so a source misses its
-target by less than half of a small document.  Prefix sums run over hash
-buckets first and within the one bucket where the budget ends, so no source is
-ever sorted as a whole.
-
-Defined results: null and wordless texts have size 0 and are taken 0 words; a
-null source is a source of its own; rows with equal doc_id, source and size are
-interchangeable; a source of only empty texts has target 0; extra columns pass
-through, those named like a result are replaced.
+floor(rate) times, and once more in the order of u / (rate - floor(rate)), u being
+drawn by its hash, until the source's remaining tokens are met.  Documents of over a
+hundredth of a source's target are dealt first, the rest then fill what is left, so a
+source misses its target by less than half of a small document.  What is taken is
+thus decided by one cut per source and kind, found from prefix sums over buckets of
+that order and then within the one bucket where the budget ends; both hold about the
+square root of all rows.  Documents are then judged one by one; texts are never
+shuffled.
+
+Defined results: null and wordless texts have size 0 and are taken 0 times; a null
+source is a source of its own; rows with equal doc_id, source and text are taken
+alike; a source of only empty texts has target 0; without rows there is no result;
+extra columns pass through where ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -32,85 +38,139 @@ from lodestar.llm.shared import WORD_SPACE, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-NEWTON_ROUNDS = 80
+NEWTON_ROUNDS, LONGEST_STEP, CLOSE = 100, 4.0, 1e-9
 LARGE = 100
+MAX_BROADCAST_SOURCES = 100_000
+_EXACT = "decimal(38,9)"
 
 
 def words_in(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), "")).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target: weights in turn by code point of the source, water-filled under the caps.
+def in_turn(by: DataFrame, tag: str) -> DataFrame:
+    """Adds turn: each source's place by code point from 0, null last.  Sources are dealt by ranges, only the ranges are counted in one place."""
+    order = F.asc_nulls_last("source")
+    dealt = staged(by.repartitionByRange(order).withColumn("part", F.spark_partition_id()), f"{tag}-sources")
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    turn = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return dealt.join(F.broadcast(parts), "part").withColumn("turn", turn).drop("part", "base")  # one row per shuffle partition
 
-    One row per source enters these windows, however many documents there are.
+
+def targets(by: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, tag: str = "mix") -> DataFrame:
+    """Adds target to ``by`` (source, source_size): weights in turn, filled to one level under the caps.
+
+    Each round caps the sources that the level would overfill and raises the level for
+    the others, until no more are.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy(F.lit(0))
-    turn = (F.row_number().over(everything.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights)
-    by = by.select("source", "source_size", F.get(F.array(*map(F.lit, weights)), turn.cast("int")).alias("weight"))
-    cap = F.lit(most) * F.col("source_size")
-    before = everything.orderBy(cap / F.col("weight"), F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.lit(share) * F.sum("source_size").over(everything)
-    left = total - F.coalesce(F.sum(cap).over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    by = by.withColumn("capped", cap * weight_left <= F.col("weight") * left).withColumn("total", total)
-    free = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    spent = F.coalesce(F.sum(F.when(F.col("capped"), cap)).over(everything), F.lit(0.0))
-    target = F.when(F.col("capped"), cap).otherwise(F.col("weight") * (F.col("total") - spent) / free)
-    return by.select("source", "source_size", target.cast("double").alias("target"))
-
-
-def rates(by_source: DataFrame, most: float = MOST) -> DataFrame:
-    """Adds rate: exp of the dual solution, by Newton steps of at most 1 from 0."""
-    size, goal = F.greatest(F.col("source_size"), F.lit(1)).cast("double"), F.col("target")
-    step = lambda lam: (size * F.exp(lam) - goal) / (size * F.exp(lam))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_ROUNDS)), F.lit(0.0), lambda lam, _: lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step(lam))))
-    return by_source.withColumn("rate", F.when(goal > 0, F.least(F.lit(most), F.exp(solved))).otherwise(F.lit(0.0)))
-
-
-def taken_up_to(rows: DataFrame, group: list[str], budget: str, bits: int) -> DataFrame:
-    """Adds take: rows of each group in order of ``draw`` (63 bits) while at least half of each fits the budget."""
-    bucket = F.shiftright("draw", 63 - bits)
-    sums = rows.groupBy(*group, bucket.alias("bucket")).agg(F.sum("size").alias("held"), F.max(budget).alias("upto"))
-    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights)).cast("int"))
+    by = staged(in_turn(by, tag).withColumn("weight", weight).drop("turn"), f"{tag}-weights")
+    cap = F.lit(float(most)) * F.col("source_size")
+    first = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("free")).first()
+    total, level, capped = share * (first["size"] or 0), 0.0, -1
+    level = total / first["free"] if first["free"] else 0.0
+    while True:
+        full = cap <= F.col("weight") * F.lit(level)
+        now = by.agg(F.count_if(full).alias("n"), F.sum(F.when(full, cap)).alias("spent"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        if now["n"] == capped or not now["free"]:
+            break
+        capped, level = now["n"], (total - (now["spent"] or 0.0)) / now["free"]
+    return by.select("source", "source_size", F.when(full, cap).otherwise(F.col("weight") * F.lit(level)).alias("target"))
+
+
+def tilt(size: Column, most: float) -> Column:
+    """The rate of a document of ``size`` under its source's mean, lam and full."""
+    return F.when(size == 0, 0.0).when(F.col("full"), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("lam") * size / F.col("mean"))))
+
+
+def balanced(counts: DataFrame, by: DataFrame, most: float = MOST, tag: str = "mix") -> DataFrame:
+    """Adds mean, lam and full (every rate at its bound) to ``by`` (of, target, …) by Newton rounds over ``counts`` (of, size, n)."""
+    sums = counts.groupBy("of").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"))
+    none = F.lit(None).cast("double")
+    state = by.join(sums, "of", "left").select(
+        *by.columns, (F.col("words") / F.col("n")).alias("mean"), F.lit(0.0).alias("lam"),
+        (F.col("target") >= float(most) * F.coalesce("words", F.lit(0)) * (1 - CLOSE)).alias("full"), none.alias("low"), none.alias("high"),
+    )
+    state = staged(state.withColumn("settled", F.col("full") | (F.col("target") <= 0)), f"{tag}-dual0")
+    for k in range(1, NEWTON_ROUNDS + 1):
+        if state.where("not settled").isEmpty():
+            return state.drop("low", "high", "settled")
+        rate = tilt(F.col("size"), most)
+        words = F.col("n") * F.col("size") * rate
+        free = F.when(rate < float(most), words * F.col("size") / F.col("mean")).otherwise(F.lit(0.0))
+        per = counts.join(state.where("not settled").select("of", "mean", "lam", "full"), "of").groupBy("of")
+        per = per.agg(F.sum(words.cast(_EXACT)).cast("double").alias("reached"), F.sum(free.cast(_EXACT)).cast("double").alias("slope"))
+        missed = F.col("reached") - F.col("target")
+        state = state.join(per, "of", "left").withColumns({"low": F.when(missed < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(missed > 0, F.col("lam")).otherwise(F.col("high"))})
+        step = F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), -missed / F.col("slope")))
+        step = F.when(F.col("slope") > 0, step).otherwise(F.when(missed < 0, LONGEST_STEP).otherwise(-LONGEST_STEP))
+        inside = (F.coalesce(F.col("lam") + step > F.col("low"), F.lit(True))) & (F.coalesce(F.col("lam") + step < F.col("high"), F.lit(True)))
+        near = F.abs(missed) <= CLOSE * F.col("target")
+        narrow = F.coalesce((F.col("high") - F.col("low")) <= CLOSE * CLOSE * F.abs(F.col("lam")), F.lit(False))
+        state = state.withColumns(
+            {
+                "settled": F.col("settled") | near | narrow,
+                "lam": F.when(F.col("settled") | near, F.col("lam")).when(inside, F.col("lam") + step).otherwise((F.col("low") + F.col("high")) / 2),
+            }
+        ).drop("reached", "slope")
+        state = staged(state, f"{tag}-dual{k}")
+    raise RuntimeError(f"the dual did not settle in {NEWTON_ROUNDS} rounds")
+
+
+def cuts(rows: DataFrame, bits: int) -> DataFrame:
+    """of and cut: how far, in the order of (draw, tie), the rows (of, size, draw, tie, budget) fit their budget, by at least half of each."""
+    bucket = F.floor(F.col("draw") * float(1 << bits)).cast("int")
+    rows = rows.withColumn("bucket", bucket)
+    sums = rows.groupBy("of", "bucket").agg(F.sum("size").alias("held"), F.max("budget").alias("upto"))
+    before = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    last = sums.where("base <= upto").groupBy(*group).agg(F.max(F.struct("bucket", "base")).alias("last"))
-    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"l.{g}")) for g in group]
-    joined = rows.alias("r").join(last.alias("l"), same, "left").select("r.*", "last", bucket.alias("bucket"))
-    decided = joined.where(F.col("last").isNull() | (F.col("bucket") != F.col("last.bucket"))).withColumn("take", F.coalesce(F.col("bucket") < F.col("last.bucket"), F.lit(False)))
-    run = Window.partitionBy(*group).orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    upto_here = F.col("last.base") + F.coalesce(F.sum("size").over(run), F.lit(0))
-    edge = joined.where("bucket = last.bucket").withColumn("take", upto_here + F.col("size") / 2 <= F.col(budget))
-    return decided.unionByName(edge).drop("last", "bucket")
+    last = sums.where("base <= upto").groupBy("of").agg(F.max(F.struct("bucket", "base")).alias("l")).select("of", "l.*")
+    run = Window.partitionBy("of").orderBy("draw", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.col("base") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    edge = rows.join(last, ["of", "bucket"]).withColumn("fits", here + F.col("size") / 2 <= F.col("budget"))
+    start = F.struct((F.max("bucket") / float(1 << bits)).alias("draw"), F.lit(-(1 << 63)).cast("long").alias("tie"))
+    return edge.groupBy("of").agg(F.coalesce(F.max(F.when(F.col("fits"), F.struct("draw", "tie"))), start).alias("cut"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, tag: str = "mix", keep: list[str] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every row, with the columns in ``keep``."""
-    sizes = staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), *[F.col(f"`{c}`") for c in keep or []]), f"{tag}-sizes"
-    )
+    id_, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    tie = F.xxhash64("doc_id", "source", "text")
+    keep = [c for c in keep or [] if c not in ("doc_id", "source")]
+    # The source as a struct: equality then holds for a null one too.
+    read = docs.select(id_.alias("doc_id"), F.struct(source.alias("source")).alias("of"), words_in(F.col("text")).alias("size"), tie.alias("tie"), *[F.col(f"`{c}`").alias(f"__{c}") for c in keep])
+    own = ["doc_id", "of", "size", "tie"]
+    sizes = staged(read.select(*own), f"{tag}-sizes")
     n = sizes.count()
-    bits = max(4, min(20, math.ceil(math.log2(max(n, 1) / 2048 + 1))))
-    by_source = staged(rates(targets(sizes, weights, share, most), most), f"{tag}-rates")
-    rows = sizes.join(by_source.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    floor = F.least(F.floor("rate"), F.lit(math.ceil(most) - 1))
-    rows = rows.select(
-        "*",
-        floor.alias("whole"),
-        (F.col("target") - floor * F.col("source_size")).alias("rest"),
-        F.when(F.col("size") * LARGE > F.col("target"), 1).otherwise(0).alias("large"),
-        F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit("mix")), 1).alias("draw"),
-    )
-    large = rows.where("large = 1 and size > 0 and rest > 0")
-    per = large.groupBy("source").agg(F.sum("size").alias("large_size"))
-    large = large.alias("x").join(per.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source"))).select("x.*", (F.col("rest") * F.col("large_size") / F.col("source_size")).alias("budget"))
-    large = staged(taken_up_to(large, ["source"], "budget", 4), f"{tag}-large")
-    got = large.where("take").groupBy(F.col("source").alias("__source")).agg(F.sum("size").alias("got"))
-    small = rows.where("large = 0 and size > 0 and rest > 0").join(got, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    small = small.withColumn("budget", F.col("rest") - F.coalesce("got", F.lit(0))).drop("got")
-    small = taken_up_to(small, ["source"], "budget", bits)
-    none = rows.where("size = 0 or rest <= 0").withColumn("budget", F.lit(0.0)).withColumn("take", F.lit(False))
-    out = large.unionByName(small).unionByName(none)
-    copies = (F.col("whole") + F.col("take").cast("int")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(keep or []))
+    bits = max(4, math.ceil(math.log2(max(n, 1)) / 2))
+    by = sizes.groupBy("of").agg(F.sum("size").alias("source_size")).select("of.source", "source_size")
+    by = targets(by, weights, share, most, tag).select(F.struct("source").alias("of"), "source_size", "target")
+    counts = staged(sizes.where("size > 0").groupBy("of", "size").agg(F.count("*").alias("n")), f"{tag}-counts")
+    by = balanced(counts, by, most, tag)
+    few = by.count() <= MAX_BROADCAST_SOURCES
+
+    def judged(rows: DataFrame, by: DataFrame) -> DataFrame:
+        rate = tilt(F.col("size"), most)
+        out = rows.join(F.broadcast(by) if few else by, "of").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
+        u = (F.shiftrightunsigned("tie", 11) + 1) / float(1 << 53)
+        late = u / (F.col("rate") - F.col("whole"))
+        return out.withColumns({"large": F.col("size") * LARGE > F.col("target"), "draw": F.when(F.col("rate") > F.col("whole"), late / (1 + late))})
+
+    rows = judged(sizes, by)
+    part = (F.col("rate") - F.col("whole")) * F.col("size")
+    per = rows.groupBy("of").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.sum(F.when(F.col("large"), part).cast(_EXACT)).cast("double").alias("large_budget"))
+    by = staged(by.join(per, "of"), f"{tag}-sure")
+    open_ = judged(sizes, by).where("draw is not null")
+    large = open_.where("large").select("of", "size", "draw", "tie", F.least("large_budget", F.col("target") - F.col("sure")).alias("budget"))
+    by = staged(by.join(cuts(large, bits).withColumnRenamed("cut", "large_cut"), "of", "left"), f"{tag}-large")
+    place = F.struct("draw", "tie")
+    got = judged(sizes, by).where(F.col("large") & (place <= F.col("large_cut"))).groupBy("of").agg(F.sum("size").alias("got"))
+    by = staged(by.join(got, "of", "left"), f"{tag}-got")
+    small = judged(sizes, by).where("draw is not null and not large")
+    small = small.select("of", "size", "draw", "tie", (F.col("target") - F.col("sure") - F.coalesce("got", F.lit(0))).alias("budget"))
+    by = staged(by.join(cuts(small, bits).withColumnRenamed("cut", "small_cut"), "of", "left"), f"{tag}-small")
+    once_more = F.coalesce(place <= F.when(F.col("large"), F.col("large_cut")).otherwise(F.col("small_cut")), F.lit(False)) & F.col("draw").isNotNull()
+    out = judged(read if keep else sizes, by).withColumn("copies", (F.col("whole") + once_more.cast("int")).cast("long"))
+    return out.select("doc_id", "of.source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__{c}").alias(c) for c in keep])

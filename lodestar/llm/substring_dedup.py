@@ -3,25 +3,27 @@
 A text is cut into sentences (a run up to and with ``.``, ``!``, ``?`` or a line
 feed), and sentences of ``EDGE_WORDS`` words or more at words that their hashes
 choose, so that passages glued to other words are cut alike; parts without a word
-belong to no span.  From every part a span runs over the following ones until it
-has ``MIN_WORDS`` words of at least ``MIN_SENTENCES`` sentences, or
-``LONG_WORDS`` words of one, and to every part one runs over those before it in
-the same way, so a repeated run of any length is covered from its first part to
-its last; a text without any of these is one span as a whole.  Every span is
-hashed (84 bits, A-Z lower-cased, white space collapsed), spans are counted over
-the whole corpus, and of each repeated span every occurrence but the first
-(smallest doc_id, then position) is removed: the parts that a removed span covers
-go, the rest of the text stays as it is.
-
-Only spans that repeat are ever carried with ids past the first count, and a
-span that a third of all documents share is met by a map-side count, a skewed
-join that Spark splits, and min(); its occurrences are never gathered.
+belong to no span, and no part has more than ``EDGE_WORDS`` words.  From every part
+a span runs over the following ones until it has ``MIN_WORDS`` words, and to every
+part one runs over those before it in the same way, so a repeated run of any length
+is covered from its first part to its last; a text too short for any of these is
+one span as a whole.  Every span is hashed (97 bits, A-Z lower-cased, white space
+collapsed), spans are counted over the whole corpus, and of each repeated span
+every occurrence but the first (smallest doc_id, then text hash, then position) is
+removed: the parts that a removed span covers go, the rest of the text stays as it
+is.
+
+Spans are hashed once, into a table; only those that repeat are ever joined.  They
+are counted and their first occurrences found by aggregates that combine before the
+shuffle, and the occurrences of a span that holds a large share of all are dealt
+over many tasks by salts and never gathered.
 
 Defined results: a null text stays null and an empty one empty; a row without
 doc_id stays as it is; exact copies of
 a document with a word but the first end up empty, their rows stay; identical rows that
-share doc_id and text count as one document and stay; extra columns pass
-through unchanged.
+share doc_id and text count as one document and stay, different texts under one
+doc_id are documents of their own; extra columns pass through unchanged, but for
+n_removed, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,17 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.shared import bounded_batches, mixed, signed, staged
+from lodestar.llm.shared import bounded_batches, drop, hot_keys, mixed, salted_join, signed, staged
 
-MIN_SENTENCES = 2
-MIN_WORDS = 16
-LONG_WORDS = 24
-#: Fixed value: 2 * EDGE_WORDS - 1 + LONG_WORDS is below 50, so no 50 repeated words can lie in the edges alone.
-EDGE_WORDS = 13
+#: Of a repeated passage up to 2 * EDGE_WORDS - 1 words at its ends may be cut differently;
+#: with MIN_WORDS more, that is 50, so a longer passage always holds a whole span.
+EDGE_WORDS, MIN_WORDS = 13, 25
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PIECE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
-_POS_BITS, _DOC_BITS = 30, 14
+_PLACE_BITS = 31
 _WINDOWS = 1 << 16
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -133,14 +133,8 @@ def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarra
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     upto = np.concatenate(([0], np.cumsum(counts)))
-    at = np.arange(n)
-    begins = np.flatnonzero([True, *(not f.endswith(b" ") for f in forms[:-1])])  # where sentences begin
-    own = np.searchsorted(begins, at, "right") - 1
-    other = MIN_SENTENCES - 1
-    enough = np.concatenate((begins, np.full(other, n)))[own + other] + 1
-    until = np.minimum(np.searchsorted(upto, upto[:-1] + LONG_WORDS), np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS), enough))
-    enough = np.concatenate((np.full(other, -1), np.append(begins[1:], n) - 1))[own]
-    since = np.maximum(np.searchsorted(upto, upto[1:] - LONG_WORDS, "right") - 1, np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, enough))
+    until = np.searchsorted(upto, upto[:-1] + MIN_WORDS)
+    since = np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1
     ahead = np.flatnonzero(until <= n)
     # A run that is the shortest from either end is taken once.
     back = np.flatnonzero(since >= 0)
@@ -160,62 +154,58 @@ def spans(counts: np.ndarray, forms: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def _occurrences(batches):
+    kinds = [("doc_id", pa.int64()), ("tie", pa.int64()), ("h", pa.int64()), ("low", pa.int64())]
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, (_, k) in zip(rows, kinds, strict=True)], [c for c, _ in kinds])
+
+    rows, held = ([], [], [], []), 0
     for batch in batches:
-        docs, his, lows, n = [], [], [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text or doc is None:
-                continue
+        for doc, tie, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             place, _, _, hi, lo = spans(*parts(text)[1:])
             if not len(place):
                 continue
-            top = np.uint64(_POS_BITS + _DOC_BITS)
-            docs.append(np.full(len(place), doc, np.int64))
-            his.append(hi)
-            lows.append((lo >> top << top) | np.uint64(_tie(text) << _POS_BITS) | place.astype(np.uint64))
-            n += len(place)
-            if n > 200_000:
-                yield _rows(docs, his, lows)
-                docs, his, lows, n = [], [], [], 0
-        if n:
-            yield _rows(docs, his, lows)
-
-
-def _tie(text: str) -> int:
-    """A few bits of the text's own hash: tells apart texts that share a doc_id."""
-    return xxhash.xxh3_64_intdigest(text.encode()) >> (64 - _DOC_BITS)
+            top = np.uint64(_PLACE_BITS)
+            for c, v in zip(rows, (np.full(len(place), doc), np.full(len(place), tie), signed(hi), signed((lo >> top << top) | place.astype(np.uint64))), strict=True):
+                c.append(v)
+            held += len(place)
+            if held > 200_000:
+                yield out()
+                rows, held = ([], [], [], []), 0
+    if held:
+        yield out()
 
 
-def _rows(docs, his, lows):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(signed(np.concatenate(his))), pa.array(signed(np.concatenate(lows)))], ["doc_id", "h", "low"])
+def text_key():
+    """Tells apart texts that share a doc_id."""
+    return F.xxhash64("text")
 
 
 def dedup_spans(docs: DataFrame, tag: str = "spans") -> DataFrame:
     """``docs`` with the repeated spans taken out of ``text``, and n_removed: how many parts of it went."""
     bounded_batches(docs.sparkSession)
     key = ["h", "hash2"]
-    occ = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_occurrences, "doc_id long, h long, low long")
-        .withColumn("hash2", F.shiftright("low", _POS_BITS + _DOC_BITS))
-    )
-    repeated = occ.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1").select(*key)
-    place = F.col("low").bitwiseAND((1 << (_POS_BITS + _DOC_BITS)) - 1)
-    occ = staged(occ.join(repeated, key, "left_semi").select(*key, "doc_id", place.alias("place")), f"{tag}-repeated")
-    in_text = F.col("place").bitwiseAND((1 << _POS_BITS) - 1)
-    firsts = occ.groupBy(*key).agg(F.min(F.struct("doc_id", in_text.alias("at"), "place")).alias("f"))
-    gone = (
-        occ.join(firsts, key).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("place") != F.col("f.place")))
-        .groupBy("doc_id", F.shiftright("place", _POS_BITS).cast("int").alias("tie"))
-        .agg(F.collect_set(in_text).alias("places"))
-    )
-    gone = staged(gone, f"{tag}-gone")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tie"), "text").where("doc_id is not null and text <> ''")
+    every = staged(read.mapInArrow(_occurrences, "doc_id long, tie long, h long, low long"), f"{tag}-spans")
+    hashed = [F.col("h"), F.shiftright("low", _PLACE_BITS).alias("hash2")]
+    occ = every.select(*hashed, "doc_id", "tie", F.col("low").bitwiseAND((1 << _PLACE_BITS) - 1).alias("at"))
+    repeated = staged(occ.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), f"{tag}-repeated")
+    hot = hot_keys(repeated, key)
+    draw = F.xxhash64("doc_id", "tie", "at")
+    some = staged(salted_join(occ, repeated.select(*key), key, hot, draw, "left_semi"), f"{tag}-some")
+    drop(every)
+    firsts = staged(some.groupBy(*key).agg(F.min(F.struct("doc_id", "tie", "at")).alias("f")), f"{tag}-firsts")
+    later = salted_join(some, firsts, key, hot, draw).where(F.struct("doc_id", "tie", "at") != F.col("f"))
+    gone = staged(later.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("places")), f"{tag}-gone")
+    for done in (some, firsts, repeated):
+        drop(done)
     return _applied(docs, gone)
 
 
 def _applied(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    by_doc = gone.groupBy(F.col("doc_id").alias("__span_doc")).agg(F.map_from_entries(F.collect_list(F.struct("tie", "places"))).alias("__span_places"))
-    held = docs.drop("n_removed").join(by_doc, F.col("doc_id").cast("long") == F.col("__span_doc"), "left").drop("__span_doc")
-    return held.mapInArrow(_rewritten, _schema(docs))
+    gone = gone.select(F.col("doc_id").alias("__span_doc"), F.col("tie").alias("__span_tie"), F.col("places").alias("__span_places"))
+    here = (F.col("doc_id").cast("long") == F.col("__span_doc")) & (text_key() == F.col("__span_tie"))
+    return docs.drop("n_removed").join(gone, here, "left").drop("__span_doc", "__span_tie").mapInArrow(_rewritten, _schema(docs))
 
 
 def _schema(docs: DataFrame) -> T.StructType:
@@ -228,9 +218,8 @@ def _rewritten(batches):
         texts, by = batch.column(names.index("text")).to_pylist(), batch.column(names.index("__span_places")).to_pylist()
         gone = [0] * len(texts)
         for k, (text, places) in enumerate(zip(texts, by, strict=True)):
-            if places and text:
-                if mine := dict(places).get(_tie(text)):
-                    texts[k], gone[k] = without(text, mine)
+            if places:
+                texts[k], gone[k] = without(text, places)
         kept = [c for c in names if c != "__span_places"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(names.index(c)) for c in kept] + [pa.array(gone, pa.int64())], [*kept, "n_removed"])
 
