@@ -34,41 +34,35 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of every group linked by 5-word shingles at 0.8, the document with the smallest doc_id; rows without doc_id stay."""
-    shared.release(spark)
-    groups = ngram_join.jaccard_groups(docs, words=5, percent=80, tag="near")
-    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(keepers, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-    # Identical rows are copies too: one stays.
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
-    return kept.withColumn("copy", F.row_number().over(again)).where("copy = 1").select(*COLUMNS)
+    """Keeps, of every group linked by 5-word shingles at 0.8, the text with the smallest doc_id.
+
+    A row without doc_id stays only where no member of its group has one; texts
+    without words link with nothing and stay; of rows equal in doc_id and text one
+    stays, that with the smallest lang, source and n_chars.
+    """
+    kept = ngram_join.one_of_each(docs, words=5, percent=80, tag="near").select(F.struct("doc_id", "key").alias("row"))
+    # As a struct, doc_id is compared null-safe, and the window below needs no further exchange.
+    rows = docs.select(*COLUMNS, F.struct(F.col("doc_id").cast("long").alias("doc_id"), ngram_join.text_key().alias("key")).alias("row"))
+    first = Window.partitionBy("row").orderBy("lang", "source", "n_chars")
+    return rows.join(kept, "row", "left_semi").withColumn("copy", F.row_number().over(first)).where("copy = 1").select(*COLUMNS)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated sentence spans out of the texts; every document stays."""
-    shared.release(spark)
+    """Takes repeated sentence spans out of the texts; every document stays, n_chars follows the text (as it was, where the text is null)."""
     out = substring_dedup.dedup_spans(docs.select(*COLUMNS), tag="spans")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    shared.release(spark)
-    mixed = mixing.mix(docs, tag="mix")
-    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("size", "source", "copies"))).alias("taken"))
-    sized = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn("size", mixing.words_in(F.col("text")))
-    # Rows that share a doc_id are matched to the decisions by size and source, in turn.
-    turn = F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy(F.xxhash64("text")))
-    mine = F.filter("taken", lambda t: (t["size"] == F.col("size")) & t["source"].eqNullSafe(F.col("source")))
-    times = F.coalesce(F.get(mine, F.col("turn") - 1).getField("copies"), F.lit(0)).cast("int")
-    return sized.withColumn("turn", turn).withColumn("__time", F.explode(F.sequence(F.lit(0), times))).where("__time > 0").select(*COLUMNS)
+    """Documents as often as the mix takes them: not at all, once or twice; null and wordless texts not at all."""
+    mixed = mixing.mix(docs.select(*COLUMNS), tag="mix", keep=COLUMNS)
+    return mixed.withColumn("time", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int")))).where("time > 0").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and source with n_tokens and token ids of every row."""
+    """doc_id and source with n_tokens and token ids of every row; a null or empty text has no ids."""
     import public_tokenizers
 
-    shared.release(spark)
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, ["doc_id", "source"], byte_bpe.checked_ids, "n_tokens long, ids array<int>")
     return out
@@ -88,7 +82,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, from a table that lives as long as a DataFrame reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = shared.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
