@@ -1,4 +1,4 @@
-"""Chat formatting by perspective rotation.
+r"""Chat formatting by perspective rotation.
 
 For every participant of a conversation (each role but ``system``) the dialogue is
 rendered once with that participant as the assistant: their turns are training
@@ -11,24 +11,31 @@ gathered into one row or task: offsets come from sums per block of turns, then
 running sums within a block.
 
 Defined results: a conversation of system turns only has no perspective and no
-rows; null roles count as ``unknown`` and null texts as empty; rows with a null
-conv_id form one conversation; equal turn numbers are ordered by role and text,
-equal rows are all rendered; extra columns are ignored.
+rows; null roles count as ``unknown`` and null texts as empty; in roles and texts
+``<|`` becomes ``<\|``, and a line feed in a role a space, so that no turn can hold
+the marks of another; rows with a null conv_id form one conversation; turns without
+number come first, equal turn numbers are ordered by role and text, equal rows are
+all rendered; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, role, speaks_as, segment, start, after, mask_start, mask_after, mask."""
     # The conversation as a struct: equality then holds for a null conv_id too, and every step deals rows by the same key.
-    base = turns.select(F.struct("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role = F.replace(_plain(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), F.lit(" "))
+    base = turns.select(F.struct("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), _plain(F.coalesce("text", F.lit(""))).alias("text"))
     who = base.where("role <> 'system'").select("conv", F.col("role").alias("perspective")).distinct()
     own = F.col("role") == F.col("perspective")
     speaks = F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise("user")

@@ -9,8 +9,10 @@ its size is checked before it is sent to the workers.
 Prediction looks at the whole text only.  Its likelihood under one language, or
 under a mixture whose proportions EM finds, is penalised by half the logarithm
 of the trigram count for every language beyond the first, scaled by
-``penalty``; the language set with the best penalised likelihood is the answer,
-its largest member the predicted language, that member's share the score.
+``penalty``; the language set with the best penalised likelihood is the answer and
+its largest member the predicted language.  The score is that language's proportion
+in the mixture of all languages, before the penalty clears the small ones away, so
+it tells a pure text from one that other languages explain in part.
 
 Defined results: a text that is null, empty or has no letter is ``und`` with
 score 0 and no languages; so is everything if nothing was learned.  Ties go to
@@ -105,6 +107,7 @@ def judge(text: str | None, langs: list[str], logs: np.ndarray, penalty: float):
     alone = logp @ c
     best, per = int(alone.argmax()), penalty * 0.5 * np.log(c.sum() + 1)
     chosen, share, value = [best], np.ones(1), float(alone[best])
+    every = share
     if len(langs) > 1:
         p = np.exp(logp).T
         every, most = _shares(p, c)
@@ -118,7 +121,8 @@ def judge(text: str | None, langs: list[str], logs: np.ndarray, penalty: float):
                 if reached - per * (k - len(chosen)) > value:
                     chosen, share, value = some.tolist(), got, reached
     rank = sorted(range(len(chosen)), key=lambda k: (-share[k], chosen[k]))
-    return langs[chosen[rank[0]]], float(share[rank[0]]), [langs[chosen[k]] for k in rank], [float(share[k]) for k in rank], value / float(c.sum()) + BITS * np.log(2)
+    top = chosen[rank[0]]
+    return langs[top], min(1.0, float(every[top])) if len(langs) > 1 else 1.0, [langs[chosen[k]] for k in rank], [float(share[k]) for k in rank], value / float(c.sum()) + BITS * np.log(2)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 4.0) -> DataFrame:

@@ -10,7 +10,8 @@ expectation, chosen by hash) reach the driver; nothing runs in Python workers.
 
 Defined results: a null or empty text has zero words and fails the base rule;
 without labels, or with labels of one class, no rule is learned and the base
-rule decides; repeated rows are judged one by one; extra columns are ignored.
+rule decides; a document with several labels counts as the worst of them; repeated
+rows are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ Condition = tuple[str, str, int]
 
 def learn(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> list[list[Condition]]:
     """Ordered rules that reject: conjunctions of (feature, ">=" or "<=", threshold), from labels (doc_id, quality)."""
-    known = stats.join(labels.select("doc_id", "quality").where("quality is not null").dropDuplicates(["doc_id"]), "doc_id")
+    known = stats.join(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     total = known.count()
     draw = F.xxhash64("doc_id", F.lit("rules")).bitwiseAND((1 << 32) - 1)
     sample = known.where(draw < int(min(1.0, max_labelled / max(total, 1)) * (1 << 32)))

@@ -53,16 +53,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+def remainder():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language mixture of every document, learned from two thirds of the labelled ones."""
+    """Language mixture of every document, learned from two thirds of the labelled ones.
+
+    A row without doc_id has no remainder: it is not held out, and not learned from either.
+    """
     docs = read(spark, sf_dir, "documents")
-    model = language_id.learn(docs.where(~held_out()))
+    model = language_id.learn(docs.where(remainder() != 1))
     out = language_id.predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
+    return out.select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +118,7 @@ WITH u AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), m AS (
   SELECT page_id, rhost || rpath AS rule, verdict,
-         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS n
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS n
   FROM s JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 )
 SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
@@ -124,7 +127,7 @@ FROM s LEFT JOIN m ON s.page_id = m.page_id AND m.n = 1
 
 OP9_SQL = r"""
 WITH base AS (
-  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, coalesce(turn, -1) AS turn, replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), chr(10), ' ') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations
 ), who AS (
   SELECT DISTINCT conv_id, role AS perspective FROM base WHERE role <> 'system'
 ), r AS (

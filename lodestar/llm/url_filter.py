@@ -1,31 +1,35 @@
 """URL filters on a sorted digest array.
 
 Rules (host, path prefix) become one array of sorted 64-bit xxhash keys with the
-rule strings beside it.  Workers memory-map it and probe a batch of candidate
+rule strings beside it.  Workers memory-map the file in which Spark keeps the
+broadcast array, once for all of an executor, and probe a batch of candidate
 (host suffix, path prefix) strings by vectorised binary search; a hit counts
 only when the stored string is equal, so colliding digests cannot misjudge.
-The longest fitting rule wins; with none, the verdict is ``default``.
+The longest fitting rule wins, of equally long ones that with the longer host; of
+rules with the same host and path the last listed counts; with none, the verdict
+is ``default``.
 
 The array is sent to the workers only up to ``max_index_bytes``, checked before.
 Beyond that the candidates of each distinct url are joined to the rules instead.
 
 Defined results: host and path are empty for a null url or one without ``://``,
-no rule fits then; repeated rows are judged one by one; extra columns pass
-through, those named like a result are replaced.
+no rule fits then; a url of any length is judged whole; repeated rows are judged
+one by one; an empty table or an empty list of rules is no special case; extra
+columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 import mmap
-import os
+import pickle
 import re
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,41 +58,43 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every string under which a rule that fits could be stored, longest first. Host and path are kept apart by a NUL."""
+    """Every string under which a rule that fits could be stored: longest first, of equally long ones the longer host. Host and path are kept apart by a NUL."""
     if not host:
         return []
     hosts, at = [host], host.find(".")
     while at >= 0:
         hosts.append(host[at + 1 :])
         at = host.find(".", at + 1)
-    out = [(len(h) + n, f"{h}\0{path[:n]}") for h in hosts if h for n in lengths if n <= len(path)]
-    return [c for _, c in sorted(out, key=lambda x: -x[0])]
+    out = [(len(h) + n, len(h), f"{h}\0{path[:n]}") for h in hosts if h for n in lengths if n <= len(path)]
+    return [c for *_, c in sorted(out, reverse=True)]
 
 
 class SortedDigests:
     """64-bit keys in order, and the strings (with a verdict byte) they stand for."""
 
+    MAGIC = b"sorted64"
+
     def __init__(self, image: bytes | mmap.mmap):
-        n = int(np.frombuffer(image, "<u8", 1)[0])
-        self.keys = np.frombuffer(image, "<u8", n, 8)
-        self.ends = np.frombuffer(image, "<u8", n + 1, 8 + 8 * n)
-        self.text = memoryview(image)[8 + 8 * n + 8 * (n + 1) :]
+        at = image.find(self.MAGIC) + len(self.MAGIC)
+        n = int(np.frombuffer(image, "<u8", 1, at)[0])
+        self.keys = np.frombuffer(image, "<u8", n, at + 8)
+        self.ends = np.frombuffer(image, "<u8", n + 1, at + 8 + 8 * n)
+        self.text = memoryview(image)[at + 8 + 8 * n + 8 * (n + 1) :]
 
-    @staticmethod
-    def image(entries: dict[str, str]) -> bytes:
-        """The bytes of the array; entries: candidate string to verdict."""
+    @classmethod
+    def image(cls, entries: dict[str, str]) -> bytes:
+        """The bytes of the array; entries: candidate string to verdict. Its numbers stand at multiples of 8 in the broadcast's file."""
         coded = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode() + (b"\x01" if v == "block" else b"\x00")) for k, v in entries.items())
         keys = np.array([k for k, _ in coded], "<u8")
         ends = np.concatenate(([0], np.cumsum([len(t) for _, t in coded], dtype=np.int64))).astype("<u8")
-        return np.array([len(coded)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + b"".join(t for _, t in coded)
+        out = cls.MAGIC + np.array([len(coded)], "<u8").tobytes() + keys.tobytes() + ends.tobytes() + b"".join(t for _, t in coded)
+        return next(padded for k in range(8) if pickle.dumps(padded := bytes(k) + out, pickle.HIGHEST_PROTOCOL).find(cls.MAGIC) % 8 == 0)
 
-    @classmethod
-    def mapped(cls, image: bytes) -> SortedDigests:
-        """Memory-mapped from a file of the worker's own that is gone once the mapping ends."""
-        with tempfile.TemporaryFile() as f:
-            f.write(image)
-            f.flush()
-            return cls(mmap.mmap(f.fileno(), os.fstat(f.fileno()).st_size, access=mmap.ACCESS_READ))
+    @staticmethod
+    def of(sent: Broadcast) -> SortedDigests:
+        """Mapped from the file of a broadcast image, or over its value where Spark keeps no plain file of it."""
+        path = getattr(sent, "_path", None)
+        return _mapped(path) if path else SortedDigests(sent.value)
 
     def probe(self, strings: list[str]) -> list[str | None]:
         """The verdict stored for each string, or None."""
@@ -107,8 +113,9 @@ class SortedDigests:
 
 
 @functools.lru_cache(maxsize=2)
-def _opened(image: bytes) -> SortedDigests:
-    return SortedDigests.mapped(image)
+def _mapped(path: str) -> SortedDigests:
+    with open(path, "rb") as f:
+        return SortedDigests(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 _RESULT = "host string, path string, rule string, verdict string"
@@ -132,7 +139,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
     sent = pages.sparkSession.sparkContext.broadcast(image)
 
     def run(batches):
-        index = _opened(sent.value)
+        index = SortedDigests.of(sent)
         for batch in batches:
             split = [split_url(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
             tried = [candidates(h, p, lengths) for h, p in split]
@@ -163,7 +170,7 @@ def judge_urls_by_join(pages: DataFrame, listed: DataFrame, lengths: list[int],
 
     urls = held.select(F.col("url")).where("url is not null").distinct().mapInArrow(run, "url string, host string, path string, tried array<string>")
     hits = urls.select("url", F.explode("tried").alias("candidate")).join(listed, "candidate")
-    best = hits.groupBy("url").agg(F.max_by(F.struct("candidate", "listed"), F.length("candidate")).alias("b"))
+    best = hits.groupBy("url").agg(F.max_by(F.struct("candidate", "listed"), F.struct(F.length("candidate"), F.instr("candidate", "\0"))).alias("b"))
     judged = urls.select("url", "host", "path").join(best, "url", "left").select(
         F.col("url").alias("__judged"), "host", "path", F.replace("b.candidate", F.lit("\0"), F.lit("")).alias("rule"), F.coalesce("b.listed", F.lit(default)).alias("verdict")
     )
