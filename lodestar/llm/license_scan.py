@@ -3,7 +3,7 @@
 Each template is aligned to the stretches of a text that can hold it: words
 unique to both sides are anchors, the longest increasing run of anchors is taken,
 and the gaps between them are aligned in the same way; a gap without anchors is
-closed by a small exact alignment.  Coverage is the share of the template's words
+closed by a longest common subsequence.  Coverage is the share of the template's words
 that are aligned.
 
 A stretch lies around each occurrence of as many template words, the rarest in the
@@ -13,7 +13,7 @@ pass.  A text that lacks too many of a template's words, or has them in another
 order, cannot reach the coverage and is passed over, which loses nothing.
 
 Defined results: a null, empty or wordless text has no license and coverage 0;
-of several templates the best covered wins, then the first listed, and
+of several templates the best covered wins, then the longest, then the first listed, and
 ``licenses`` lists all that reach the coverage; repeated rows
 are scanned one by one; extra columns pass through, those named like a result
 are replaced.
@@ -32,18 +32,38 @@ from pyspark.sql import types as T
 
 from lodestar.llm.shared import bounded_batches
 
-#: Public license notices.
+#: Public license notices and texts, without the lines that name a holder.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+    "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 MIN_COVERAGE = 0.8
-EXACT_CELLS = 20_000
 _FIELDS, _KINDS = ("license", "coverage", "first_word", "after_word"), (pa.string(), pa.float64(), pa.int32(), pa.int32())
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 
@@ -70,22 +90,27 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _exact(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    """A longest common subsequence: one bit per word of ``b``, one row of bits per word of ``a`` that ``b`` has."""
+    masks: dict[str, int] = {}
+    for j, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    at = [i for i, w in enumerate(a) if w in masks]
+    rows = [full]
+    for i in at:
+        both = rows[-1] & masks[a[i]]
+        rows.append((rows[-1] + both | rows[-1] - both) & full)
+    # A bit is clear where the subsequence grows with that word of ``b``; it is matched in the first row that clears it.
+    out, i, j = [], len(at), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            j += 1
-    return out
+            i, j = i - 1, j - 1
+            out.append((at[i], j))
+    return out[::-1]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -106,8 +131,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         places = {w: k for k, w in enumerate(b[j:j_end], j) if right[w] == 1}
         anchors = _rising([(k, places[w]) for k, w in enumerate(a[i:i_end], i) if left[w] == 1 and w in places])
         if not anchors:
-            if (i_end - i) * (j_end - j) <= EXACT_CELLS and left.keys() & right.keys():
-                out += [(i + x, j + y) for x, y in _exact(a[i:i_end], b[j:j_end])]
+            out += [(i + x, j + y) for x, y in _exact(a[i:i_end], b[j:j_end])]
             continue
         out += anchors
         edge = (i - 1, j - 1)
@@ -178,7 +202,7 @@ class Template:
 
 def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[str | None, float, int | None, int | None, list[dict]]:
     """License, coverage and word span of the best covered template, and all that reach ``least``; (None, 0.0, None, None, []) if none does."""
-    out, every = (None, 0.0, None, None), []
+    out, size, every = (None, 0.0, None, None), 0, []
     lowered = text.lower() if text else ""
     some = [t for t in templates if t.may_cover(lowered, least)] if lowered else []
     if some:
@@ -192,8 +216,8 @@ def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAG
             coverage, a, b = t.best(words, places, least)
             if coverage >= least and coverage > 0:
                 every.append(dict(zip(_FIELDS, (t.name, coverage, a, b), strict=True)))
-                if coverage > out[1]:
-                    out = (t.name, coverage, a, b)
+                if (coverage, len(t.words)) > (out[1], size):
+                    out, size = (t.name, coverage, a, b), len(t.words)
     return *out, every
 
 
