@@ -12,8 +12,8 @@ checked all the same, and a larger lexicon is joined by shuffle.
 
 Defined results: null counts as empty; a text without a lexicon term in any
 subset is fingerprinted by its own hash, so equal texts always agree and those
-texts agree with no other; rows that share a doc_id are ordered by text; an empty
-table gives an empty result; extra columns are ignored.
+texts agree with no other; rows that share a doc_id are ordered by text, those without
+one come last; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,22 +82,28 @@ def printed(signs: str) -> Column:
     return F.array_join(F.transform(signs, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit("-"))), ".")
 
 
-def buckets(docs: DataFrame, rows_each: int = 2000, most: int = 10_000) -> tuple[Column, int]:
-    """A column that deals rows by ranges of descending doc_id, and how many ranges there are."""
-    n = docs.count()
-    parts = max(1, min(most, n // rows_each))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100_000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    width = max(1, math.isqrt(len(cuts)))
-    coarse = cuts[width - 1 :: width]
-    # Two short scans instead of one long one: which run of cuts, then where in it.
-    runs = [cuts[k : k + width] for k in range(0, len(cuts), width)] + [[]]
-    if not cuts:
-        return F.lit(0), 1
-    as_array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    run = F.size(F.filter(as_array(coarse), lambda c: F.col("doc_id") < c))
-    within = F.get(F.array(*[as_array(r) for r in runs]), run)
-    return run * width + F.size(F.filter(within, lambda c: F.col("doc_id") < c)), len(cuts) + 1
+def in_ranges(docs: DataFrame, rows_each: int = 2000, most: int = 100_000) -> DataFrame:
+    """Adds bucket: ranges of descending doc_id of about ``rows_each`` rows, about ``most`` at most; a row without doc_id comes last.
+
+    The ranges are found and looked up in two steps: a short list of bounds deals the
+    rows into runs, and every run has a list of its own, joined from a table of at
+    most ``most`` numbers.
+    """
+    width = math.isqrt(max(1, min(most, docs.count() // rows_each)) - 1) + 1
+    if width == 1:
+        return docs.withColumn("bucket", F.lit(0))
+    shares = [k / width for k in range(1, width)]
+    below = lambda bounds: F.size(F.filter(bounds, lambda c: F.col("doc_id") < c))
+    coarse = docs.agg(F.percentile_approx("doc_id", shares, 100_000).alias("c")).first()["c"]
+    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(coarse or []))]).cast("array<long>")
+    found = docs.withColumn("run", F.when(F.col("doc_id").isNotNull(), below(bounds)).otherwise(0))
+    runs, base = [], 0
+    for r in found.groupBy("run").agg(F.percentile_approx("doc_id", shares, 10_000).alias("c")).orderBy("run").collect():
+        runs.append((r["run"], base, own := sorted(set(r["c"] or []))))
+        base += len(own) + 1
+    table = docs.sparkSession.createDataFrame(runs, "run int, base int, bounds array<long>")
+    found = found.join(F.broadcast(table), "run")
+    return found.withColumn("bucket", F.when(F.col("doc_id").isNull(), base).otherwise(F.col("base") + below("bounds"))).drop("run", "base", "bounds")
 
 
 def edited_fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, tag: str = "imatch") -> DataFrame:
@@ -108,11 +114,10 @@ def edited_fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(docs, min_share, max_share)
-    bucket, parts = buckets(docs)
-    dealt = docs.withColumn("bucket", bucket.cast("int"))
+    dealt = in_ranges(docs)
     # The first document of each range also ends the range before it, as a guest.
-    firsts = staged(docs.select("doc_id", bucket.cast("int").alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), f"{tag}-firsts")
-    order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per range, at most 10,000
+    firsts = staged(dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), f"{tag}-firsts")
+    order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per range, at most 100,000
     before = firsts.select("doc_id", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"))
     guests = docs.join(F.broadcast(before), "doc_id").groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     rows = dealt.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests.select("bucket", F.lit(1).alias("guest"), "doc_id", "text"))
