@@ -5,17 +5,20 @@
    indexes into them.  A word that occurs thousands of times in a block is sent
    once, and the positions of a block stay one compressed value.
 2. A block's words are dealt into parts by their hash, and one shuffle brings
-   every part together; there each distinct word is encoded once.
+   every part together; there each distinct word is encoded once.  On clusters that
+   need more than ``MAX_PARTS`` parts the blocks form groups with parts of their own,
+   so that a part of a block stays a packed row; a word is then encoded once a group.
 3. The ids go back to their block, and each text is put together by position, in
    vector operations.
 
-One shuffle carries words and blocks, and both uses read it.  Decoding looks up
-each id in the token-byte table (one entry per rank, bounded by the vocabulary
-and checked), the join of a fixed-size table.
+One shuffle carries words and blocks, and both uses read it.  Decoding joins the ids
+to the token-byte table, which is broadcast: one entry per rank, bounded by the
+vocabulary and checked.
 
-Defined results: null and empty texts have no tokens and decode to no bytes;
-repeated rows and doc_ids are encoded row by row; lone surrogates cannot occur
-in a Spark string.  Only the columns named in ``carry`` come along.
+Defined results: null and empty texts have no tokens and decode to no bytes; a text
+longer than a block is a block of its own; repeated rows and doc_ids are encoded row
+by row; an empty table gives an empty result; lone surrogates cannot occur in a Spark
+string.  Only the columns named in ``carry`` come along.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ from lodestar.llm.shared import bounded_batches
 
 BLOCK_CHARS = 12_000_000
 KNOWN_WORDS = 1_000_000
+MAX_PARTS = 1024
 MAX_VOCABULARY = 1 << 20
 
 
@@ -94,8 +98,8 @@ class _Block:
         self.rows.append(row)
         self.chars += sum(map(len, found)) + 64
 
-    def out(self, number: int, parts: int, carried: pa.Schema) -> pa.RecordBatch:
-        """A row for the block (key: its number) and one for each part of its words (key: negative)."""
+    def out(self, number: int, group: int, parts: int, carried: pa.Schema) -> pa.RecordBatch:
+        """A row for the block (key: its number) and one for each part of its words (key: negative, the group's own)."""
         at = np.concatenate(self.at) if self.at else np.empty(0, np.uint32)
         often = np.argsort(-np.bincount(at, minlength=len(self.words)), kind="stable")
         rank = np.empty(len(often), np.uint32)
@@ -115,23 +119,27 @@ class _Block:
         made = [(number, number, -1, _packed(sizes, sent, lengths, rank[at]), zstandard.compress(sink.getvalue().to_pybytes(), 1))]
         bounds = np.searchsorted(part[order], np.arange(parts + 1)) if order else np.zeros(parts + 1, np.int64)
         for p in np.flatnonzero(np.diff(bounds)).tolist():
-            made.append((-1 - p, number, p, _pieces([words[k] for k in order[bounds[p] : bounds[p + 1]]]), None))
+            made.append((-1 - group * parts - p, number, p, _pieces([words[k] for k in order[bounds[p] : bounds[p + 1]]]), None))
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*made, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _blocks(pattern: str, carried: pa.Schema, parts: int):
+def _blocks(pattern: str, carried: pa.Schema, parts: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = regex.compile(pattern).findall
         task, made, block = TaskContext.get().partitionId(), 0, _Block()
+
+        def out() -> pa.RecordBatch:
+            return block.out((task << 28) | made, (task + made) % groups, parts, carried)
+
         for batch in batches:
             side = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in carried.names]
             for text, *row in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), *side, strict=True):
                 block.add(tuple(row), found(text) if text else [])
                 if block.chars > BLOCK_CHARS:
-                    yield block.out((task << 28) | made, parts, carried)
+                    yield out()
                     made, block = made + 1, _Block()
         if block.rows:
-            yield block.out((task << 28) | made, parts, carried)
+            yield out()
 
     return run
 
@@ -147,13 +155,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
     held = docs.select(*[F.col(f"`{c}`") for c in carry], "text")
     kept = T.StructType([held.schema[c] for c in carry])
     carried = to_arrow_schema(kept)
-    sent = spark.sparkContext.broadcast(ranks)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
-    dealt = held.mapInArrow(_blocks(pattern, carried, parts), _ROW).repartition("key")
+    token_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        token_bytes[rank] = token
+    sent = spark.sparkContext.broadcast((ranks, token_bytes))
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = -(-wanted // MAX_PARTS)
+    width = "<u2" if len(token_bytes) <= 1 << 16 else "<u4"
+    dealt = held.mapInArrow(_blocks(pattern, carried, -(-wanted // groups), groups), _ROW).repartition("key")
 
     def bpe(batches):
-        one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})._core_bpe.encode_single_piece
+        one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value[0], special_tokens={})._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
         for b in batches:
             for key, block, part, data in zip(*[c.to_pylist() for c in b.columns[:4]], strict=True):
@@ -170,17 +182,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
                 out = _pieces([known[w] for w in words])
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([out], pa.binary())], ["key", "part", "ids"])
 
-    # Both uses read all columns of ``dealt``, so that they share its exchange.
+    # Both uses read all columns of ``dealt``, so that they share its exchange; a condition that is not
+    # deterministic to the optimiser stays above it, and only the blocks' own rows go on to be put together.
+    blocks = dealt.where(F.when(F.spark_partition_id() >= 0, F.col("key")) >= 0)
     ids = dealt.mapInArrow(bpe, "key long, part int, ids binary")
     schema = T.StructType([*kept.fields, *T._parse_datatype_string(result).fields])
     arrow = to_arrow_schema(schema)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or left["key"][0].as_py() < 0:
+        if not len(left):
             return arrow.empty_table()
-        table = [b""] * (max(sent.value.values(), default=-1) + 1)
-        for token, rank in sent.value.items():
-            table[rank] = token
+        table = sent.value[1]
         got = [_of_pieces(x) for _, x in sorted(zip(right["part"].to_pylist(), right["ids"].to_pylist(), strict=True))]
         sizes = np.concatenate([n for n, _ in got]) // np.dtype(width).itemsize if got else np.empty(0, np.int64)
         flat = np.frombuffer(b"".join(x for _, x in got), width)
@@ -200,7 +212,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
             side = side.append_column(f, pa.array(list(column), f.type))
         return side
 
-    return dealt.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(assemble, schema)
+    return blocks.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
