@@ -2,18 +2,20 @@
 
 ``edge_seq`` is the order in which edges were declared; every tie (which edge
 explains an impact, which of several shortest paths) is broken by it, so results
-do not depend on partitioning.  Traversals are level loops: one equi-join of the
-frontier per level, the lineage cut in shared storage, and no level ever reaches
-the driver; only the row count that ends the loop does.
+do not depend on partitioning.  Traversals are level loops over edges that are
+written once: one equi-join of the frontier per level, which is a table in shared
+storage, and no level ever reaches the driver; only what ends the loop does.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.session import cut
+from lodestar.staging import staged
 
 EDGE_KEY = ["source", "target", "relationship", "label"]
 CALL, METADATA_REFERENCE, QUERY_REFERENCE = "procedure_call", "code_metadata_reference", "code_query_reference"
@@ -48,19 +50,18 @@ def put_nodes(nodes: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def collapse_edges(calls: DataFrame) -> DataFrame:
-    """source, target, edge_type, count and locations (in order) from one row per call site."""
-    return calls.groupBy("source", "target", "edge_type").agg(
-        F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("file", "line", "column"))).alias("locations")
-    )
+    """source, target, edge_type and count from one row per call site; counted map-side, however hot an edge is."""
+    return calls.groupBy("source", "target", "edge_type").agg(F.count("*").alias("count"))
+
+
+def edge_locations(calls: DataFrame) -> DataFrame:
+    """The call sites of collapsed edges as rows: source, target, edge_type, file, line, column, each place once."""
+    return calls.select("source", "target", "edge_type", "file", "line", "column").distinct()
 
 
 def merge_code_edges(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two collapsed edge tables as one: counts add up, locations are joined."""
-    return (
-        first.unionByName(second)
-        .groupBy("source", "target", "edge_type")
-        .agg(F.sum("count").alias("count"), F.array_sort(F.flatten(F.collect_list("locations"))).alias("locations"))
-    )
+    """Two collapsed edge tables as one: counts add up.  Their locations are merged by union and ``distinct``."""
+    return first.unionByName(second).groupBy("source", "target", "edge_type").agg(F.sum("count").alias("count"))
 
 
 def resolve_through(edges: DataFrame, container: str = "DefinedType.", contains: str = "defined_type_contains") -> DataFrame:
@@ -100,9 +101,9 @@ def related(nodes: DataFrame, edges: DataFrame, node_id: str, relationship: str
 
 
 def context(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
-    """Neighbours both ways with the number of connections beside each row."""
+    """Neighbours both ways with the number of connections beside each row, counted map-side."""
     found = related(nodes, edges, node_id)
-    return found.withColumn("total_connections", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("total_connections"))))  # one row
 
 
 def callers(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
@@ -147,7 +148,7 @@ def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 3) ->
     led there).  The start is left out; a source that is no node keeps null type and name.
     """
     spark = edges.sparkSession
-    links = edges.select("source", "target", "relationship", "edge_seq")
+    links = staged(edges.select("source", "target", "relationship", "edge_seq"), "impact-edges")
     seen = spark.range(1).select(F.lit(node_id).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
     frontier = seen.select("id")
     for level in range(1, depth + 1):
@@ -158,7 +159,7 @@ def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 3) ->
             .join(seen.select("id"), "id", "left_anti")
             .select("id", F.lit(level).alias("depth"), "via")
         )
-        step = cut(step)
+        step = staged(step, "impact-level")
         if step.isEmpty():
             break
         seen, frontier = seen.unionByName(step), step.select("id")
@@ -170,69 +171,94 @@ def impact_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("depth").agg(F.count("*").alias("n"))
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 30) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """The edges of a shortest undirected path, in order (step from 1), in their own direction.
 
     No rows if there is none, or start and goal are the same.  Of several paths the
     one with the smallest edge_seq at every step back from the goal is taken.
+
+    Levels grow from both ends, the smaller frontier first, until one meets the
+    other; then the edges that lie on any shortest path are walked back.
     """
     spark = edges.sparkSession
     columns = ["edge_seq", "source", "target", "relationship"]
     nothing = edges.select(F.lit(0).alias("step"), *columns).limit(0)
     if start == goal:
         return nothing
-    both = edges.select(*columns, F.col("source").alias("at"), F.col("target").alias("to")).unionByName(
-        edges.select(*columns, F.col("target").alias("at"), F.col("source").alias("to"))
-    )
-    seen = spark.range(1).select(F.lit(start).alias("id"))
-    frontier, levels = seen, []
-    for _ in range(most):
-        step = both.join(frontier.select(F.col("id").alias("at")), "at").join(seen.select(F.col("id").alias("to")), "to", "left_anti")
-        step = cut(step.groupBy(F.col("to").alias("id")).agg(F.min_by(F.struct("at", *columns), "edge_seq").alias("edge")))
-        if step.isEmpty():
+    links = staged(edges.select(*columns), "path-edges")
+
+    def touching(ids: DataFrame) -> DataFrame:
+        """Every edge at one of ``ids`` (id), from there (at) to its other end (to)."""
+        out = links.join(ids.select(F.col("id").alias("source")), "source").withColumns({"at": F.col("source"), "to": F.col("target")})
+        into = links.join(ids.select(F.col("id").alias("target")), "target").withColumns({"at": F.col("target"), "to": F.col("source")})
+        return out.unionByName(into)
+
+    one = spark.range(1)
+    sides = {k: [one.select(F.lit(k).alias("id"), F.lit(0).alias("depth"))] for k in (start, goal)}
+    sizes, tick = {start: 1, goal: 1}, 0
+    while True:
+        here = min((start, goal), key=lambda k: sizes[k])
+        other = goal if here == start else start
+        known = _all(sides[here])
+        step = touching(sides[here][-1]).select(F.col("to").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+        step = staged(step.withColumn("depth", F.lit(len(sides[here]))), f"path-level{tick}")
+        sides[here].append(step)
+        met = F.col("other").isNotNull()
+        ends = step.join(sides[other][-1].select("id", F.lit(1).alias("other")), "id", "left").agg(F.count("*").alias("n"), F.count_if(met).alias("met")).first()
+        if not ends["n"]:
             return nothing
-        levels.append(step)
-        if not step.where(F.col("id") == goal).isEmpty():
+        sizes[here], tick = ends["n"], tick + 1
+        if ends["met"]:
             break
-        seen, frontier = seen.unionByName(step.select("id")), step.select("id")
-    else:
-        return nothing
-    path, at = None, spark.range(1).select(F.lit(goal).alias("id"))
-    for k in range(len(levels), 0, -1):
-        hop = levels[k - 1].join(F.broadcast(at), "id")  # one row
+    # By distance from the start: all that the start's side found, then what leads on from where both met.
+    ahead, back = sides[start], sides[goal]
+    layers = [x.select("id") for x in ahead[:-1]] + [staged(ahead[-1].select("id").join(back[-1].select("id"), "id", "left_semi"), "path-met")]
+    for x in back[-2::-1]:
+        layers.append(staged(x.select("id").join(touching(layers[-1]).select(F.col("to").alias("id")), "id", "left_semi"), "path-layer"))
+    path, at = None, one.select(F.lit(goal).alias("id"))
+    for k in range(len(layers) - 1, 0, -1):
+        before = layers[k - 1].select(F.col("id").alias("to"))
+        hop = touching(at).join(before, "to").agg(F.min_by(F.struct("to", *columns), "edge_seq").alias("edge"))  # one row
+        hop = staged(hop, "path-hop")
         row = hop.select(F.lit(k).alias("step"), *[F.col(f"edge.{c}") for c in columns])
         path = row if path is None else path.unionByName(row)
-        at = hop.select(F.col("edge.at").alias("id"))
+        at = hop.select(F.col("edge.to").alias("id"))
     return path
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def dependencies(edges: DataFrame, node_id: str, depth: int = 1, outgoing: bool = True) -> DataFrame:
     """id and least depth of what a node calls (or is called by) within ``depth`` steps."""
     here, there = ("source", "target") if outgoing else ("target", "source")
+    links = staged(edges.select("source", "target"), "dependency-edges") if depth > 1 else edges
     seen = edges.sparkSession.range(1).select(F.lit(node_id).alias("id"), F.lit(0).alias("depth"))
     frontier = seen.select("id")
     for level in range(1, depth + 1):
-        step = edges.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id")).distinct()
-        step = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth")))
+        step = links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id")).distinct()
+        step = staged(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth")), "dependency-level")
         if step.isEmpty():
             break
         seen, frontier = seen.unionByName(step), step.select("id")
     return seen.where("depth > 0")
 
 
-def tree(items: DataFrame, parent: str = "parent", name: str = "name", most: int = 20) -> DataFrame:
-    """name, parent, level and path of every item under the roots (null or empty parent)."""
+def tree(items: DataFrame, parent: str = "parent", name: str = "name") -> DataFrame:
+    """name, parent, level and path of every item under the roots (null or empty parent), however deep; no item stands below itself."""
     key = F.coalesce(F.col(parent), F.lit(""))
-    level = cut(items.where(key == "").select(F.col(name).alias("name"), F.lit("").alias("parent"), F.lit(0).alias("level"), F.col(name).alias("path")))
-    out = level
-    children = items.where(key != "").select(F.col(name).alias("child"), key.alias("parent"))
-    for k in range(1, most + 1):
-        under = level.select(F.col("name").alias("parent"), F.col("path").alias("above"))
-        level = cut(children.join(under, "parent").select(F.col("child").alias("name"), "parent", F.lit(k).alias("level"), F.concat_ws("/", "above", "child").alias("path")))
+    held = staged(items.select(F.col(name).alias("name"), key.alias("parent")), "tree-items")
+    level = held.where("parent = ''").select("name", "parent", F.lit(0).alias("level"), F.array("name").alias("trail"))
+    out, children, k = level, held.where("parent <> ''").withColumnRenamed("name", "child"), 0
+    while True:
+        k += 1
+        under = level.select(F.col("name").alias("parent"), "trail")
+        below = children.join(under, "parent").where(~F.array_contains("trail", F.col("child")))
+        level = staged(below.select(F.col("child").alias("name"), "parent", F.lit(k).alias("level"), F.array_append("trail", F.col("child")).alias("trail")), "tree-level")
         if level.isEmpty():
-            break
+            return out.select("name", "parent", "level", F.array_join("trail", "/").alias("path"))
         out = out.unionByName(level)
-    return out
 
 
 # --- procedure calls ---------------------------------------------------------

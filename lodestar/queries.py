@@ -71,19 +71,23 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Deduplicated edges; edge_seq follows from the edge itself."""
-    return graph.dedup_edges(graph.number_edges(raw_edges(spark, d).drop("rank")))
+    """Deduplicated edges; edge_seq follows the order of the tables, then the edge itself."""
+    digest = F.substring(F.md5(F.concat_ws("|", "source", "target", "relationship", "label")), 1, 14)
+    seq = F.col("rank").cast("long") * (1 << 56) + F.conv(digest, 16, 10).cast("long")
+    return graph.dedup_edges(raw_edges(spark, d).withColumn("edge_seq", seq).drop("rank"))
 
 
 EDGES_SQL = """
 raw AS (
-  SELECT 'Nation.' || n_nationkey AS source, 'Region.' || n_regionkey AS target, 'subsystem_hierarchy' AS relationship, 'n_regionkey' AS label FROM nation
-  UNION ALL SELECT 'Customer.' || c_custkey, 'Nation.' || c_nationkey, 'attribute_reference', 'c_nationkey' FROM customer
-  UNION ALL SELECT 'Supplier.' || s_suppkey, 'Nation.' || s_nationkey, 'attribute_reference', 's_nationkey' FROM supplier
-  UNION ALL SELECT 'Order.' || o_orderkey, 'Customer.' || o_custkey, 'attribute_reference', 'o_custkey' FROM orders
-  UNION ALL SELECT 'Order.' || l_orderkey, 'Supplier.' || l_suppkey, 'tabular_reference', 'l_suppkey' FROM lineitem
-  UNION ALL SELECT 'Order.' || l_orderkey, 'Part.' || l_partkey, 'tabular_reference', 'l_partkey' FROM lineitem
-), edges AS (SELECT DISTINCT source, target, relationship, label FROM raw)
+  SELECT 1 AS rank, 'Nation.' || n_nationkey AS source, 'Region.' || n_regionkey AS target, 'subsystem_hierarchy' AS relationship, 'n_regionkey' AS label FROM nation
+  UNION ALL SELECT 2, 'Customer.' || c_custkey, 'Nation.' || c_nationkey, 'attribute_reference', 'c_nationkey' FROM customer
+  UNION ALL SELECT 3, 'Supplier.' || s_suppkey, 'Nation.' || s_nationkey, 'attribute_reference', 's_nationkey' FROM supplier
+  UNION ALL SELECT 4, 'Order.' || o_orderkey, 'Customer.' || o_custkey, 'attribute_reference', 'o_custkey' FROM orders
+  UNION ALL SELECT 5, 'Order.' || l_orderkey, 'Supplier.' || l_suppkey, 'tabular_reference', 'l_suppkey' FROM lineitem
+  UNION ALL SELECT 6, 'Order.' || l_orderkey, 'Part.' || l_partkey, 'tabular_reference', 'l_partkey' FROM lineitem
+), edges AS (
+  SELECT min(CAST(rank AS BIGINT) * 72057594037927936 + CAST('0x' || substr(md5(source || '|' || target || '|' || relationship || '|' || label), 1, 14) AS BIGINT)) AS edge_seq,
+         source, target, relationship, label FROM raw GROUP BY source, target, relationship, label)
 """
 NODES_SQL = """
 nodes AS (
@@ -298,9 +302,9 @@ def hit_rate(spark, d):
 # --- graph -------------------------------------------------------------------
 
 
-@query(f"WITH {EDGES_SQL} SELECT source, target, relationship, label FROM edges")
+@query(f"WITH {EDGES_SQL} SELECT edge_seq, source, target, relationship, label FROM edges")
 def edge_dedup(spark, d):
-    return entity_edges(spark, d).drop("edge_seq")
+    return entity_edges(spark, d)
 
 
 @query(
@@ -319,9 +323,13 @@ WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, bfs(id, depth) AS (
 """
 
 
-@query(IMPACT_SQL + "SELECT l.id, n.node_type, n.name, CAST(l.depth AS INT) AS depth FROM least l LEFT JOIN nodes n ON n.id = l.id WHERE l.depth > 0")
+@query(
+    IMPACT_SQL
+    + """, led AS (SELECT l.id, arg_min(e.relationship, e.edge_seq) AS via FROM least l JOIN edges e ON e.source = l.id JOIN least t ON t.id = e.target AND t.depth = l.depth - 1 GROUP BY l.id)
+SELECT l.id, n.node_type, n.name, CAST(l.depth AS INT) AS depth, v.via FROM least l JOIN led v ON v.id = l.id LEFT JOIN nodes n ON n.id = l.id WHERE l.depth > 0"""
+)
 def impact_bfs(spark, d):
-    return graph.impact(entity_nodes(spark, d), entity_edges(spark, d), "Region.0", 3).drop("via")
+    return graph.impact(entity_nodes(spark, d), entity_edges(spark, d), "Region.0", 3)
 
 
 @query(IMPACT_SQL + "SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM least WHERE depth > 0 GROUP BY depth")
@@ -329,40 +337,47 @@ def impact_summary(spark, d):
     return graph.impact_summary(graph.impact(entity_nodes(spark, d), entity_edges(spark, d), "Region.0", 3))
 
 
-@query(
-    f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
-bfs(id, depth) AS (SELECT 'Customer.1', 0 UNION SELECT b, depth + 1 FROM bfs JOIN both_ways ON a = id WHERE depth < 4)
-SELECT CAST(min(depth) AS INT) AS length FROM bfs WHERE id = 'Region.0'"""
-)
+PATH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, ways AS (SELECT source AS a, target AS b, * FROM edges UNION ALL SELECT target, source, * FROM edges),
+bfs(id, depth) AS (SELECT 'Customer.1', 0 UNION SELECT b, depth + 1 FROM bfs JOIN ways ON a = id WHERE depth < 5), least AS (SELECT id, min(depth) AS depth FROM bfs GROUP BY id)
+"""
+
+
+@query(PATH_SQL + "SELECT CAST(max(depth) AS INT) AS length FROM least WHERE id = 'Region.0'")
 def shortest_path_length(spark, d):
-    path = graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0", 6)
+    path = graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0")
     return path.agg(F.max("step").alias("length"))
 
 
-@query()
+@query(
+    PATH_SQL
+    + """, up AS (SELECT n.id, n.depth, arg_min(p.id, w.edge_seq) AS parent, arg_min(w.source, w.edge_seq) AS source, arg_min(w.target, w.edge_seq) AS target, arg_min(w.relationship, w.edge_seq) AS relationship, min(w.edge_seq) AS edge_seq
+  FROM least n JOIN ways w ON w.a = n.id JOIN least p ON p.id = w.b AND p.depth = n.depth - 1 GROUP BY n.id, n.depth),
+walk AS (SELECT * FROM up WHERE id = 'Region.0' UNION ALL SELECT up.* FROM walk JOIN up ON up.id = walk.parent)
+SELECT CAST(depth AS INT) AS step, edge_seq, source, target, relationship FROM walk"""
+)
 def shortest_path(spark, d):
-    return graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0", 6)
+    return graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0")
 
 
 RELATED_SQL = f"""WITH {EDGES_SQL}, {NODES_SQL}, r AS (
-  SELECT relationship, label, CASE WHEN source = 'Nation.3' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN source = 'Nation.3' THEN target ELSE source END AS neighbour
+  SELECT edge_seq, relationship, label, CASE WHEN source = 'Nation.3' THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN source = 'Nation.3' THEN target ELSE source END AS neighbour
   FROM edges WHERE source = 'Nation.3' OR target = 'Nation.3')
-SELECT relationship, label, direction, neighbour, node_type AS neighbour_type, name AS neighbour_name{{}} FROM r JOIN nodes ON id = neighbour"""
+SELECT edge_seq, relationship, label, direction, neighbour, node_type AS neighbour_type, name AS neighbour_name{{}} FROM r JOIN nodes ON id = neighbour"""
 
 
 @query(RELATED_SQL.format(""))
 def related_both(spark, d):
-    return graph.related(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3").drop("edge_seq")
+    return graph.related(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3")
 
 
 @query(RELATED_SQL.format(", count(*) OVER () AS total_connections"))
 def object_context(spark, d):
-    return graph.context(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3").drop("edge_seq")
+    return graph.context(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3")
 
 
 @query(RELATED_SQL.format("") + " WHERE direction = 'incoming' AND relationship = 'attribute_reference'")
 def related_incoming(spark, d):
-    return graph.related(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3", "attribute_reference", "incoming").drop("edge_seq")
+    return graph.related(entity_nodes(spark, d), entity_edges(spark, d), "Nation.3", "attribute_reference", "incoming")
 
 
 @query(f"WITH {EDGES_SQL} SELECT source, target, relationship, label FROM edges WHERE (source LIKE 'Nation.%' OR source LIKE 'Customer.%') AND target LIKE 'Nation.%'")
@@ -378,11 +393,18 @@ def unused_parts(spark, d):
     return graph.unused(entity_nodes(spark, d).where("node_type = 'Part'"), used)
 
 
+def _two_nations(spark, d):
+    return table(spark, d, "nation").where("n_nationkey in (3, 4)").select(_id("Nation", "n_nationkey").alias("id"))
+
+
 @query(f"WITH {EDGES_SQL}, {NODES_SQL} SELECT id, node_type, name FROM nodes WHERE id NOT IN ('Nation.3', 'Nation.4')")
 def invalidate_nodes(spark, d):
-    ids = table(spark, d, "nation").where("n_nationkey in (3, 4)").select(_id("Nation", "n_nationkey").alias("id"))
-    nodes, _ = graph.invalidate(entity_nodes(spark, d), entity_edges(spark, d), ids)
-    return nodes
+    return graph.invalidate(entity_nodes(spark, d), entity_edges(spark, d), _two_nations(spark, d))[0]
+
+
+@query(f"WITH {EDGES_SQL} SELECT edge_seq, source, target, relationship, label FROM edges WHERE source NOT IN ('Nation.3', 'Nation.4') AND target NOT IN ('Nation.3', 'Nation.4')")
+def invalidate_edges(spark, d):
+    return graph.invalidate(entity_nodes(spark, d), entity_edges(spark, d), _two_nations(spark, d))[1]
 
 
 @query(
@@ -407,16 +429,20 @@ def _calls(spark, d):
     )
 
 
-@query(f"WITH {CALLS_SQL} SELECT source, target, edge_type, count(*) AS count, string_agg(file || ':' || line || ':' || col, ',' ORDER BY file, line, col) AS places FROM c GROUP BY source, target, edge_type")
+@query(f"WITH {CALLS_SQL} SELECT source, target, edge_type, count(*) AS count FROM c GROUP BY source, target, edge_type")
 def edge_collapse(spark, d):
-    places = F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["file"], x["line"], x["column"])), ",")
-    return graph.collapse_edges(_calls(spark, d)).select("source", "target", "edge_type", "count", places.alias("places"))
+    return graph.collapse_edges(_calls(spark, d))
+
+
+@query(f"WITH {CALLS_SQL} SELECT DISTINCT source, target, edge_type, file, line, col AS \"column\" FROM c")
+def edge_locations(spark, d):
+    return graph.edge_locations(_calls(spark, d))
 
 
-@query(f"WITH {CALLS_SQL} SELECT source, target, edge_type, CAST(2 * count(*) AS BIGINT) AS count, CAST(2 * count(*) AS BIGINT) AS n_locations FROM c GROUP BY source, target, edge_type")
+@query(f"WITH {CALLS_SQL} SELECT source, target, edge_type, CAST(2 * count(*) AS BIGINT) AS count FROM c GROUP BY source, target, edge_type")
 def graph_merge(spark, d):
     one = graph.collapse_edges(_calls(spark, d))
-    return graph.merge_code_edges(one, one).select("source", "target", "edge_type", "count", F.size("locations").cast("bigint").alias("n_locations"))
+    return graph.merge_code_edges(one, one)
 
 
 @query(

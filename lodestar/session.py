@@ -1,4 +1,4 @@
-"""Sessions, tables and lineage: what every other module takes for granted."""
+"""Sessions and tables: what every other module takes for granted."""
 
 from __future__ import annotations
 
@@ -47,15 +47,3 @@ def register(spark: SparkSession, root: str, names: tuple[str, ...] = TABLES) ->
     """The tables under ``root`` as temporary views."""
     for name in names:
         table(spark, root, name).createOrReplaceTempView(name)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, kept in the checkpoint folder that all executors share.
-
-    Iterative plans call this once per round.  Reliable checkpoints survive lost
-    executors; a folder is set only where the cluster names none.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
-    return df.checkpoint()
