@@ -2,129 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words in every operator: U+0020 and U+0009 to U+000D.
-WORD_SPACE = r"[\x20\x09-\x0D]+"
-#: A key is hot if it holds more than this share of all rows, so there are fewer hot keys than that.
-HOT_SHARES = 1024
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-#: Tables between steps: their session, path, and a weak reference to what their readers' plans hold.
-_STAGED: list[tuple[SparkSession, str, object]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Only a local session, whose driver is its executor, may go without
-    ``spark.checkpoint.dir``: it gets a temporary folder.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        got = f"file://{tempfile.gettempdir()}/lodestar-shared"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-@contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Spark deletes the shuffles of the jobs run inside as soon as they end."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors.
-
-    The table lives as long as a DataFrame reads it: once the driver's JVM has let go
-    of the last plan over it, the next ``staged`` or ``release`` deletes it, and the
-    end of the JVM deletes what is left.
-    """
-    spark = df.sparkSession
-    _sweep(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    held = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
-    _STAGED.append((spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(held)))
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete one staged table that nothing reads any more, without waiting for the JVM."""
-    path = df.inputFiles()[:1]
-    for entry in list(_STAGED):
-        if entry[0] is df.sparkSession and path and f"/{entry[1].rsplit('/', 1)[-1]}/" in path[0]:
-            _delete(entry)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every staged table of this session that no DataFrame reads any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    _sweep(spark)
-
-
-def _sweep(spark: SparkSession) -> None:
-    for entry in list(_STAGED):
-        if entry[0] is spark and entry[2].refersTo(None):
-            _delete(entry)
-
-
-def _file_system(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _delete(entry: tuple[SparkSession, str, object]) -> None:
-    fs, p = _file_system(*entry[:2])
-    fs.cancelDeleteOnExit(p)
-    fs.delete(p, True)
-    _STAGED.remove(entry)
-
-
-def hot_keys(counts: DataFrame, keys: list[str], m: str = "m") -> DataFrame:
-    """keys and salts (over how many parts to deal their rows) of the hot keys among ``counts`` (keys, m).
-
-    Fewer than ``HOT_SHARES`` keys can each hold more than that share of all rows,
-    so this table can be broadcast whatever the input; all salts together are at
-    most five times as many.
-    """
-    total = int(counts.agg(F.sum(m).alias("t")).first()["t"] or 0)
-    salts = F.least(F.col(m), F.ceil(F.col(m) * (4 * HOT_SHARES) / F.lit(max(total, 1)))).cast("int")
-    return counts.where(F.col(m) * HOT_SHARES > total).select(*keys, salts.alias("salts"))
-
-
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, draw: Column, how: str = "inner") -> DataFrame:
-    """``many`` joined to ``one`` on keys; rows of a hot key are dealt over its salts by ``draw``, its partner is repeated there."""
-    hot = F.broadcast(hot)
-    salt = F.coalesce(F.pmod(draw, F.col("salts").cast("long")), F.lit(0)).cast("int")
-    left = many.join(hot, keys, "left").withColumn("__salt", salt).drop("salts")
-    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+from lodestar.staging import _STAGED, drop, hot_keys, release, salted_join, shared_dir, staged
 
+__all__ = ["WORD_SPACE", "WordHashes", "_STAGED", "bounded_batches", "byte_texts", "components", "drop", "hot_keys", "mixed", "release", "salted_join", "shared_dir", "shingle_hashes", "signed", "staged"]
 
+#: White space that separates words in every operator: U+0020 and U+0009 to U+000D.
+WORD_SPACE = r"[\x20\x09-\x0D]+"
 def bounded_batches(spark: SparkSession, records: int = 4096) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > records:
