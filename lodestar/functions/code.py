@@ -25,47 +25,51 @@ ASYNC_WORDS = ("асинх", "async")
 AWAIT_WORDS = ("ждать", "await")
 REGION_WORDS = ("область", "region")
 END_REGION_WORDS = ("конецобласти", "endregion")
+RUN_WORDS = ("выполнить", "execute")  # called as methods too
 NOT_CALLS = frozenset(
     (
-        "если тогда иначе иначеесли конецесли для каждого из по цикл конеццикла пока попытка исключение конецпопытки "
-        "возврат перейти продолжить прервать новый new выполнить execute if then else elseif elsif endif for each in to do enddo while "
-        "try except endtry return goto continue break процедура функция procedure function конецпроцедуры конецфункции "
-        "endprocedure endfunction и или не and or not истина ложь true false неопределено undefined null знач val экспорт export перем var"
-    ).split()
-)
+        "если", "тогда", "иначе", "иначеесли", "конецесли", "для", "каждого", "из", "по", "цикл", "конеццикла", "пока",
+        "попытка", "исключение", "конецпопытки", "возврат", "перейти", "продолжить", "прервать", "новый", "new", "if",
+        "then", "else", "elseif", "elsif", "endif", "for", "each", "in", "to", "do", "enddo", "while",
+        "try", "except", "endtry", "return", "goto", "continue", "break", "процедура", "функция", "procedure", "function", "конецпроцедуры",
+        "конецфункции", "endprocedure", "endfunction", "и", "или", "не", "and", "or", "not", "истина", "ложь", "true",
+        "false", "неопределено", "undefined", "null", "знач", "val", "экспорт", "export", "перем", "var",
+    )
+)
 NEST_OPEN = {"если": "конецесли", "для": "конеццикла", "пока": "конеццикла", "попытка": "конецпопытки", "if": "endif", "for": "enddo", "while": "enddo", "try": "endtry"}
 NEST_CLOSE = frozenset(NEST_OPEN.values()) | {"конецвыбора", "endselect"}
 BRANCH_WORDS = ("если", "иначеесли", "для", "пока", "исключение", "и", "или", "if", "elsif", "for", "while", "except", "and", "or")
 DEPRECATED = ("перейти", "goto")
+UNBALANCED, DEPRECATED_CODE = "UNBALANCED_BLOCK", "DEPRECATED_KEYWORD"
 #: Metadata collections in singular and plural, to their type.
 METADATA_TYPES = {
-    "Catalog": "справочник справочники catalog catalogs",
-    "Document": "документ документы document documents",
-    "Enum": "перечисление перечисления enum enums",
-    "Report": "отчет отчёт отчеты отчёты report reports",
-    "DataProcessor": "обработка обработки dataprocessor dataprocessors",
-    "InformationRegister": "регистрсведений регистрысведений informationregister informationregisters",
-    "AccumulationRegister": "регистрнакопления регистрынакопления accumulationregister accumulationregisters",
-    "CalculationRegister": "регистррасчета регистрырасчета calculationregister calculationregisters",
-    "AccountingRegister": "регистрбухгалтерии регистрыбухгалтерии accountingregister accountingregisters",
-    "BusinessProcess": "бизнеспроцесс бизнеспроцессы businessprocess businessprocesses",
-    "Task": "задача задачи task tasks",
-    "ChartOfAccounts": "плансчетов планысчетов chartofaccounts chartsofaccounts",
-    "ChartOfCharacteristicTypes": "планвидовхарактеристик планывидовхарактеристик chartofcharacteristictypes chartsofcharacteristictypes",
-    "ChartOfCalculationTypes": "планвидоврасчета планывидоврасчета chartofcalculationtypes chartsofcalculationtypes",
-    "ExchangePlan": "планобмена планыобмена exchangeplan exchangeplans",
-    "Constant": "константа константы constant constants",
-    "Sequence": "последовательность последовательности sequence sequences",
-    "WebService": "webсервис webсервисы webservice webservices",
-    "HTTPService": "httpсервис httpсервисы httpservice httpservices",
-    "CommonModule": "общиймодуль общиемодули commonmodule commonmodules",
-    "SessionParameter": "параметрсеанса параметрысеанса sessionparameter sessionparameters",
-    "FunctionalOption": "функциональнаяопция функциональныеопции functionaloption functionaloptions",
-    "DefinedType": "определяемыйтип определяемыетипы definedtype definedtypes",
-    "CommonAttribute": "общийреквизит общиереквизиты commonattribute commonattributes",
-    "Subsystem": "подсистема подсистемы subsystem subsystems",
+    "Catalog": ("справочник", "справочники", "catalog", "catalogs"),
+    "Document": ("документ", "документы", "document", "documents"),
+    "Enum": ("перечисление", "перечисления", "enum", "enums"),
+    "Report": ("отчет", "отчёт", "отчеты", "отчёты", "report", "reports"),
+    "DataProcessor": ("обработка", "обработки", "dataprocessor", "dataprocessors"),
+    "InformationRegister": ("регистрсведений", "регистрысведений", "informationregister", "informationregisters"),
+    "AccumulationRegister": ("регистрнакопления", "регистрынакопления", "accumulationregister", "accumulationregisters"),
+    "CalculationRegister": ("регистррасчета", "регистрырасчета", "calculationregister", "calculationregisters"),
+    "AccountingRegister": ("регистрбухгалтерии", "регистрыбухгалтерии", "accountingregister", "accountingregisters"),
+    "BusinessProcess": ("бизнеспроцесс", "бизнеспроцессы", "businessprocess", "businessprocesses"),
+    "Task": ("задача", "задачи", "task", "tasks"),
+    "ChartOfAccounts": ("плансчетов", "планысчетов", "chartofaccounts", "chartsofaccounts"),
+    "ChartOfCharacteristicTypes": ("планвидовхарактеристик", "планывидовхарактеристик", "chartofcharacteristictypes", "chartsofcharacteristictypes"),
+    "ChartOfCalculationTypes": ("планвидоврасчета", "планывидоврасчета", "chartofcalculationtypes", "chartsofcalculationtypes"),
+    "ExchangePlan": ("планобмена", "планыобмена", "exchangeplan", "exchangeplans"),
+    "Constant": ("константа", "константы", "constant", "constants"),
+    "Sequence": ("последовательность", "последовательности", "sequence", "sequences"),
+    "WebService": ("webсервис", "webсервисы", "webservice", "webservices"),
+    "HTTPService": ("httpсервис", "httpсервисы", "httpservice", "httpservices"),
+    "CommonModule": ("общиймодуль", "общиемодули", "commonmodule", "commonmodules"),
+    "SessionParameter": ("параметрсеанса", "параметрысеанса", "sessionparameter", "sessionparameters"),
+    "FunctionalOption": ("функциональнаяопция", "функциональныеопции", "functionaloption", "functionaloptions"),
+    "DefinedType": ("определяемыйтип", "определяемыетипы", "definedtype", "definedtypes"),
+    "CommonAttribute": ("общийреквизит", "общиереквизиты", "commonattribute", "commonattributes"),
+    "Subsystem": ("подсистема", "подсистемы", "subsystem", "subsystems"),
 }
-_TYPE_OF = {w: k for k, words in METADATA_TYPES.items() for w in words.split()}
+_TYPE_OF = {w: k for k, words in METADATA_TYPES.items() for w in words}
 #: What the word after a reference says about the access.
 ACCESS = {
     "создатьменеджерзаписи": "manager",
@@ -297,7 +301,7 @@ def variables_of(content: str) -> list[dict]:
         assigned = _ASSIGNED.match(code)
         for m in _IDENTIFIER.finditer(code):
             low = m[0].lower()
-            if low in NOT_CALLS or low in _TYPE_OF or code[: m.start()].rstrip().endswith(("#", "&")):
+            if low in NOT_CALLS or low in RUN_WORDS or low in _TYPE_OF or code[: m.start()].rstrip().endswith(("#", "&")):
                 continue
             out.append({"name": m[0], "line": n, "column": m.start(), "is_assignment": bool(assigned) and m.start() == assigned.start(1)})
     return out
@@ -338,15 +342,15 @@ def issues_of(content: str) -> list[dict]:
                 stack.append((openers[word], word, n))
             elif word in closers:
                 if not stack:
-                    out.append({"code": "UNEXPECTED_END", "severity": "error", "line": n, "message": f"{word} closes nothing"})
+                    out.append({"code": UNBALANCED, "severity": "error", "line": n, "message": f"{word} closes nothing"})
                 elif stack[-1][0] != word:
-                    out.append({"code": "WRONG_END", "severity": "error", "line": n, "message": f"{word} instead of {stack[-1][0]}"})
+                    out.append({"code": UNBALANCED, "severity": "error", "line": n, "message": f"{word} instead of {stack[-1][0]}"})
                     stack.pop()
                 else:
                     stack.pop()
             elif word in DEPRECATED:
-                out.append({"code": "DEPRECATED", "severity": "warning", "line": n, "message": f"{word} is deprecated"})
-    out += [{"code": "UNCLOSED", "severity": "error", "line": n, "message": f"{word} is never closed"} for _, word, n in stack]
+                out.append({"code": DEPRECATED_CODE, "severity": "warning", "line": n, "message": f"{word} is deprecated"})
+    out += [{"code": UNBALANCED, "severity": "error", "line": n, "message": f"{word} is never closed"} for _, word, n in stack]
     return out
 
 
@@ -368,12 +372,24 @@ def formatted(content: str) -> str:
 
 
 # Review rules, as rule, severity and the texts a line has and must not have.
+UNREAD_RESULT = "BSP_QUERY_RESULT"
 REVIEW_RULES = (
-    ("TIMEZONE", "warning", "ТекущаяДата()", None),
-    ("USER_MESSAGE", "info", "Сообщить(", "СообщитьПользователю"),
+    ("BSP_TIMEZONE", "warning", "ТекущаяДата()", None),
+    ("BSP_USER_MESSAGE", "info", "Сообщить(", "СообщитьПользователю"),
 )
 
 
+def format_modules(modules: DataFrame) -> DataFrame:
+    """path and the formatted content of every module; null content stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if c is None else formatted(c) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "content"])
+
+    return modules.select("path", "content").mapInArrow(run, "path string, content string")
+
+
 def review(modules: DataFrame) -> DataFrame:
     """path, line, rule, severity for each line that breaks a rule; a query whose result is never unloaded is one too."""
     exploded = modules.select("path", F.col("content").contains(".Выгрузить(").alias("unloads"), F.posexplode(F.split("content", "\n")).alias("at", "text"))
@@ -382,7 +398,7 @@ def review(modules: DataFrame) -> DataFrame:
     for rule, severity, has, without in REVIEW_RULES:
         test = F.col("text").contains(has) if without is None else F.col("text").contains(has) & ~F.col("text").contains(without)
         hits.append(F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))))
-    hits.append(F.when(F.col("text").contains("Запрос.Выполнить()") & ~F.col("unloads"), F.struct(F.lit("QUERY_RESULT").alias("rule"), F.lit("info").alias("severity"))))
+    hits.append(F.when(F.col("text").contains("Запрос.Выполнить()") & ~F.col("unloads"), F.struct(F.lit(UNREAD_RESULT).alias("rule"), F.lit("info").alias("severity"))))
     return code.select("path", "line", F.inline(F.array_compact(F.array(*hits))))
 
 
@@ -469,3 +485,14 @@ def metadata_edges(references: DataFrame) -> DataFrame:
     return references.where("containing_procedure is not null").select(
         procedure_id("path", "containing_procedure").alias("source"), F.col("full_name").alias("target"), F.lit("uses_metadata").alias("edge_type"), F.col("path").alias("file"), "line", "column"
     )
+
+
+def query_edges(queries: DataFrame) -> DataFrame:
+    """source, target, edge_type, file, line, column of the tables that embedded queries read; unknown kinds of tables give no edge."""
+    kinds = F.create_map(*[x for k, v in _TYPE_OF.items() for x in (F.lit(k), F.lit(v))])
+    held = queries.where("containing_procedure is not null").select("path", "containing_procedure", F.col("start_line").alias("line"), F.explode("tables").alias("name"))
+    target = F.concat_ws(".", kinds[F.lower(F.split_part("name", F.lit("."), F.lit(1)))], F.split_part("name", F.lit("."), F.lit(2)))
+    known = kinds[F.lower(F.split_part("name", F.lit("."), F.lit(1)))].isNotNull()
+    return held.where(known).select(
+        procedure_id("path", "containing_procedure").alias("source"), target.alias("target"), F.lit("uses_query_table").alias("edge_type"), F.col("path").alias("file"), "line", F.lit(0).alias("column")
+    )

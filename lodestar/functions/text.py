@@ -164,6 +164,15 @@ def procedure_chunks(procedures: DataFrame, key: list[str], most: int = 4000, ov
     return parts.select(*key, "chunk_index", "chunk_total", "start", F.concat("__header", F.lit("\n"), lead, F.col("chunk")).alias("content"))
 
 
+def module_chunks(modules: DataFrame, key: list[str], most: int = 2000, overlap: int = CHUNK_OVERLAP, least: int = 100) -> DataFrame:
+    """key, chunk_index, chunk_total, start and content of modules (owner, module, content): a title line, then a window of the source; a module without text has none."""
+    title = F.concat(F.col("owner"), F.lit(" ("), F.col("module"), F.lit(")"))
+    held = modules.where("content <> ''").select(*key, title.alias("__title"), F.col("content").alias("__source"))
+    size = F.greatest(F.lit(most) - F.length("__title") - 1, F.lit(least))
+    parts = chunks(held, [*key, "__title"], "__source", size, overlap)
+    return parts.select(*key, "chunk_index", "chunk_total", "start", F.concat("__title", F.lit("\n"), "chunk").alias("content"))
+
+
 def metadata_text(name: Column, synonym: Column, comment: Column, attributes: Column, sections: Column) -> Column:
     """Labelled lines that describe an object; empty parts are left out."""
     return F.concat_ws(

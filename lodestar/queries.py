@@ -3,31 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import platform, text
 from lodestar.operators import graph, intervals, registers, store, vectors
 from lodestar.plans import dialect
+from lodestar.registry import QUERIES, SQL, Query, query
 from lodestar.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 # --- derived tables ----------------------------------------------------------
 
 
@@ -762,6 +746,10 @@ _dialect("case_parameters", "ВЫБРАТЬ o_orderkey, ВЫБОР КОГДА o_
 _dialect("tabular_section", "ВЫБРАТЬ т.l_orderkey, СУММА(т.l_linenumber) КАК n ИЗ Документ.Заказ.Товары КАК т ВНУТРЕННЕЕ СОЕДИНЕНИЕ Документ.Заказ КАК з ПО з.o_orderkey = т.l_orderkey СГРУППИРОВАТЬ ПО т.l_orderkey", "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey")
 
 
+# The others register themselves.
+from lodestar import queries_code  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

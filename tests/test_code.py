@@ -63,7 +63,7 @@ def test_complexity_and_issues():
     assert (first["cyclomatic"], first["cognitive"], first["nesting_depth"]) == (3, 3, 2)
     assert code.issues_of(MODULE) == []
     found = {i["code"] for i in code.issues_of("Если А Тогда\nКонецЦикла;\nПерейти ~М;\nЕсли Б Тогда")}
-    assert found == {"WRONG_END", "DEPRECATED", "UNCLOSED"}
+    assert found == {"UNBALANCED_BLOCK", "DEPRECATED_KEYWORD"}
 
 
 def test_formatted_is_stable():
@@ -83,7 +83,7 @@ def test_tables(spark):
     assert [(r["caller"], r["callee"]) for r in graph.resolve_calls(sites, ids).collect()] == [("b::Лишняя", "a::Пустая")]
     handlers = spark.createDataFrame([("ПередЗаписью",)], "name string")
     assert [r["name"] for r in graph.dead_procedures(procedures, calls, handlers).collect()] == ["Лишняя"]
-    assert {r["rule"] for r in code.review(modules).collect()} == {"USER_MESSAGE"}
+    assert {r["rule"] for r in code.review(modules).collect()} == {"BSP_USER_MESSAGE"}
     metrics = {r["path"]: r for r in code.module_metrics(modules.where("content is not null")).collect()}
     assert metrics["a"]["n_functions"] == 1 and metrics["a"]["cyclomatic"] == 4
 
