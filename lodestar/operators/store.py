@@ -186,6 +186,7 @@ def numeric_attributes(attributes: Column, obsolete: tuple[str, ...] = ("Уда
 
 # --- usage statistics --------------------------------------------------------
 
+# The bounds of the latency histogram.
 LATENCY_BUCKETS_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000)
 
 

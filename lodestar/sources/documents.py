@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestar.sources.trees import _child, _local, _root, _rows, _tag, _text, files, type_names
 
@@ -25,6 +25,11 @@ def _all(e: ET.Element | None, name: str) -> list[ET.Element]:
 
 def extensions(spark: SparkSession, root: str) -> DataFrame:
     """extension, purpose, namespace, target, metadata_type, name, mode and parent of every object; adopted wins over replaced."""
+    return read_extensions(files(spark, root, "Configuration.{xml,mdo}"))
+
+
+def read_extensions(found: DataFrame) -> DataFrame:
+    """The same from (path, content) rows of bytes."""
 
     def parse(content: bytes, _: str) -> list[dict]:
         e = _child(_root(content), "Configuration")
@@ -39,7 +44,7 @@ def extensions(spark: SparkSession, root: str) -> DataFrame:
             out.append(common | {"metadata_type": _tag(x), "name": (x.text or "").strip(), "mode": mode, "parent": x.get("parent") or ""})
         return out
 
-    return _rows(files(spark, root, "Configuration.xml"), "extension string, purpose string, namespace string, target string, metadata_type string, name string, mode string, parent string", parse)
+    return _rows(found, "extension string, purpose string, namespace string, target string, metadata_type string, name string, mode string, parent string", parse)
 
 
 def with_mode(objects: DataFrame, extension: str, mode: str | None = None) -> DataFrame:
@@ -67,6 +72,11 @@ def extension_impact(objects: DataFrame, metadata_type: str, name: str) -> DataF
 
 def report_schemas(spark: SparkSession, root: str, glob: str = "Template.xml") -> DataFrame:
     """path, part (data_set, field, parameter, resource, calculated, setting), owner, name, title, kind and expression."""
+    return read_report_schemas(files(spark, root, glob))
+
+
+def read_report_schemas(found: DataFrame) -> DataFrame:
+    """The same from (path, content) rows of bytes."""
 
     def parse(content: bytes, path: str) -> list[dict]:
         e = _root(content)
@@ -88,7 +98,15 @@ def report_schemas(spark: SparkSession, root: str, glob: str = "Template.xml") -
                 row(part, x, kind=("AvailableForUser",))
         return out
 
-    return _rows(files(spark, root, glob), "path string, part string, owner string, name string, title string, kind string, expression string", parse)
+    return _rows(found, "path string, part string, owner string, name string, title string, kind string, expression string", parse)
+
+
+def union_sets(sets: list[DataFrame]) -> DataFrame:
+    """A union data set: the rows of all its sets, columns by name, those that a set lacks null."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s, allowMissingColumns=True)
+    return out
 
 
 def run_report(rows: DataFrame, groups: list[str], resources: list[tuple[str, str]], order: list[str] | None = None) -> DataFrame:
@@ -108,18 +126,24 @@ AREA_KINDS = {"header": ("шапка", "заголовок", "header"), "footer"
 
 def cells(spark: SparkSession, root: str, glob: str = "*.mxl") -> DataFrame:
     """doc, row, col (from 1) and text of every cell that has one."""
+    return read_cells(files(spark, root, glob))
 
+
+def read_cells(found: DataFrame) -> DataFrame:
     def parse(content: bytes, path: str) -> list[dict]:
         e = _root(content)
         rows = [r for r in _all(e, "Row")]
         return [{"doc": path, "row": i, "col": j, "text": t} for i, r in enumerate(rows, 1) for j, c in enumerate([x for x in r if _tag(x) == "Cell"], 1) if (t := _text(c, "Text"))]
 
-    return _rows(files(spark, root, glob), "doc string, row int, col int, text string", parse)
+    return _rows(found, "doc string, row int, col int, text string", parse)
 
 
 def areas(spark: SparkSession, root: str, glob: str = "*.mxl") -> DataFrame:
     """doc, name, kind and bounds r1, c1, r2, c2 (null: unbounded) of the named areas."""
+    return read_areas(files(spark, root, glob))
+
 
+def read_areas(found: DataFrame) -> DataFrame:
     def parse(content: bytes, path: str) -> list[dict]:
         number = lambda a, n: int(t) if (t := _text(a, n)).isdigit() else None
         out = []
@@ -129,7 +153,7 @@ def areas(spark: SparkSession, root: str, glob: str = "*.mxl") -> DataFrame:
             out.append({"doc": path, "name": name, "kind": kind, "r1": number(a, "Top"), "c1": number(a, "Left"), "r2": number(a, "Bottom"), "c2": number(a, "Right")})
         return out
 
-    return _rows(files(spark, root, glob), "doc string, name string, kind string, r1 int, c1 int, r2 int, c2 int", parse)
+    return _rows(found, "doc string, name string, kind string, r1 int, c1 int, r2 int, c2 int", parse)
 
 
 def parameters_of(text: str) -> list[tuple[str, bool]]:
@@ -142,10 +166,30 @@ def parameters_of(text: str) -> list[tuple[str, bool]]:
 
 def parameters(grid: DataFrame) -> DataFrame:
     """doc, name, is_expression, row and col: of each name its first place."""
-    find = F.udf(parameters_of, "array<struct<name:string,is_expression:boolean>>")
-    each = grid.select("doc", "row", "col", F.inline(find("text")))
-    first = Window.partitionBy("doc", "name").orderBy("row", "col")
-    return each.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+
+    def find(batches):
+        for b in batches:
+            rows = [(d, r, c, n, e) for d, r, c, t in zip(*[x.to_pylist() for x in b.columns], strict=True) for n, e in parameters_of(t or "")]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc", "row", "col", "name", "is_expression"])
+
+    each = grid.select("doc", "row", "col", "text").mapInArrow(find, "doc string, row int, col int, name string, is_expression boolean")
+    return each.groupBy("doc", "name").agg(F.min(F.struct("row", "col", "is_expression")).alias("first")).select("doc", "name", "first.is_expression", "first.row", "first.col")
+
+
+def template_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, owner_type, owner and template of every spreadsheet template in a tree."""
+    return located_templates(files(spark, root, "*.{mxl,xml}").select("path"))
+
+
+def located_templates(paths: DataFrame) -> DataFrame:
+    """The same from paths: files below a Templates folder, or .mxl files anywhere."""
+    tail = r"/([^/]+)/([^/]+)/Templates/([^/.]+)"
+    part = lambda i: F.nullif(F.regexp_extract("path", tail, i), F.lit(""))
+    name = F.coalesce(part(3), F.regexp_extract("path", r"/([^/]+)\.mxl$", 1))
+    found = paths.where(F.col("path").rlike(tail) | F.col("path").endswith(".mxl"))
+    return found.select("path", part(1).alias("owner_type"), part(2).alias("owner"), name.alias("template"))
 
 
 # --- forms -------------------------------------------------------------------
@@ -157,7 +201,10 @@ def forms(spark: SparkSession, root: str, glob: str = "Form.xml") -> DataFrame:
     Elements point to their parent; detail is an element's data path, an attribute's
     type, a command's action or a handler's procedure.
     """
+    return read_forms(files(spark, root, glob))
+
 
+def read_forms(found: DataFrame) -> DataFrame:
     def parse(content: bytes, path: str) -> list[dict]:
         e = _root(content)
         if e is None:
@@ -192,4 +239,4 @@ def forms(spark: SparkSession, root: str, glob: str = "Form.xml") -> DataFrame:
                 put(part, 0, one, x.get("name") or _text(x, "Name"), what)
         return out
 
-    return _rows(files(spark, root, glob), "path string, part string, id int, parent int, kind string, name string, detail string", parse)
+    return _rows(found, "path string, part string, id int, parent int, kind string, name string, detail string", parse)

@@ -22,7 +22,7 @@ OBJECT = (
     "metadata_type string, name string, uuid string, synonym string, comment string, "
     f"attributes array<{_ATTRIBUTE}>, tabular_sections array<struct<name:string,synonym:string,attributes:array<{_ATTRIBUTE}>>>, "
     f"dimensions array<{_ATTRIBUTE}>, resources array<{_ATTRIBUTE}>, forms array<string>, templates array<string>, posting boolean, register_records array<string>, "
-    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, root_url string, file_hash string, path string"
+    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, based_on array<string>, root_url string, file_hash string, path string"
 )
 
 
@@ -45,12 +45,19 @@ def decoded(content: bytes | None) -> str | None:
 
 def modules(spark: SparkSession, root: str) -> DataFrame:
     """path, content (text), owner_type, owner and module of every source module."""
+    return read_modules(files(spark, root, "*.bsl"))
+
+
+def read_modules(found: DataFrame) -> DataFrame:
+    """The same from (path, content) rows of bytes."""
+
     def read(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decoded(x) for x in b.column(1).to_pylist()], pa.string())], ["path", "content"])
 
-    rows = files(spark, root, "*.bsl").mapInArrow(read, "path string, content string")
-    tail = r"/([^/]+)/([^/]+)(?:/Ext|/Forms/[^/]+(?:/Ext(?:/Form)?)?)?/([^/]+)\.bsl$"
+    rows = found.select("path", "content").mapInArrow(read, "path string, content string")
+    # A folder of the other layout carries its type as a suffix of the object's name.
+    tail = r"/([^/]+)/([^/.]+)(?:\.[^/]+)?(?:/Ext|/Forms/[^/]+(?:/Ext(?:/Form)?)?)?/([^/]+)\.bsl$"
     plain = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     return rows.select("path", "content", *[F.nullif(F.regexp_extract(plain, tail, i), F.lit("")).alias(n) for i, n in ((1, "owner_type"), (2, "owner"), (3, "module"))])
 
@@ -155,6 +162,7 @@ def parse_object(content: bytes, path: str = "") -> dict | None:
         "type_constituents": type_names(_child(p, "Type")),
         "auto_use": _text(p, "AutoUse"),
         "content": _items(p, "Content"),
+        "based_on": _items(p, "BasedOn"),
         "root_url": _text(p, "RootURL"),
         "file_hash": hashlib.md5(content).hexdigest(),
         "path": path,
@@ -177,13 +185,21 @@ def _rows(df: DataFrame, schema: str, parse: Callable[[bytes, str], list[dict]])
 
 
 def objects(spark: SparkSession, root: str) -> DataFrame:
-    """Every object of the tree; unreadable files and files of other kinds give no row."""
-    return _rows(files(spark, root, "*.xml"), OBJECT, lambda c, p: [o] if (o := parse_object(c, p)) and o["metadata_type"] != "Configuration" else [])
+    """Every object of the tree, in either layout; unreadable files and files of other kinds give no row."""
+    return read_objects(files(spark, root, "*.{xml,mdo}"))
+
+
+def read_objects(found: DataFrame) -> DataFrame:
+    """The same from (path, content) rows of bytes."""
+    return _rows(found, OBJECT, lambda c, p: [o] if (o := parse_object(c, p)) and o["metadata_type"] != "Configuration" else [])
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """type and name of everything the configuration lists, in both shapes of the manifest."""
+    return read_manifest(files(spark, root, "Configuration.{xml,mdo}"))
+
 
+def read_manifest(found: DataFrame) -> DataFrame:
     def parse(content: bytes, _: str) -> list[dict]:
         e = _child(_root(content), "Configuration")
         out = []
@@ -194,7 +210,19 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
                 out += [{"type": _singular(_tag(c)), "name": (x.text or "").strip()} for x in c]
         return out
 
-    return _rows(files(spark, root, "Configuration.xml"), "type string, name string", parse)
+    return _rows(found, "type string, name string", parse)
+
+
+def listed(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Every object of the manifest; one without a file has its type and name only."""
+    return manifest.select(F.col("type").alias("metadata_type"), "name").distinct().join(found, ["metadata_type", "name"], "left")
+
+
+def subsystems(found: DataFrame) -> DataFrame:
+    """name, parent, synonym and content of the subsystems; the parent is the subsystem in whose folder the file lies, null at the top."""
+    plain = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
+    parent = F.regexp_extract(plain, r"/Subsystems/([^/.]+)(?:\.[^/]+)?/Subsystems/[^/]+(?:/[^/]+)?\.(?:xml|mdo)$", 1)
+    return found.where("metadata_type = 'Subsystem'").select("name", F.nullif(parent, F.lit("")).alias("parent"), "synonym", "content")
 
 
 def _singular(plural: str) -> str:
@@ -210,7 +238,10 @@ def layout(spark: SparkSession, root: str) -> str:
 
 def roles(spark: SparkSession, root: str) -> DataFrame:
     """role, object, right, value and rls (restriction templates), one row per right."""
+    return read_roles(files(spark, root, "*.xml"))
 
+
+def read_roles(found: DataFrame) -> DataFrame:
     def parse(content: bytes, _: str) -> list[dict]:
         e = _child(_root(content), "Role")
         if e is None:
@@ -223,7 +254,7 @@ def roles(spark: SparkSession, root: str) -> DataFrame:
                 out.append({"role": _text(e, "Name"), "object": o.get("path") or _text(o, "name"), "right": _text(r, "Name"), "value": _text(r, "Value") == "true", "rls": rls})
         return out
 
-    return _rows(files(spark, root, "*.xml"), "role string, object string, right string, value boolean, rls array<string>", parse)
+    return _rows(found, "role string, object string, right string, value boolean, rls array<string>", parse)
 
 
 def rights_of(rights: DataFrame, object_name: str, right: str | None = None) -> DataFrame:
@@ -233,10 +264,6 @@ def rights_of(rights: DataFrame, object_name: str, right: str | None = None) ->
     return some.groupBy("role").agg(F.array_sort(F.collect_set("right")).alias("rights"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rls")))).alias("rls"))
 
 
-def json_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
-
-
 # --- edges from objects ------------------------------------------------------
 
 # Reference prefixes of type strings, to object types.
@@ -330,6 +357,10 @@ def edges(found: DataFrame) -> DataFrame:
         of(F.when(F.col("metadata_type") == "Subsystem", F.col("content")), None, "subsystem_membership", nothing),
         of(F.transform("forms", lambda f: F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f)), None, "form_ownership", nothing),
     ]
+    based = F.when(F.col("ref").contains("."), F.coalesce(_mapped(F.col("ref"), REFERENCE_TYPES), F.col("ref"))).otherwise(F.concat(F.lit("Document."), F.col("ref")))
+    parts.append(found.select(own, F.explode("based_on").alias("ref")).select("source", based.alias("target"), F.lit("based_on").alias("relationship"), nothing.alias("label")))
+    inside = subsystems(found).where("parent is not null")
+    parts.append(inside.select(F.concat(F.lit("Subsystem."), "name").alias("source"), F.concat(F.lit("Subsystem."), "parent").alias("target"), F.lit("subsystem_hierarchy").alias("relationship"), nothing.alias("label")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
