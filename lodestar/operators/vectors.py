@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators.store import latest
+from lodestar.operators.store import latest, publish
 
 MAX_QUERY_BYTES = 64 << 20
 
@@ -137,6 +137,16 @@ def missing(documents: DataFrame, stored: DataFrame, id_column: str = "id") -> D
     return documents.join(stored.select(id_column), id_column, "left_anti")
 
 
+def rebuild(documents: DataFrame, home: str) -> None:
+    """The index at ``home`` made anew from the documents, as one published version."""
+    publish(documents, home)
+
+
+def get(docs: DataFrame, doc_id, id_column: str = "id") -> DataFrame:
+    """The stored document of that id, if there is one."""
+    return docs.where(F.col(id_column) == doc_id)
+
+
 def existing_ids(docs: DataFrame, prefixes: list[str] | None = None, id_column: str = "id") -> DataFrame:
     some = docs if not prefixes else docs.where(reduce(lambda a, b: a | b, [F.col(id_column).startswith(p) for p in prefixes]))
     return some.select(id_column)

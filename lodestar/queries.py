@@ -582,11 +582,6 @@ def usages(spark, d):
     return text.usages(table(spark, d, "documents"), ["doc_id"], "text", "License", None)
 
 
-@query()
-def chunk_sizes(spark, d):
-    return text.chunks(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_index", "chunk_total", "start", F.length("chunk").alias("n_chars"))
-
-
 @query(
     """SELECT doc_id, sha256(coalesce(text, '')) AS whole, substr(sha256(source), 1, 16) AS short FROM documents"""
 )
@@ -747,7 +742,7 @@ _dialect("tabular_section", "ВЫБРАТЬ т.l_orderkey, СУММА(т.l_linen
 
 
 # The others register themselves.
-from lodestar import queries_code, queries_trees  # noqa: E402, F401
+from lodestar import queries_code, queries_streams, queries_trees  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

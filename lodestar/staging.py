@@ -57,9 +57,14 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with _shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
+    return adopted(spark.read.schema(df.schema).parquet(path), path)
+
+
+def adopted(out: DataFrame, path: str) -> DataFrame:
+    """``out``, which reads the folder ``path``: the folder now lives as long as its readers."""
+    spark = out.sparkSession
     fs, p = _file_system(spark, path)
     fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
     held = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
     _STAGED.append((spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(held)))
     return out

@@ -6,6 +6,8 @@ is what tests compare a drained stream with.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.operators import store
+from lodestar.staging import adopted, shared_dir
 
 # Folders of a configuration tree and the object type they hold.
 FOLDERS = {
@@ -28,8 +31,49 @@ FOLDERS = {
 }
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*.{xml,bsl,mdo}") -> DataFrame:
+    """path, modificationTime and length of every file, without reading any."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select("path", "modificationTime", "length")
+
+
+def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
+    """path and change_type (created, modified, deleted) between two listings: a file source only ever sees new paths."""
+    a, b = now.alias("a"), before.alias("b")
+    joined = a.join(b, F.col("a.path") == F.col("b.path"), "full_outer")
+    same = F.col("a.modificationTime").eqNullSafe(F.col("b.modificationTime")) & F.col("a.length").eqNullSafe(F.col("b.length"))
+    kind = F.when(F.col("b.path").isNull(), "created").when(F.col("a.path").isNull(), "deleted").when(~same, "modified")
+    return joined.select(F.coalesce("a.path", "b.path").alias("path"), kind.alias("change_type")).where("change_type is not null")
+
+
+def kept(changes: DataFrame, ignore: list[str], path: str = "path") -> DataFrame:
+    """Changes whose path fits none of the globs (``**`` any folders, ``*`` and ``?`` within one name)."""
+    for glob in ignore:
+        parts = re.split(r"(\*\*/?|\*|\?)", glob)
+        fit = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p) or re.escape(p) for p in parts if p)
+        changes = changes.where(~F.col(path).rlike(f"^(?:.*/)?{fit}$"))
+    return changes
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """All that a stream has to give now, as a table: the last result in complete mode, all results in append mode."""
+    spark = stream.sparkSession
+    folder, count = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}", [0]
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.parquet(f"{folder}/rows/{count[0]}")
+        count[0] += 1
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if not count[0]:
+        return spark.createDataFrame([], stream.schema)
+    last = f"{folder}/rows/{count[0] - 1}" if mode == "complete" else f"{folder}/rows/*"
+    return adopted(spark.read.schema(stream.schema).parquet(last), folder)
+
+
 def file_stream(spark: SparkSession, path: str, glob: str = "*.{xml,bsl}") -> DataFrame:
-    """New files under ``path``: path, modificationTime, length, content.  A file source never reads a path twice."""
+    """New files under ``path``: path, modificationTime, length, content.  A file source never reads a path twice; ``changed_files`` sees the rest."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 
@@ -74,27 +118,32 @@ def once(events: DataFrame, keys: list[str], late: str = "10 minutes", ts: str =
     return events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late).dropDuplicatesWithinWatermark(keys).drop("__ts")
 
 
-def allowed(calls: DataFrame, most: int, period_seconds: float, key: str = "key", ts: str = "ts") -> DataFrame:
+def allowed(calls: DataFrame, most: int, period_seconds: float, key: str = "key", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """key, ts and allowed of each call: at most ``most`` accepted calls in any trailing period; refused ones do not count.
 
-    The state of a key is its accepted times within the period, at most ``most`` of them.
+    The state of a key is its accepted times within the period, at most ``most`` of
+    them; it is given up once the watermark has passed them by a period.
     """
 
     def limit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values("at", kind="stable")
-            flags = []
-            for at in batch["at"]:
-                kept = [x for x in kept if x > at - period_seconds]
-                flags.append(len(kept) < most)
-                if flags[-1]:
-                    kept.append(at)
-            yield pd.DataFrame({"key": k[0], "ts": batch["at"], "allowed": flags})
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        flags = []
+        for at in rows["at"]:
+            kept = [x for x in kept if x > at - period_seconds]
+            flags.append(len(kept) < most)
+            if flags[-1]:
+                kept.append(at)
         state.update((kept,))
+        state.setTimeoutTimestamp(int((max(kept) + period_seconds) * 1000) + 1)
+        yield pd.DataFrame({"key": k[0], "ts": rows["at"], "allowed": flags})
 
-    timed = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").cast("double").alias("at"))
-    return timed.groupBy("key").applyInPandasWithState(limit, "key string, ts double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = calls.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("time")).withWatermark("time", late)
+    timed = timed.select("key", "time", F.col("time").cast("double").alias("at"))
+    return timed.groupBy("key").applyInPandasWithState(limit, "key string, ts double, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_in_window(calls: DataFrame, period_seconds: int, key: str, ts: str = "ts") -> DataFrame:
@@ -106,19 +155,14 @@ def rate_in_window(calls: DataFrame, period_seconds: int, key: str, ts: str = "t
     return calls.withColumn("recent", F.count("*").over(trailing))
 
 
-def upsert_batches(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: every micro-batch is merged into the table at ``path``, which is swapped whole.
+def upsert_batches(path: str, key: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: every micro-batch is merged into the buckets of its keys; ``store.bucketed`` reads the table.
 
     A batch that is delivered again changes nothing: the merge keeps one row per key.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        current = spark.read.parquet(path) if there else batch.limit(0)
-        store.swap(store.upsert(current, batch, key, order), path)
+        store.upsert_buckets(batch, path, key, order, buckets)
 
     return merge
 

@@ -122,7 +122,7 @@ def test_upsert_batches(spark, tmp_path):
     later = spark.createDataFrame([(1, "c", 2)], "k int, v string, seq int")
     put(later, 1)
     put(later, 1)
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "c"), (2, "b")]
+    assert sorted((r["k"], r["v"]) for r in store.bucketed(spark, path).collect()) == [(1, "c"), (2, "b")]
     assert changes.located(spark.createDataFrame([("file:/x/Catalogs/Goods/Ext/M.bsl",)], "path string")).first()["object_name"] == "Goods"
 
 
