@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.intervals import containing
+
+LINES_TOGETHER = 256
+
 # Words of the language, Russian and English.
 PROCEDURE_WORDS = ("процедура", "procedure")
 FUNCTION_WORDS = ("функция", "function")
@@ -442,10 +446,9 @@ def extract(modules: DataFrame, what: str) -> DataFrame:
 
 
 def with_procedure(rows: DataFrame, procedures: DataFrame, at: str = "line") -> DataFrame:
-    """Adds containing_procedure: the innermost one whose lines hold the row (one equi-join on path)."""
-    spans = procedures.select(F.col("path").alias("__path"), F.col("name").alias("containing_procedure"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"))
-    on = (F.col("path") == F.col("__path")) & (F.col(at) >= F.col("__from")) & (F.col(at) <= F.col("__to"))
-    return rows.join(spans, on, "left").drop("__path", "__from", "__to")
+    """Adds containing_procedure: the one whose lines hold the row.  Joined on path and runs of lines, so a huge module is no hot key."""
+    spans = procedures.select("path", F.col("name").alias("containing_procedure"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"))
+    return containing(rows, spans, ["path"], at, "__from", "__to", width=LINES_TOGETHER, how="left").drop("__from", "__to")
 
 
 def in_procedure(rows: DataFrame, name: str) -> DataFrame:

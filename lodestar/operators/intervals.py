@@ -30,33 +30,50 @@ def containing(points: DataFrame, intervals: DataFrame, key: list[str], at: str,
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *kept)
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, point_id: list[str]) -> DataFrame:
+def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, point_id: list[str], width: int | None = None) -> DataFrame:
     """Each point with the shortest interval that holds it (then the later start); points without one keep nulls."""
-    every = containing(points, intervals, key, at, start, end, how="left")
+    every = containing(points, intervals, key, at, start, end, width, how="left")
     best = Window.partitionBy(*point_id).orderBy((F.col(end) - F.col(start)).asc_nulls_last(), F.col(start).desc())
     return every.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
 
 
-def cells_in_areas(cells: DataFrame, areas: DataFrame, key: str = "doc") -> DataFrame:
-    """Cells (row, col) with each named area (r1, c1, r2, c2; null: unbounded) of their document that holds them."""
-    c, a = cells.alias("c"), areas.alias("a")
+def cells_in_areas(cells: DataFrame, areas: DataFrame, key: str = "doc", height: int = 256) -> DataFrame:
+    """Cells (row, col) with each named area (r1, c1, r2, c2; null: unbounded) of their document that holds them.
+
+    Joined on the document and runs of ``height`` rows; an area without a bound below
+    reaches to its document's last row.
+    """
+    last = cells.groupBy(key).agg(F.max("row").alias("__last"))
+    held = areas.join(last, key)
+    strip = F.explode(F.sequence(F.floor(F.coalesce("r1", F.lit(0)) / height), F.floor(F.greatest(F.coalesce(F.least("r2", "__last"), F.col("__last")), F.coalesce("r1", F.lit(0))) / height)))
+    a = held.withColumn("__strip", strip).alias("a")
+    c = cells.withColumn("__strip", F.floor(F.col("row") / height)).alias("c")
     inside = (
         (F.col(f"c.{key}") == F.col(f"a.{key}"))
+        & (F.col("c.__strip") == F.col("a.__strip"))
         & (F.col("c.row") >= F.coalesce("a.r1", F.lit(0)))
         & (F.col("c.row") <= F.coalesce("a.r2", F.lit(2**31 - 1)))
         & (F.col("c.col") >= F.coalesce("a.c1", F.lit(0)))
         & (F.col("c.col") <= F.coalesce("a.c2", F.lit(2**31 - 1)))
     )
-    return c.join(a, inside).select("c.*", F.col("a.name").alias("area"))
+    return c.join(a, inside).select("c.*", F.col("a.name").alias("area")).drop("__strip")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str, left_types: str, right_types: str, seq: str) -> DataFrame:
-    """For each left row, the right row of the same key whose types overlap most; ties go to the smaller ``seq``, no overlap to none."""
-    joined = left.alias("l").join(right.alias("r"), key)
-    score = F.size(F.array_intersect(F.col(f"l.{left_types}"), F.col(f"r.{right_types}")))
-    scored = joined.select("l.*", *[F.col(f"r.{c}").alias(f"right_{c}") for c in right.columns if c != key], score.alias("score")).where("score > 0")
-    best = Window.partitionBy(*left.columns).orderBy(F.desc("score"), f"right_{seq}")
-    return scored.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
+    """For each left row, the right row of the same key whose types overlap most; ties go to the smaller ``seq``, no overlap to none.
+
+    Rows meet on the types they share, so pairs without one are never made.
+    """
+    own = [c for c in left.columns if c != left_types]
+    l = left.select(*left.columns, F.explode(F.array_distinct(left_types)).alias("__type")).alias("l")  # noqa: E741
+    r = right.select(key, F.col(seq).alias("__seq"), F.explode(F.array_distinct(right_types)).alias("__type")).alias("r")
+    same = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.__type") == F.col("r.__type"))
+    scored = l.join(r, same).groupBy(*[F.col(f"l.{c}") for c in left.columns], F.col("r.__seq")).agg(F.count("*").cast("int").alias("score"))
+    best = scored.groupBy(*left.columns).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("__seq"))).alias("b")).select(*left.columns, (-F.col("b.s")).alias("score"), F.col("b.__seq").alias("__seq"))
+    names = {c: f"right_{c}" for c in right.columns if c != key}
+    others = right.select(F.col(key).alias("__key"), *[F.col(c).alias(n) for c, n in names.items()])
+    on = (best[key] == others["__key"]) & (best["__seq"] == others[f"right_{seq}"])
+    return best.join(others, on).select(*[c for c in own], left_types, *names.values(), "score")
 
 
 def first_match(wanted: DataFrame, offers: DataFrame, rules: list[tuple[int, list[tuple[str, str]]]], key: list[str], seq: str) -> DataFrame:
