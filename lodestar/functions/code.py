@@ -499,3 +499,8 @@ def query_edges(queries: DataFrame) -> DataFrame:
     return held.where(known).select(
         procedure_id("path", "containing_procedure").alias("source"), target.alias("target"), F.lit("uses_query_table").alias("edge_type"), F.col("path").alias("file"), "line", F.lit(0).alias("column")
     )
+
+
+def distinct_targets(calls: DataFrame) -> DataFrame:
+    """path, and how many different methods and objects each module calls (any case)."""
+    return calls.groupBy("path").agg(F.countDistinct(F.lower("name")).alias("methods"), F.countDistinct(F.lower("object_name")).alias("objects"))

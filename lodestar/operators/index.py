@@ -29,7 +29,8 @@ def refresh(found: DataFrame, home: str) -> DataFrame:
     stored = store.current(spark, f"{home}/objects")
     if stored is None:
         stored = trees.read_objects(found.limit(0))
-    known = stored.select("path", F.col("file_hash").alias("known"))
+    known = store.current(spark, f"{home}/files")  # files that hold no object are known too
+    known = (files.limit(0) if known is None else known).select("path", F.col("file_hash").alias("known"))
     state = files.join(known, "path", "full_outer").select(
         "path", "content",
         F.when(F.col("known").isNull(), "added").when(F.col("file_hash").isNull(), "removed").when(F.col("file_hash") != F.col("known"), "changed").otherwise("same").alias("status"),
@@ -43,6 +44,7 @@ def refresh(found: DataFrame, home: str) -> DataFrame:
         objects = staged(stored.join(stale, "path", "left_anti").unionByName(fresh), "index-objects")
         _cascade(spark, home, fresh, gone)
         store.publish(objects, f"{home}/objects")
+        store.publish(files.select("path", "file_hash"), f"{home}/files")
     return counts
 
 

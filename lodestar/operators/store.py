@@ -280,3 +280,32 @@ def latency_histogram(audit: DataFrame, by: str = "tool", value: str = "latency_
 
 def hit_rate(hits: Column, misses: Column) -> Column:
     return F.coalesce(F.try_divide(hits, hits + misses), F.lit(0.0))
+
+
+def exposition(audit: DataFrame) -> DataFrame:
+    """Counters per tool as lines of a text exposition: calls, errors and total milliseconds."""
+    counted = tool_metrics(audit)
+    lines = [F.concat(F.lit(f"{name}{{tool=\""), "tool", F.lit("\"} "), F.col(c).cast("string")) for name, c in (("tool_calls_total", "calls"), ("tool_errors_total", "errors"))]
+    return counted.select(F.explode(F.array(*lines)).alias("line"))
+
+
+def timings(spans: DataFrame, name: str = "name", value: str = "seconds") -> DataFrame:
+    """A timing profile: how often each span ran, for how long in all, on average and at most, the slowest first."""
+    return spans.groupBy(name).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("most")).orderBy(F.desc("total"), name)
+
+
+def serialized(rows: DataFrame) -> DataFrame:
+    """Every row as one JSON object: nulls are kept, times are ISO."""
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+    return rows.select(F.to_json(F.struct(*rows.columns), options).alias("json"))
+
+
+def cached(requests: DataFrame, puts: DataFrame, ttl_seconds: float, key: str = "key", ts: str = "ts") -> DataFrame:
+    """``requests`` with hit: whether the last put of the key before the request is at most ``ttl_seconds`` old.  One pass per key, no pairs."""
+    own = requests.columns
+    both = requests.withColumn("__put", F.lit(None).cast(requests.schema[ts].dataType)).unionByName(puts.select(key, ts, F.col(ts).alias("__put")), allowMissingColumns=True)
+    both = both.withColumn("__asks", F.col("__put").isNull())
+    seen = Window.partitionBy(key).orderBy(ts, "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("__put", ignorenulls=True).over(seen)
+    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1_000_000
+    return both.withColumn("hit", F.coalesce(age <= ttl_seconds, F.lit(False))).where("__asks").select(*own, "hit")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -157,17 +158,75 @@ def embed(texts: DataFrame, text: str = "content", dims: int = 64, out: str = "e
 
     @F.pandas_udf("array<float>")
     def hashed(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: hash_vector(t, dims))
+        known: dict[str, np.ndarray] = {}  # words recur; each is hashed once a batch
+        return column.map(lambda t: hash_vector(t, dims, known))
 
     return texts.withColumn(out, hashed(F.col(text)))
 
 
-def hash_vector(text: str | None, dims: int = 64) -> np.ndarray:
-    v = np.zeros(dims, np.float64)
-    for word in re.findall(r"\w+", (text or "").lower()):
-        padded = f" {word} "
-        for feature in (word, *(padded[i : i + 3] for i in range(len(padded) - 2))):
-            h = zlib.crc32(feature.encode())
-            v[h % dims] += 1.0 if h & 0x80000000 else -1.0
+def _word_vector(word: str, dims: int) -> np.ndarray:
+    padded = f" {word} "
+    h = np.array([zlib.crc32(f.encode()) for f in (word, *(padded[i : i + 3] for i in range(len(padded) - 2)))], np.uint32)
+    return np.bincount(h % dims, np.where(h & 0x80000000, 1.0, -1.0), dims)
+
+
+def hash_vector(text: str | None, dims: int = 64, known: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    known = {} if known is None else known
+    counts = Counter(re.findall(r"\w+", (text or "").lower()))
+    for word in counts.keys() - known.keys():
+        known[word] = _word_vector(word, dims)
+    v = np.sum([known[w] * n for w, n in counts.items()], axis=0) if counts else np.zeros(dims)
     size = np.linalg.norm(v)
     return (v / size if size else v).astype(np.float32)
+
+
+# --- index of cells ----------------------------------------------------------
+
+
+def fit_cells(docs: DataFrame, cells: int = 64, max_sample: int = 20_000, id_column: str = "id", embedding: str = "embedding", rounds: int = 15) -> np.ndarray:
+    """Centres of ``cells`` cells of unit vectors, by Lloyd's rounds over about ``max_sample`` rows at most, chosen by the hash of their ids."""
+    some = docs.where(F.size(embedding) > 0)
+    total = some.count()
+    draw = F.xxhash64(id_column).bitwiseAND((1 << 32) - 1)
+    sample = some.where(draw < int(min(1.0, max_sample / max(total, 1)) * (1 << 32))).select(embedding).toPandas()
+    points = _unit(sample[embedding])
+    if not len(points):
+        return np.zeros((0, 0))
+    # Farthest-first seeds, the first point being the one with the smallest coordinates.
+    centres = points[np.lexsort(points.T[::-1])[:1]]
+    while len(centres) < min(cells, len(np.unique(points, axis=0))):
+        centres = np.vstack([centres, points[(points @ centres.T).max(1).argmin()]])
+    for _ in range(rounds):
+        own = (points @ centres.T).argmax(1)
+        sums = np.stack([points[own == c].sum(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
+    return centres
+
+
+def in_cells(docs: DataFrame, centres: np.ndarray, probes: int = 1, embedding: str = "embedding") -> DataFrame:
+    """Every row once for each of its ``probes`` nearest cells (column cell); rows without a vector of that size have none."""
+    if centres.nbytes > MAX_QUERY_BYTES:
+        raise ValueError(f"{len(centres)} cells exceed the bound of {MAX_QUERY_BYTES} bytes")
+    sent = docs.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def near(column: pd.Series) -> pd.Series:
+        c = sent.value
+        out = [np.empty(0, np.int32)] * len(column)
+        fit = [k for k, v in enumerate(column) if v is not None and len(c) and len(v) == c.shape[1]]
+        if fit:
+            order = np.argsort(-(_unit(column.iloc[fit]) @ c.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            for k, cells in zip(fit, order, strict=True):
+                out[k] = cells
+        return pd.Series(out)
+
+    return docs.withColumn("cell", F.explode(near(F.col(embedding))))
+
+
+def neighbours_in_cells(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 16, id_column: str = "id", embedding: str = "embedding") -> DataFrame:
+    """query_id, id, score and place of the k nearest rows among the ``probes`` cells nearest to each query, itself left out; one equi-join on the cell."""
+    asked = in_cells(queries.select("query_id", F.col(embedding).alias("__asked")), centres, probes, "__asked")
+    met = indexed.select(F.col(id_column).alias("id"), F.col(embedding).alias("__own"), "cell").join(asked, "cell").where("id <> query_id")
+    scored = met.select("query_id", "id", F.round(cosine(F.col("__own"), F.col("__asked")), 6).alias("score")).where("score is not null")
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)

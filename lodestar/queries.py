@@ -283,6 +283,45 @@ def hit_rate(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(store.hit_rate(clicks, views), 6).alias("rate"))
 
 
+@query("SELECT 'tool_calls_total{tool=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type UNION ALL SELECT 'tool_errors_total{tool=\"' || event_type || '\"} ' || count(*) FILTER (event_id % 7 = 0) FROM events GROUP BY event_type")
+def tool_exposition(spark, d):
+    return store.exposition(audit(spark, d))
+
+
+@query("SELECT event_type AS name, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, round(avg(CAST(floor(value) AS BIGINT)), 6) AS mean, max(CAST(floor(value) AS BIGINT)) AS most FROM events GROUP BY event_type")
+def timing_profile(spark, d):
+    spans = audit(spark, d).select(F.col("tool").alias("name"), F.col("latency_ms").alias("seconds"))
+    return store.timings(spans).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name, '1996-07-01T12:00:00' AS at, c_custkey % 2 = 1 AS kept_null FROM customer")
+def serialized_rows(spark, d):
+    """Rows as JSON objects and back: nulls are kept, times are ISO."""
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"), F.lit(dt.datetime(1996, 7, 1, 12)).cast("timestamp_ntz").alias("at"))
+    back = store.serialized(rows).select("json", F.from_json("json", "c_custkey long, name string, at string").alias("r"))
+    return back.select("r.*", F.col("json").contains('"name":null').alias("kept_null"))
+
+
+@query("WITH puts AS (SELECT user_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'click') SELECT r.event_id, coalesce(epoch_us(r.ts) - epoch_us(p.ts) <= 86400000000, false) AS hit FROM r ASOF LEFT JOIN puts p ON r.user_id = p.user_id AND r.ts >= p.ts")
+def cache_hits(spark, d):
+    """Requests answered by a put of the same key that is at most a day old."""
+    e = table(spark, d, "events")
+    puts = e.where("event_type = 'click'").select(F.col("user_id").alias("key"), "ts")
+    return store.cached(e.where("event_type <> 'click'").select("event_id", F.col("user_id").alias("key"), "ts"), puts, 86_400).select("event_id", "hit")
+
+
+@query("SELECT CASE WHEN avg(CASE WHEN regexp_matches(p_name, '^[A-Za-z0-9_]+$') THEN 1.0 ELSE 0.0 END) >= 0.7 THEN 'en' ELSE 'ru' END AS language, bool_or(p_name = (SELECT min(p_name) FROM part)) AS bsp_used, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT CASE WHEN starts_with(p_type, 'SMALL') THEN 'SMALL' WHEN starts_with(p_type, 'NONE') THEN 'NONE' END AS p FROM part GROUP BY 1 HAVING count(*) >= 5) WHERE p IS NOT NULL) AS obsolete_prefixes, (SELECT count(DISTINCT n_name) FROM nation) AS n_extensions FROM part")
+def profile_detected(spark, d):
+    from lodestar.plans import profile
+
+    part = table(spark, d, "part")
+    names = part.select(F.col("p_name").alias("name"))
+    first = names.agg(F.min("name")).first()[0]
+    extensions = table(spark, d, "nation").select(F.col("n_name").alias("extension"), F.lit("").alias("purpose"))
+    row = profile.detected(names, part.select(F.col("p_type").alias("name")), ["SMALL", "NONE"], [first], extensions)
+    return row.select("language", "bsp_used", F.array_join("obsolete_prefixes", ",").alias("obsolete_prefixes"), F.size("extensions").cast("long").alias("n_extensions"))
+
+
 # --- graph -------------------------------------------------------------------
 
 
@@ -483,6 +522,30 @@ def innermost_interval(spark, d):
     return intervals.innermost(points, bands, ["nation"], "bal", "lo", "hi", ["s_suppkey"]).select("s_suppkey", "c_mktsegment")
 
 
+@query(
+    """WITH l AS (SELECT o_orderkey, unnest([o_orderstatus, o_orderpriority, 'x']) AS t FROM orders WHERE o_orderkey % 7 = 0), r AS (SELECT 1 AS seq, unnest(['O', '1-URGENT']) AS t UNION ALL SELECT 2, unnest(['F', 'x']) UNION ALL SELECT 3, unnest(['x', 'P', '5-LOW'])),
+s AS (SELECT o_orderkey, seq, count(*) AS score FROM l JOIN r USING (t) GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, seq) AS n FROM s)
+SELECT o_orderkey, seq AS right_seq, CAST(score AS INT) AS score FROM b WHERE n = 1"""
+)
+def type_overlap(spark, d):
+    """For each order the offer that shares most types with it."""
+    left = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.lit(1).alias("k"), "o_orderkey", F.array("o_orderstatus", "o_orderpriority", F.lit("x")).alias("types"))
+    offers = spark.createDataFrame([(1, 1, ["O", "1-URGENT"]), (1, 2, ["F", "x"]), (1, 3, ["x", "P", "5-LOW"])], "k int, seq int, types array<string>")
+    return intervals.best_overlap(left, offers, "k", "types", "types", "seq").select("o_orderkey", "right_seq", "score")
+
+
+@query(
+    """WITH w AS (SELECT s_suppkey, s_nationkey AS nation, s_suppkey % 5 AS region FROM supplier), h AS (SELECT s_suppkey, n_nationkey, 1 AS p FROM w JOIN nation ON n_nationkey = nation AND n_regionkey = region
+UNION ALL SELECT s_suppkey, n_nationkey, 2 FROM w JOIN nation ON n_regionkey = region), b AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY p, n_nationkey) AS n FROM h)
+SELECT s_suppkey, n_nationkey AS offer_seq, p AS priority FROM b WHERE n = 1"""
+)
+def first_match(spark, d):
+    """Each supplier's offer by the first rule that any meets: nation and region, else region."""
+    wanted = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).cast("int").alias("region"))
+    offers = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    return intervals.first_match(wanted, offers, [(1, [("nation", "nation"), ("region", "region")]), (2, [("region", "region")])], ["s_suppkey"], "seq").select("s_suppkey", "offer_seq", "priority")
+
+
 # --- registers ---------------------------------------------------------------
 
 AT = dt.datetime(1996, 7, 1)
@@ -633,6 +696,15 @@ def vector_backfill(spark, d):
     return vectors.missing(e, e.where("vec_id % 4 <> 3"), "vec_id").select("vec_id")
 
 
+@query()
+def knn_join_cells(spark, d):
+    """The neighbours of every 20th vector through an index of cells; the tests measure its recall against ``knn_join``."""
+    e = table(spark, d, "embeddings")
+    centres = vectors.fit_cells(e, 32, id_column="vec_id")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.neighbours_in_cells(vectors.in_cells(e, centres), asked, centres, 5, 20, "vec_id")
+
+
 @query()
 def lsh_search(spark, d):
     return vectors.lsh_neighbours(table(spark, d, "embeddings"), _vector(spark, d, 0), 10, "vec_id").select("vec_id", "score")

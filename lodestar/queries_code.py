@@ -287,3 +287,8 @@ def code_module_chunks(spark, d):
     parts = text.module_chunks(held, ["path"], most=10_000)
     lines = F.split("content", "\n")
     return parts.select("path", "chunk_index", "chunk_total", F.get(lines, 0).alias("title"), F.size(lines).cast("long").alias("n_lines"))
+
+
+@query(f"WITH {CALLS_SQL} SELECT path, count(DISTINCT lower(name)) AS methods, count(DISTINCT lower(object_name)) AS objects FROM calls GROUP BY path")
+def code_distinct_targets(spark, d):
+    return code.distinct_targets(code.extract(modules(spark, d), "calls"))

@@ -180,3 +180,116 @@ def test_store_edges(spark):
 def test_hash_vectors_are_unit_and_stable():
     a, b = vectors.hash_vector("Товары на складе"), vectors.hash_vector("товары НА складе")
     assert abs(float((a * a).sum()) - 1) < 1e-5 and (a == b).all() and not vectors.hash_vector("").any()
+
+
+def test_recall_of_both_indexes(spark, small):
+    """Held against brute force over the queries with vec_id % 20 = 0."""
+    from lodestar import queries
+
+    exact, cells = ({(r["query_id"], r["id"]) for r in queries.QUERIES[q](spark, small).collect()} for q in ("knn_join", "knn_join_cells"))
+    assert len(exact & cells) >= 0.9 * len(exact)
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    hits = total = 0
+    for r in e.where("vec_id % 100 = 0").collect():
+        near = {x["vec_id"] for x in vectors.search(e, r["embedding"], 10, id_column="vec_id").collect()}
+        hits += len(near & {x["vec_id"] for x in vectors.lsh_neighbours(e, r["embedding"], 10, "vec_id").collect()})
+        total += len(near)
+    assert hits >= 0.9 * total
+
+
+def test_cells_of_awkward_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [0.0, 1.0])]
+    e = spark.createDataFrame(rows, "id int, embedding array<float>")
+    centres = vectors.fit_cells(e, 2)
+    indexed = vectors.in_cells(e, centres)
+    assert {r["id"] for r in indexed.collect()} == {1, 2, 5, 6}
+    got = vectors.neighbours_in_cells(indexed, e.select(F.col("id").alias("query_id"), "embedding"), centres, 1, 2)
+    assert {(r["query_id"], r["id"]) for r in got.collect()} >= {(1, 2), (2, 1)}
+    assert vectors.fit_cells(e.limit(0)).shape == (0, 0) and vectors.in_cells(e, vectors.fit_cells(e.limit(0))).count() == 0
+
+
+def test_embedding_by_plain_loops(spark, small):
+    import math
+    import zlib
+
+    for r in vectors.embed(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.col("text").alias("content"))).limit(20).collect():
+        v = [0.0] * 64
+        for word in "".join(c if c.isalnum() or c == "_" else " " for c in (r["content"] or "").lower()).split():
+            for f in [word] + [f" {word} "[i : i + 3] for i in range(len(word))]:
+                h = zlib.crc32(f.encode())
+                v[h % 64] += 1 if h >= 2**31 else -1
+        n = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert max(abs(a - b / n) for a, b in zip(r["embedding"], v, strict=True)) < 1e-5
+
+
+def test_rate_limit_by_plain_loops(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"k{r.randrange(4)}", dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=37 * r.randrange(4000))) for _ in range(400)]
+    spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "calls"))
+    got = changes.drained(changes.allowed(spark.readStream.schema("key string, ts timestamp").parquet(str(tmp_path / "calls")), 3, 2.0), "append").collect()
+    for key in {k for k, _ in rows}:
+        taken, want = [], []
+        for at in sorted(t for k, t in rows if k == key):
+            taken = [x for x in taken if (at - x).total_seconds() < 2.0]
+            want.append(len(taken) < 3)
+            taken += [at] if want[-1] else []
+        assert [x["allowed"] for x in sorted((x for x in got if x["key"] == key), key=lambda x: x["ts"])] == want
+
+
+def test_published_versions(spark, tmp_path):
+    path = "file://" + str(tmp_path / "t")
+    assert store.current(spark, path) is None
+    store.publish(spark.range(3), path)
+    store.publish(store.current(spark, path).where("id > 0"), path)
+    assert sorted(r["id"] for r in store.current(spark, path).collect()) == [1, 2]
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("version-")]) == 1
+
+
+def test_index_job_reads_trees(spark, tree, tmp_path):
+    from lodestar.operators import index
+
+    home = "file://" + str(tmp_path / "index")
+    found = trees.files(spark, tree, "*.xml")
+    counts = lambda: {r["status"]: r["n"] for r in index.refresh(found, home).collect()}
+    first = counts()
+    assert first["added"] == 6
+    assert counts() == {"same": 6}
+    assert store.current(spark, f"{home}/edges").count() == 3
+    assert {r["id"] for r in store.current(spark, f"{home}/embeddings").collect()} == {"Catalog.Goods", "Catalog.Units", "Role.Admin"}
+
+
+def test_profiles(spark, tmp_path):
+    from lodestar.plans import profile
+
+    base = profile.merged(profile.DEFAULTS, {"bsp": {"used": False, "version": "3.1"}, "naming": {"obsolete_prefixes": ["Удалить", "_old"]}})
+    both = profile.merged(base, profile.DEFAULTS | {"language": "en", "naming": profile.DEFAULTS["naming"] | {"language": "en"}})
+    assert both["bsp"] == {"used": False, "version": "3.1"} and both["naming"]["obsolete_prefixes"] == ["Удалить", "_old"] and both["language"] == both["naming"]["language"] == "en"
+    path = "file://" + str(tmp_path / "p.json")
+    assert profile.load(spark, path) == profile.DEFAULTS
+    profile.save(spark, both, path)
+    assert profile.load(spark, path) == both
+    names = spark.createDataFrame([("Goods",), ("SSL",)], "name string")
+    row = profile.detected(names, spark.createDataFrame([(f"_old{k}",) for k in range(5)], "name string"), ["_old"], ["SSL"]).first()
+    assert profile.as_profile(row)["naming"] == {"language": "en", "obsolete_prefixes": ["_old", "Удалить"], "presentation_field_overrides": {}}
+
+
+def test_json_catalogs(spark, tmp_path):
+    import json
+
+    from lodestar.plans import catalog
+
+    (tmp_path / "g.json").write_text(json.dumps({"version": "1", "sections": [{"name": "S", "name_en": "Str", "methods": [{"name": "Длина", "name_en": "Len", "description": "size of text", "keywords": ["count"]}]}]}, ensure_ascii=False))
+    (tmp_path / "t.json").write_text(json.dumps({"types": [{"name": "Массив", "name_en": "Array", "category": "collection", "methods": [{"name": "Добавить", "name_en": "Add"}], "properties": []}]}, ensure_ascii=False))
+    (tmp_path / "m.json").write_text(json.dumps({"modules": [{"name": "Common", "kind": "Server", "purpose": "p", "tags": ["core"], "procedures": [{"name": "Get", "exported": True, "signature": "", "description": "reads"}]}]}))
+    methods = catalog.methods(catalog.documents(spark, str(tmp_path / "g.json"), catalog.METHODS))
+    types = catalog.types(catalog.documents(spark, str(tmp_path / "t.json"), catalog.TYPES))
+    assert catalog.named(methods, "LEN").first()["name"] == "Длина" and catalog.sections(methods).first()["n"] == 1
+    assert catalog.named(catalog.members(types, "methods"), "добавить").first()["type_en"] == "Array"
+    index = catalog.index(catalog.entries("method", methods, "name", "name_en", "description", F.array_join("keywords", " ")).unionByName(catalog.entries("type", types, "name", "name_en")))
+    assert [r["name"] for r in catalog.search(index, "siz coun").collect()] == ["Длина"] and catalog.search(index, "").count() == 0
+    modules = catalog.library(catalog.documents(spark, str(tmp_path / "m.json"), catalog.MODULES), "modules")
+    none = spark.createDataFrame([], "seq int, name string, module string, purpose string, task string, description string")
+    assert [(r["kind"], r["name"]) for r in catalog.find(modules, none, none, "READS").collect()] == [("procedure", "Get")]
+    assert catalog.find(modules, none, none, " ").count() == 0
