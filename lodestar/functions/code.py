@@ -74,6 +74,29 @@ METADATA_TYPES = {
     "Subsystem": ("подсистема", "подсистемы", "subsystem", "subsystems"),
 }
 _TYPE_OF = {w: k for k, words in METADATA_TYPES.items() for w in words}
+#: Folders of a tree, to the type of what lies in them.
+FOLDERS = {
+    "AccountingRegisters": "AccountingRegister",
+    "AccumulationRegisters": "AccumulationRegister",
+    "BusinessProcesses": "BusinessProcess",
+    "CalculationRegisters": "CalculationRegister",
+    "Catalogs": "Catalog",
+    "ChartsOfAccounts": "ChartOfAccounts",
+    "ChartsOfCalculationTypes": "ChartOfCalculationTypes",
+    "ChartsOfCharacteristicTypes": "ChartOfCharacteristicTypes",
+    "CommonForms": "CommonForm",
+    "CommonModules": "CommonModule",
+    "Constants": "Constant",
+    "DataProcessors": "DataProcessor",
+    "Documents": "Document",
+    "Enums": "Enum",
+    "ExchangePlans": "ExchangePlan",
+    "HTTPServices": "HTTPService",
+    "InformationRegisters": "InformationRegister",
+    "Reports": "Report",
+    "Tasks": "Task",
+    "WebServices": "WebService",
+}
 #: What the word after a reference says about the access.
 ACCESS = {
     "создатьменеджерзаписи": "manager",

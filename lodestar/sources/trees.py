@@ -22,7 +22,7 @@ OBJECT = (
     "metadata_type string, name string, uuid string, synonym string, comment string, "
     f"attributes array<{_ATTRIBUTE}>, tabular_sections array<struct<name:string,synonym:string,attributes:array<{_ATTRIBUTE}>>>, "
     f"dimensions array<{_ATTRIBUTE}>, resources array<{_ATTRIBUTE}>, forms array<string>, templates array<string>, posting boolean, register_records array<string>, "
-    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, based_on array<string>, root_url string, file_hash string, path string"
+    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, based_on array<string>, root_url string, url_templates array<struct<name:string,template:string>>, file_hash string, path string"
 )
 
 
@@ -164,6 +164,7 @@ def parse_object(content: bytes, path: str = "") -> dict | None:
         "content": _items(p, "Content"),
         "based_on": _items(p, "BasedOn"),
         "root_url": _text(p, "RootURL"),
+        "url_templates": [{"name": _text(q, "Name"), "template": _text(q, "Template")} for c in _objects(e) if _tag(c) == "URLTemplate" for q in [_child(c, "Properties") if _child(c, "Properties") is not None else c]],
         "file_hash": hashlib.md5(content).hexdigest(),
         "path": path,
     }

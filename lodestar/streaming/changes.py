@@ -15,22 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestar.functions.code import FOLDERS
 from lodestar.operators import store
 from lodestar.staging import adopted, shared_dir
 
-# Folders of a configuration tree and the object type they hold.
-FOLDERS = {
-    "Catalogs": "Catalog",
-    "Documents": "Document",
-    "InformationRegisters": "InformationRegister",
-    "AccumulationRegisters": "AccumulationRegister",
-    "CommonModules": "CommonModule",
-    "Reports": "Report",
-    "DataProcessors": "DataProcessor",
-    "Enums": "Enum",
-}
-
-
 def listing(spark: SparkSession, path: str, glob: str = "*.{xml,bsl,mdo}") -> DataFrame:
     """path, modificationTime and length of every file, without reading any."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
