@@ -30,7 +30,7 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
 class WordHashes:
     """64-bit hashes of words, each computed once per worker; the table is emptied when it grows large."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.table = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
