@@ -11,8 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this share of all rows, so there are fewer hot keys than that.
-HOT_SHARES = 1024
+#: A key is hot if it holds more than this share of all rows, so there are fewer hot keys than that; a salt is worth this many rows at least.
+HOT_SHARES, SALT_ROWS = 1024, 64
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Tables between steps: their session, path, and a weak reference to what their readers' plans hold.
@@ -108,11 +108,12 @@ def hot_keys(counts: DataFrame, keys: list[str], m: str = "m") -> DataFrame:
 
     Fewer than ``HOT_SHARES`` keys can each hold more than that share of all rows,
     so this table can be broadcast whatever the input; all salts together are at
-    most five times as many.
+    most five times as many, and repeat a key's partner for every ``SALT_ROWS`` of
+    its rows at most.
     """
     total = int(counts.agg(F.sum(m).alias("t")).first()["t"] or 0)
-    salts = F.least(F.col(m), F.ceil(F.col(m) * (4 * HOT_SHARES) / F.lit(max(total, 1)))).cast("int")
-    return counts.where(F.col(m) * HOT_SHARES > total).select(*keys, salts.alias("salts"))
+    salts = F.least(F.ceil(F.col(m) / SALT_ROWS), F.ceil(F.col(m) * (4 * HOT_SHARES) / F.lit(max(total, 1)))).cast("int")
+    return counts.where((F.col(m) * HOT_SHARES > total) & (F.col(m) > SALT_ROWS)).select(*keys, salts.alias("salts"))
 
 
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, draw: Column, how: str = "inner") -> DataFrame:
