@@ -122,7 +122,7 @@ def code_query_tables(spark, d):
 
 
 @query(
-    f"""WITH {PROCEDURES_SQL} SELECT path, 'Текст1' AS name, CAST(base + 6 AS INT) AS line, 1 AS "column" FROM procs UNION ALL SELECT path, 'Запрос', base + 12, 1 FROM procs"""
+    f"""WITH {PROCEDURES_SQL} SELECT path, 'Текст1' AS name, CAST(base + 6 AS INT) AS line, 1 AS "column" FROM procs UNION ALL SELECT path, 'Запрос', CAST(base + 12 AS INT), 1 FROM procs"""
 )
 def code_assignments(spark, d):
     return code.extract(modules(spark, d), "variables").where("is_assignment").drop("is_assignment")
@@ -140,8 +140,8 @@ def code_complexity(spark, d):
 
 @query(
     f"""WITH {PROCEDURES_SQL} SELECT path, 'DEPRECATED_KEYWORD' AS code, 'warning' AS severity, CAST(base + 14 AS INT) AS line FROM procs WHERE k % 10 = 0
-UNION ALL SELECT path, 'UNBALANCED_BLOCK', 'error', base + 15 FROM procs WHERE k % 25 = 1 AND i = 0
-UNION ALL SELECT path, 'UNBALANCED_BLOCK', 'error', base + 4 FROM procs WHERE k % 25 = 1 AND i = 0"""
+UNION ALL SELECT path, 'UNBALANCED_BLOCK', 'error', CAST(base + 15 AS INT) FROM procs WHERE k % 25 = 1 AND i = 0
+UNION ALL SELECT path, 'UNBALANCED_BLOCK', 'error', CAST(base + 4 AS INT) FROM procs WHERE k % 25 = 1 AND i = 0"""
 )
 def code_issues(spark, d):
     return code.extract(modules(spark, d), "issues").drop("message")
@@ -158,7 +158,7 @@ def code_module_metrics(spark, d):
 
 @query(
     f"""WITH {PROCEDURES_SQL} SELECT path, CAST(base + 14 AS INT) AS line, CASE WHEN k % 10 = 0 THEN 'BSP_TIMEZONE' ELSE 'BSP_USER_MESSAGE' END AS rule, CASE WHEN k % 10 = 0 THEN 'warning' ELSE 'info' END AS severity FROM procs
-UNION ALL SELECT path, base + 11, 'BSP_QUERY_RESULT', 'info' FROM procs WHERE k % 6 = 0 AND NOT (k % 25 = 1 AND i = 0)"""
+UNION ALL SELECT path, CAST(base + 11 AS INT), 'BSP_QUERY_RESULT', 'info' FROM procs WHERE k % 6 = 0 AND NOT (k % 25 = 1 AND i = 0)"""
 )
 def code_review(spark, d):
     return code.review(modules(spark, d))

@@ -262,7 +262,7 @@ def value_table_copy(spark, d):
     return collections.copy(_values(spark, d), {"region": 1}, "name")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS \"row\", n_name || '!' AS name, 7 AS region FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS \"row\", n_name || '!' AS name, CAST(7 AS BIGINT) AS region FROM nation")
 def value_table_columns(spark, d):
     """A column unloaded, changed and loaded again; another filled."""
     held = _values(spark, d)
@@ -318,7 +318,7 @@ def map_and_list_methods(spark, d):
 
 
 @query(
-    r"""SELECT p_partkey, ltrim('  ' || p_name || ' ') AS tl, rtrim('  ' || p_name || ' ') AS tr, 1 + length(p_name) - length(replace(p_name, ' ', '')) AS n_lines, split_part(p_name, ' ', 1) AS line1, p_brand || '-' || p_type AS joined,
+    r"""SELECT p_partkey, ltrim('  ' || p_name || ' ') AS tl, rtrim('  ' || p_name || ' ') AS tr, CAST(1 + length(p_name) - length(replace(p_name, ' ', '')) AS INT) AS n_lines, split_part(p_name, ' ', 1) AS line1, p_brand || '-' || p_type AS joined,
 CAST(len(regexp_split_to_array(p_name, '[ ,]')) AS INT) AS n_split, p_size % 2 = 0 AS blank, upper(p_brand[1:1]) || lower(p_brand[2:]) AS title FROM part"""
 )
 def fn_string_more(spark, d):

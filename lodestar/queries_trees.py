@@ -268,7 +268,7 @@ def report_schema_parts(spark, d):
     return found.select(F.col("path").alias("report"), "part", "owner", "name", "expression")
 
 
-@query("SELECT o_orderstatus, sum(1) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, CAST(sum(1) AS BIGINT) AS n, round(max(o_totalprice), 2) AS top FROM orders GROUP BY o_orderstatus")
 def report_resources(spark, d):
     """Resources of a report: aggregates by their expressions."""
     return documents.run_report(table(spark, d, "orders"), ["o_orderstatus"], [("n", "sum(1)"), ("top", "round(max(o_totalprice), 2)")])
