@@ -44,5 +44,5 @@ def test_query(spark, small, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["id", "node_type", "name", "depth"]
+    assert __spark_entry__.entry(spark).columns == ["id", "node_type", "name", "depth", "via"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
