@@ -215,15 +215,15 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     layers = [x.select("id") for x in ahead[:-1]] + [staged(ahead[-1].select("id").join(back[-1].select("id"), "id", "left_semi"), "path-met")]
     for x in back[-2::-1]:
         layers.append(staged(x.select("id").join(touching(layers[-1]).select(F.col("to").alias("id")), "id", "left_semi"), "path-layer"))
-    path, at = None, one.select(F.lit(goal).alias("id"))
+    rows, at = [], goal
     for k in range(len(layers) - 1, 0, -1):
         before = layers[k - 1].select(F.col("id").alias("to"))
-        hop = touching(at).join(before, "to").agg(F.min_by(F.struct("to", *columns), "edge_seq").alias("edge"))  # one row
-        hop = staged(hop, "path-hop")
-        row = hop.select(F.lit(k).alias("step"), *[F.col(f"edge.{c}") for c in columns])
-        path = row if path is None else path.unionByName(row)
-        at = hop.select(F.col("edge.to").alias("id"))
-    return path
+        here = F.col("source") == at  # a literal, which the scan of the edges filters by
+        ways = links.where(here | (F.col("target") == at)).withColumn("to", F.when(here, F.col("target")).otherwise(F.col("source")))
+        edge = ways.join(before, "to", "left_semi").agg(F.min_by(F.struct("to", *columns), "edge_seq").alias("edge")).first()["edge"]  # one row
+        rows.append((k, *[edge[c] for c in columns]))
+        at = edge["to"]
+    return spark.createDataFrame(rows, nothing.schema)
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:

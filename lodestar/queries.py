@@ -54,11 +54,16 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def entity_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Deduplicated edges; edge_seq follows the order of the tables, then the edge itself."""
+def numbered_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges with edge_seq by the order of the tables, then by the edge itself; repeated ones have equal numbers, which no traversal minds."""
     digest = F.substring(F.md5(F.concat_ws("|", "source", "target", "relationship", "label")), 1, 14)
     seq = F.col("rank").cast("long") * (1 << 56) + F.conv(digest, 16, 10).cast("long")
-    return graph.dedup_edges(raw_edges(spark, d).withColumn("edge_seq", seq).drop("rank"))
+    return raw_edges(spark, d).withColumn("edge_seq", seq).drop("rank")
+
+
+def entity_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The same, each edge once."""
+    return graph.dedup_edges(numbered_edges(spark, d))
 
 
 EDGES_SQL = """
@@ -352,12 +357,12 @@ WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, bfs(id, depth) AS (
 SELECT l.id, n.node_type, n.name, CAST(l.depth AS INT) AS depth, v.via FROM least l JOIN led v ON v.id = l.id LEFT JOIN nodes n ON n.id = l.id WHERE l.depth > 0"""
 )
 def impact_bfs(spark, d):
-    return graph.impact(entity_nodes(spark, d), entity_edges(spark, d), "Region.0", 3)
+    return graph.impact(entity_nodes(spark, d), numbered_edges(spark, d), "Region.0", 3)
 
 
 @query(IMPACT_SQL + "SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM least WHERE depth > 0 GROUP BY depth")
 def impact_summary(spark, d):
-    return graph.impact_summary(graph.impact(entity_nodes(spark, d), entity_edges(spark, d), "Region.0", 3))
+    return graph.impact_summary(graph.impact(entity_nodes(spark, d), numbered_edges(spark, d), "Region.0", 3))
 
 
 PATH_SQL = f"""WITH RECURSIVE {EDGES_SQL}, ways AS (SELECT source AS a, target AS b, * FROM edges UNION ALL SELECT target, source, * FROM edges),
@@ -367,7 +372,7 @@ bfs(id, depth) AS (SELECT 'Customer.1', 0 UNION SELECT b, depth + 1 FROM bfs JOI
 
 @query(PATH_SQL + "SELECT CAST(max(depth) AS INT) AS length FROM least WHERE id = 'Region.0'")
 def shortest_path_length(spark, d):
-    path = graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0")
+    path = graph.shortest_path(numbered_edges(spark, d), "Customer.1", "Region.0")
     return path.agg(F.max("step").alias("length"))
 
 
@@ -379,7 +384,7 @@ walk AS (SELECT * FROM up WHERE id = 'Region.0' UNION ALL SELECT up.* FROM walk
 SELECT CAST(depth AS INT) AS step, edge_seq, source, target, relationship FROM walk"""
 )
 def shortest_path(spark, d):
-    return graph.shortest_path(entity_edges(spark, d), "Customer.1", "Region.0")
+    return graph.shortest_path(numbered_edges(spark, d), "Customer.1", "Region.0")
 
 
 RELATED_SQL = f"""WITH {EDGES_SQL}, {NODES_SQL}, r AS (
@@ -487,7 +492,7 @@ def resolve_transitive(spark, d):
 SELECT id, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY id HAVING min(depth) > 0"""
 )
 def dependency_tree(spark, d):
-    return graph.dependencies(entity_edges(spark, d), "Order.1", 2)
+    return graph.dependencies(numbered_edges(spark, d), "Order.1", 2)
 
 
 @query(

@@ -13,6 +13,7 @@ from lodestar.functions import code, text
 from lodestar.operators import graph
 from lodestar.registry import query
 from lodestar.session import table
+from lodestar.staging import staged
 
 LINES = 17
 
@@ -80,9 +81,15 @@ def code_procedures(spark, d):
     return found.select("path", "name", "is_function", "is_export", "directive", "comment", "region", "start_line", "end_line", parameters.alias("parameters"), "signature")
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
+def _parsed(spark: SparkSession, d: str, what: str = "calls") -> tuple[DataFrame, DataFrame]:
+    """Procedures, and the rows of a kind with the procedure that holds each; every module is parsed once for either."""
     held = modules(spark, d)
-    return code.with_procedure(code.extract(held, "calls"), code.extract(held, "procedures"))
+    procedures = staged(code.extract(held, "procedures"), "procedures")
+    return procedures, code.with_procedure(code.extract(held, what), procedures)
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d)[1]
 
 
 @query(f"WITH {CALLS_SQL} SELECT path, name, object_name, CAST(argument_count AS INT) AS argument_count, CAST(line AS INT) AS line, false AS is_async, containing_procedure FROM calls")
@@ -184,15 +191,15 @@ def code_usages(spark, d):
     return code.with_procedure(found, code.extract(held, "procedures"))
 
 
-def _procedures(spark: SparkSession, d: str) -> DataFrame:
-    found = code.extract(modules(spark, d), "procedures")
+def _procedures(found: DataFrame) -> DataFrame:
     return found.select(code.procedure_id("path", "name").alias("id"), F.col("path").alias("module"), "path", "name", "is_export", "start_line")
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    sites = _calls(spark, d).where("containing_procedure is not null and object_name is null")
+    procedures, calls = _parsed(spark, d)
+    sites = calls.where("containing_procedure is not null and object_name is null")
     sites = sites.select(code.procedure_id("path", "containing_procedure").alias("caller"), F.col("path").alias("module"), "name", "line")
-    return graph.resolve_calls(sites, _procedures(spark, d))
+    return graph.resolve_calls(sites, _procedures(procedures))
 
 
 RESOLVED_SQL = f"""{CALLS_SQL}, resolved AS (SELECT c.path || '::' || c.containing_procedure AS caller, c.path AS module, c.name, CAST(c.line AS INT) AS line, p.path || '::' || p.name AS callee
@@ -226,13 +233,13 @@ def code_dependency_graph(spark, d):
     f"""WITH {CALLS_SQL} SELECT path, name, CAST(base + 4 AS INT) AS start_line FROM procs WHERE k % 3 <> 0 AND name NOT IN (SELECT name FROM calls) AND NOT (i = 2 AND k % 5 = 0)"""
 )
 def code_dead_procedures(spark, d):
-    held = _procedures(spark, d)
+    held = _procedures(code.extract(modules(spark, d), "procedures"))
     handlers = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("РАСЧЕТ"), "p_partkey", F.lit("_2")).alias("name"))
     return graph.dead_procedures(held, code.extract(modules(spark, d), "calls"), handlers).select("path", "name", "start_line")
 
 
 def _code_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = _procedures(spark, d).select("id", F.lit("Procedure").alias("node_type"), "name")
+    nodes = _procedures(code.extract(modules(spark, d), "procedures")).select("id", F.lit("Procedure").alias("node_type"), "name")
     calls = _resolved(spark, d).select(F.col("caller").alias("source"), F.col("callee").alias("target"), F.lit(graph.CALL).alias("relationship"), F.lit("").alias("label"))
     held = modules(spark, d)
     uses = code.with_procedure(code.extract(held, "references"), code.extract(held, "procedures"))
