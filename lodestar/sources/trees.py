@@ -219,11 +219,16 @@ def listed(manifest: DataFrame, found: DataFrame) -> DataFrame:
     return manifest.select(F.col("type").alias("metadata_type"), "name").distinct().join(found, ["metadata_type", "name"], "left")
 
 
-def subsystems(found: DataFrame) -> DataFrame:
-    """name, parent, synonym and content of the subsystems; the parent is the subsystem in whose folder the file lies, null at the top."""
+def _parent_folder() -> Column:
+    """The subsystem in whose folder a file lies, null at the top."""
     plain = F.url_decode(F.regexp_replace("path", r"\+", "%2B"))
     parent = F.regexp_extract(plain, r"/Subsystems/([^/.]+)(?:\.[^/]+)?/Subsystems/[^/]+(?:/[^/]+)?\.(?:xml|mdo)$", 1)
-    return found.where("metadata_type = 'Subsystem'").select("name", F.nullif(parent, F.lit("")).alias("parent"), "synonym", "content")
+    return F.nullif(parent, F.lit(""))
+
+
+def subsystems(found: DataFrame) -> DataFrame:
+    """name, parent, synonym and content of the subsystems; the parent is the subsystem in whose folder the file lies, null at the top."""
+    return found.where("metadata_type = 'Subsystem'").select("name", _parent_folder().alias("parent"), "synonym", "content")
 
 
 def _singular(plural: str) -> str:
@@ -331,38 +336,41 @@ def nodes(found: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """source, target, relationship and label of every reference between objects; targets need not exist."""
+    """source, target, relationship and label of every reference between objects; targets need not exist.  Objects are read once."""
     own = F.concat_ws(".", "metadata_type", "name").alias("source")
+    none = F.array().cast("array<struct<target:string,relationship:string,label:string>>")
+
+    def of(refs: Column, prefixes: dict[str, str] | None, relationship: str, kind: str | None = None) -> Column:
+        """refs: strings, or structs of ref and label; kind: of objects of that type only."""
+        plain = lambda x: x if prefixes is None else _mapped(x, prefixes)
+        made = F.transform(refs, lambda x: F.struct(plain(x["ref"]).alias("target"), F.lit(relationship).alias("relationship"), x["label"].alias("label")))
+        return F.coalesce(made if kind is None else F.when(F.col("metadata_type") == kind, made), none)
 
-    def of(column: Column, prefixes: dict[str, str] | None, relationship: str, label: Column | None = None) -> DataFrame:
-        each = found.select(own, F.explode(column).alias("x")).select("source", "x.*") if label is None else found.select(own, F.explode(column).alias("ref"), label.alias("label"))
-        target = F.col("ref") if prefixes is None else _mapped(F.col("ref"), prefixes)
-        return each.select("source", target.alias("target"), F.lit(relationship).alias("relationship"), "label").where("target is not null and target <> ''")
+    def unlabelled(refs: Column) -> Column:
+        return F.transform(refs, lambda x: F.struct(x.alias("ref"), F.lit("").alias("label")))
 
     def typed(attributes: Column | str) -> Column:
         return F.flatten(F.transform(attributes, lambda a: F.transform(a["types"], lambda t: F.struct(t.alias("ref"), a["name"].alias("label")))))
 
+    def based(x: Column) -> Column:
+        return F.when(x.contains("."), F.coalesce(_mapped(x, REFERENCE_TYPES), x)).otherwise(F.concat(F.lit("Document."), x))
+
     sections = F.flatten(F.transform("tabular_sections", lambda s: F.flatten(F.transform(s["attributes"], lambda a: F.transform(a["types"], lambda t: F.struct(t.alias("ref"), F.concat_ws(".", s["name"], a["name"]).alias("label")))))))
-    nothing = F.lit("")
     parts = [
         of(typed("attributes"), REFERENCE_TYPES, "attribute_reference"),
         of(sections, REFERENCE_TYPES, "tabular_reference"),
         of(typed("dimensions"), REFERENCE_TYPES, "dimension_type"),
         of(typed("resources"), REFERENCE_TYPES, "resource_type"),
-        of(F.when(F.col("metadata_type") == "Document", F.col("register_records")), OWNER_TYPES, "register_movement", nothing),
-        of(F.col("event_source"), OWNER_TYPES, "event_subscription", nothing),
-        of(F.array(F.regexp_extract("event_handler", r"^([^.]+\.[^.]+)", 1)), None, "subscription_handler", nothing),
-        of(F.array(F.regexp_extract("method_name", r"^([^.]+\.[^.]+)", 1)), None, "scheduled_job_method", nothing),
-        of(F.when(F.col("metadata_type") == "DefinedType", F.col("type_constituents")), REFERENCE_TYPES, "defined_type_contains", nothing),
-        of(F.when(F.col("metadata_type") == "CommonAttribute", F.col("content")), None, "common_attribute_usage", nothing),
-        of(F.when(F.col("metadata_type") == "Subsystem", F.col("content")), None, "subsystem_membership", nothing),
-        of(F.transform("forms", lambda f: F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f)), None, "form_ownership", nothing),
+        of(unlabelled(F.col("register_records")), OWNER_TYPES, "register_movement", "Document"),
+        of(unlabelled(F.col("event_source")), OWNER_TYPES, "event_subscription"),
+        of(unlabelled(F.array(F.regexp_extract("event_handler", r"^([^.]+\.[^.]+)", 1))), None, "subscription_handler"),
+        of(unlabelled(F.array(F.regexp_extract("method_name", r"^([^.]+\.[^.]+)", 1))), None, "scheduled_job_method"),
+        of(unlabelled(F.col("type_constituents")), REFERENCE_TYPES, "defined_type_contains", "DefinedType"),
+        of(unlabelled(F.col("content")), None, "common_attribute_usage", "CommonAttribute"),
+        of(unlabelled(F.col("content")), None, "subsystem_membership", "Subsystem"),
+        of(unlabelled(F.transform("forms", lambda f: F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f))), None, "form_ownership"),
+        of(unlabelled(F.transform("based_on", based)), None, "based_on"),
+        of(unlabelled(F.array(F.concat(F.lit("Subsystem."), _parent_folder()))), None, "subsystem_hierarchy", "Subsystem"),
     ]
-    based = F.when(F.col("ref").contains("."), F.coalesce(_mapped(F.col("ref"), REFERENCE_TYPES), F.col("ref"))).otherwise(F.concat(F.lit("Document."), F.col("ref")))
-    parts.append(found.select(own, F.explode("based_on").alias("ref")).select("source", based.alias("target"), F.lit("based_on").alias("relationship"), nothing.alias("label")))
-    inside = subsystems(found).where("parent is not null")
-    parts.append(inside.select(F.concat(F.lit("Subsystem."), "name").alias("source"), F.concat(F.lit("Subsystem."), "parent").alias("target"), F.lit("subsystem_hierarchy").alias("relationship"), nothing.alias("label")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    every = found.select(own, F.explode(F.concat(*parts)).alias("e")).select("source", "e.*")
+    return every.where("target is not null and target <> ''")
