@@ -160,9 +160,9 @@ def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 3) ->
             .select("id", F.lit(level).alias("depth"), "via")
         )
         step = staged(step, "impact-level")
-        if step.isEmpty():
-            break
         seen, frontier = seen.unionByName(step), step.select("id")
+        if level < depth and step.isEmpty():
+            break
     found = seen.where("depth > 0")
     return found.join(nodes.select("id", "node_type", "name"), "id", "left").select("id", "node_type", "name", "depth", "via")
 
@@ -239,9 +239,9 @@ def dependencies(edges: DataFrame, node_id: str, depth: int = 1, outgoing: bool
     for level in range(1, depth + 1):
         step = links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id")).distinct()
         step = staged(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth")), "dependency-level")
-        if step.isEmpty():
-            break
         seen, frontier = seen.unionByName(step), step.select("id")
+        if level < depth and step.isEmpty():
+            break
     return seen.where("depth > 0")
 
 
