@@ -789,3 +789,25 @@ def test_tables_live_as_long_as_their_readers(spark, small):
         gc.collect()
         shared.release(spark)
     assert len(shared._STAGED) <= held
+
+
+def test_mixing_with_joined_sources(spark, monkeypatch):
+    """Beyond the bound on broadcast sources the same documents are taken."""
+    r = random.Random(8)
+    docs = spark.createDataFrame([(k, "w " * r.randrange(30), "x", f"s{r.randrange(40)}" if k % 9 else None, 0) for k in range(1500)], DOCS)
+    want = sorted((x["doc_id"], x["taken"], x["rate"]) for x in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert sorted((x["doc_id"], x["taken"], x["rate"]) for x in mixing.mix(docs).collect()) == want
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    for master, local in (("local[4]", True), ("local[*]", True), ("local", True), ("local-cluster[3,2,1024]", False), ("spark://h:7077", False), ("yarn", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if local:
+            assert shared.shared_dir(session).startswith("file://")
+        else:
+            with pytest.raises(RuntimeError):
+                shared.shared_dir(session)
