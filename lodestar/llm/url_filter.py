@@ -57,15 +57,14 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Every string under which a rule that fits could be stored: longest first, of equally long ones the longer host. Host and path are kept apart by a NUL."""
-    if not host:
-        return []
-    hosts, at = [host], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    out = [(len(h) + n, len(h), f"{h}\0{path[:n]}") for h in hosts if h for n in lengths if n <= len(path)]
+def candidates(host: str, path: str, host_lengths: list[int], lengths: list[int]) -> list[str]:
+    """Every string under which a rule that fits could be stored: longest first, of equally long ones the longer host. Host and path are kept apart by a NUL.
+
+    Only suffixes as long as some rule's host are made, so a host of any number of
+    labels gives a bounded number of bounded strings.
+    """
+    hosts = [host[-h:] for h in host_lengths if 0 < h <= len(host) and (h == len(host) or host[-h - 1] == ".")]
+    out = [(len(h) + n, len(h), f"{h}\0{path[:n]}") for h in hosts for n in lengths if n <= len(path)]
     return [c for *_, c in sorted(out, reverse=True)]
 
 
@@ -130,11 +129,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
     """``pages`` with host, path, rule and verdict of its ``url``."""
     bounded_batches(pages.sparkSession)
     entries = {f"{r.host}\0{r.path}": r.verdict for r in rules}
-    lengths = sorted({len(r.path) for r in rules})
+    host_lengths, lengths = sorted({len(r.host) for r in rules}), sorted({len(r.path) for r in rules})
     image = SortedDigests.image(entries)
     if len(image) > max_index_bytes:
         listed = pages.sparkSession.createDataFrame([(k, v) for k, v in entries.items()], "candidate string, listed string")
-        return judge_urls_by_join(pages, listed, lengths, default)
+        return judge_urls_by_join(pages, listed, host_lengths, lengths, default)
     held, schema = _held(pages)
     sent = pages.sparkSession.sparkContext.broadcast(image)
 
@@ -142,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
         index = SortedDigests.of(sent)
         for batch in batches:
             split = [split_url(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
-            tried = [candidates(h, p, lengths) for h, p in split]
+            tried = [candidates(h, p, host_lengths, lengths) for h, p in split]
             found = iter(index.probe([c for each in tried for c in each]))
             rule, verdict = [], []
             for each in tried:
@@ -155,7 +154,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", max_
     return held.mapInArrow(run, schema)
 
 
-def judge_urls_by_join(pages: DataFrame, listed: DataFrame, lengths: list[int], default: str = "allow") -> DataFrame:
+def judge_urls_by_join(pages: DataFrame, listed: DataFrame, host_lengths: list[int], lengths: list[int], default: str = "allow") -> DataFrame:
     """The same for a list of any size: ``listed`` has (candidate, listed), candidate being host, NUL and path."""
     held, schema = _held(pages)
 
@@ -164,7 +163,7 @@ def judge_urls_by_join(pages: DataFrame, listed: DataFrame, lengths: list[int],
             urls = batch.column(0).to_pylist()
             split = [split_url(u) for u in urls]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h for h, _ in split]), pa.array([p for _, p in split]), pa.array([candidates(h, p, lengths) for h, p in split], pa.list_(pa.string()))],
+                [batch.column(0), pa.array([h for h, _ in split]), pa.array([p for _, p in split]), pa.array([candidates(h, p, host_lengths, lengths) for h, p in split], pa.list_(pa.string()))],
                 ["url", "host", "path", "tried"],
             )
 
