@@ -119,7 +119,9 @@ def edited_fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share
     firsts = staged(dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")), f"{tag}-firsts")
     order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row per range, at most 100,000
     before = firsts.select("doc_id", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(0)))).alias("bucket"))
-    guests = docs.join(F.broadcast(before), "doc_id").groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
+    # As a struct, doc_id is compared null-safe: the range of rows without one has a first document too.
+    named = before.select(F.struct("doc_id").alias("key"), "bucket")
+    guests = docs.withColumn("key", F.struct("doc_id")).join(F.broadcast(named), "key").groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     rows = dealt.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests.select("bucket", F.lit(1).alias("guest"), "doc_id", "text"))
     by = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), "text")
     n = F.length("text")
