@@ -6,11 +6,19 @@ and the gaps between them are aligned in the same way; a gap without anchors is
 closed by a longest common subsequence.  Coverage is the share of the template's words
 that are aligned.
 
-A stretch lies around each occurrence of as many template words, the rarest in the
-text first, as cannot all be missing at the coverage; it grows to the whole text
-until the alignment is as long as the longest common subsequence, which none can
-pass.  A text that lacks too many of a template's words, or has them in another
-order, cannot reach the coverage and is passed over, which loses nothing.
+What is aligned must lie together: of all words of the text from the first aligned one to
+the last, at least ``MIN_DENSITY`` are aligned.  Every gap is decided by what it costs: the
+longest run of aligned words that is dense counts, so sixty words put into a long license
+are bridged, and the words of a short one scattered over a text are no license.
+
+A run of n aligned words spans n / MIN_DENSITY words at most, so it lies in a window
+around any of its words.  Windows stand where one of as many template words occurs, the
+rarest in the text first, as cannot all be missing at the coverage; windows of three
+widths, the tightest first, each overlapping the next by all that a run can span, so their
+number, and the time, grow with the text and not with how often its words recur.  The run
+that is found is aligned once more with what stands next to it.  A text that lacks too
+many of a template's words, or has them in another order, cannot reach the coverage and is
+passed over, which loses nothing.
 
 Defined results: a null, empty or wordless text has no license and coverage 0;
 of several templates the best covered wins, then the longest, then the first listed, and
@@ -64,6 +72,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 MIN_COVERAGE = 0.8
+#: The least share of aligned words in the span from the first to the last.
+MIN_DENSITY = 0.5
 _FIELDS, _KINDS = ("license", "coverage", "first_word", "after_word"), (pa.string(), pa.float64(), pa.int32(), pa.int32())
 _WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 
@@ -169,8 +179,16 @@ class Template:
                 left = (left + both | left - both) & full
         return len(self.words) - left.bit_count()
 
+    def densest(self, pairs: list[tuple[int, int]], floor: int = 0) -> tuple[int, int, int]:
+        """How many pairs (over ``floor``) the longest dense run holds, and its first and last place in the text."""
+        for n in range(len(pairs), floor, -1):
+            for k in range(len(pairs) - n + 1):
+                if n >= MIN_DENSITY * (pairs[k + n - 1][0] - pairs[k][0] + 1):
+                    return n, pairs[k][0], pairs[k + n - 1][0]
+        return floor, 0, 0
+
     def best(self, words: list[str], places: dict[str, list[int]], least: float) -> tuple[float, int, int]:
-        """Coverage and the word span of the best aligned stretch, the tightest stretches first."""
+        """Coverage and the word span of the longest dense run of aligned words, the tightest windows first."""
         size, top, found = len(self.words), self.most(words), (0, 0, 0)
         if not top or top / size < least:
             return 0.0, 0, 0
@@ -181,23 +199,33 @@ class Template:
                 break
             spare -= self.counts[w]
             some.append(w)
-        offsets = {w: [k for k, x in enumerate(self.words) if x == w] for w in some}
-        slack, seen = size // 4 + 2, set()
+        at = sorted({x for w in some for x in places.get(w, ())})
+        for reach in (size + size // 4 + 2, math.ceil(1.5 * size) + 2, math.ceil(size / MIN_DENSITY)):
+            stride, seen = max(16, reach // 4), -1
+            for x in at:
+                if x // stride == seen:
+                    continue
+                seen = x // stride
+                a, b = max(0, seen * stride - reach), min(len(words), (seen + 1) * stride + reach)
+                floor = max(found[0], math.ceil(least * size - 1e-9) - 1)
+                n, first, last = self.densest([(a + i, j) for i, j in align(words[a:b], self.words)], floor)
+                if n > floor:
+                    found = self.widened(words, n, first, last)
+                if found[0] == top:
+                    break
+            if found[0] == top:
+                break
+        return (found[0] / size, found[1], found[2] + 1) if found[0] else (0.0, 0, 0)
+
+    def widened(self, words: list[str], n: int, first: int, last: int) -> tuple[int, int, int]:
+        """The run aligned anew with the words next to it: its ends may have been matched to words further off."""
         while True:
-            for w in some:
-                for at in places.get(w, ()):
-                    a, b = max(0, at - offsets[w][-1] - slack), min(len(words), at - offsets[w][0] + size + slack)
-                    if (a, b) in seen:
-                        continue
-                    seen.add((a, b))
-                    pairs = align(words[a:b], self.words)
-                    if len(pairs) > found[0]:
-                        found = (len(pairs), a + pairs[0][0], a + pairs[-1][0] + 1)
-                    if found[0] == top:
-                        return found[0] / size, found[1], found[2]
-            if slack >= len(words):
-                return found[0] / size, found[1], found[2]
-            slack *= 2
+            span = math.ceil(len(self.words) / MIN_DENSITY)
+            a, b = max(0, last + 1 - span), min(len(words), first + span)
+            again = self.densest([(a + i, j) for i, j in align(words[a:b], self.words)], n)
+            if again[0] <= n:
+                return n, first, last
+            n, first, last = again
 
 
 def scan(text: str | None, templates: list[Template], least: float = MIN_COVERAGE) -> tuple[str | None, float, int | None, int | None, list[dict]]:

@@ -244,6 +244,20 @@ def longest_common(a, b):
     return row[-1]
 
 
+def densest_common(a, b, density):
+    """The longest common subsequence of ``b`` and a stretch of ``a`` of which it makes up at least ``density``."""
+    best = 0
+    for start in range(len(a)):
+        row = [0] * (len(b) + 1)
+        for end in range(start, min(len(a), start + int(len(b) / density))):
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if a[end] == y else max(row[j + 1], row[j])
+            if row[-1] >= density * (end - start + 1):
+                best = max(best, row[-1])
+    return best
+
+
 def test_gaps_are_closed_exactly():
     r = random.Random(6)
     for _ in range(300):
@@ -267,6 +281,8 @@ def test_coverage_by_brute_force():
         for u in ready:
             best = longest_common(license_scan.words_of(text), u.words) / len(u.words)
             assert found.get(u.name, 0.0) <= best + 1e-9
+            if u is t and best >= 0.9 and len(u.words) < 60:
+                best = densest_common(license_scan.words_of(text), u.words, license_scan.MIN_DENSITY) / len(u.words)
             if u is t and best >= 0.9:
                 assert found[u.name] >= best - 0.1
 
