@@ -5,8 +5,10 @@ c_i is its token count over the mean of its source: of all rates that meet the
 source's token target, sum(rate_i size_i) = target, these are the closest in relative
 entropy to taking every document once.  lambda is the root of the dual's gradient,
 found by Newton's method: every round sums gradient and Hessian over the documents of
-every source in one distributed aggregate and keeps the root between bounds, which
-also serves where the bound on rates makes a step too long.  Documents of one source
+every source in one distributed aggregate and keeps the root between bounds. A step is at
+most a reach, which doubles each time it is too short, so a root at any distance is
+bracketed in a few rounds; between bounds, a step that leaves them or stays at one end
+is replaced by halving.  Documents of one source
 and size have equal terms, so the rounds read a table of their counts, which loses
 nothing.  Terms are summed as decimals, so the order of tasks changes no digit.
 
@@ -38,7 +40,9 @@ from lodestar.llm.shared import WORD_SPACE, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-NEWTON_ROUNDS, LONGEST_STEP, CLOSE = 100, 4.0, 1e-9
+NEWTON_ROUNDS, FIRST_REACH, CLOSE = 200, 4.0, 1e-9
+#: Bounds this close, relative to lambda, are one double apart or two.
+NARROW = 1e-15
 LARGE = 100
 MAX_BROADCAST_SOURCES = 100_000
 _EXACT = "decimal(38,9)"
@@ -91,12 +95,12 @@ def balanced(counts: DataFrame, by: DataFrame, most: float = MOST, tag: str = "m
     none = F.lit(None).cast("double")
     state = by.join(sums, "of", "left").select(
         *by.columns, (F.col("words") / F.col("n")).alias("mean"), F.lit(0.0).alias("lam"),
-        (F.col("target") >= float(most) * F.coalesce("words", F.lit(0)) * (1 - CLOSE)).alias("full"), none.alias("low"), none.alias("high"),
+        (F.col("target") >= float(most) * F.coalesce("words", F.lit(0)) * (1 - CLOSE)).alias("full"), none.alias("low"), none.alias("high"), F.lit(FIRST_REACH).alias("reach"),
     )
     state = staged(state.withColumn("settled", F.col("full") | (F.col("target") <= 0)), f"{tag}-dual0")
     for k in range(1, NEWTON_ROUNDS + 1):
         if state.where("not settled").isEmpty():
-            return state.drop("low", "high", "settled")
+            return state.drop("low", "high", "reach", "settled")
         rate = tilt(F.col("size"), most)
         words = F.col("n") * F.col("size") * rate
         free = F.when(rate < float(most), words * F.col("size") / F.col("mean")).otherwise(F.lit(0.0))
@@ -104,15 +108,21 @@ def balanced(counts: DataFrame, by: DataFrame, most: float = MOST, tag: str = "m
         per = per.agg(F.sum(words.cast(_EXACT)).cast("double").alias("reached"), F.sum(free.cast(_EXACT)).cast("double").alias("slope"))
         missed = F.col("reached") - F.col("target")
         state = state.join(per, "of", "left").withColumns({"low": F.when(missed < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(missed > 0, F.col("lam")).otherwise(F.col("high"))})
-        step = F.greatest(F.lit(-LONGEST_STEP), F.least(F.lit(LONGEST_STEP), -missed / F.col("slope")))
-        step = F.when(F.col("slope") > 0, step).otherwise(F.when(missed < 0, LONGEST_STEP).otherwise(-LONGEST_STEP))
+        up = F.when(missed < 0, 1.0).otherwise(-1.0)
+        newton = F.when(F.col("slope") > 0, F.abs(missed) / F.col("slope"))
+        short = F.coalesce(newton > F.col("reach"), F.lit(True))
+        step = up * F.when(short, F.col("reach")).otherwise(newton)
+        width = F.col("high") - F.col("low")
         inside = (F.coalesce(F.col("lam") + step > F.col("low"), F.lit(True))) & (F.coalesce(F.col("lam") + step < F.col("high"), F.lit(True)))
+        if k % 3 == 0:  # where Newton creeps along one bound
+            inside &= width.isNull() | (F.abs(step) > width / 4)
         near = F.abs(missed) <= CLOSE * F.col("target")
-        narrow = F.coalesce((F.col("high") - F.col("low")) <= CLOSE * CLOSE * F.abs(F.col("lam")), F.lit(False))
+        narrow = F.coalesce(width <= NARROW * F.greatest(F.abs("low"), F.abs("high")), F.lit(False))
         state = state.withColumns(
             {
                 "settled": F.col("settled") | near | narrow,
-                "lam": F.when(F.col("settled") | near, F.col("lam")).when(inside, F.col("lam") + step).otherwise((F.col("low") + F.col("high")) / 2),
+                "lam": F.when(F.col("settled") | near | narrow, F.col("lam")).when(inside, F.col("lam") + step).otherwise((F.col("low") + F.col("high")) / 2),
+                "reach": F.when(short, F.col("reach") * 2).otherwise(F.col("reach")),
             }
         ).drop("reached", "slope")
         state = staged(state, f"{tag}-dual{k}")
