@@ -3,7 +3,8 @@
 One refresh reads the files, passes over those whose hash is known, parses the rest,
 takes in what is new or changed, drops what is gone, and then does the same to all
 that was derived from an object: its graph node, the edges that start at it, and its
-embeddings.  Every table is published as a version, so readers see whole states only.
+embeddings.  All five tables change in one commit, so a refresh that fails leaves them
+as they were, one that is repeated finds nothing to do, and readers see whole states only.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import graph, store, vectors
+from lodestar.operators.tables import Change, Tables
 from lodestar.sources import trees
 from lodestar.staging import staged
 
@@ -22,17 +24,23 @@ KEY = ["metadata_type", "name"]
 def refresh(found: DataFrame, home: str) -> DataFrame:
     """Bring the tables under ``home`` up to the files (path, content) found; returns status and n (added, changed, removed, same).
 
-    Run twice on the same files, the second run changes nothing.
+    Run twice on the same files, the second run changes nothing.  If another writer
+    changes the tables meanwhile, the work is done again on its state.
     """
-    spark = found.sparkSession
+    counts: list[DataFrame] = []
+    Tables(found.sparkSession, home).transact(lambda change: counts.append(_refreshed(found, change)))
+    return counts[-1]
+
+
+def _refreshed(found: DataFrame, change: Change) -> DataFrame:
     files = found.withColumn("file_hash", F.md5("content"))
-    stored = store.current(spark, f"{home}/objects")
+    stored = change.read("objects")
     if stored is None:
         stored = trees.read_objects(found.limit(0))
-    known = store.current(spark, f"{home}/files")  # files that hold no object are known too
+    known = change.read("files")  # files that hold no object are known too
     known = (files.limit(0) if known is None else known).select("path", F.col("file_hash").alias("known"))
     state = files.join(known, "path", "full_outer").select(
-        "path", "content",
+        "path", "content", "file_hash",
         F.when(F.col("known").isNull(), "added").when(F.col("file_hash").isNull(), "removed").when(F.col("file_hash") != F.col("known"), "changed").otherwise("same").alias("status"),
     )
     state = staged(state.withColumn("content", F.when(F.col("status").isin("added", "changed"), F.col("content"))), "index-state")
@@ -41,14 +49,13 @@ def refresh(found: DataFrame, home: str) -> DataFrame:
         fresh = staged(trees.read_objects(state.where("content is not null").select("path", "content")), "index-fresh")
         stale = state.where("status in ('removed', 'changed')").select("path")
         gone = staged(stored.join(stale, "path", "left_semi").select(*KEY), "index-gone")
-        objects = staged(stored.join(stale, "path", "left_anti").unionByName(fresh), "index-objects")
-        _cascade(spark, home, fresh, gone)
-        store.publish(objects, f"{home}/objects")
-        store.publish(files.select("path", "file_hash"), f"{home}/files")
+        change.write("objects", stored.join(stale, "path", "left_anti").unionByName(fresh))
+        change.write("files", state.where("status <> 'removed'").select("path", "file_hash"))
+        _cascade(change, fresh, gone)
     return counts
 
 
-def _cascade(spark: SparkSession, home: str, fresh: DataFrame, gone: DataFrame) -> None:
+def _cascade(change: Change, fresh: DataFrame, gone: DataFrame) -> None:
     """Nodes, edges and embeddings of changed and removed objects go, those of new ones come."""
     ids = gone.select(store.full_name().alias("id"))
     for name, made, key in (
@@ -56,9 +63,9 @@ def _cascade(spark: SparkSession, home: str, fresh: DataFrame, gone: DataFrame)
         ("edges", graph.dedup_edges(graph.number_edges(trees.edges(fresh))), F.col("source")),
         ("embeddings", embeddings(fresh), text.base_id("id")),
     ):
-        old = store.current(spark, f"{home}/{name}")
+        old = change.read(name)
         kept = made if old is None else old.withColumn("__of", key).join(ids.select(F.col("id").alias("__of")), "__of", "left_anti").drop("__of").unionByName(made)
-        store.publish(kept, f"{home}/{name}")
+        change.write(name, kept)
 
 
 def embeddings(objects: DataFrame) -> DataFrame:
@@ -69,22 +76,33 @@ def embeddings(objects: DataFrame) -> DataFrame:
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, home: str) -> None:
-    """Replace the stored graph; edges are deduplicated."""
-    store.publish(nodes, f"{home}/nodes")
-    store.publish(graph.dedup_edges(edges), f"{home}/edges")
+    """Replace the stored graph, both tables at once; edges are deduplicated."""
+
+    def put(change: Change) -> None:
+        change.write("nodes", nodes)
+        change.write("edges", graph.dedup_edges(edges))
+
+    Tables(nodes.sparkSession, home).transact(put)
 
 
 def load_graph(spark: SparkSession, home: str, relationships: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The stored graph, with the edges of known kinds."""
-    return store.current(spark, f"{home}/nodes"), graph.known_edges(store.current(spark, f"{home}/edges"), relationships)
-
-
-def save_code_graph(edges: DataFrame, locations: DataFrame, home: str) -> None:
-    """Counts add to the stored ones; the locations of the edges saved replace theirs."""
-    spark, key = edges.sparkSession, ["source", "target", "edge_type"]
-    before, places = store.current(spark, f"{home}/code_edges"), store.current(spark, f"{home}/code_locations")
-    if before is not None:
-        edges = staged(graph.merge_code_edges(before, edges), "code-edges")
-        locations = staged(places.join(locations.select(*key).distinct(), key, "left_anti").unionByName(locations), "code-locations")
-    store.publish(edges, f"{home}/code_edges")
-    store.publish(locations, f"{home}/code_locations")
+    """The stored graph of one version, with the edges of known kinds."""
+    tables = Tables(spark, home)
+    version = tables.manifest()["version"]
+    return tables.read("nodes", version=version), graph.known_edges(tables.read("edges", version=version), relationships)
+
+
+def save_code_graph(edges: DataFrame, locations: DataFrame, home: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Counts add to the stored ones; the locations of the edges saved replace theirs.
+
+    Two writers at once both count.  With a ``writer`` and its ``batch`` number, a
+    repeated call counts once.
+    """
+    key = ["source", "target", "edge_type"]
+
+    def add(change: Change) -> None:
+        before, places = change.read("code_edges"), change.read("code_locations")
+        change.write("code_edges", edges if before is None else graph.merge_code_edges(before, edges))
+        change.write("code_locations", locations if places is None else places.join(locations.select(*key).distinct(), key, "left_anti").unionByName(locations))
+
+    Tables(edges.sparkSession, home).transact(add, writer, batch)

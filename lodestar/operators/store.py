@@ -1,12 +1,11 @@
 """The metadata store: keyed tables with lookup, search, upsert, diff and incremental loads.
 
 A store table is any DataFrame with a key; the usual one is (metadata_type, name).
-Everything here is a plan over it; writes stage a new table and swap it in.
+Everything here is a plan over it; writes are commits (``operators/tables.py``).
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestar.staging import staged
+from lodestar.operators.tables import Change, Tables
 
 
 def full_name(kind: str | Column = "metadata_type", name: str | Column = "name") -> Column:
@@ -125,88 +124,48 @@ def delete_by_prefix(rows: DataFrame, prefix: str, column: str = "id", like: boo
     return rows.where(~F.coalesce(hit, F.lit(False)))
 
 
-def swap(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace the plain table at ``path`` as a whole: written beside it, then renamed.
-
-    A failed write leaves the old table; between the two renames there is none.  Where
-    readers must never see that, use ``publish`` and ``current``.
-    """
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = {k: jvm.org.apache.hadoop.fs.Path(path + k) for k in ("", ".next", ".last")}
-    fs = paths[""].getFileSystem(conf)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path + ".next")
-    fs.delete(paths[".last"], True)
-    if fs.exists(paths[""]):
-        fs.rename(paths[""], paths[".last"])
-    fs.rename(paths[".next"], paths[""])
-    fs.delete(paths[".last"], True)
+def _split(path: str) -> tuple[str, str]:
+    home, name = path.rstrip("/").rsplit("/", 1)
+    return home, name
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """A new version of the table at ``path``; readers see the old one until its pointer is replaced, in one rename."""
-    spark = df.sparkSession
-    version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    jvm = spark.sparkContext._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(path), spark.sparkContext._jsc.hadoopConfiguration())
-    fs, pointer = _pointer(spark, path)
-    before = _version(spark, path)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fresh, pointer, replace)
-    if before:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{before}"), True)
-
-
-def current(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The published version of the table at ``path``; None if there is none."""
-    version = _version(spark, path)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/{version}") if version else None
+    """A new version of the table at ``path``; readers of the old one can finish."""
+    home, name = _split(path)
+    Tables(df.sparkSession, home).transact(lambda change: change.write(name, df))
 
 
-def _pointer(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published version of the table at ``path``; None if there is none."""
+    home, name = _split(path)
+    return Tables(spark, home).read(name)
 
 
-def _version(spark: SparkSession, path: str) -> str | None:
-    fs, pointer = _pointer(spark, path)
-    if not fs.exists(pointer):
-        return None
-    return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(pointer), "UTF-8")
+def upsert_buckets(changes: DataFrame, path: str, key: list[str], order: str, buckets: int = 64, writer: str | None = None, batch: int | None = None) -> None:
+    """Merge ``changes`` into the table at ``path``, which lies in buckets of its keys: only the buckets of changed keys are read and rewritten, at one moment.
 
+    The number of buckets is that of the table's first write.  A batch of a ``writer``
+    is taken in once.
+    """
+    home, name = _split(path)
 
-def upsert_buckets(changes: DataFrame, path: str, key: list[str], order: str, buckets: int = 64) -> None:
-    """Merge ``changes`` into the table at ``path``, which lies in buckets of its keys: only the buckets of changed keys are read and rewritten.
+    def merge(change: Change) -> None:
+        n = change.note(name).get("buckets", buckets)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+        touched = [str(r["b"]) for r in changes.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        old = change.read(name, touched)
+        new = latest(changes, key, [F.col(order).desc_nulls_last()]) if old is None else upsert(old, changes, key, order)
+        change.write_parts(name, new, bucket, note={"buckets": n})
 
-    The number of buckets is that of the table's first write.
-    """
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    new = staged(changes.withColumn("__bucket", bucket), "upsert-changes")
-    fs, p = _pointer(spark, path)
-    if fs.exists(p.getParent()):
-        touched = [r["__bucket"] for r in new.select("__bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = spark.read.parquet(path).where(F.col("__bucket").isin(touched)).select(*new.columns)
-        new = staged(upsert(old, new, key, order), "upsert-merged")
-    else:
-        new = latest(new, key, [F.col(order).desc_nulls_last()])
-    new.repartition("__bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__bucket").parquet(path)
+    Tables(changes.sparkSession, home).transact(merge, writer, batch)
 
 
 def bucketed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("__bucket")
+    return current(spark, path)
 
 
 def clear(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    swap(spark.createDataFrame([], schema), path)
+    publish(spark.createDataFrame([], schema), path)
 
 
 # --- comparison --------------------------------------------------------------

@@ -819,7 +819,7 @@ _dialect("tabular_section", "ВЫБРАТЬ т.l_orderkey, СУММА(т.l_linen
 
 
 # The others register themselves.
-from lodestar import queries_code, queries_streams, queries_trees  # noqa: E402, F401
+from lodestar import queries_code, queries_state, queries_streams, queries_trees  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

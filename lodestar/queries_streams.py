@@ -203,9 +203,9 @@ def vector_put(spark, d):
 def vector_rebuild(spark, d):
     home = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    vectors.rebuild(e.where("id % 2 = 0"), home)
-    vectors.rebuild(e, home)
-    return adopted(store.current(spark, home), home).select("id", F.size("embedding").alias("dims"))
+    vectors.rebuild(e.where("id % 2 = 0"), f"{home}/documents")
+    vectors.rebuild(e, f"{home}/documents")
+    return adopted(store.current(spark, f"{home}/documents"), home).select("id", F.size("embedding").alias("dims"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id = 11")
