@@ -56,11 +56,12 @@ def _refreshed(found: DataFrame, change: Change) -> DataFrame:
 
 
 def _cascade(change: Change, fresh: DataFrame, gone: DataFrame) -> None:
-    """Nodes, edges and embeddings of changed and removed objects go, those of new ones come."""
+    """Nodes, edges and embeddings of changed and removed objects go, those of new ones come; forms and edges go with the object that declares them."""
     ids = gone.select(store.full_name().alias("id"))
+    declared = graph.number_edges(trees.edges(fresh, owner=True)).groupBy("owner", *graph.EDGE_KEY).agg(F.min("edge_seq").alias("edge_seq"))
     for name, made, key in (
-        ("nodes", trees.nodes(fresh), F.col("id")),
-        ("edges", graph.dedup_edges(graph.number_edges(trees.edges(fresh))), F.col("source")),
+        ("nodes", trees.nodes(fresh), trees.owner_of("id")),
+        ("edges", declared, F.col("owner")),
         ("embeddings", embeddings(fresh), text.base_id("id")),
     ):
         old = change.read(name)
@@ -75,6 +76,17 @@ def embeddings(objects: DataFrame) -> DataFrame:
     return vectors.embed(objects.select(store.full_name().alias("id"), content.alias("content")))
 
 
+def reset(spark: SparkSession, home: str) -> None:
+    """Forget all that was indexed, every table at once; the next refresh reads all files."""
+
+    def forget(change: Change) -> None:
+        for name in ("files", "objects", "nodes", "edges", "embeddings"):
+            if change.read(name) is not None:
+                change.drop(name)
+
+    Tables(spark, home).transact(forget)
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, home: str) -> None:
     """Replace the stored graph, both tables at once; edges are deduplicated."""
 

@@ -12,7 +12,7 @@ from lodestar.queries_streams import _SESSIONS
 from lodestar.registry import query
 from lodestar.session import table
 from lodestar.staging import adopted, shared_dir
-from lodestar.streaming import changes, stateful
+from lodestar.streaming import changes, stateful, tree_source
 
 
 def _home(spark: SparkSession, tag: str) -> str:
@@ -122,3 +122,46 @@ def stream_limited_calls(spark, d):
 def stream_bursts(spark, d):
     """The last change of each burst, told when six hours have passed without another."""
     return _drained(spark, stateful.bursts(fed(spark, d), 21_600, "user_id", "ts", "event_type", _LATE)).where("path <> '-1'")
+
+
+# --- file changes ------------------------------------------------------------
+
+
+def _write_files(keys: DataFrame, tree: str, content: str | None) -> None:
+    """A file nation/key.xml per row, written or (without content) deleted by tasks."""
+
+    def put(rows) -> None:
+        fs, root = tree_source._open(tree)
+        for nation, key in rows:
+            path = f"{root}/{nation}/{key}.xml"
+            if content is None:
+                fs.delete_file(path)
+                continue
+            fs.create_dir(f"{root}/{nation}")
+            with fs.open_output_stream(path) as out:
+                out.write(content.encode())
+
+    keys.select("s_nationkey", "s_suppkey").foreachPartition(put)
+
+
+@query(
+    """SELECT 1 AS batch, s_suppkey, 'created' AS change_type FROM supplier WHERE s_suppkey % 10 <> 0
+UNION ALL SELECT 2, s_suppkey, CASE s_suppkey % 10 WHEN 0 THEN 'created' WHEN 1 THEN 'deleted' ELSE 'modified' END FROM supplier WHERE s_suppkey % 10 < 3"""
+)
+def stream_changed_files(spark, d):
+    """Two batches of a stream over a tree: all files at first, then what was created, deleted and modified."""
+    home = _home(spark, "tree")
+    spark.dataSource.register(tree_source.TreeChanges)
+    files, k = table(spark, d, "supplier"), F.col("s_suppkey")
+
+    def batch(n: int) -> DataFrame:
+        stream = spark.readStream.format("tree_changes").options(path=f"{home}/tree", log=f"{home}/listings", depth="1").load()
+        found = changes.next_batch(stream, f"{home}/run")
+        return found.select(F.lit(n).alias("batch"), F.regexp_extract("path", r"(\d+)\.xml$", 1).cast("long").alias("s_suppkey"), "change_type")
+
+    _write_files(files.where(k % 10 != 0), f"{home}/tree", "<a/>")
+    first = batch(1)
+    _write_files(files.where(k % 10 == 0), f"{home}/tree", "<a/>")
+    _write_files(files.where(k % 10 == 2), f"{home}/tree", "<longer/>")
+    _write_files(files.where(k % 10 == 1), f"{home}/tree", None)
+    return adopted(first, home).unionByName(batch(2))

@@ -153,7 +153,8 @@ def index_objects(spark, d):
 
 @query(
     f"""SELECT 'node' AS kind, 'Catalog.' || {PART} AS id, 1 AS n FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT 'embedding', 'Catalog.' || {PART}, 1 FROM part WHERE p_partkey % 5 <> 0
-UNION ALL SELECT 'edge', 'Catalog.' || {PART}, 5 FROM part WHERE p_partkey % 5 <> 0"""
+UNION ALL SELECT 'edge', 'Catalog.' || {PART}, 3 FROM part WHERE p_partkey % 5 <> 0
+UNION ALL SELECT kind, 'Catalog.' || {PART} || '.Form.' || form, 1 FROM (SELECT p_partkey, unnest(['ФормаЭлемента', 'Форма' || p_partkey % 4]) AS form FROM part WHERE p_partkey % 5 <> 0), (VALUES ('node'), ('edge')) v(kind)"""
 )
 def index_cascade(spark, d):
     """Nodes, edges and embeddings follow the objects they come from."""

@@ -11,6 +11,7 @@ from lodestar.plans import catalog, templates
 from lodestar.registry import query
 from lodestar.session import table
 from lodestar.sources import documents, trees
+from lodestar.staging import staged
 
 
 def _say(*parts) -> Column:
@@ -45,7 +46,7 @@ def others(spark: SparkSession, d: str) -> DataFrame:
     """One object per customer, of eight kinds in turn."""
     k = F.col("c_custkey")
     kinds = [
-        ("Document", "Doc", _say("<Posting>Allow</Posting><RegisterRecords><v8:Item>AccumulationRegister.Acc", k - 7 + k % 8, "</v8:Item></RegisterRecords><BasedOn><v8:Item>Doc", k - 8, "</v8:Item></BasedOn>"), F.lit("")),
+        ("Document", "Doc", _say("<Posting>Allow</Posting><RegisterRecords><v8:Item>AccumulationRegister.Acc", k - 7 + k % 8, "</v8:Item></RegisterRecords><BasedOn><v8:Item>Doc", k - 8, "</v8:Item></BasedOn><Produces><v8:Item>Doc", k + 8, "</v8:Item></Produces>"), F.lit("")),
         ("AccumulationRegister", "Acc", F.lit(""), _say(_named("Dimension", "Товар"), "<Type><v8:Type>cfg:CatalogRef.Part", k % 6, "</v8:Type></Type></Properties></Dimension>", _named("Resource", "Сумма"), "<Type><v8:Type>cfg:EnumRef.E", k % 2, "</v8:Type></Type></Properties></Resource>")),
         ("EventSubscription", "Sub", _say("<Source><v8:Type>cfg:DocumentObject.Doc", k - 2, "</v8:Type></Source><Handler>CommonModule.Module", k % 5, ".Handle</Handler>"), F.lit("")),
         ("ScheduledJob", "Job", _say("<MethodName>CommonModule.Module", k % 5, ".Run</MethodName>"), F.lit("")),
@@ -115,10 +116,11 @@ k AS (SELECT c_custkey AS k, c_custkey % 8 AS j FROM customer), tree_edges AS (
   SELECT 'Catalog.' || {PART} AS source, 'Catalog.Part' || p_partkey % 10 AS target, 'attribute_reference' AS relationship, 'Вид' AS label FROM part
   UNION ALL SELECT 'Catalog.' || {PART}, 'Document.Order' || p_partkey % 5, 'attribute_reference', 'Вид' FROM part
   UNION ALL SELECT 'Catalog.' || {PART}, 'Catalog.Part' || p_partkey % 3, 'tabular_reference', 'Состав.Товар' FROM part
-  UNION ALL SELECT 'Catalog.' || {PART}, 'Catalog.' || {PART} || '.Form.ФормаЭлемента', 'form_ownership', '' FROM part
-  UNION ALL SELECT 'Catalog.' || {PART}, 'Catalog.' || {PART} || '.Form.Форма' || p_partkey % 4, 'form_ownership', '' FROM part
+  UNION ALL SELECT 'Catalog.' || {PART} || '.Form.ФормаЭлемента', 'Catalog.' || {PART}, 'form_ownership', '' FROM part
+  UNION ALL SELECT 'Catalog.' || {PART} || '.Form.Форма' || p_partkey % 4, 'Catalog.' || {PART}, 'form_ownership', '' FROM part
   UNION ALL SELECT 'Document.Doc' || k, 'AccumulationRegister.Acc' || (k - 7 + j), 'register_movement', '' FROM k WHERE j = 0
   UNION ALL SELECT 'Document.Doc' || k, 'Document.Doc' || (k - 8), 'based_on', '' FROM k WHERE j = 0
+  UNION ALL SELECT 'Document.Doc' || k, 'Document.Doc' || (k + 8), 'produces', '' FROM k WHERE j = 0
   UNION ALL SELECT 'AccumulationRegister.Acc' || k, 'Catalog.Part' || k % 6, 'dimension_type', 'Товар' FROM k WHERE j = 1
   UNION ALL SELECT 'AccumulationRegister.Acc' || k, 'Enum.E' || k % 2, 'resource_type', 'Сумма' FROM k WHERE j = 1
   UNION ALL SELECT 'EventSubscription.Sub' || k, 'Document.Doc' || (k - 2), 'event_subscription', '' FROM k WHERE j = 2
@@ -127,8 +129,8 @@ k AS (SELECT c_custkey AS k, c_custkey % 8 AS j FROM customer), tree_edges AS (
   UNION ALL SELECT 'DefinedType.Def' || k, 'Catalog.Part' || k % 6, 'defined_type_contains', '' FROM k WHERE j = 4
   UNION ALL SELECT 'DefinedType.Def' || k, 'Document.Doc' || (k - 4), 'defined_type_contains', '' FROM k WHERE j = 4
   UNION ALL SELECT 'CommonAttribute.Com' || k, 'Catalog.Part' || k % 9, 'common_attribute_usage', '' FROM k WHERE j = 5
-  UNION ALL SELECT 'Subsystem.System' || k, 'Catalog.Part' || k % 9, 'subsystem_membership', '' FROM k WHERE j = 6
-  UNION ALL SELECT 'Subsystem.System' || k, 'Document.Doc' || (k - 6), 'subsystem_membership', '' FROM k WHERE j = 6
+  UNION ALL SELECT 'Catalog.Part' || k % 9, 'Subsystem.System' || k, 'subsystem_membership', '' FROM k WHERE j = 6
+  UNION ALL SELECT 'Document.Doc' || (k - 6), 'Subsystem.System' || k, 'subsystem_membership', '' FROM k WHERE j = 6
   UNION ALL SELECT 'Subsystem.System' || k, 'Subsystem.System' || (k - 8), 'subsystem_hierarchy', '' FROM k WHERE k % 16 = 14)
 """
 
@@ -141,7 +143,7 @@ def tree_edges(spark, d):
 @query(f"WITH {EDGES_SQL} SELECT relationship, count(*) AS n FROM (SELECT DISTINCT e.* FROM tree_edges e JOIN part ON target = 'Catalog.' || {PART}) GROUP BY relationship")
 def tree_graph_build(spark, d):
     """Edges of the built graph whose targets are nodes, by kind: deduplicated and joined to the nodes."""
-    found = _tree(spark, d)
+    found = staged(_tree(spark, d), "tree")  # parsed once, read for nodes and for edges
     nodes = trees.nodes(found).where("node_type = 'Catalog'")
     edges = graph.existing(graph.dedup_edges(graph.number_edges(trees.edges(found))), nodes)
     return edges.groupBy("relationship").agg(F.count("*").alias("n"))
@@ -214,6 +216,42 @@ def tree_modules(spark, d):
     return trees.read_modules(_sources(spark, d)).drop("path")
 
 
+_OWNERS = """o AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'CommonModule.M' WHEN 2 THEN 'Document.D' WHEN 3 THEN 'Catalog.Т' ELSE 'Catalog.C' END || n_nationkey AS owner,
+CASE n_nationkey % 4 WHEN 0 THEN 'CommonModule' WHEN 1 THEN 'FormModule' WHEN 2 THEN 'ObjectModule' ELSE 'ManagerModule' END AS module_type FROM nation)"""
+
+
+@query(f"WITH {_OWNERS} SELECT owner || '.Module.' || module_type AS id, module_type AS name, owner FROM o")
+def tree_module_nodes(spark, d):
+    """Modules as nodes, each with the edge to the object it belongs to."""
+    owned = trees.owned_modules(trees.read_modules(_sources(spark, d)))
+    edges = trees.module_edges(owned).select(F.col("source").alias("id"), F.col("target").alias("owner"))
+    return trees.module_nodes(owned).join(edges, "id").select("id", "name", "owner")
+
+
+@query(
+    """SELECT 'Catalog.Part' || p_partkey AS source, 'file:/c/Catalogs/Part' || p_partkey || '/Ext/ObjectModule.bsl::Расчет' || p_partkey || '_' || i AS target, 'procedure_ownership' AS relationship FROM part, unnest(range(1 + p_partkey % 3)) AS u(i)
+UNION ALL SELECT 'Catalog.Part' || p_partkey || '.Module.ObjectModule', 'Catalog.Part' || p_partkey, 'module_ownership' FROM part"""
+)
+def tree_procedure_edges(spark, d):
+    """From objects to the procedures of their modules, and from modules to their objects."""
+    from lodestar.functions import code
+    from lodestar.queries_code import modules
+
+    found = modules(spark, d).select(F.concat(F.lit("file:/c/"), "path").alias("path"), F.encode("content", "UTF-8").alias("content"))
+    read = staged(trees.read_modules(found), "modules")
+    return trees.module_edges(trees.owned_modules(read), code.extract(read, "procedures")).select("source", "target", "relationship")
+
+
+@query(
+    f"""WITH {EDGES_SQL} SELECT DISTINCT source AS id, relationship AS via FROM tree_edges WHERE target = 'Catalog.Part7'"""
+)
+def tree_dependents(spark, d):
+    """What depends on a catalog at one step: its forms and its users, and not the subsystems that list it."""
+    found = staged(_tree(spark, d), "tree")
+    edges = graph.dedup_edges(graph.number_edges(trees.edges(found)))
+    return edges.where("target = 'Catalog.Part7'").select(F.col("source").alias("id"), F.col("relationship").alias("via")).distinct()
+
+
 # --- extensions, reports, grids, forms ---------------------------------------
 
 
@@ -284,14 +322,16 @@ def report_union(spark, d):
 def _grids(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     body = _say(
-        "<SpreadsheetDocument><Rows><Row><Cell><Text>Title [Org", k, "]</Text></Cell></Row><Row><Cell><Text>[Item]</Text></Cell><Cell><Text>{Qty * ", k, "} &lt;b&gt; &lt;Name&gt; [Item]</Text></Cell></Row></Rows>",
+        "<SpreadsheetDocument><Rows><Row><Cell><Text>Title [Org", k, "]</Text></Cell></Row><Row><Cell><Text>[Item]</Text></Cell><Cell><Text>{Qty * ", k, "} &lt;b&gt; &lt;Name&gt; [Item]</Text></Cell></Row>",
+        "<Row><Cell><MergeDown>2</MergeDown><MergeRight>", k % 3 + 1, "</MergeRight><Text>Wide</Text></Cell><Cell><Text>After</Text></Cell><Cell><ColumnSpan>2</ColumnSpan></Cell><Cell><Parameter>Param</Parameter></Cell></Row></Rows>",
         "<Areas><Area><Name>Header</Name><Top>1</Top><Bottom>1</Bottom></Area><Area><Name>Строка</Name><Top>2</Top><Bottom>2</Bottom></Area><Area><Name>Left</Name><Left>1</Left><Right>1</Right></Area></Areas></SpreadsheetDocument>",
     )
     return _bytes(table(spark, d, "nation"), _say("g", k), body)
 
 
 @query(
-    """SELECT 'g' || n_nationkey AS doc, row, col, replace(text, '#', CAST(n_nationkey AS VARCHAR)) AS text FROM nation, (VALUES (1, 1, 'Title [Org#]'), (2, 1, '[Item]'), (2, 2, '{Qty * #} <b> <Name> [Item]')) v(row, col, text)"""
+    """SELECT 'g' || n_nationkey AS doc, row, CAST(col + CASE WHEN row = 3 AND col > 1 THEN n_nationkey % 3 ELSE 0 END AS INT) AS col, n_rows, CAST(CASE WHEN text = 'Wide' THEN n_nationkey % 3 + 1 ELSE 1 END AS INT) AS n_cols, replace(text, '#', CAST(n_nationkey AS VARCHAR)) AS text
+FROM nation, (VALUES (1, 1, 1, 'Title [Org#]'), (2, 1, 1, '[Item]'), (2, 2, 1, '{Qty * #} <b> <Name> [Item]'), (3, 1, 2, 'Wide'), (3, 2, 1, 'After'), (3, 5, 1, '[Param]')) v(row, col, n_rows, text)"""
 )
 def grid_cells(spark, d):
     return documents.read_cells(_grids(spark, d))
@@ -302,14 +342,14 @@ def grid_areas(spark, d):
     return documents.read_areas(_grids(spark, d)).select("doc", "name", "kind")
 
 
-@query("SELECT 'g' || n_nationkey AS doc, row, col, area FROM nation, (VALUES (1, 1, 'Header'), (2, 1, 'Строка'), (2, 2, 'Строка'), (1, 1, 'Left'), (2, 1, 'Left')) v(row, col, area)")
+@query("SELECT 'g' || n_nationkey AS doc, row, col, area FROM nation, (VALUES (1, 1, 'Header'), (2, 1, 'Строка'), (2, 2, 'Строка'), (1, 1, 'Left'), (2, 1, 'Left'), (3, 1, 'Left')) v(row, col, area)")
 def grid_cells_in_areas(spark, d):
     held = _grids(spark, d)
     return intervals.cells_in_areas(documents.read_cells(held), documents.read_areas(held)).select("doc", "row", "col", "area")
 
 
 @query(
-    """SELECT 'g' || n_nationkey AS doc, replace(name, '#', CAST(n_nationkey AS VARCHAR)) AS name, is_expression, row, col FROM nation, (VALUES ('Org#', false, 1, 1), ('Item', false, 2, 1), ('Qty * #', true, 2, 2), ('Name', false, 2, 2)) v(name, is_expression, row, col)"""
+    """SELECT 'g' || n_nationkey AS doc, replace(name, '#', CAST(n_nationkey AS VARCHAR)) AS name, is_expression, row, CAST(col + CASE WHEN row = 3 THEN n_nationkey % 3 ELSE 0 END AS INT) AS col FROM nation, (VALUES ('Org#', false, 1, 1), ('Item', false, 2, 1), ('Qty * #', true, 2, 2), ('Name', false, 2, 2), ('Param', false, 3, 5)) v(name, is_expression, row, col)"""
 )
 def grid_parameters(spark, d):
     return documents.parameters(documents.read_cells(_grids(spark, d)))

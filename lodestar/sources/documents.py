@@ -125,17 +125,31 @@ AREA_KINDS = {"header": ("шапка", "заголовок", "header"), "footer"
 
 
 def cells(spark: SparkSession, root: str, glob: str = "*.mxl") -> DataFrame:
-    """doc, row, col (from 1) and text of every cell that has one."""
+    """doc, row, col (from 1), n_rows and n_cols (how far the cell is merged) and text of every cell that has one."""
     return read_cells(files(spark, root, glob))
 
 
+def _span(cell: ET.Element, *names: str) -> int:
+    """How many rows or columns a cell takes: the first of these elements that holds a positive number, else 1."""
+    return next((int(t) for n in names if (t := _text(cell, n)).isdigit() and int(t) > 0), 1)
+
+
 def read_cells(found: DataFrame) -> DataFrame:
+    """A cell stands behind all columns that the cells before it in its row take, texts or not."""
+
     def parse(content: bytes, path: str) -> list[dict]:
-        e = _root(content)
-        rows = [r for r in _all(e, "Row")]
-        return [{"doc": path, "row": i, "col": j, "text": t} for i, r in enumerate(rows, 1) for j, c in enumerate([x for x in r if _tag(x) == "Cell"], 1) if (t := _text(c, "Text"))]
+        out = []
+        for row, r in enumerate(_all(_root(content), "Row"), 1):
+            col = 1
+            for c in [x for x in r if _tag(x) == "Cell"]:
+                wide = _span(c, "MergeRight", "ColumnSpan")
+                text = f"[{p}]" if (p := _text(c, "Parameter")) else _text(c, "Text")
+                if text:
+                    out.append({"doc": path, "row": row, "col": col, "n_rows": _span(c, "MergeDown", "RowSpan"), "n_cols": wide, "text": text})
+                col += wide
+        return out
 
-    return _rows(found, "doc string, row int, col int, text string", parse)
+    return _rows(found, "doc string, row int, col int, n_rows int, n_cols int, text string", parse)
 
 
 def areas(spark: SparkSession, root: str, glob: str = "*.mxl") -> DataFrame:

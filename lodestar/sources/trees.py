@@ -22,7 +22,7 @@ OBJECT = (
     "metadata_type string, name string, uuid string, synonym string, comment string, "
     f"attributes array<{_ATTRIBUTE}>, tabular_sections array<struct<name:string,synonym:string,attributes:array<{_ATTRIBUTE}>>>, "
     f"dimensions array<{_ATTRIBUTE}>, resources array<{_ATTRIBUTE}>, forms array<string>, templates array<string>, posting boolean, register_records array<string>, "
-    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, based_on array<string>, root_url string, url_templates array<struct<name:string,template:string>>, file_hash string, path string"
+    "event_source array<string>, event_handler string, method_name string, type_constituents array<string>, auto_use string, content array<string>, based_on array<string>, produces array<string>, root_url string, url_templates array<struct<name:string,template:string>>, file_hash string, path string"
 )
 
 
@@ -163,6 +163,7 @@ def parse_object(content: bytes, path: str = "") -> dict | None:
         "auto_use": _text(p, "AutoUse"),
         "content": _items(p, "Content"),
         "based_on": _items(p, "BasedOn"),
+        "produces": _items(p, "Produces") + _items(p, "ProducesDocuments"),
         "root_url": _text(p, "RootURL"),
         "url_templates": [{"name": _text(q, "Name"), "template": _text(q, "Template")} for c in _objects(e) if _tag(c) == "URLTemplate" for q in [_child(c, "Properties") if _child(c, "Properties") is not None else c]],
         "file_hash": hashlib.md5(content).hexdigest(),
@@ -331,19 +332,69 @@ def _mapped(column: Column, prefixes: dict[str, str]) -> Column:
     return F.when(kind.isNotNull(), F.concat_ws(".", kind, F.split_part(plain, F.lit("."), F.lit(2))))
 
 
+def _own() -> Column:
+    return F.concat_ws(".", "metadata_type", "name")
+
+
 def nodes(found: DataFrame) -> DataFrame:
-    return found.select(F.concat_ws(".", "metadata_type", "name").alias("id"), F.col("metadata_type").alias("node_type"), "name", "synonym")
+    """id, node_type, name and synonym of every object and every form of one.  Objects are read once."""
+    node = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("id", "node_type", "name", "synonym"), strict=True)])
+    own = F.array(node(_own(), F.col("metadata_type"), F.col("name"), F.col("synonym")))
+    forms = F.transform("forms", lambda f: node(F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f), F.lit("Form"), f, F.lit("")))
+    return found.select(F.inline(F.concat(own, F.coalesce(forms, F.filter(own, lambda _: F.lit(False))))))
+
+
+def owner_of(node: Column | str) -> Column:
+    """The object to which a node belongs: itself, or that of a form or module."""
+    return F.regexp_extract(node, r"^([^.]+\.[^.]+)", 1)
+
+
+def owned_modules(found: DataFrame) -> DataFrame:
+    """path, owner (its node) and module_type of modules (path, owner_type, owner, module) that lie in an object's folder."""
+    from lodestar.functions.code import FOLDERS
+
+    kinds = F.create_map(*[x for k, v in FOLDERS.items() for x in (F.lit(k), F.lit(v))])
+    of_form = F.col("path").rlike("/Forms/") | F.col("owner_type").isin("CommonForms", "CommonForm")
+    kind = F.when(F.col("module") != "Module", F.col("module")).when(of_form, "FormModule").otherwise("CommonModule")
+    known = F.when(F.col("owner_type").isin(*FOLDERS.values()), F.col("owner_type"))  # a type may stand for its folder
+    rows = found.withColumn("__kind", F.coalesce(kinds[F.col("owner_type")], known)).where("__kind is not null and owner is not null")
+    return rows.select("path", F.concat_ws(".", "__kind", "owner").alias("owner"), kind.alias("module_type"))
+
+
+def module_id(owner: str = "owner", module_type: str = "module_type") -> Column:
+    return F.concat_ws(".", owner, F.lit("Module"), module_type)
+
+
+def module_nodes(owned: DataFrame) -> DataFrame:
+    """Nodes of modules, as ``nodes``; the form modules of one object are one node."""
+    return owned.select(module_id().alias("id"), F.lit("Module").alias("node_type"), F.col("module_type").alias("name"), F.lit("").alias("synonym")).distinct()
+
+
+def module_edges(owned: DataFrame, procedures: DataFrame | None = None) -> DataFrame:
+    """As ``edges``: from each module to its object, and from the object to the procedures (path, name) of its modules."""
+    from lodestar.functions.code import procedure_id
+
+    out = owned.select(module_id().alias("source"), F.col("owner").alias("target"), F.lit("module_ownership").alias("relationship"), F.lit("").alias("label")).distinct()
+    if procedures is None:
+        return out
+    held = procedures.select("path", "name").join(owned.select("path", "owner"), "path")
+    return out.unionByName(held.select(F.col("owner").alias("source"), procedure_id("path", "name").alias("target"), F.lit("procedure_ownership").alias("relationship"), F.lit("").alias("label")))
+
 
+def edges(found: DataFrame, owner: bool = False) -> DataFrame:
+    """source, target, relationship and label of every reference between objects; targets need not exist.  Objects are read once.
 
-def edges(found: DataFrame) -> DataFrame:
-    """source, target, relationship and label of every reference between objects; targets need not exist.  Objects are read once."""
-    own = F.concat_ws(".", "metadata_type", "name").alias("source")
-    none = F.array().cast("array<struct<target:string,relationship:string,label:string>>")
+    Members point to what they belong to: an object to its subsystem, a form to its
+    object.  owner: also the object whose file declares the edge, which is not always
+    its source.
+    """
+    none = F.array().cast("array<struct<source:string,target:string,relationship:string,label:string>>")
 
-    def of(refs: Column, prefixes: dict[str, str] | None, relationship: str, kind: str | None = None) -> Column:
-        """refs: strings, or structs of ref and label; kind: of objects of that type only."""
+    def of(refs: Column, prefixes: dict[str, str] | None, relationship: str, kind: str | None = None, turned: bool = False) -> Column:
+        """refs: strings, or structs of ref and label; kind: of objects of that type only; turned: from the reference to the object."""
         plain = lambda x: x if prefixes is None else _mapped(x, prefixes)
-        made = F.transform(refs, lambda x: F.struct(plain(x["ref"]).alias("target"), F.lit(relationship).alias("relationship"), x["label"].alias("label")))
+        ends = lambda x: (plain(x["ref"]), _own()) if turned else (_own(), plain(x["ref"]))
+        made = F.transform(refs, lambda x: F.struct(ends(x)[0].alias("source"), ends(x)[1].alias("target"), F.lit(relationship).alias("relationship"), x["label"].alias("label")))
         return F.coalesce(made if kind is None else F.when(F.col("metadata_type") == kind, made), none)
 
     def unlabelled(refs: Column) -> Column:
@@ -367,10 +418,11 @@ def edges(found: DataFrame) -> DataFrame:
         of(unlabelled(F.array(F.regexp_extract("method_name", r"^([^.]+\.[^.]+)", 1))), None, "scheduled_job_method"),
         of(unlabelled(F.col("type_constituents")), REFERENCE_TYPES, "defined_type_contains", "DefinedType"),
         of(unlabelled(F.col("content")), None, "common_attribute_usage", "CommonAttribute"),
-        of(unlabelled(F.col("content")), None, "subsystem_membership", "Subsystem"),
-        of(unlabelled(F.transform("forms", lambda f: F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f))), None, "form_ownership"),
+        of(unlabelled(F.col("content")), None, "subsystem_membership", "Subsystem", turned=True),
+        of(unlabelled(F.transform("forms", lambda f: F.concat_ws(".", "metadata_type", "name", F.lit("Form"), f))), None, "form_ownership", turned=True),
         of(unlabelled(F.transform("based_on", based)), None, "based_on"),
+        of(unlabelled(F.transform("produces", based)), None, "produces"),
         of(unlabelled(F.array(F.concat(F.lit("Subsystem."), _parent_folder()))), None, "subsystem_hierarchy", "Subsystem"),
     ]
-    every = found.select(own, F.explode(F.concat(*parts)).alias("e")).select("source", "e.*")
-    return every.where("target is not null and target <> ''")
+    every = found.select(*([_own().alias("owner")] if owner else []), F.inline(F.concat(*parts)))
+    return every.where("target is not null and target <> '' and source is not null and source <> ''")

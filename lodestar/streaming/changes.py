@@ -60,8 +60,21 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return adopted(spark.read.schema(stream.schema).parquet(last), folder)
 
 
+def next_batch(stream: DataFrame, home: str) -> DataFrame:
+    """The rows of one more batch of a stream whose log lies under ``home``, as a table there."""
+    told: list[str] = []
+
+    def put(batch: DataFrame, k: int) -> None:
+        told.append(f"{home}/rows/{k}")
+        batch.write.mode("overwrite").parquet(told[-1])
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{home}/log").trigger(once=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(told[-1]) if told else spark.createDataFrame([], stream.schema)
+
+
 def file_stream(spark: SparkSession, path: str, glob: str = "*.{xml,bsl}") -> DataFrame:
-    """New files under ``path``: path, modificationTime, length, content.  A file source never reads a path twice; ``changed_files`` sees the rest."""
+    """New files under ``path``: path, modificationTime, length, content.  A file source never reads a path twice; ``tree_source`` sees changed and deleted files too."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
 

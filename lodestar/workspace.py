@@ -90,9 +90,14 @@ class Workspace:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        own = trees.nodes(self.objects).select("id", "node_type", "name")
+        own = trees.nodes(self.objects).unionByName(trees.module_nodes(self.owned)).select("id", "node_type", "name")
         return staged(own.unionByName(self.procedures.select("id", F.lit("Procedure").alias("node_type"), "name")), "nodes")
 
+    @cached_property
+    def owned(self) -> DataFrame:
+        """Modules that lie in an indexed object's folder."""
+        return trees.owned_modules(self.modules).join(self.objects.select(store.full_name().alias("owner")).distinct(), "owner", "left_semi")
+
     @cached_property
     def edges(self) -> DataFrame:
         named = lambda rows, kind: rows.select("source", "target", F.lit(kind).alias("relationship"), F.lit("").alias("label"))
@@ -100,7 +105,7 @@ class Workspace:
         uses = named(code.metadata_edges(self.references), graph.METADATA_REFERENCE)
         queries = code.with_procedure(code.extract(self.modules, "queries"), self.procedures, "start_line")
         reads = named(code.query_edges(queries), graph.QUERY_REFERENCE)
-        found = trees.edges(self.objects).unionByName(calls).unionByName(uses).unionByName(reads)
+        found = trees.edges(self.objects).unionByName(trees.module_edges(self.owned, self.procedures)).unionByName(calls).unionByName(uses).unionByName(reads)
         return staged(graph.existing(graph.dedup_edges(graph.number_edges(found)), self.nodes), "edges")
 
     @cached_property
@@ -131,9 +136,7 @@ class Workspace:
 @tool("metadata-init")
 def _init(w, full_reindex=False):
     if full_reindex:
-        for name in ("files", "objects"):
-            held = store.current(w.spark, f"{w.home}/{name}")
-            store.publish(held.limit(0), f"{w.home}/{name}")
+        index.reset(w.spark, w.home)
     return w.refresh()
 
 
