@@ -1,11 +1,24 @@
-"""Interval joins: points into the intervals that hold them, keyed first, ranged second."""
+"""Interval joins: points into the intervals that hold them, keyed first, ranged second.
+
+``containing`` pairs every point with all its intervals.  ``innermost`` asks for one
+interval a point only, and finds it by a sweep: points and bounds of all keys are sorted
+together and cut into chunks, a task walks its chunk with the open intervals on a heap,
+and of the intervals that span a whole chunk only the shortest is sent there.
+"""
 
 from __future__ import annotations
 
+import heapq
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.staging import hot_keys, salted_join, staged
+
 
 def containing(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, width: int | None = None, how: str = "inner") -> DataFrame:
     """Points joined to every interval of their key with start <= at <= end.
@@ -30,11 +43,77 @@ def containing(points: DataFrame, intervals: DataFrame, key: list[str], at: str,
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *kept)
 
 
-def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, point_id: list[str], width: int | None = None) -> DataFrame:
-    """Each point with the shortest interval that holds it (then the later start); points without one keep nulls."""
-    every = containing(points, intervals, key, at, start, end, width, how="left")
-    best = Window.partitionBy(*point_id).orderBy((F.col(end) - F.col(start)).asc_nulls_last(), F.col(start).desc())
-    return every.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
+def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, point_id: list[str] | None = None, chunk_rows: int = 200_000) -> DataFrame:
+    """Each point with the shortest interval of its key that holds it (then the later start); points without one keep nulls.
+
+    The work is a sort of points and bounds, whatever share of them one key holds and
+    however the intervals overlap.  Points and intervals are rows, repeated ones are
+    answered one by one (``point_id`` is not needed any more); rows with a null key,
+    place or bound, and intervals that end before they start, meet nothing.
+    """
+    held = staged(points.withColumn("__p", F.monotonically_increasing_id()), "sweep-points")
+    spans = staged(intervals.where(F.col(start) <= F.col(end)).withColumn("__i", F.monotonically_increasing_id()), "sweep-intervals")
+    k = F.struct(*[F.col(c) for c in key]).alias("k")
+    there = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in key])
+    none = F.lit(None).cast("double")
+    size, begun = F.col(end).cast("double") - F.col(start).cast("double"), F.col(start).cast("double")
+    bound = lambda at, kind: F.struct(F.col(at).cast("double").alias("place"), F.lit(kind).alias("kind"))
+    events = held.where(there & F.col(at).isNotNull()).select(k, bound(at, 1).alias("e"), F.col("__p").alias("id"), none.alias("size"), none.alias("begun"))
+    events = events.unionByName(spans.where(there).select(k, F.explode(F.array(bound(start, 0), bound(end, 2))).alias("e"), F.col("__i").alias("id"), size.alias("size"), begun.alias("begun")))
+    # Starts before points before ends of one place: what is open at a point is what holds it.
+    order = ["k", "place", "kind", "id"]
+    events = events.select("k", "e.place", "e.kind", "id", "size", "begun")
+    n = max(1, math.ceil(events.count() / chunk_rows))
+    dealt = events.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = staged(dealt.select(F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("seq"), "kind", "id", "size", "begun"), "sweep-events")
+    best = F.min(F.struct("size", (-F.col("begun")).alias("late"), "id"))
+    whole = dealt.where("kind <> 1").groupBy("id").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"), F.first("size").alias("size"), F.first("begun").alias("begun")).where("b - a > 1")
+    # Chunks a+1 to b-1 as at most two dyadic runs a level, so a long interval is no row per chunk.
+    levels = max(1, n.bit_length())
+    left, right = F.col("a") + 1, F.col("b")
+    runs = []
+    for level in range(levels):
+        lo, hi = F.ceil(left / (1 << level)), F.floor(right / (1 << level))
+        run = lambda x, level=level: F.struct(F.lit(level).alias("level"), x.cast("int").alias("node"))
+        runs += [F.when((lo < hi) & (lo % 2 == 1), run(lo)), F.when((lo + lo % 2 < hi) & (hi % 2 == 1), run(hi - 1))]
+    covers = whole.select("size", "begun", "id", F.explode(F.array_compact(F.array(*runs))).alias("r")).groupBy("r.level", "r.node").agg(best.alias("cover"))
+    chunks = dealt.sparkSession.range(n).select(F.col("id").cast("int").alias("chunk"))
+    above = chunks.select("chunk", F.posexplode(F.array(*[F.shiftright("chunk", level) for level in range(levels)])).alias("level", "node"))
+    over = above.join(covers, ["level", "node"]).groupBy("chunk").agg(F.min("cover").alias("cover"))
+    rows = dealt.join(F.broadcast(over), "chunk", "left")  # one row per chunk
+    found = rows.select("chunk", "seq", "kind", "id", "size", "begun", "cover.*").toDF("chunk", "seq", "kind", "id", "size", "begun", "cover_size", "cover_late", "cover_id")
+    hits = found.groupBy("chunk").applyInPandas(_sweep, "__p long, __i long")
+    named = spans.select("__i", *[F.col(c) for c in intervals.columns if c not in key])
+    # One interval may hold most points: its row is repeated for them.
+    per = hits.groupBy("__i").agg(F.count("*").alias("m"))
+    met = salted_join(hits, named, ["__i"], hot_keys(per, ["__i"]), F.col("__p")).drop("__i")
+    return held.join(met, "__p", "left").drop("__p")
+
+
+def _sweep(chunk: pd.DataFrame) -> pd.DataFrame:
+    """Every point of a chunk with the best open interval: (size, -start, id), the least."""
+    rows = chunk.sort_values("seq")
+    kinds, ids, sizes, begun = (rows[c].to_numpy() for c in ("kind", "id", "size", "begun"))
+    starts = set(ids[kinds == 0].tolist())
+    heap = [(float(s), -float(b), int(i)) for k, i, s, b in zip(kinds, ids, sizes, begun, strict=True) if k == 2 and int(i) not in starts]
+    cover = rows.iloc[0]
+    if not pd.isna(cover["cover_id"]):
+        heap.append((float(cover["cover_size"]), float(cover["cover_late"]), int(cover["cover_id"])))
+    heapq.heapify(heap)
+    closed: set[int] = set()
+    points, found = [], []
+    for k, i, s, b in zip(kinds.tolist(), ids.tolist(), sizes.tolist(), begun.tolist(), strict=True):
+        if k == 0:
+            heapq.heappush(heap, (s, -b, i))
+        elif k == 2:
+            closed.add(i)
+        else:
+            while heap and heap[0][2] in closed:
+                heapq.heappop(heap)
+            if heap:
+                points.append(i)
+                found.append(heap[0][2])
+    return pd.DataFrame({"__p": points, "__i": found}, dtype="int64")
 
 
 def cells_in_areas(cells: DataFrame, areas: DataFrame, key: str = "doc", height: int = 256) -> DataFrame:
