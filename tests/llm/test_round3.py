@@ -346,3 +346,37 @@ def test_mixing_near_the_cap(spark, sizes):
             q = state[s]
             reached = sum(k * n * (2.0 if q["full"] else min(2.0, math.exp(min(700, q["lam"] * k / q["mean"])))) for k, n in sizes)
             assert abs(reached - target) <= 1e-6 * target
+
+
+@pytest.mark.parametrize("least", [0, 28])
+def test_links_across_components(spark, monkeypatch, least):
+    """A bucket that many sets of one component and a few of others share: every link is found, and few pairs are looked at."""
+    from lodestar.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "MOST_FILTER_BITS", least)  # 0: the join in place of the filter
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(40)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[r.randrange(20, 40)] = f"e{k}"
+        texts.append(words)
+    for k in range(12):  # of other sizes, with the same rare words in front
+        texts.append([f"w{j}" for j in range(4)] + [f"z{k}x{j}" for j in range(r.choice([3, 30, 90]))])
+    texts += [texts[-1] + ["more"], texts[60] + ["x"], ["w0", "w1"], ["w0", "w1"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 4]) for i in range(max(1, len(t) - 3))} for t in texts]
+    comp = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    got = {q["doc_id"]: q["component_id"] for q in ngram_join.jaccard_groups(docs, words=4, percent=80).collect()}
+    assert [got[k] for k in range(len(texts))] == comp
+
+
+def test_the_filter_grows_with_what_is_wanted():
+    from lodestar.llm import ngram_join
+
+    assert [ngram_join.filter_bits(n) for n in (0, 10, 10_000, 1_000_000, 60_000_000)] == [16, 16, 18, 24, 28] and ngram_join.filter_bits(70_000_000) is None
