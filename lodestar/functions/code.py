@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.intervals import containing
+from lodestar.staging import staged
 
 LINES_TOGETHER = 256
 
@@ -131,6 +133,7 @@ _QUERY_WORD = re.compile(r"\s*(?:выбрать|select)\b", re.IGNORECASE)
 _TABLE = re.compile(rf"(?:\bиз|\bfrom|\bсоединение|\bjoin|,)\s+({_NAME}(?:\s*\.\s*{_NAME})+)", re.IGNORECASE)
 
 
+@lru_cache(maxsize=4096)
 def code_only(line: str) -> str:
     """The line with string contents blanked and the comment cut; columns stay as they are.
 
@@ -468,6 +471,25 @@ def extract(modules: DataFrame, what: str) -> DataFrame:
     return modules.select("path", "content").mapInArrow(run, schema)
 
 
+def extract_all(modules: DataFrame, kinds: list[str]) -> dict[str, DataFrame]:
+    """``extract`` of several kinds from one pass over the modules: every text is read once, the rows are one table."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, StructField, StructType, _parse_datatype_string
+
+    parts = {k: _parse_datatype_string(SCHEMAS[k]) for k in kinds}
+    schema = StructType([_parse_datatype_string("path string").fields[0], *[StructField(k, ArrayType(t)) for k, t in parts.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"path": p} | {k: _READERS[k](c) for k in kinds} for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if c]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    held = staged(modules.select("path", "content").mapInArrow(run, schema), "code-rows")
+    return {k: held.select("path", F.inline(k)) for k in kinds}
+
+
 def with_procedure(rows: DataFrame, procedures: DataFrame, at: str = "line") -> DataFrame:
     """Adds containing_procedure: the one whose lines hold the row.  Joined on path and runs of lines, so a huge module is no hot key."""
     spans = procedures.select("path", F.col("name").alias("containing_procedure"), F.col("start_line").alias("__from"), F.col("end_line").alias("__to"))

@@ -2,9 +2,10 @@
 
 ``edge_seq`` is the order in which edges were declared; every tie (which edge
 explains an impact, which of several shortest paths) is broken by it, so results
-do not depend on partitioning.  Traversals are level loops over edges that are
-written once: one equi-join of the frontier per level, which is a table in shared
-storage, and no level ever reaches the driver; only what ends the loop does.
+do not depend on partitioning.  Traversals are level loops.  A frontier of at most
+``FEW`` nodes becomes a filter that reaches the scan of the edges as they come; a larger
+one is an equi-join, and from the second such join on the edges are a table in shared
+storage.  A larger frontier never reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.window import Window
 from lodestar.staging import staged
 
 EDGE_KEY = ["source", "target", "relationship", "label"]
+#: How many nodes of a frontier are told to the scan one by one.
+FEW = 1000
 CALL, METADATA_REFERENCE, QUERY_REFERENCE = "procedure_call", "code_metadata_reference", "code_query_reference"
 
 
@@ -141,6 +144,22 @@ def unused(nodes: DataFrame, edges: DataFrame, relationships: list[str] | None =
 # --- traversals --------------------------------------------------------------
 
 
+class _Links:
+    """Edges to be met by frontiers, written once they are joined a second time."""
+
+    def __init__(self, edges: DataFrame, tag: str):
+        self.edges, self.tag, self.joins = edges, tag, 0
+
+    def at(self, column: str, ids: DataFrame, n: int) -> DataFrame:
+        """The edges whose ``column`` is one of the ``n`` nodes ``ids`` (id)."""
+        if n <= FEW:
+            return self.edges.where(F.col(column).isin([r["id"] for r in ids.select("id").collect()]))
+        self.joins += 1
+        if self.joins == 2:
+            self.edges = staged(self.edges, self.tag)
+        return self.edges.join(ids.select(F.col("id").alias(column)), column)
+
+
 def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
     """Everything that depends on a node: reverse breadth-first search.
 
@@ -148,20 +167,22 @@ def impact(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 3) ->
     led there).  The start is left out; a source that is no node keeps null type and name.
     """
     spark = edges.sparkSession
-    links = staged(edges.select("source", "target", "relationship", "edge_seq"), "impact-edges")
+    links = _Links(edges.select("source", "target", "relationship", "edge_seq"), "impact-edges")
     seen = spark.range(1).select(F.lit(node_id).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
-    frontier = seen.select("id")
+    frontier, n = seen.select("id"), 1
     for level in range(1, depth + 1):
         step = (
-            links.join(frontier.select(F.col("id").alias("target")), "target")
+            links.at("target", frontier, n)
             .groupBy(F.col("source").alias("id"))
             .agg(F.min_by("relationship", "edge_seq").alias("via"))
             .join(seen.select("id"), "id", "left_anti")
             .select("id", F.lit(level).alias("depth"), "via")
         )
-        step = staged(step, "impact-level")
+        if level < depth:
+            step = staged(step, "impact-level")
+            n = step.count()
         seen, frontier = seen.unionByName(step), step.select("id")
-        if level < depth and step.isEmpty():
+        if not n:
             break
     found = seen.where("depth > 0")
     return found.join(nodes.select("id", "node_type", "name"), "id", "left").select("id", "node_type", "name", "depth", "via")
@@ -185,12 +206,12 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     nothing = edges.select(F.lit(0).alias("step"), *columns).limit(0)
     if start == goal:
         return nothing
-    links = staged(edges.select(*columns), "path-edges")
+    links = _Links(edges.select(*columns), "path-edges")
 
-    def touching(ids: DataFrame) -> DataFrame:
-        """Every edge at one of ``ids`` (id), from there (at) to its other end (to)."""
-        out = links.join(ids.select(F.col("id").alias("source")), "source").withColumns({"at": F.col("source"), "to": F.col("target")})
-        into = links.join(ids.select(F.col("id").alias("target")), "target").withColumns({"at": F.col("target"), "to": F.col("source")})
+    def touching(ids: DataFrame, n: int) -> DataFrame:
+        """Every edge at one of the ``n`` nodes ``ids`` (id), from there (at) to its other end (to)."""
+        out = links.at("source", ids, n).withColumns({"at": F.col("source"), "to": F.col("target")})
+        into = links.at("target", ids, n).withColumns({"at": F.col("target"), "to": F.col("source")})
         return out.unionByName(into)
 
     one = spark.range(1)
@@ -200,7 +221,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
         here = min((start, goal), key=lambda k: sizes[k])
         other = goal if here == start else start
         known = _all(sides[here])
-        step = touching(sides[here][-1]).select(F.col("to").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+        step = touching(sides[here][-1], sizes[here]).select(F.col("to").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
         step = staged(step.withColumn("depth", F.lit(len(sides[here]))), f"path-level{tick}")
         sides[here].append(step)
         met = F.col("other").isNotNull()
@@ -214,12 +235,12 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     ahead, back = sides[start], sides[goal]
     layers = [x.select("id") for x in ahead[:-1]] + [staged(ahead[-1].select("id").join(back[-1].select("id"), "id", "left_semi"), "path-met")]
     for x in back[-2::-1]:
-        layers.append(staged(x.select("id").join(touching(layers[-1]).select(F.col("to").alias("id")), "id", "left_semi"), "path-layer"))
+        layers.append(staged(x.select("id").join(touching(layers[-1], layers[-1].count()).select(F.col("to").alias("id")), "id", "left_semi"), "path-layer"))
     rows, at = [], goal
     for k in range(len(layers) - 1, 0, -1):
         before = layers[k - 1].select(F.col("id").alias("to"))
         here = F.col("source") == at  # a literal, which the scan of the edges filters by
-        ways = links.where(here | (F.col("target") == at)).withColumn("to", F.when(here, F.col("target")).otherwise(F.col("source")))
+        ways = links.edges.where(here | (F.col("target") == at)).withColumn("to", F.when(here, F.col("target")).otherwise(F.col("source")))
         edge = ways.join(before, "to", "left_semi").agg(F.min_by(F.struct("to", *columns), "edge_seq").alias("edge")).first()["edge"]  # one row
         rows.append((k, *[edge[c] for c in columns]))
         at = edge["to"]
@@ -233,14 +254,17 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 def dependencies(edges: DataFrame, node_id: str, depth: int = 1, outgoing: bool = True) -> DataFrame:
     """id and least depth of what a node calls (or is called by) within ``depth`` steps."""
     here, there = ("source", "target") if outgoing else ("target", "source")
-    links = staged(edges.select("source", "target"), "dependency-edges") if depth > 1 else edges
+    links = _Links(edges.select("source", "target"), "dependency-edges")
     seen = edges.sparkSession.range(1).select(F.lit(node_id).alias("id"), F.lit(0).alias("depth"))
-    frontier = seen.select("id")
+    frontier, n = seen.select("id"), 1
     for level in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id")).distinct()
-        step = staged(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth")), "dependency-level")
+        step = links.at(here, frontier, n).select(F.col(there).alias("id")).distinct()
+        step = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"))
+        if level < depth:
+            step = staged(step, "dependency-level")
+            n = step.count()
         seen, frontier = seen.unionByName(step), step.select("id")
-        if level < depth and step.isEmpty():
+        if not n:
             break
     return seen.where("depth > 0")
 

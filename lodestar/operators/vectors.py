@@ -1,9 +1,7 @@
 """Vector search: documents with embeddings, exact and approximate cosine neighbours.
 
 Exact search for one vector is a projection and a top-k, all in the JVM.  Search
-for a table of queries sends the queries to every partition of the corpus only
-while their size is within ``MAX_QUERY_BYTES``; a larger table goes through in
-blocks of that size, each block against all rows.
+for a table of queries joins blocks of queries with blocks of documents.
 """
 
 from __future__ import annotations
@@ -16,13 +14,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.operators.store import latest, publish
 
 MAX_QUERY_BYTES = 64 << 20
+QUERY_BLOCK, DOC_BLOCK = 4096, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,44 +58,45 @@ def similar(docs: DataFrame, doc_id, limit: int = 10, id_column: str = "id", emb
     return scored.orderBy(F.desc("score"), id_column).limit(limit)
 
 
-def neighbours(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "id", embedding: str = "embedding", dims: int | None = None) -> DataFrame:
+def neighbours(docs: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "id", embedding: str = "embedding") -> DataFrame:
     """query_id, id, score and place of the k nearest documents of every query (query_id, embedding), itself left out.
 
-    Each partition keeps its own k best per query, so what is shuffled is
-    partitions x queries x k rows at most.
+    A stated set of queries against all rows: both sides are packed into blocks, every
+    query block meets every document block, and a meeting gives its own k best per
+    query (and what ties with the last), so no pair of rows is ever a row by itself and
+    neither side passes through the driver.  Each document travels once per query block.
     """
-    if dims is None:
-        first = queries.select(F.size(embedding).alias("n")).first()
-        dims = first["n"] if first else 0
-    per_block = max(1, MAX_QUERY_BYTES // max(8 * dims, 1))
-    blocks = max(1, math.ceil(queries.count() / per_block))
-    kind = dict(docs.dtypes)[id_column]
-    out = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", embedding).toPandas()  # a block of bounded size
-        sent = docs.sparkSession.sparkContext.broadcast((some["query_id"].to_numpy(), _unit(some[embedding])))
-
-        def best(batches, sent=sent):
-            ids, vectors = sent.value
-            if not len(ids):
-                return
-            for batch in batches:
-                batch = batch[batch["v"].map(lambda v: v is not None and len(v) == vectors.shape[1])]
-                if not len(batch):
-                    continue
-                own = batch["id"].to_numpy()
-                scores = vectors @ _unit(batch["v"]).T
-                scores[ids[:, None] == own[None, :]] = -2.0
-                n = min(k, len(own))
-                top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                # Everything that ties with the last one goes on, so the choice among ties is made globally.
-                floor = np.take_along_axis(scores, top, 1).min(1)
-                q, d = np.nonzero((scores >= floor[:, None]) & (scores > -2.0))
-                yield pd.DataFrame({"query_id": ids[q], "id": own[d], "score": scores[q, d]})
-
-        found = docs.select(F.col(id_column).alias("id"), F.col(embedding).alias("v")).mapInPandas(best, f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, score double")
-        out = found if out is None else out.unionByName(found)
-    out = out.withColumn("score", F.round("score", 6))
+    q = queries.select("query_id", F.col(embedding).alias("v")).where(F.size("v") > 0)
+    blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
+    asked = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
+    d = docs.select(F.col(id_column).alias("id"), F.col(embedding).alias("v")).where(F.size("v") > 0)
+    parts = max(1, math.ceil(d.count() / DOC_BLOCK))
+    held = d.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("held"))
+    met = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "b").select("held", "asked")
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", d.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def best(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                mine, theirs = batch.column("held")[r].values, batch.column("asked")[r].values
+                ids, asks = mine.field("id"), theirs.field("query_id")
+                own, wanted = mine.field("v").to_pylist(), theirs.field("v").to_pylist()
+                for size in {len(v) for v in wanted}:  # only vectors of one length are compared
+                    rows = np.array([x for x, v in enumerate(wanted) if len(v) == size])
+                    cols = np.array([x for x, v in enumerate(own) if len(v) == size], int)
+                    if not len(cols):
+                        continue
+                    scores = _unit([wanted[x] for x in rows]) @ _unit([own[x] for x in cols]).T
+                    some, few = ids.take(pa.array(cols)), asks.take(pa.array(rows))
+                    scores[np.asarray(few.to_pylist())[:, None] == np.asarray(some.to_pylist())[None, :]] = -2.0
+                    n = min(k, len(cols))
+                    top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                    # Everything that ties with the last one goes on, so the choice among ties is made globally.
+                    floor = np.take_along_axis(scores, top, 1).min(1)
+                    x, y = np.nonzero((scores >= floor[:, None]) & (scores > -2.0))
+                    yield pa.RecordBatch.from_arrays([few.take(pa.array(x)), some.take(pa.array(y)), pa.array(scores[x, y])], schema.names)
+
+    out = met.mapInArrow(best, schema).withColumn("score", F.round("score", 6))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 

@@ -233,9 +233,10 @@ def code_dependency_graph(spark, d):
     f"""WITH {CALLS_SQL} SELECT path, name, CAST(base + 4 AS INT) AS start_line FROM procs WHERE k % 3 <> 0 AND name NOT IN (SELECT name FROM calls) AND NOT (i = 2 AND k % 5 = 0)"""
 )
 def code_dead_procedures(spark, d):
-    held = _procedures(code.extract(modules(spark, d), "procedures"))
+    found = code.extract_all(modules(spark, d), ["procedures", "calls"])
+    held = _procedures(found["procedures"])
     handlers = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("РАСЧЕТ"), "p_partkey", F.lit("_2")).alias("name"))
-    return graph.dead_procedures(held, code.extract(modules(spark, d), "calls"), handlers).select("path", "name", "start_line")
+    return graph.dead_procedures(held, found["calls"], handlers).select("path", "name", "start_line")
 
 
 def _code_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
