@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import text
+from lodestar.functions import code, text
 from lodestar.operators import graph, store, vectors
 from lodestar.operators.tables import Change, Tables
 from lodestar.sources import trees
@@ -76,11 +76,49 @@ def embeddings(objects: DataFrame) -> DataFrame:
     return vectors.embed(objects.select(store.full_name().alias("id"), content.alias("content")))
 
 
+def code_chunks(modules: DataFrame, procedures: DataFrame) -> DataFrame:
+    """id, doc_type and content of what is embedded of the code: chunks of every procedure, and of every module's source.
+
+    modules: path, content, owner, module; procedures: as extracted, with path.
+    """
+    key = F.concat_ws(".", "owner", "module")
+    of = modules.select("path", key.alias("__of"))
+    named = procedures.join(of, "path").withColumn("owner", F.col("__of"))
+    parts = text.procedure_chunks(named.withColumn("base", code.procedure_id("path", "name")), ["base"]).withColumn("doc_type", F.lit("procedure"))
+    sources = text.module_chunks(modules.withColumn("base", F.col("path")), ["base"]).withColumn("doc_type", F.lit("module"))
+    both = parts.unionByName(sources).withColumn("id", text.chunk_id("base", "chunk_index", "chunk_total"))
+    # Procedures of one name in one module share an id; the first content by code point stands for it.
+    return both.groupBy("id", "doc_type").agg(F.min("content").alias("content"))
+
+
+def index_code(chunks: DataFrame, home: str) -> DataFrame:
+    """Bring the embeddings of code up to ``chunks`` (id, doc_type, content); returns how many were embedded, kept and dropped.
+
+    A chunk whose id and content are known keeps its embedding, so a repeated or
+    resumed run embeds only what is new.
+    """
+    counts: list[DataFrame] = []
+    chunks = staged(chunks.withColumn("content_hash", F.md5("content")), "code-chunks")
+    key = ["id", "doc_type", "content_hash"]
+
+    def put(change: Change) -> None:
+        held = change.read("code_embeddings")
+        held = vectors.embed(chunks.limit(0)) if held is None else held
+        fresh = staged(vectors.embed(chunks.join(held.select(*key), key, "left_anti")), "code-fresh")
+        kept = held.join(chunks.select(*key), key, "left_semi")
+        change.write("code_embeddings", kept.select(*fresh.columns).unionByName(fresh))
+        told = [fresh.select(F.lit("embedded").alias("status")), kept.select(F.lit("kept").alias("status")), held.join(chunks.select(*key), key, "left_anti").select(F.lit("dropped").alias("status"))]
+        counts.append(staged(told[0].unionByName(told[1]).unionByName(told[2]).groupBy("status").agg(F.count("*").alias("n")), "code-counts"))
+
+    Tables(chunks.sparkSession, home).transact(put)
+    return counts[-1]
+
+
 def reset(spark: SparkSession, home: str) -> None:
     """Forget all that was indexed, every table at once; the next refresh reads all files."""
 
     def forget(change: Change) -> None:
-        for name in ("files", "objects", "nodes", "edges", "embeddings"):
+        for name in ("files", "objects", "nodes", "edges", "embeddings", "code_embeddings"):
             if change.read(name) is not None:
                 change.drop(name)
 

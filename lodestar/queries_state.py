@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import code, compare, tables, text
-from lodestar.operators import call_graph, registers, trigrams, vector_index
+from lodestar.operators import call_graph, index, registers, trigrams, vector_index
 from lodestar.operators.tables import Change, Conflict, Tables
 from lodestar.queries import _TOKENS, MOVES_SQL, _token_sql, movements, objects
 from lodestar.queries_code import CALLS_SQL, PROCEDURES_SQL, modules
@@ -314,6 +314,27 @@ def calls_by_change(spark, d):
     return adopted(kept.edges(), home)
 
 
+@query(
+    f"""WITH {PROCEDURES_SQL}, s AS (SELECT CASE WHEN k % 2 = 0 AND k % 7 <> 0 AND k % 3 <> 0 THEN ['kept'] WHEN k % 2 = 0 AND k % 7 <> 0 THEN ['dropped', 'embedded'] WHEN k % 2 = 0 THEN ['dropped'] WHEN k % 7 <> 0 THEN ['embedded'] ELSE [] END AS status FROM procs)
+SELECT status, count(*) AS n FROM (SELECT unnest(status) AS status FROM s) GROUP BY status"""
+)
+def index_code_embeddings(spark, d):
+    """Embeddings of procedures brought up to date: what is known and unchanged is not embedded again."""
+    home = _home(spark, "code-embeddings")
+    k = F.regexp_extract("path", r"Part(\d+)/", 1).cast("long")
+
+    def chunks(found: DataFrame) -> DataFrame:
+        found = staged_as(found.withColumns({"owner": F.split_part("path", F.lit("/"), F.lit(2)), "module": F.lit("ObjectModule")}))
+        return index.code_chunks(found, code.extract(found, "procedures")).where("doc_type = 'procedure'")
+
+    every = modules(spark, d)
+    changed = F.when(k % 3 == 0, F.replace("content", F.lit("// Описание"), F.lit("// Текст"))).otherwise(F.col("content"))
+    index.index_code(chunks(every.where(k % 2 == 0)), home)
+    counts = index.index_code(chunks(every.where(k % 7 != 0).withColumn("content", changed)), home)
+    adopted(Tables(spark, home).read("code_embeddings"), home)
+    return counts
+
+
 # --- modules compared --------------------------------------------------------
 
 

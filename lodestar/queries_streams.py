@@ -191,22 +191,22 @@ def code_graph_save(spark, d):
 # --- vectors -----------------------------------------------------------------
 
 
-@query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 10 <> 3 OR vec_id % 2 = 1")
+@query("SELECT vec_id AS id, label, CASE WHEN vec_id % 10 <> 3 THEN embedding[len(embedding)] ELSE embedding[1] END AS first FROM embeddings WHERE vec_id % 10 <> 3 OR vec_id % 2 = 1")
 def vector_put(spark, d):
-    """Upsert by id; documents without an embedding are left out."""
+    """Upsert by id, the new embedding in place of the old one; documents without an embedding are left out."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     empty = F.array().cast("array<float>")
-    fresh = e.withColumn("embedding", F.when(F.col("id") % 10 == 3, empty).otherwise(F.col("embedding")))
-    return vectors.put(e.where("id % 10 <> 3 or id % 2 = 1").where("id % 3 = 0"), fresh.where("id % 10 <> 3").unionByName(e.where("id % 10 = 3 and id % 2 = 1"))).select("id", "label")
+    fresh = e.withColumn("embedding", F.when(F.col("id") % 10 == 3, empty).otherwise(F.reverse("embedding")))
+    return vectors.put(e.where("id % 10 <> 3 or id % 2 = 1").where("id % 3 = 0"), fresh.where("id % 10 <> 3").unionByName(e.where("id % 10 = 3 and id % 2 = 1"))).select("id", "label", F.get("embedding", 0).alias("first"))
 
 
-@query("SELECT vec_id AS id, CAST(len(embedding) AS INT) AS dims FROM embeddings")
+@query("SELECT vec_id AS id, CAST(len(embedding) AS INT) AS dims, embedding[1] AS first FROM embeddings")
 def vector_rebuild(spark, d):
     home = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    vectors.rebuild(e.where("id % 2 = 0"), f"{home}/documents")
+    vectors.rebuild(e.where("id % 2 = 0").withColumn("embedding", F.reverse("embedding")), f"{home}/documents")
     vectors.rebuild(e, f"{home}/documents")
-    return adopted(store.current(spark, f"{home}/documents"), home).select("id", F.size("embedding").alias("dims"))
+    return adopted(store.current(spark, f"{home}/documents"), home).select("id", F.size("embedding").alias("dims"), F.get("embedding", 0).alias("first"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id = 11")

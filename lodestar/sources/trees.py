@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -196,6 +197,20 @@ def read_objects(found: DataFrame) -> DataFrame:
     return _rows(found, OBJECT, lambda c, p: [o] if (o := parse_object(c, p)) and o["metadata_type"] != "Configuration" else [])
 
 
+def overlaid(spark: SparkSession, roots: list[str], glob: str = "*.{xml,mdo}") -> DataFrame:
+    """path and content of the files of several trees, the later roots over the earlier: of one object only the last tree's file counts.
+
+    Files that hold no object are kept from every root.
+    """
+    every = reduce(DataFrame.unionByName, [files(spark, r, glob).withColumn("__root", F.lit(k)) for k, r in enumerate(roots)])
+    if len(roots) == 1:
+        return every.drop("__root")
+    named = read_objects(every).select("path", "metadata_type", "name").join(every.select("path", "__root"), "path")
+    best = named.groupBy("metadata_type", "name").agg(F.max("__root").alias("__best"))
+    hidden = named.join(best, ["metadata_type", "name"]).where("__root < __best").select("path")
+    return every.join(hidden, "path", "left_anti").drop("__root")
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """type and name of everything the configuration lists, in both shapes of the manifest."""
     return read_manifest(files(spark, root, "Configuration.{xml,mdo}"))

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import code, text
+from lodestar.functions import code, compare, text
 from lodestar.operators import graph, index, registers, store, vectors
 from lodestar.plans import catalog, dialect, templates
 from lodestar.sources import documents, trees
@@ -35,17 +35,19 @@ def tool(name: str):
 class Workspace:
     """The tables behind the tools.
 
-    root: the tree; home: where its tables are kept; knowledge and templates: the
-    catalogs of ``plans.catalog`` and a table of code templates, where there are any.
+    root: the tree; overlays: trees whose objects stand over the root's, the last over
+    all; home: where its tables are kept; knowledge and templates: the catalogs of
+    ``plans.catalog`` and a table of code templates, where there are any.
     """
 
-    def __init__(self, spark: SparkSession, root: str, home: str, library: tuple[DataFrame, DataFrame, DataFrame] | None = None, platform: dict[str, DataFrame] | None = None, code_templates: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, root: str, home: str, library: tuple[DataFrame, DataFrame, DataFrame] | None = None, platform: dict[str, DataFrame] | None = None, code_templates: DataFrame | None = None, overlays: list[str] | None = None):
+        self.overlays = list(overlays or [])
         self.spark, self.root, self.home, self.library, self.platform, self.code_templates = spark, root, home, library, platform or {}, code_templates
         self.refresh()
 
     def refresh(self) -> DataFrame:
         """Take in what changed in the tree; all derived tables are made anew when next asked for."""
-        counts = index.refresh(trees.files(self.spark, self.root, "*.{xml,mdo}"), self.home)
+        counts = index.refresh(trees.overlaid(self.spark, [self.root, *self.overlays]), self.home)
         for name in [k for k, v in type(self).__dict__.items() if isinstance(v, cached_property)]:
             self.__dict__.pop(name, None)
         return counts
@@ -61,8 +63,16 @@ class Workspace:
 
     @cached_property
     def embeddings(self) -> DataFrame:
+        """Descriptions of objects, and chunks of code once those are indexed."""
         found = store.current(self.spark, f"{self.home}/embeddings")
-        return found.withColumn("doc_type", F.lit("metadata")).withColumn("object_type", F.split_part("id", F.lit("."), F.lit(1)))
+        found = found.withColumns({"doc_type": F.lit("metadata"), "object_type": F.split_part("id", F.lit("."), F.lit(1)), "module_type": F.lit(None).cast("string")})
+        of_code = store.current(self.spark, f"{self.home}/code_embeddings")
+        if of_code is None:
+            return found
+        path = F.regexp_replace(text.base_id("id"), "::[^:]*$", "")
+        owned = self.owned.select(F.col("path").alias("__path"), F.split_part("owner", F.lit("."), F.lit(1)).alias("object_type"), "module_type")
+        of_code = of_code.withColumn("__path", path).join(owned, "__path", "left")
+        return found.unionByName(of_code.select(*found.columns))
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -134,7 +144,9 @@ class Workspace:
 
 
 @tool("metadata-init")
-def _init(w, full_reindex=False):
+def _init(w, full_reindex=False, overlay_roots=None):
+    if overlay_roots is not None:
+        w.overlays = list(overlay_roots)
     if full_reindex:
         index.reset(w.spark, w.home)
     return w.refresh()
@@ -188,7 +200,7 @@ def _registers(w, document):
 
 @tool("metadata-references")
 def _references(w, type, name):  # noqa: A002
-    return trees.edges(store.point(w.objects, type, name)).select("target", "relationship", "label")
+    return trees.edges(store.point(w.objects, type, name)).where(F.col("source") == f"{type}.{name}").select("target", "relationship", "label")
 
 
 # --- configuration -----------------------------------------------------------
@@ -234,9 +246,22 @@ def _compared(spark: SparkSession, left: str, right: str) -> DataFrame:
 
 
 @tool("config-compare")
-def _compare(w, path_a, path_b, metadata_type=None):
+def _compare(w, path_a, path_b, metadata_type=None, include_modules=False):
+    """Objects by status; with the modules, also each procedure that differs, and how many of its lines came and went."""
     found = _compared(w.spark, path_a, path_b)
-    return found if metadata_type is None else found.where(F.col("metadata_type") == metadata_type)
+    found = found if metadata_type is None else found.where(F.col("metadata_type") == metadata_type)
+    if not include_modules:
+        return found
+    below = f"/((?:{'|'.join(code.FOLDERS)})/.*)$"
+    plain = lambda root: trees.modules(w.spark, root).withColumn("path", F.regexp_extract("path", below, 1)).where("path <> ''")
+    both = staged(compare.procedures(plain(path_a), plain(path_b)), "compared")
+    lines = compare.changed_lines(both).groupBy("path", "name").agg(F.count_if(F.col("change") == "added").alias("lines_added"), F.count_if(F.col("change") == "removed").alias("lines_removed"))
+    differ = both.where("status <> 'same'").join(lines, ["path", "name"], "left")
+    if metadata_type is not None:
+        kinds = F.create_map(*[x for k, v in code.FOLDERS.items() for x in (F.lit(k), F.lit(v))])
+        differ = differ.where(kinds[F.split_part("path", F.lit("/"), F.lit(1))] == metadata_type)
+    rows = differ.select(F.lit("Procedure").alias("metadata_type"), F.concat_ws("::", "path", "name").alias("name"), "status", "lines_added", "lines_removed")
+    return found.unionByName(rows, allowMissingColumns=True)
 
 
 @tool("diff-configurations")
@@ -435,15 +460,19 @@ def _code_references(w, node_id):
 
 
 @tool("embedding.index")
-def _embedding_index(w):
+def _embedding_index(w, scope="all"):
+    """scope: metadata, code or all."""
     w.refresh()
-    return vectors.stats(w.embeddings)
+    if scope in ("code", "all"):
+        index.index_code(index.code_chunks(w.modules, w.procedures), w.home)
+        w.__dict__.pop("embeddings", None)
+    return vectors.stats(w.embeddings if scope == "all" else w.embeddings.where((F.col("doc_type") == "metadata") == (scope == "metadata")))
 
 
 @tool("embedding.search")
-def _embedding_search(w, query, doc_type=None, object_type=None, limit=20):
+def _embedding_search(w, query, doc_type=None, object_type=None, limit=20, module_type=None):
     some = w.embeddings
-    for column, value in (("doc_type", doc_type), ("object_type", object_type)):
+    for column, value in (("doc_type", doc_type), ("object_type", object_type), ("module_type", module_type)):
         some = some if value is None else some.where(F.col(column) == value)
     return vectors.search(some, vectors.hash_vector(query).tolist(), limit).select("id", "content", "score")
 
