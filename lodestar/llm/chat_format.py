@@ -7,8 +7,9 @@ turns stay system turns (mask 0).
 
 A rendering is returned turn by turn, with the offsets of each segment and of its
 masked part in the whole rendering, so a conversation of any length is never
-gathered into one row or task: offsets come from sums per block of turns, then
-running sums within a block.
+gathered into one row or task: all turns are put in order by one sort over ranges and
+cut into blocks of ``BLOCK`` turns; offsets come from sums per block, then running sums
+within a block.  Turns without number, or with equal ones, are dealt like any others.
 
 Defined results: a conversation of system turns only has no perspective and no
 rows; null roles count as ``unknown`` and null texts as empty; in roles and texts
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.llm.shared import staged
+
 BLOCK = 4096
 
 
@@ -31,11 +34,15 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
-def perspectives(turns: DataFrame) -> DataFrame:
+def perspectives(turns: DataFrame, tag: str = "chat") -> DataFrame:
     """conv_id, perspective, turn, role, speaks_as, segment, start, after, mask_start, mask_after, mask."""
     # The conversation as a struct: equality then holds for a null conv_id too, and every step deals rows by the same key.
     role = F.replace(_plain(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), F.lit(" "))
     base = turns.select(F.struct("conv_id").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), role.alias("role"), _plain(F.coalesce("text", F.lit(""))).alias("text"))
+    # Equal rows are told apart by where they lie, so that they need not share a task.
+    order = ["conv", "turn", "role", "text", "salt"]
+    base = base.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order).sortWithinPartitions(*order)
+    base = staged(base.drop("salt").withColumn("seq", F.monotonically_increasing_id()), tag)
     who = base.where("role <> 'system'").select("conv", F.col("role").alias("perspective")).distinct()
     own = F.col("role") == F.col("perspective")
     speaks = F.when(own, "assistant").when(F.col("role") == "system", "system").otherwise("user")
@@ -43,12 +50,12 @@ def perspectives(turns: DataFrame) -> DataFrame:
     end = F.lit("<|end|>\n")
     size = (F.length(head) + F.length("text") + F.length(end)).cast("long")
     # Segments are put together last, so that a text travels once per perspective.
-    rows = base.join(who, "conv").withColumn("size", size).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    rows = base.join(who, "conv").withColumn("size", size).withColumn("block", F.floor(F.col("seq") / BLOCK))
     whole = ["conv", "perspective"]
     sums = rows.groupBy(*whole, "block").agg(F.sum("size").alias("held"))
     base_of = Window.partitionBy(*whole).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*whole, "block", F.coalesce(F.sum("held").over(base_of), F.lit(0)).alias("base"))
-    run = Window.partitionBy(*whole, "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(*whole, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(run), F.lit(0))).join(sums, [*whole, "block"])
     start = F.col("base") + F.col("within")
     return rows.select(

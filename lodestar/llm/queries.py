@@ -85,7 +85,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered from every participant's perspective, turn by turn with masks."""
-    return chat_format.perspectives(read(spark, sf_dir, "conversations"))
+    return chat_format.perspectives(read(spark, sf_dir, "conversations"), tag="op9")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
