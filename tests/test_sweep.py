@@ -16,8 +16,7 @@ def want(points, spans):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("chunk_rows", [7, 40, 10**6])
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize(("seed", "chunk_rows"), [(0, 7), (1, 7), (1, 40), (2, 40), (2, 10**6)])
 def test_innermost(spark, seed, chunk_rows):
     r = random.Random(seed)
     key = lambda: r.choice(["a"] * 8 + ["b", None])
