@@ -5,11 +5,13 @@ takes in what is new or changed, drops what is gone, and then does the same to a
 that was derived from an object: its graph node, the edges that start at it, and its
 embeddings.  All five tables change in one commit, so a refresh that fails leaves them
 as they were, one that is repeated finds nothing to do, and readers see whole states only.
+Files and objects lie in parts by path, what is derived in parts by object, so a change
+of a few files rewrites the parts of these only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import code, text
@@ -19,24 +21,34 @@ from lodestar.sources import trees
 from lodestar.staging import staged
 
 KEY = ["metadata_type", "name"]
+#: Files to a part, as a table is first written, and parts at most.
+FILES_EACH, MOST_PARTS = 2000, 1024
 
 
-def refresh(found: DataFrame, home: str) -> DataFrame:
+def refresh(found: DataFrame, home: str, parts: int | None = None) -> DataFrame:
     """Bring the tables under ``home`` up to the files (path, content) found; returns status and n (added, changed, removed, same).
 
     Run twice on the same files, the second run changes nothing.  If another writer
-    changes the tables meanwhile, the work is done again on its state.
+    changes the tables meanwhile, the work is done again on its state.  parts: into how
+    many the tables are cut at the first refresh; by default so many that each holds
+    about ``FILES_EACH`` files.
     """
     counts: list[DataFrame] = []
-    Tables(found.sparkSession, home).transact(lambda change: counts.append(_refreshed(found, change)))
+    Tables(found.sparkSession, home).transact(lambda change: counts.append(_refreshed(found, change, parts)))
     return counts[-1]
 
 
-def _refreshed(found: DataFrame, change: Change) -> DataFrame:
+def _bucket(key: str | Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def _parts(keys: DataFrame, n: int) -> list[str]:
+    """The parts that hold these keys (one column); at most ``n``."""
+    return sorted(str(r["b"]) for r in keys.select(_bucket(keys.columns[0], n).alias("b")).distinct().collect())
+
+
+def _refreshed(found: DataFrame, change: Change, parts: int | None) -> DataFrame:
     files = found.withColumn("file_hash", F.md5("content"))
-    stored = change.read("objects")
-    if stored is None:
-        stored = trees.read_objects(found.limit(0))
     known = change.read("files")  # files that hold no object are known too
     known = (files.limit(0) if known is None else known).select("path", F.col("file_hash").alias("known"))
     state = files.join(known, "path", "full_outer").select(
@@ -45,28 +57,38 @@ def _refreshed(found: DataFrame, change: Change) -> DataFrame:
     )
     state = staged(state.withColumn("content", F.when(F.col("status").isin("added", "changed"), F.col("content"))), "index-state")
     counts = staged(state.groupBy("status").agg(F.count("*").alias("n")), "index-counts")
-    if not state.where("status <> 'same'").isEmpty():
+    moved = state.where("status <> 'same'")
+    if not moved.isEmpty():
+        # The number of parts is that of the first refresh.
+        n = change.note("files").get("parts") or parts or max(4, min(MOST_PARTS, 1 << (state.count() // FILES_EACH).bit_length()))
+        touched = _parts(moved.select("path"), n)
         fresh = staged(trees.read_objects(state.where("content is not null").select("path", "content")), "index-fresh")
         stale = state.where("status in ('removed', 'changed')").select("path")
-        gone = staged(stored.join(stale, "path", "left_semi").select(*KEY), "index-gone")
-        change.write("objects", stored.join(stale, "path", "left_anti").unionByName(fresh))
-        change.write("files", state.where("status <> 'removed'").select("path", "file_hash"))
-        _cascade(change, fresh, gone)
+        stored = change.read("objects", touched)
+        gone, kept = fresh.limit(0).select(*KEY), fresh
+        if stored is not None:
+            gone = staged(stored.join(stale, "path", "left_semi").select(*KEY), "index-gone")
+            kept = stored.join(stale, "path", "left_anti").unionByName(fresh)
+        change.write_parts("objects", kept, _bucket("path", n), emptied=touched)
+        here = state.where((F.col("status") != "removed") & _bucket("path", n).isin([int(b) for b in touched]))
+        change.write_parts("files", here.select("path", "file_hash"), _bucket("path", n), emptied=touched, note={"parts": n})
+        _cascade(change, fresh, gone, n)
     return counts
 
 
-def _cascade(change: Change, fresh: DataFrame, gone: DataFrame) -> None:
+def _cascade(change: Change, fresh: DataFrame, gone: DataFrame, n: int) -> None:
     """Nodes, edges and embeddings of changed and removed objects go, those of new ones come; forms and edges go with the object that declares them."""
     ids = gone.select(store.full_name().alias("id"))
+    touched = _parts(ids.unionByName(fresh.select(store.full_name().alias("id"))), n)
     declared = graph.number_edges(trees.edges(fresh, owner=True)).groupBy("owner", *graph.EDGE_KEY).agg(F.min("edge_seq").alias("edge_seq"))
     for name, made, key in (
         ("nodes", trees.nodes(fresh), trees.owner_of("id")),
         ("edges", declared, F.col("owner")),
         ("embeddings", embeddings(fresh), text.base_id("id")),
     ):
-        old = change.read(name)
+        old = change.read(name, touched)
         kept = made if old is None else old.withColumn("__of", key).join(ids.select(F.col("id").alias("__of")), "__of", "left_anti").drop("__of").unionByName(made)
-        change.write(name, kept)
+        change.write_parts(name, kept, _bucket(key, n), emptied=touched)
 
 
 def embeddings(objects: DataFrame) -> DataFrame:

@@ -92,29 +92,30 @@ def state(spark, home):
     return {n: None if (t := tables.read(n)) is None else rows(t.select(*(["id"] if n in ("nodes", "embeddings") else ["source", "target"] if n == "edges" else ["name"] if n == "objects" else ["path", "file_hash"]))) for n in NAMES}
 
 
-@pytest.mark.parametrize("fails_at", range(6))
-def test_refresh_survives_a_stop_anywhere(spark, tmp_path, home, monkeypatch, fails_at):
-    """Stopped at each of its five writes, or at the commit: all tables as before; repeated: as after."""
+def test_refresh_survives_a_stop_anywhere(spark, tmp_path, home, monkeypatch):
+    """Stopped at each of its five writes, and at the commit: all tables as before; repeated: as after."""
     files = lambda *r: spark.createDataFrame(list(r), "path string, content binary")
     first, second = files(catalog(1), catalog(2)), files(catalog(2, "xs:string"), catalog(3))
     index.refresh(first, home)
-    before, calls = state(spark, home), []
-    with monkeypatch.context() as m:
-        def write(self, name, frame, note=None, go=Change.write):
-            calls.append(name)
-            if len(calls) == fails_at + 1:
+    before = state(spark, home)
+    for fails_at in range(6):
+        calls = []
+        with monkeypatch.context() as m:
+            def write(self, name, *rest, calls=calls, fails_at=fails_at, go=Change.write_parts, **more):
+                calls.append(name)
+                if len(calls) == fails_at + 1:
+                    raise OSError("stopped")
+                go(self, name, *rest, **more)
+
+            def put(*_):
                 raise OSError("stopped")
-            go(self, name, frame, note)
 
-        def put(*_):
-            raise OSError("stopped")
-
-        m.setattr(Change, "write", write)
-        if fails_at == 5:
-            m.setattr(Tables, "_put", put)
-        with pytest.raises(OSError, match="stopped"):
-            index.refresh(second, home)
-    assert state(spark, home) == before
+            m.setattr(Change, "write_parts", write)
+            if fails_at == 5:
+                m.setattr(Tables, "_put", put)
+            with pytest.raises(OSError, match="stopped"):
+                index.refresh(second, home)
+        assert len(calls) == min(fails_at + 1, 5) and state(spark, home) == before
     assert {r["status"]: r["n"] for r in index.refresh(second, home).collect()} == {"added": 1, "changed": 1, "removed": 1}
     assert {r["status"]: r["n"] for r in index.refresh(second, home).collect()} == {"same": 2}
     clean = "file://" + str(tmp_path / "clean")
@@ -122,6 +123,17 @@ def test_refresh_survives_a_stop_anywhere(spark, tmp_path, home, monkeypatch, fa
     assert state(spark, home) == state(spark, clean) and [r[0] for r in state(spark, home)["nodes"]] == ["Catalog.P2", "Catalog.P3"]
 
 
+def test_a_small_change_rewrites_few_parts(spark, home):
+    files = lambda *r: spark.createDataFrame(list(r), "path string, content binary")
+    many = [catalog(k) for k in range(40)]
+    index.refresh(files(*many), home, parts=64)
+    before = Tables(spark, home).manifest()["tables"]
+    index.refresh(files(*many[:39], catalog(39, "xs:string")), home)
+    after = Tables(spark, home).manifest()["tables"]
+    assert all(sum(before[n]["parts"][p] != after[n]["parts"].get(p) for p in before[n]["parts"]) == 1 and len(before[n]["parts"]) > 20 for n in NAMES if n != "edges")
+    assert {r["type"] for r in store.current(spark, f"{home}/objects").where("name = 'P39'").select(F.explode("attributes").alias("a")).select("a.type").collect()} == {"string"}
+
+
 def test_vacuum(spark, home, tmp_path):
     tables = Tables(spark, home)
     for n in (1, 2, 3):
