@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.shared import bounded_batches
+from lodestar.llm.shared import bounded_batches, frugal
 
 BITS = 15
 MAX_MODEL_BYTES = 256 << 20
@@ -80,7 +80,7 @@ def learn(docs: DataFrame, max_train_docs: int = 5000) -> tuple[list[str], np.nd
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(cells[at])], ["lang", "cell", "n"])
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "lang").mapInArrow(frugal(count), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most languages x 2**BITS rows, checked above
     dense = np.full((len(langs), 1 << BITS), 0.5)
     rows = np.searchsorted(langs, table["lang"].to_pylist())
@@ -141,4 +141,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], [*batch.schema.names, *own])
 
-    return held.mapInArrow(run, schema)
+    return held.mapInArrow(frugal(run), schema)
