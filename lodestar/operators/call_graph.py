@@ -19,16 +19,17 @@ from lodestar.operators.graph import resolve_calls
 from lodestar.operators.tables import Change, Tables
 from lodestar.staging import staged
 
-BUCKETS, MODULE_BUCKETS = 64, 16
+#: Rows to a part, as the tables are first written, and parts at most.
+ROWS_EACH, MOST_PARTS = 50_000, 1024
 PROCEDURE, CALL = "module string, name string, id string", "module string, caller string, name string, line int"
 
 
-def _of_name(name: str = "name") -> Column:
-    return F.pmod(F.xxhash64(F.lower(name)), F.lit(BUCKETS)).cast("int")
+def _of_name(n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lower("name")), F.lit(n)).cast("int")
 
 
-def _of_module(module: str = "module") -> Column:
-    return F.pmod(F.xxhash64(module), F.lit(MODULE_BUCKETS)).cast("int")
+def _of_module(n: int) -> Column:
+    return F.pmod(F.xxhash64("module"), F.lit(n)).cast("int")
 
 
 class CallGraph:
@@ -37,30 +38,35 @@ class CallGraph:
     def __init__(self, spark: SparkSession, home: str):
         self.spark, self.tables = spark, Tables(spark, home)
 
-    def refresh(self, modules: DataFrame, procedures: DataFrame, calls: DataFrame) -> None:
-        """``modules`` (module) were added, changed or removed; ``procedures`` and ``calls`` are all that they hold now."""
+    def refresh(self, modules: DataFrame, procedures: DataFrame, calls: DataFrame, parts: int | None = None) -> None:
+        """``modules`` (module) were added, changed or removed; ``procedures`` and ``calls`` are all that they hold now.
+
+        parts: into how many the tables are cut at the first call; by default as many as
+        its rows need.
+        """
         modules = staged(modules.select("module").distinct(), "calls-modules")
         procedures = staged(procedures.select("module", "name", "id"), "calls-procedures")
         calls = staged(calls.select("module", "caller", "name", "line"), "calls-calls")
 
         def put(change: Change) -> None:
-            places = [str(r["b"]) for r in modules.select(_of_module().alias("b")).distinct().collect()]  # at most MODULE_BUCKETS
+            n = change.note("procedures").get("parts") or parts or max(4, min(MOST_PARTS, 1 << ((procedures.count() + calls.count()) // ROWS_EACH).bit_length()))
+            places = [str(r["b"]) for r in modules.select(_of_module(n).alias("b")).distinct().collect()]  # at most the number of parts
             if not places:
                 return
             before = change.read("touches", places)
-            now = procedures.select("module", _of_name().alias("part")).unionByName(calls.select("module", _of_name().alias("part"))).distinct()
+            now = procedures.select("module", _of_name(n).alias("part")).unionByName(calls.select("module", _of_name(n).alias("part"))).distinct()
             named = now.select("part")
             if before is not None:
                 named = named.unionByName(before.join(modules, "module", "left_semi").select("part"))
-            parts = sorted(str(r["part"]) for r in named.distinct().collect())  # at most BUCKETS
-            kept = lambda name, fresh: fresh if (old := change.read(name, parts)) is None else old.join(modules, "module", "left_anti").unionByName(fresh)
+            held = sorted(str(r["part"]) for r in named.distinct().collect())
+            kept = lambda name, fresh: fresh if (old := change.read(name, held)) is None else old.join(modules, "module", "left_anti").unionByName(fresh)
             own, sites = staged(kept("procedures", procedures), "calls-own"), staged(kept("calls", calls), "calls-sites")
-            change.write_parts("procedures", own, _of_name(), emptied=parts)
-            change.write_parts("calls", sites, _of_name(), emptied=parts)
+            change.write_parts("procedures", own, _of_name(n), emptied=held, note={"parts": n})
+            change.write_parts("calls", sites, _of_name(n), emptied=held)
             edges = resolve_calls(sites, own).select("caller", "callee", "module", "line", "name")
-            change.write_parts("edges", edges, _of_name(), emptied=parts)
+            change.write_parts("edges", edges, _of_name(n), emptied=held)
             touches = now if before is None else before.join(modules, "module", "left_anti").unionByName(now)
-            change.write_parts("touches", touches, _of_module(), emptied=places)
+            change.write_parts("touches", touches, _of_module(n), emptied=places)
 
         self.tables.transact(put)
 

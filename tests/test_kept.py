@@ -88,7 +88,7 @@ def test_call_graph_by_change(spark, home):
             names = r.sample(["Ab", "aB", "c", "d", "e"], r.randrange(4))
             state[m] = ([(m, n, f"{m}::{n}") for n in names], [(m, f"{m}::{r.choice(names)}", r.choice(["AB", "c", "D", "e", "x"]), k) for k in range(4) if names])
         make = lambda i, mods, schema: spark.createDataFrame([x for m in mods if m in state for x in state[m][i]], schema)
-        kept.refresh(spark.createDataFrame([(m,) for m in touched], "module string"), make(0, touched, call_graph.PROCEDURE), make(1, touched, call_graph.CALL))
+        kept.refresh(spark.createDataFrame([(m,) for m in touched], "module string"), make(0, touched, call_graph.PROCEDURE), make(1, touched, call_graph.CALL), parts=7)
         full = graph.resolve_calls(make(1, state, call_graph.CALL), make(0, state, call_graph.PROCEDURE))
         assert rows(kept.edges(), "caller", "callee", "line") == rows(full, "caller", "callee", "line")
 
