@@ -69,7 +69,7 @@ def test_tree(spark, tree):
     assert (goods["synonym"], goods["attributes"][0]["types"], goods["attributes"][0]["indexed"], goods["tabular_sections"][0]["name"], goods["forms"]) == ("Товары", ["CatalogRef.Units", "String"], True, "Codes", ["List"])
     edges = {(r["source"], r["target"], r["relationship"]) for r in trees.edges(found).collect()}
     assert edges == {("Catalog.Goods", "Catalog.Units", "attribute_reference"), ("Catalog.Goods", "Catalog.Units", "tabular_reference"), ("Catalog.Goods.Form.List", "Catalog.Goods", "form_ownership")}
-    assert {r["id"] for r in trees.nodes(found).collect()} == {"Catalog.Goods", "Catalog.Units", "Role.Admin"}
+    assert {r["id"] for r in trees.nodes(found).collect()} == {"Catalog.Goods", "Catalog.Goods.Form.List", "Catalog.Units", "Role.Admin"}
     rights = trees.roles(spark, tree)
     assert rights.count() == 3
     (row,) = trees.rights_of(rights, "catalog.goods").collect()
