@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.staging import hot_keys, salted_join, staged
@@ -44,7 +45,7 @@ def containing(points: DataFrame, intervals: DataFrame, key: list[str], at: str,
 
 
 def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str, start: str, end: str, point_id: list[str] | None = None, chunk_rows: int = 200_000) -> DataFrame:
-    """Each point with the shortest interval of its key that holds it (then the later start); points without one keep nulls.
+    """Each point with the shortest interval of its key that holds it (then the later start, then the other columns in their order); points without one keep nulls.
 
     The work is a sort of points and bounds, whatever share of them one key holds and
     however the intervals overlap.  Points and intervals are rows, repeated ones are
@@ -52,7 +53,10 @@ def innermost(points: DataFrame, intervals: DataFrame, key: list[str], at: str,
     place or bound, and intervals that end before they start, meet nothing.
     """
     held = staged(points.withColumn("__p", F.monotonically_increasing_id()), "sweep-points")
-    spans = staged(intervals.where(F.col(start) <= F.col(end)).withColumn("__i", F.monotonically_increasing_id()), "sweep-intervals")
+    # The numbers follow the other columns, so they decide between equal intervals as these do.
+    tie = [F.col(f.name).asc_nulls_last() for f in intervals.schema if f.name not in (*key, start, end) and not isinstance(f.dataType, T.MapType)]
+    spans = intervals.where(F.col(start) <= F.col(end))
+    spans = staged((spans.orderBy(*tie) if tie else spans).withColumn("__i", F.monotonically_increasing_id()), "sweep-intervals")
     k = F.struct(*[F.col(c) for c in key]).alias("k")
     there = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in key])
     none = F.lit(None).cast("double")

@@ -42,3 +42,13 @@ def test_a_hot_key_is_dealt_out(spark):
     spans = spark.createDataFrame([("k", -1, 10_000)] + [("k", 100 * k, 100 * k + 9) for k in range(50)], "key string, lo long, hi long")
     got = intervals.innermost(points, spans, ["key"], "at", "lo", "hi", chunk_rows=200).groupBy("lo").count().collect()
     assert {q["lo"]: q["count"] for q in got} == {-1: 4500} | {100 * k: 10 for k in range(50)}
+
+
+def test_equal_intervals_go_by_their_other_columns(spark):
+    """Of intervals with equal bounds the one with the least other columns is told, wherever it lies."""
+    left = spark.createDataFrame([("a", 5, k) for k in range(4)], "key string, at int, tag int")
+    spans = [("a", 0, 9, name, n) for name, n in (("z", 1), ("m", 2), (None, 0), ("c", 7), ("c", 3), ("x", 0))]
+    for some in (spans, spans[::-1]):
+        right = spark.createDataFrame(some, "key string, lo int, hi int, name string, n int").repartition(3, "name")
+        got = intervals.innermost(left, right, ["key"], "at", "lo", "hi").collect()
+        assert {(q["name"], q["n"]) for q in got} == {("c", 3)} and len(got) == 4
