@@ -62,7 +62,7 @@ STAR_ROUNDS = 1
 #: How many earlier shingles of a set are kept beside each to tell where a pair first meets.
 SEEN = 32
 
-_SET = "doc_id long, key long, sig binary, n int, prefix array<long>, bins binary"
+_SET = "doc_id long, key long, sig binary, n int, prefix array<long>, last struct<rank:int,shingle:long>, bins binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
@@ -123,20 +123,23 @@ def shingle_sets(docs: DataFrame, words: int, percent: int, ranks: bytes) -> Dat
     def build(batches):
         order = np.frombuffer(sent.value, np.uint8)
         bits = len(order).bit_length() - 1
-        rows, held = ([], [], [], [], [], []), 0
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        rows, held = ([], [], [], [], [], [], []), 0
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.struct([("rank", pa.int32()), ("shingle", pa.int64())]), pa.binary())
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "key", "sig", "n", "prefix", "bins"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "key", "sig", "n", "prefix", "last", "bins"])
             for c in rows:
                 c.clear()
             return batch
 
         for doc, key, s in _sets(batches, words):
             p = prefix_length(len(s), percent)
-            by = np.lexsort((s, order[_cells(s, bits)]))[:p]
+            place = order[_cells(s, bits)]
+            by = np.lexsort((s, place))[:p]
+            # As Spark compares longs: the upper half of the unsigned ones after the lower.
+            last = {"rank": int(place[by[-1]]), "shingle": int(s[by[-1]]) - (1 << 63)} if p else None
             bins = np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16)
-            for c, v in zip(rows, (doc, key, xxhash.xxh3_128_digest(s.tobytes()), len(s), signed(s[by]), bins.tobytes()), strict=True):
+            for c, v in zip(rows, (doc, key, xxhash.xxh3_128_digest(s.tobytes()), len(s), signed(s[by]), last, bins.tobytes()), strict=True):
                 c.append(v)
             held += p + 100
             if held > 500_000:
@@ -153,19 +156,19 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def postings(reps: DataFrame, percent: int, tag: str) -> DataFrame:
-    """shingle, node, doc, n, pos, shared and odd for the prefix shingles of two nodes or more.
+    """shingle, node, doc, n, pos, last, shared and odd for the prefix shingles of two nodes or more.
 
     shared counts the node's earlier prefix shingles that other nodes have in their
-    prefix too, odd all those that none has.
+    prefix too, odd all those that none has; last is the place of the prefix's last one.
     """
-    every = reps.select("node", "doc", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    every = reps.select("node", "doc", "n", "last", F.posexplode("prefix").alias("pos", "shingle"))
     shared_by = every.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
     some = staged(every.join(shared_by, "shingle", "left_semi"), f"{tag}-shared")
     by_node = Window.partitionBy("node")
     n = F.col("n").cast("long")
     length = n - F.floor((percent * n + 99) / 100) + 1
     out = some.select(
-        "shingle", "node", "doc", "n", "pos",
+        "shingle", "node", "doc", "n", "pos", "last",
         (F.row_number().over(by_node.orderBy("pos")) - 1).alias("shared"),
         (length - F.count("*").over(by_node)).cast("int").alias("odd"),
     )
@@ -179,12 +182,16 @@ def _may(a: str, b: str, percent: int, first: bool = False):
 
     A shingle that comes before it in both sets is in both prefixes, so at most
     ``shared`` of the earlier ones can be common; of the later ones, as many as
-    the smaller rest, and none of the prefix that no other node has in its own.
+    the smaller rest.  What a prefix holds and no other prefix does may still be in the
+    other set, beyond its prefix: only of the set whose prefix ends first it cannot be,
+    and of the other set what comes before the shingle cannot.
     first: no shingle in ``seen`` of both is common; where that holds all earlier
     ones, none of these counts.
     """
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = [F.col(f"{x}.n") - F.col(f"{x}.odd") - F.col(f"{x}.shared") for x in (a, b)]
+    ends = [F.col(f"{a}.last") <= F.col(f"{b}.last"), F.col(f"{b}.last") <= F.col(f"{a}.last")]
+    # pos counts the earlier ones of both kinds.
+    rest = [F.col(f"{x}.n") - F.when(e, F.col(f"{x}.odd") + F.col(f"{x}.shared")).otherwise(F.col(f"{x}.pos")) for x, e in zip((a, b), ends, strict=True)]
     early = F.least(f"{a}.shared", f"{b}.shared")
     if first:
         early = F.when(F.greatest(f"{a}.shared", f"{b}.shared") <= SEEN, 0).otherwise(early)
@@ -331,7 +338,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, tag: str) -> tuple[DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = sketch_bits(docs.count())
     sets = staged(shingle_sets(docs.withColumn("key", text_key()), words, percent, frequency_ranks(docs, words, bits)), f"{tag}-prefix")
-    once = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    once = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"), F.first("bins").alias("bins"))
     # The number of a node is its place in this table, fixed once that is written.
     reps = staged(once.withColumn("node", F.monotonically_increasing_id()), f"{tag}-reps")
     rows = staged(sets.select("doc_id", "key", "n", "sig"), f"{tag}-rows")
@@ -352,7 +359,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, tag: str) -> tuple[DataF
             # Each bucket elects a hub, in later rounds at random; each node keeps two of its hubs.
             draw = F.xxhash64("node", "shingle", F.lit(r))
             rank = F.struct((F.col("odd") / F.col("n")).alias("odd"), draw.alias("draw")) if r == 0 else F.struct(draw.alias("draw"))
-            hubs = now.groupBy("shingle").agg(F.min_by(F.struct("node", "doc", "n", "pos", "shared", "odd", "comp"), rank).alias("h")).select("shingle", "h.*")
+            hubs = now.groupBy("shingle").agg(F.min_by(F.struct("node", "doc", "n", "pos", "last", "shared", "odd", "comp"), rank).alias("h")).select("shingle", "h.*")
             star = (
                 now.alias("p").join(hubs.alias("h"), "shingle").where((F.col("p.comp") != F.col("h.comp")) & _may("p", "h", percent))
                 .groupBy(F.col("p.node").alias("node"))

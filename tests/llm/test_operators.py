@@ -827,3 +827,13 @@ def test_a_cluster_must_name_the_shared_folder():
         else:
             with pytest.raises(RuntimeError):
                 shared.shared_dir(session)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_a_text_links_with_its_beginning(spark, n, percent):
+    """What the shorter prefix holds alone lies beyond the prefix of the longer text, whose own end is rarer."""
+    longs = [[f"d{k}w{i}" for i in range(100 + n - 1)] for k in range(20)]
+    rows = [(2 * k, " ".join(w[: (100 - k) + n - 1])) for k, w in enumerate(longs)] + [(2 * k + 1, " ".join(w)) for k, w in enumerate(longs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.jaccard_groups(docs, n, percent).collect()}
+    assert got == {2 * k + j: 2 * k if j == 0 or 100 - k >= percent else 2 * k + 1 for k in range(20) for j in (0, 1)}
