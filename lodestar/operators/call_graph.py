@@ -44,7 +44,8 @@ class CallGraph:
         parts: into how many the tables are cut at the first call; by default as many as
         its rows need.
         """
-        modules = staged(modules.select("module").distinct(), "calls-modules")
+        # Each of these may hold all modules, so none is broadcast.
+        modules = staged(modules.select("module").distinct(), "calls-modules").hint("merge")
         procedures = staged(procedures.select("module", "name", "id"), "calls-procedures")
         calls = staged(calls.select("module", "caller", "name", "line"), "calls-calls")
 

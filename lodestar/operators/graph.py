@@ -78,7 +78,7 @@ def resolve_through(edges: DataFrame, container: str = "DefinedType.", contains:
 
 def existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose target is a node."""
-    return edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
+    return edges.join(nodes.select(F.col("id").alias("target")).hint("merge"), "target", "left_semi")
 
 
 def invalidate(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +98,7 @@ def related(nodes: DataFrame, edges: DataFrame, node_id: str, relationship: str
     some = edges.where(asked if relationship is None else asked & (F.col("relationship") == relationship))
     way = F.when(out if direction != "incoming" else F.lit(False), "outgoing").otherwise("incoming")
     some = some.withColumn("direction", way).withColumn("neighbour", F.when(F.col("direction") == "outgoing", F.col("target")).otherwise(F.col("source")))
-    return some.join(nodes.select(F.col("id").alias("neighbour"), F.col("node_type").alias("neighbour_type"), F.col("name").alias("neighbour_name")), "neighbour").select(
+    return some.join(nodes.select(F.col("id").alias("neighbour"), F.col("node_type").alias("neighbour_type"), F.col("name").alias("neighbour_name")).hint("merge"), "neighbour").select(
         "edge_seq", "relationship", "label", "direction", "neighbour", "neighbour_type", "neighbour_name"
     )
 
@@ -301,7 +301,8 @@ def resolve_calls(calls: DataFrame, procedures: DataFrame) -> DataFrame:
     local = procedures.groupBy("module", F.lower("name").alias("lower_name")).agg(F.min("id").alias("local_id"))
     everywhere = unique_names(procedures).select("lower_name", F.col("id").alias("global_id"))
     named = calls.withColumn("lower_name", F.lower("name"))
-    found = named.join(local, ["module", "lower_name"], "left").join(everywhere, "lower_name", "left")
+    # Never broadcast: procedures read from texts are more than the size of their files tells.
+    found = named.join(local.hint("merge"), ["module", "lower_name"], "left").join(everywhere.hint("merge"), "lower_name", "left")
     return found.withColumn("callee", F.coalesce("local_id", "global_id")).where("callee is not null and callee <> caller").drop("lower_name", "local_id", "global_id")
 
 
@@ -311,7 +312,7 @@ def dead_procedures(procedures: DataFrame, calls: DataFrame, handlers: DataFrame
     some = some.withColumn("lower_name", F.lower("name"))
     called = calls.select(F.lower("name").alias("lower_name")).distinct()
     handled = handlers.select(F.lower("name").alias("lower_name")).distinct()
-    return some.join(called, "lower_name", "left_anti").join(handled, "lower_name", "left_anti").drop("lower_name").orderBy("path", "start_line")
+    return some.join(called.hint("merge"), "lower_name", "left_anti").join(handled.hint("merge"), "lower_name", "left_anti").drop("lower_name").orderBy("path", "start_line")
 
 
 def dependency_stats(code_edges: DataFrame, top: int = 10) -> DataFrame:

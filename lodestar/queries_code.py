@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import code, text
 from lodestar.operators import graph
 from lodestar.registry import query
-from lodestar.session import table
-from lodestar.staging import staged
+from lodestar.session import dealt, table
 
 LINES = 17
 
@@ -52,7 +51,7 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
         return F.concat_ws("\n", *lines)
 
     body = F.array_join(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda i: procedure(i.cast("long"))), "\n")
-    return table(spark, d, "part").select(F.concat(F.lit("Catalogs/Part"), k, F.lit("/Ext/ObjectModule.bsl")).alias("path"), k.alias("k"), body.alias("content"))
+    return dealt(table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("Catalogs/Part"), k, F.lit("/Ext/ObjectModule.bsl")).alias("path"), k.alias("k"), body.alias("content"))
 
 
 PROCEDURES_SQL = f"""
@@ -81,15 +80,8 @@ def code_procedures(spark, d):
     return found.select("path", "name", "is_function", "is_export", "directive", "comment", "region", "start_line", "end_line", parameters.alias("parameters"), "signature")
 
 
-def _parsed(spark: SparkSession, d: str, what: str = "calls") -> tuple[DataFrame, DataFrame]:
-    """Procedures, and the rows of a kind with the procedure that holds each; every module is parsed once for either."""
-    held = modules(spark, d)
-    procedures = staged(code.extract(held, "procedures"), "procedures")
-    return procedures, code.with_procedure(code.extract(held, what), procedures)
-
-
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d)[1]
+    return code.extract(modules(spark, d), "calls", place="line")
 
 
 @query(f"WITH {CALLS_SQL} SELECT path, name, object_name, CAST(argument_count AS INT) AS argument_count, CAST(line AS INT) AS line, false AS is_async, containing_procedure FROM calls")
@@ -106,16 +98,14 @@ def code_calls_in_procedure(spark, d):
     f"""WITH {PROCEDURES_SQL} SELECT path, 'Catalog' AS reference_type, 'Товары' || k % 7 AS object_name, 'Catalog.Товары' || k % 7 AS full_name, 'ref' AS access_type, CAST(base + 8 AS INT) AS line, 19 AS "column", name AS containing_procedure FROM procs"""
 )
 def code_references(spark, d):
-    held = modules(spark, d)
-    return code.with_procedure(code.extract(held, "references"), code.extract(held, "procedures"))
+    return code.extract(modules(spark, d), "references", place="line")
 
 
 @query(
     f"""WITH {PROCEDURES_SQL} SELECT path, 'ВЫБРАТЬ Т.Ссылка ИЗ Справочник.Товары' || k % 5 || ' КАК Т' || chr(10) || 'ГДЕ Т.Код = "x"' AS query_text, CAST(base + 12 AS INT) AS start_line, CAST(base + 13 AS INT) AS end_line, 'Справочник.Товары' || k % 5 AS tables, name AS containing_procedure FROM procs"""
 )
 def code_queries(spark, d):
-    held = modules(spark, d)
-    found = code.with_procedure(code.extract(held, "queries"), code.extract(held, "procedures"), "start_line")
+    found = code.extract(modules(spark, d), "queries", place="start_line")
     return found.withColumn("tables", F.array_join("tables", ","))
 
 
@@ -123,8 +113,7 @@ def code_queries(spark, d):
     f"""WITH {PROCEDURES_SQL} SELECT path, 'Catalog.Товары' || k % 5 AS target, name AS containing_procedure, CAST(base + 12 AS INT) AS line FROM procs"""
 )
 def code_query_tables(spark, d):
-    held = modules(spark, d)
-    found = code.with_procedure(code.extract(held, "queries"), code.extract(held, "procedures"), "start_line")
+    found = code.extract(modules(spark, d), "queries", place="start_line")
     return code.query_edges(found).select(F.col("file").alias("path"), "target", F.element_at(F.split("source", "::"), -1).alias("containing_procedure"), "line")
 
 
@@ -175,7 +164,7 @@ def code_review(spark, d):
 def code_format(spark, d):
     held = modules(spark, d)
     flat = held.select("path", F.regexp_replace("content", r"(?m)^\t+", "").alias("content"))
-    return code.format_modules(flat).withColumnRenamed("content", "formatted").join(held, "path").select("path", (F.col("formatted") == F.col("content")).alias("restored"))
+    return code.format_modules(flat).withColumnRenamed("content", "formatted").join(held.hint("merge"), "path").select("path", (F.col("formatted") == F.col("content")).alias("restored"))
 
 
 @query(
@@ -183,12 +172,14 @@ def code_format(spark, d):
 )
 def code_usages(spark, d):
     """Lines that use two procedures as whole words; the lines that define them are left out."""
-    held = modules(spark, d)
+    held, used = modules(spark, d), ("Расчет4_0", "Расчет5_0")
     found = None
-    for name in ("Расчет4_0", "Расчет5_0"):
+    for name in used:
         some = text.usages(held, ["path"], "content", name, None).select("path", "line", F.lit(name).alias("name"))
         found = some if found is None else found.unionByName(some)
-    return code.with_procedure(found, code.extract(held, "procedures"))
+    # Modules without these letters hold no such line, so their procedures are not asked for.
+    some = held.where(F.lower("content").rlike("|".join(n.lower() for n in used)))
+    return code.with_procedure(found, code.extract(some, "procedures", ["name", "start_line", "end_line"]))
 
 
 def _procedures(found: DataFrame) -> DataFrame:
@@ -196,7 +187,9 @@ def _procedures(found: DataFrame) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    procedures, calls = _parsed(spark, d)
+    held = modules(spark, d)
+    procedures = code.extract(held, "procedures", ["name", "is_export", "start_line"])
+    calls = code.extract(held, "calls", ["name", "object_name", "line"], "line")
     sites = calls.where("containing_procedure is not null and object_name is null")
     sites = sites.select(code.procedure_id("path", "containing_procedure").alias("caller"), F.col("path").alias("module"), "name", "line")
     return graph.resolve_calls(sites, _procedures(procedures))
@@ -225,25 +218,25 @@ UNION ALL SELECT path || '::' || name, 'Catalog.Товары' || k % 7, 'uses_me
 def code_dependency_graph(spark, d):
     """The code graph by name: calls and uses of metadata, collapsed."""
     held = modules(spark, d)
-    uses = code.with_procedure(code.extract(held, "references"), code.extract(held, "procedures"))
-    return graph.collapse_edges(code.call_edges(_calls(spark, d)).unionByName(code.metadata_edges(uses)))
+    uses = code.extract(held, "references", place="line")
+    return graph.collapse_edges(code.call_edges(code.extract(held, "calls", place="line")).unionByName(code.metadata_edges(uses)))
 
 
 @query(
     f"""WITH {CALLS_SQL} SELECT path, name, CAST(base + 4 AS INT) AS start_line FROM procs WHERE k % 3 <> 0 AND name NOT IN (SELECT name FROM calls) AND NOT (i = 2 AND k % 5 = 0)"""
 )
 def code_dead_procedures(spark, d):
-    found = code.extract_all(modules(spark, d), ["procedures", "calls"])
-    held = _procedures(found["procedures"])
+    found = modules(spark, d)
+    held = _procedures(code.extract(found, "procedures", ["name", "is_export", "start_line"]))
+    calls = code.extract(found, "calls", ["name"])
     handlers = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("РАСЧЕТ"), "p_partkey", F.lit("_2")).alias("name"))
-    return graph.dead_procedures(held, found["calls"], handlers).select("path", "name", "start_line")
+    return graph.dead_procedures(held, calls, handlers).select("path", "name", "start_line")
 
 
 def _code_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = _procedures(code.extract(modules(spark, d), "procedures")).select("id", F.lit("Procedure").alias("node_type"), "name")
+    nodes = _procedures(code.extract(modules(spark, d), "procedures", ["name", "is_export", "start_line"])).select("id", F.lit("Procedure").alias("node_type"), "name")
     calls = _resolved(spark, d).select(F.col("caller").alias("source"), F.col("callee").alias("target"), F.lit(graph.CALL).alias("relationship"), F.lit("").alias("label"))
-    held = modules(spark, d)
-    uses = code.with_procedure(code.extract(held, "references"), code.extract(held, "procedures"))
+    uses = code.extract(modules(spark, d), "references", ["full_name", "line"], "line")
     uses = uses.select(code.procedure_id("path", "containing_procedure").alias("source"), F.col("full_name").alias("target"), F.lit(graph.METADATA_REFERENCE).alias("relationship"), F.lit("").alias("label"))
     items = table(spark, d, "part").select(F.concat(F.lit("Товары"), F.col("p_partkey") % 7).alias("name")).distinct()
     nodes = nodes.unionByName(items.select(F.concat(F.lit("Catalog."), "name").alias("id"), F.lit("Catalog").alias("node_type"), "name"))
@@ -299,4 +292,4 @@ def code_module_chunks(spark, d):
 
 @query(f"WITH {CALLS_SQL} SELECT path, count(DISTINCT lower(name)) AS methods, count(DISTINCT lower(object_name)) AS objects FROM calls GROUP BY path")
 def code_distinct_targets(spark, d):
-    return code.distinct_targets(code.extract(modules(spark, d), "calls"))
+    return code.distinct_targets(code.extract(modules(spark, d), "calls", ["name", "object_name"]))

@@ -9,7 +9,7 @@ from lodestar.functions import text
 from lodestar.operators import graph, intervals, store
 from lodestar.plans import catalog, templates
 from lodestar.registry import query
-from lodestar.session import table
+from lodestar.session import dealt, table
 from lodestar.sources import documents, trees
 from lodestar.staging import staged
 
@@ -39,7 +39,7 @@ def catalogs(spark: SparkSession, d: str) -> DataFrame:
         "<Form>ФормаЭлемента</Form><Form>Форма", k % 4, "</Form><Template>Макет</Template></ChildObjects></Catalog></MetaDataObject>",
     )
     path = F.when(k % 5 == 0, _say("file:/c/src/Catalogs/Part", k, ".catalog/Part", k, ".mdo")).otherwise(_say("file:/c/Catalogs/Part", k, ".xml"))
-    return _bytes(table(spark, d, "part"), path, body)
+    return _bytes(dealt(table(spark, d, "part").select("p_partkey", "p_type"), "p_partkey"), path, body)
 
 
 def others(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def others(spark: SparkSession, d: str) -> DataFrame:
         # Every other subsystem lies in the folder of the one before it.
         place = F.when((F.lit(j) == 6) & (k % 16 == 14), _say("file:/c/Subsystems/System", k - 8, "/Subsystems/System", k, "/System", k, ".xml")).otherwise(_say(f"file:/c/{kind}s/{name}", k, ".xml"))
         path = F.when(k % 8 == j, place).otherwise(path)
-    return _bytes(table(spark, d, "customer"), path, body)
+    return _bytes(dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey"), path, body)
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ true AS same_hash FROM part"""
 )
 def tree_objects(spark, d):
     files = catalogs(spark, d).select("path", F.md5("content").alias("own"))
-    found = trees.read_objects(catalogs(spark, d)).join(files, "path")
+    found = trees.read_objects(catalogs(spark, d)).join(files.hint("merge"), "path")
     return found.select("name", "uuid", "synonym", "comment", F.array_join("forms", ",").alias("forms"), F.array_join("templates", ",").alias("templates"), (F.col("own") == F.col("file_hash")).alias("same_hash"))
 
 

@@ -1,5 +1,6 @@
 """Source-code extraction on small modules, and properties of generated ones."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,3 +117,63 @@ def test_procedure_chunks_keep_header_and_empty_bodies(spark):
     assert got[2][0]["content"].endswith("\nProcedure B()") and got[5][0]["content"].endswith("\nProcedure E()")
     assert len(got[1]) > 1 and all("c" * 1500 in r["content"] and len(r["content"]) <= 4000 for r in got[1])
     assert len(got[4]) > 1 and all("d" * 5000 in r["content"] for r in got[4])
+
+
+# --- rows that stand for much work -------------------------------------------
+
+
+def _by_characters(line):
+    """``code_only`` one character at a time."""
+    out, inside, k = [], line.lstrip().startswith("|"), 0
+    while k < len(line):
+        c = line[k]
+        if inside and c == '"' and line[k + 1 : k + 2] == '"':
+            out.append("  ")
+            k += 2
+            continue
+        if not inside and line.startswith("//", k):
+            break
+        out.append(c if c == '"' or not inside else " ")
+        inside ^= c == '"'
+        k += 1
+    return "".join(out)
+
+
+def test_code_only_of_odd_lines():
+    import itertools
+
+    from lodestar.functions import code
+
+    for size in range(7):
+        for line in map("".join, itertools.product('"/|a\n', repeat=size)):
+            assert code.code_only.__wrapped__(line) == _by_characters(line), line
+
+
+def test_the_procedure_of_a_row_without_a_join(spark):
+    """What the extractor tells by itself is what the join tells."""
+    from lodestar.functions import code
+
+    body = "А(1);\nПроцедура П(Б)\n\tВ(2);\nКонецПроцедуры\nГ(3);\nФункция Ф(\n\tБ) Экспорт\n\tД(4);\nКонецФункции\nПроцедура Н()\n\tЕ(5);"
+    found = spark.createDataFrame([("m", body), ("n", None), ("o", "А(1);"), ("p", "")], "path string, content string")
+    joined = code.with_procedure(code.extract(found, "calls"), code.extract(found, "procedures"))
+    placed = code.extract(found, "calls", place="line")
+    assert placed.columns == joined.columns and sorted(map(str, placed.collect())) == sorted(map(str, joined.collect()))
+    few = code.extract(found, "calls", ["name", "line"], "line")
+    assert few.columns == ["path", "name", "line", "containing_procedure"] and few.count() == placed.count() == 6
+    assert {(q["name"], q["containing_procedure"]) for q in few.collect()} == {("А", None), ("В", "П"), ("Г", None), ("Д", "Ф"), ("Е", "Н")}
+
+
+@pytest.mark.parametrize("name", ["code_format", "code_resolved_calls", "code_call_graph", "code_dead_procedures", "code_callers", "code_usages", "tree_objects", "tree_graph_build"])
+def test_what_is_made_of_rows_is_not_broadcast(spark, small, name):
+    """The size of a file of keys tells nothing of the texts made from them."""
+    from lodestar import queries as core
+
+    plan = core.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_keys_are_dealt_over_tasks(spark):
+    from lodestar.session import dealt
+
+    assert dealt(spark.range(1000, numPartitions=1), "id", 100).rdd.getNumPartitions() == 10
+    assert dealt(spark.range(0), "id").count() == 0
