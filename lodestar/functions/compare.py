@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 from lodestar.functions import code
 from lodestar.staging import staged
 
+#: Procedures to a part, as two states are matched.
+ROWS_EACH = 50_000
+
 
 def line_changes(old: list[str], new: list[str]) -> list[tuple[str, int | None, int | None, str]]:
     """(removed or added, line in the old text, line in the new one, text): a shortest edit script.
@@ -48,16 +53,34 @@ def line_changes(old: list[str], new: list[str]) -> list[tuple[str, int | None,
 
 def bodies(modules: DataFrame) -> DataFrame:
     """path, name, start_line and lines of every procedure; of equal names in one module the first."""
-    found = code.extract(modules, "procedures").select("path", "name", "start_line", "end_line")
-    texts = found.join(modules.select("path", "content"), "path")
-    lines = F.slice(F.split("content", "\r?\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    own = texts.select("path", F.lower("name").alias("key"), F.struct("start_line", "name", lines.alias("lines")).alias("p"))
-    return own.groupBy("path", "key").agg(F.min("p").alias("p")).select("path", "key", "p.*")
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                lines, seen = (content or "").split("\n"), set()
+                for p in code.procedures_of(content) if content else []:
+                    key = p["name"].lower()
+                    if key not in seen:
+                        seen.add(key)
+                        # The carriage return of a line that ends with one is no part of it.
+                        own = [x.removesuffix("\r") for x in lines[p["start_line"] - 1 : p["end_line"]]]
+                        if p["end_line"] == len(lines):
+                            own[-1] = lines[-1]
+                        rows.append((path, key, p["start_line"], p["name"], own))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "key", "start_line", "name", "lines"])
+
+    return modules.select("path", "content").mapInArrow(run, "path string, key string, start_line int, name string, lines array<string>")
 
 
 def procedures(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, name, status (added, removed, changed, same) and the old and new start and lines of every procedure of modules (path, content)."""
     a, b = staged(bodies(before), "compare-before"), staged(bodies(after), "compare-after")
+    # As many parts as the rows ask for: a part's memory does not grow with the modules.
+    parts = max(1, math.ceil(max(a.count(), b.count()) / ROWS_EACH))
+    a, b = a.repartition(parts, "path", "key"), b.repartition(parts, "path", "key")
     was = a.select("path", "key", F.col("name").alias("old_name"), F.col("start_line").alias("old_start"), F.col("lines").alias("old_lines"))
     both = was.join(b.select("path", "key", F.col("name").alias("new_name"), F.col("start_line").alias("new_start"), F.col("lines").alias("new_lines")), ["path", "key"], "full_outer")
     status = F.when(F.col("old_lines").isNull(), "added").when(F.col("new_lines").isNull(), "removed").when(F.col("old_lines") == F.col("new_lines"), "same").otherwise("changed")
