@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import store
 from lodestar.operators.tables import Change, Tables
+from lodestar.session import dealt
 from lodestar.staging import staged
 
 BUCKETS, RAREST = 64, 4
+#: Rows to a task as their grams are taken: a row has some hundred postings.
+ROWS_EACH = 20_000
 
 
 def grams(text: Column, n: int) -> Column:
@@ -53,13 +56,14 @@ class SubstringIndex:
     def build(self, rows: DataFrame, columns: list[str]) -> None:
         """Postings of ``rows`` made anew."""
         each = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("column"), grams(F.coalesce(F.col(c).cast("string"), F.lit("")), n).alias("grams")) for i, c in enumerate(columns) for n in (1, 2, 3)])
+        rows = dealt(rows.select(self.key, *columns), self.key, ROWS_EACH)
         found = rows.select(F.col(self.key).alias("id"), F.explode(each).alias("e")).select("id", "e.column", F.explode("e.grams").alias("gram"))
         found = staged(found, "postings")
         # How often a gram occurs goes with its postings, so that a search can take the rarest.
         counts = found.groupBy("gram").agg(F.count("*").alias("n"))
 
         def put(change: Change) -> None:
-            change.write_parts("postings", found.withColumn("b", bucket(F.col("gram"))).sortWithinPartitions("b", "gram").drop("b"), bucket(F.col("gram")), emptied=[str(b) for b in range(BUCKETS)])
+            change.write_parts("postings", found, bucket(F.col("gram")), emptied=[str(b) for b in range(BUCKETS)], sort=["gram"])
             change.write_parts("grams", counts, bucket(F.col("gram")), emptied=[str(b) for b in range(BUCKETS)])
 
         self.tables.transact(put)
@@ -93,8 +97,8 @@ class SubstringIndex:
         found = self.candidates(tokens)
         if not tokens or None in found:
             return store.token_search(rows, query, columns, limit)
-        of = lambda ids: rows.join(ids.withColumnRenamed("id", self.key), self.key, "left_semi")
-        every = reduce(lambda a, b: a.join(b, "id", "left_semi"), found)
+        of = lambda ids: rows.join(ids.withColumnRenamed("id", self.key).hint("merge"), self.key, "left_semi")
+        every = reduce(lambda a, b: a.join(b.hint("merge"), "id", "left_semi"), found)
         all_ = staged(of(every), "substring-all")
         strict = store.token_search(all_, query, columns, limit, match_all=True)
         if not strict.isEmpty():
