@@ -63,7 +63,7 @@ def _refreshed(found: DataFrame, change: Change, parts: int | None) -> DataFrame
         n = change.note("files").get("parts") or parts or max(4, min(MOST_PARTS, 1 << (state.count() // FILES_EACH).bit_length()))
         touched = _parts(moved.select("path"), n)
         fresh = staged(trees.read_objects(state.where("content is not null").select("path", "content")), "index-fresh")
-        stale = state.where("status in ('removed', 'changed')").select("path")
+        stale = state.where("status in ('removed', 'changed')").select("path").hint("merge")
         stored = change.read("objects", touched)
         gone, kept = fresh.limit(0).select(*KEY), fresh
         if stored is not None:
@@ -78,8 +78,8 @@ def _refreshed(found: DataFrame, change: Change, parts: int | None) -> DataFrame
 
 def _cascade(change: Change, fresh: DataFrame, gone: DataFrame, n: int) -> None:
     """Nodes, edges and embeddings of changed and removed objects go, those of new ones come; forms and edges go with the object that declares them."""
-    ids = gone.select(store.full_name().alias("id"))
-    touched = _parts(ids.unionByName(fresh.select(store.full_name().alias("id"))), n)
+    ids = gone.select(store.full_name().alias("id")).hint("merge")  # may be all that there is
+    touched = _parts(gone.select(store.full_name().alias("id")).unionByName(fresh.select(store.full_name().alias("id"))), n)
     declared = graph.number_edges(trees.edges(fresh, owner=True)).groupBy("owner", *graph.EDGE_KEY).agg(F.min("edge_seq").alias("edge_seq"))
     for name, made, key in (
         ("nodes", trees.nodes(fresh), trees.owner_of("id")),
@@ -105,7 +105,7 @@ def code_chunks(modules: DataFrame, procedures: DataFrame) -> DataFrame:
     """
     key = F.concat_ws(".", "owner", "module")
     of = modules.select("path", key.alias("__of"))
-    named = procedures.join(of, "path").withColumn("owner", F.col("__of"))
+    named = procedures.join(of.hint("merge"), "path").withColumn("owner", F.col("__of"))
     parts = text.procedure_chunks(named.withColumn("base", code.procedure_id("path", "name")), ["base"]).withColumn("doc_type", F.lit("procedure"))
     sources = text.module_chunks(modules.withColumn("base", F.col("path")), ["base"]).withColumn("doc_type", F.lit("module"))
     both = parts.unionByName(sources).withColumn("id", text.chunk_id("base", "chunk_index", "chunk_total"))
@@ -126,10 +126,10 @@ def index_code(chunks: DataFrame, home: str) -> DataFrame:
     def put(change: Change) -> None:
         held = change.read("code_embeddings")
         held = vectors.embed(chunks.limit(0)) if held is None else held
-        fresh = staged(vectors.embed(chunks.join(held.select(*key), key, "left_anti")), "code-fresh")
-        kept = held.join(chunks.select(*key), key, "left_semi")
+        fresh = staged(vectors.embed(chunks.join(held.select(*key).hint("merge"), key, "left_anti")), "code-fresh")
+        kept = held.join(chunks.select(*key).hint("merge"), key, "left_semi")
         change.write("code_embeddings", kept.select(*fresh.columns).unionByName(fresh))
-        told = [fresh.select(F.lit("embedded").alias("status")), kept.select(F.lit("kept").alias("status")), held.join(chunks.select(*key), key, "left_anti").select(F.lit("dropped").alias("status"))]
+        told = [fresh.select(F.lit("embedded").alias("status")), kept.select(F.lit("kept").alias("status")), held.join(chunks.select(*key).hint("merge"), key, "left_anti").select(F.lit("dropped").alias("status"))]
         counts.append(staged(told[0].unionByName(told[1]).unionByName(told[2]).groupBy("status").agg(F.count("*").alias("n")), "code-counts"))
 
     Tables(chunks.sparkSession, home).transact(put)
