@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.operators.tables import Change, Tables
-from lodestar.staging import staged
+from lodestar.staging import drop, staged
 
 RECEIPT, EXPENSE = "Receipt", "Expense"
 
@@ -100,11 +100,13 @@ def detect_movement(register_name: str, explicit: str | None = None) -> str:
 
 
 class StoredTotals:
-    """Balances kept per month beside their movements, in parts by month (``operators/tables.py``).
+    """Balances kept per year beside their movements, in parts by month (``operators/tables.py``).
 
-    The totals of a month are the balances at its first moment.  A change adds its
-    movements to their months, and their sums to the totals of every later month, in
-    one commit.  A balance at any date reads one month of totals and one of movements.
+    The totals of a year are the balances at its first moment, kept as the part of its
+    January: one row a key and year, where totals of every month would be twelve.  A
+    change adds its movements to their months, and their sums to the totals of every
+    later year, in one commit.  A balance at any date reads one year's totals and the
+    movements of that year's months up to the date.
     """
 
     def __init__(self, spark: SparkSession, home: str, dims: list[str], resources: list[str], period: str = "period", kind: str = "kind"):
@@ -116,56 +118,60 @@ class StoredTotals:
 
     def add(self, moves: DataFrame, writer: str | None = None, batch: int | None = None) -> None:
         """Take in movements of any months, late ones too; a numbered batch of a writer once."""
+        if self.tables.begin().heard(writer, batch):
+            return
         columns = [self.period, self.kind, *self.dims, *self.resources]
         month = F.date_format(self.period, "yyyy-MM")
         moves = staged(moves.select(*columns).withColumn("__month", month), "totals-moves")
-        by_month = staged(moves.groupBy("__month", *self.dims).agg(*[F.sum(signed(r, self.kind)).alias(r) for r in self.resources]), "totals-sums")
+        january = F.concat(F.substring("__month", 1, 4), F.lit("-01"))
+        by_year = staged(moves.groupBy(january.alias("__year"), *self.dims).agg(*[F.sum(signed(r, self.kind)).alias(r) for r in self.resources]), "totals-sums")
 
         def put(change: Change) -> None:
             fresh = sorted(r["__month"] for r in moves.select("__month").distinct().collect())  # one per month
             if not fresh:
                 return
-            known = self._months(change)
-            months = {*known, *fresh}
-            months |= {_next_month(max(months))}  # so that the present reads no movements
-            touched = sorted(m for m in months if m > fresh[0] or m not in known)
+            held, known = self._parts(change, "movements"), self._starts(change)
+            starts = {f"{m[:4]}-01" for m in {*held, *fresh}}
+            starts |= {f"{int(max(starts)[:4]) + 1:04d}-01"}  # so that the present reads no movements
+            touched = sorted(m for m in starts if m > fresh[0] or m not in known)
             target = moves.sparkSession.createDataFrame([(m,) for m in touched], "month string")
-            rows = by_month.join(F.broadcast(target), F.col("__month") < F.col("month")).select("month", *self.dims, *self.resources)
-            held = change.read("movements", fresh)
-            if held is not None:
-                totals = change.read("totals")
-                rows = rows.unionByName(totals.where(F.col("month").isin(touched)).select(*rows.columns))
-                for m in [m for m in touched if m not in known]:  # a month between: it starts from the one before it
-                    before = max((x for x in known if x < m), default=None)
-                    if before:
-                        rows = rows.unionByName(self._upto(change, before, None).select(F.lit(m).alias("month"), *self.dims, *self.resources))
-            change.write_parts("movements", moves.drop("__month") if held is None else held.unionByName(moves.drop("__month")), month)
+            rows = by_year.join(F.broadcast(target), F.col("__year") < F.col("month")).select("month", *self.dims, *self.resources)
+            before = change.read("movements", fresh)
+            if before is not None:
+                rows = rows.unionByName(change.read("totals", touched).select(*rows.columns))
+                for m in [m for m in touched if m not in known]:  # a year between: it starts from the one before it
+                    last = max((x for x in known if x < m), default=None)
+                    if last:
+                        upto = self._since(change, last, [x for x in held if last <= x < m], None)
+                        rows = rows.unionByName(upto.select(F.lit(m).alias("month"), *self.dims, *self.resources))
+            change.write_parts("movements", moves.drop("__month") if before is None else before.unionByName(moves.drop("__month")), month)
             change.write_parts("totals", self._sums(rows, "month"), "month", emptied=touched)
 
         self.tables.transact(put, writer, batch)
+        drop(by_year)
+        drop(moves)
 
     def balance(self, at) -> DataFrame:
         """Receipts less expenses per dimensions before ``at``, in <resource>_balance."""
         change = self.tables.begin()
-        start = max((m for m in self._months(change) if m <= f"{at:%Y-%m}"), default=None)
-        if start is None and not self._months(change):
+        held, here = self._parts(change, "movements"), f"{at:%Y-%m}"
+        if not held:
             raise ValueError("no movements were added yet")
+        start = max((m for m in self._starts(change) if m <= here), default=None)
+        months = [m for m in held if start is not None and start <= m <= here]
         # A key is told from its first movement on, whatever its balance.
-        return self._upto(change, start, at).groupBy(*self.dims).agg(*[F.sum(r).alias(f"{r}_balance") for r in self.resources])
+        return self._since(change, start, months, at).groupBy(*self.dims).agg(*[F.sum(r).alias(f"{r}_balance") for r in self.resources])
 
-    def _months(self, change: Change) -> set[str]:
-        """Months with movements, and those with totals only."""
-        return {m for t in ("movements", "totals") for m in change.base["tables"].get(t, {"parts": {}})["parts"]}
+    def _parts(self, change: Change, name: str) -> set[str]:
+        return set(change.base["tables"].get(name, {"parts": {}})["parts"])
 
-    def _upto(self, change: Change, month: str | None, at) -> DataFrame:
-        """Rows of dims and resources that add up to the balance before ``at`` (the end of the month if None), from one month's totals and movements."""
-        some = [month] if month else []
-        moves = change.read("movements", some)
+    def _starts(self, change: Change) -> set[str]:
+        """The Januaries whose totals are kept; those of the first year are empty and no part."""
+        return self._parts(change, "totals") | {f"{m[:4]}-01" for m in self._parts(change, "movements")}
+
+    def _since(self, change: Change, start: str | None, months: list[str], at) -> DataFrame:
+        """Rows of dims and resources that add up to the balance before ``at`` (the end of the months if None): the totals of ``start`` and the movements of ``months``."""
+        moves = change.read("movements", months)
         moves = moves if at is None else moves.where(F.col(self.period) < F.lit(at))
         tail = moves.select(*self.dims, *[signed(r, self.kind).alias(r) for r in self.resources])
-        return tail.unionByName(change.read("totals", some).select(*tail.columns))
-
-
-def _next_month(month: str) -> str:
-    year, m = map(int, month.split("-"))
-    return f"{year + m // 12:04d}-{m % 12 + 1:02d}"
+        return tail.unionByName(change.read("totals", [start] if start else []).select(*tail.columns))
