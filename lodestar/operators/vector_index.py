@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.operators.tables import Change, Tables
-from lodestar.operators.vectors import _unit, cosine, fit_cells, in_cells
+from lodestar.operators.vectors import _unit, cosine, fit_cells, in_cells, nearest
 from lodestar.staging import staged
 
 CODE_BLOCK, QUERY_BLOCK = 8192, 256
@@ -141,12 +141,14 @@ class VectorIndex:
 
     # --- reading -------------------------------------------------------------
 
-    def search(self, queries: DataFrame, k: int = 10, candidates: int = 50, probes: float = 0.75, itself: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, candidates: int = 50, probes: float = 0.75, itself: bool = False, exact: bool = False) -> DataFrame:
         """query_id, id, score (6 decimals) and place of the ``k`` nearest rows of every query (query_id, embedding).
 
         probes: the share of cells whose codes are read, the nearest first.  Vectors are
         read for the ``candidates`` best codes of a query only.  A query's own id is left
-        out unless ``itself``.
+        out unless ``itself``.  exact: codes are an estimate, so a near row may be no
+        candidate; the vectors of all cells asked are then held against the query too, block
+        by block, and the rows are those of a whole scan of these cells.
         """
         change = self.tables.begin()
         centres, books = self._fitted(change)
@@ -158,6 +160,12 @@ class VectorIndex:
         vectors = change.read("vectors").select("id", "cell", F.col("embedding").alias("__own"))
         met = found.join(vectors, ["cell", "id"]).join(queries.withColumnRenamed("embedding", "__asked"), "query_id")
         scored = met.select("query_id", "id", F.round(cosine(F.col("__own"), F.col("__asked")), 6).alias("score")).where("score is not null")
+        if exact:
+            held = vectors.select("id", F.col("__own").alias("v"), "cell")
+            rest = nearest(held, asked.select("query_id", F.col("embedding").alias("v"), "cell"), k + 1, zeros=False).select("query_id", "id", "score")
+            if itself:  # which the blocks leave out
+                rest = rest.unionByName(scored.where("id = query_id"))
+            scored = scored.where("id <> query_id").unionByName(rest).groupBy("query_id", "id").agg(F.max("score").alias("score"))
         place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return scored.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
 

@@ -1,5 +1,6 @@
 """What is stored and kept up by change, against the same made anew; and SQL table functions."""
 
+import math
 import datetime as dt
 import random
 
@@ -157,3 +158,48 @@ def test_table_functions(spark):
     with pytest.raises(Exception, match="second argument"):
         spark.sql("SELECT * FROM code_rows('x', 'nothing')").collect()
     assert [tuple(q) for q in spark.sql("SELECT * FROM text_chunks('abcdef', 4, 1)").collect()] == [(0, 2, 0, "abcd"), (1, 2, 3, "def")]
+
+
+def test_totals_are_kept_per_year(spark, home):
+    """Totals of every month would repeat every key for each later month."""
+    totals = registers.StoredTotals(spark, home, ["k"], ["q"])
+    some = [(dt.datetime(2021 + m // 12, 1 + m % 12, 5), "Receipt", "a", 1) for m in range(36)]
+    schema = "period timestamp, kind string, k string, q long"
+    totals.add(spark.createDataFrame(some[30:], schema))
+    totals.add(spark.createDataFrame(some[:6], schema))
+    totals.add(spark.createDataFrame(some[6:30], schema))
+    assert totals.tables.read("totals").count() == 3
+    for m in range(36):
+        assert [tuple(r) for r in totals.balance(some[m][0] + dt.timedelta(days=1)).collect()] == [("a", m + 1)]
+
+
+def test_exact_search_of_an_index_finds_what_codes_miss(spark, home):
+    """Vectors whose codes are all alike: the ten nearest are told by the exact score only."""
+    base = [1.0] + [0.0] * 31
+    rows = [(k, [*base[:-2], 0.001 * k, 0.5]) for k in range(400)] + [(1000 + k, [0.0] * (k % 32) + [1.0] + [0.0] * (31 - k % 32)) for k in range(64)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index = VectorIndex(spark, home)
+    index.build(docs, cells=4, pieces=2, max_sample=40)
+    asked = docs.where("id in (3, 200, 399)").select(F.col("id").alias("query_id"), "embedding")
+    want = {(r["query_id"], r["id"], r["place"]) for r in vectors.neighbours(docs, asked, 10).collect()}
+    got = {(r["query_id"], r["id"], r["place"]) for r in index.search(asked, 10, 12, probes=1.0, exact=True).collect()}
+    assert got == want and len(want) == 30
+
+
+def test_blocks_of_both_sides_give_the_same(spark, monkeypatch):
+    """However small blocks and slices are; ties of the rounded score go by id."""
+    r = random.Random(4)
+    rows = [(k, [float(r.randrange(-2, 3)) for _ in range(r.choice([3, 3, 4]))]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = docs.where("id % 7 = 0").select(F.col("id").alias("query_id"), "embedding")
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 6) + 0.0
+    want = []
+    for q, v in rows[::7]:
+        best = sorted((-cos(v, w), k) for k, w in rows if k != q and len(v) == len(w))[:5]
+        want += [(q, k, p + 1) for p, (_, k) in enumerate(best)]
+    for block, part in ((16384, 1 << 21), (20, 100), (7, 1)):
+        monkeypatch.setattr(vectors, "DOC_BLOCK", block)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "SLICE", part)
+        assert sorted((x["query_id"], x["id"], x["place"]) for x in vectors.neighbours(docs, asked, 5).collect()) == sorted(want)
