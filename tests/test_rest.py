@@ -222,6 +222,26 @@ def test_embedding_by_plain_loops(spark, small):
         assert max(abs(a - b / n) for a, b in zip(r["embedding"], v, strict=True)) < 1e-5
 
 
+def test_embedding_costs_what_its_characters_cost():
+    """A word is remembered by a cell for each of its pieces, not by a vector of its own; long texts are counted in slices."""
+    import collections
+    import zlib
+
+    import numpy as np
+
+    text = " ".join(f"w{k:x}" for k in range(3000)) + " Ünïcode_ слово" * 400_000
+    known = {}
+    got = vectors.hash_vector(text, 64, known)
+    assert len(known) == 3002 and all(len(bytes(known[w])) <= len(w) + 1 for w in known)
+    v = np.zeros(64)
+    for word, n in collections.Counter(text.lower().split()).items():
+        for f in [word] + [f" {word} "[i : i + 3] for i in range(len(word))]:
+            h = zlib.crc32(f.encode())
+            v[h % 64] += n if h >= 2**31 else -n
+    assert (got == (v / np.linalg.norm(v)).astype(np.float32)).all()
+    assert all((vectors.hash_vector("Ab abc", d) == vectors.hash_vector("abc ab", d)).all() and vectors.hash_vector("ab", d).shape == (d,) for d in (7, 128, 129, 1000))
+
+
 def test_rate_limit_by_plain_loops(spark, tmp_path):
     import random
 
