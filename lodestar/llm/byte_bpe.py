@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestar.llm.shared import bounded_batches
+from lodestar.llm.shared import bounded_batches, frugal, give_back
 
 BLOCK_CHARS = 12_000_000
 KNOWN_WORDS = 1_000_000
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = -(-wanted // MAX_PARTS)
     width = "<u2" if len(token_bytes) <= 1 << 16 else "<u4"
-    dealt = held.mapInArrow(_blocks(pattern, carried, -(-wanted // groups), groups), _ROW).repartition("key")
+    dealt = held.mapInArrow(frugal(_blocks(pattern, carried, -(-wanted // groups), groups)), _ROW).repartition("key")
 
     def bpe(batches):
         one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value[0], special_tokens={})._core_bpe.encode_single_piece
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
     # Both uses read all columns of ``dealt``, so that they share its exchange; a condition that is not
     # deterministic to the optimiser stays above it, and only the blocks' own rows go on to be put together.
     blocks = dealt.where(F.when(F.spark_partition_id() >= 0, F.col("key")) >= 0)
-    ids = dealt.mapInArrow(bpe, "key long, part int, ids binary")
+    ids = dealt.mapInArrow(frugal(bpe), "key long, part int, ids binary")
     schema = T.StructType([*kept.fields, *T._parse_datatype_string(result).fields])
     arrow = to_arrow_schema(schema)
 
@@ -212,7 +212,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, carry: list[s
             side = side.append_column(f, pa.array(list(column), f.type))
         return side
 
-    return blocks.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(assemble, schema)
+    def tidy(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = assemble(left, right)
+        give_back()
+        return out
+
+    return blocks.groupBy("key").cogroup(ids.groupBy("key")).applyInArrow(tidy, schema)
 
 
 def decode(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -225,7 +230,7 @@ def digests(ids: np.ndarray, table: list[bytes]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(ids, table)).hexdigest()
 
 
-def checked_ids(ids: np.ndarray, table: list[bytes]) -> tuple[int, list[int]]:
-    """n_tokens and the ids; fails on ids whose bytes are no text."""
+def checked_ids(ids: np.ndarray, table: list[bytes]) -> tuple[int, np.ndarray]:
+    """n_tokens and the ids, as an array, since those of a whole block are held at once; fails on ids whose bytes are no text."""
     decode(ids, table).decode()
-    return len(ids), ids.astype(np.int32).tolist()
+    return len(ids), ids.astype(np.int32)

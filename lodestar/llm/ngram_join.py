@@ -220,7 +220,7 @@ def row_filter(docs: DataFrame, size: int) -> bytes:
             np.bitwise_or.at(bits, which, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    got = docs.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = docs.mapInArrow(frugal(words), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (size - 6), np.int64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return zlib.compress(table.tobytes(), 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.staging import _STAGED, drop, hot_keys, release, salted_join, shared_dir, staged
 
-__all__ = ["WORD_SPACE", "WordHashes", "_STAGED", "bounded_batches", "byte_texts", "components", "drop", "frugal", "hot_keys", "mixed", "release", "salted_join", "shared_dir", "shingle_hashes", "signed", "staged"]
+__all__ = ["WORD_SPACE", "WordHashes", "_STAGED", "bounded_batches", "byte_texts", "components", "drop", "frugal", "give_back", "hot_keys", "mixed", "release", "salted_join", "shared_dir", "shingle_hashes", "signed", "staged"]
 
 #: White space that separates words in every operator: U+0020 and U+0009 to U+000D.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -25,14 +25,19 @@ def bounded_batches(spark: SparkSession, records: int = 4096) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def give_back() -> None:
+    """Freed memory of this Python worker goes back to the system: a worker stays, idle, while the JVM or another one works."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; at the end of a task the worker gives freed memory back to the system, since it stays idle while the JVM works."""
+    """``run`` for mapInArrow; at the end of a task the worker gives freed memory back."""
 
     def tidy(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(AttributeError, OSError):  # where the C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return tidy
 

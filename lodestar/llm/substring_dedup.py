@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.shared import bounded_batches, drop, hot_keys, mixed, salted_join, signed, staged
+from lodestar.llm.shared import bounded_batches, drop, frugal, hot_keys, mixed, salted_join, signed, staged
 
 #: Of a repeated passage up to 2 * EDGE_WORDS - 1 words at its ends may be cut differently;
 #: with MIN_WORDS more, that is 50, so a longer passage always holds a whole span.
@@ -186,7 +186,7 @@ def dedup_spans(docs: DataFrame, tag: str = "spans") -> DataFrame:
     bounded_batches(docs.sparkSession)
     key = ["h", "hash2"]
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tie"), "text").where("doc_id is not null and text <> ''")
-    every = staged(read.mapInArrow(_occurrences, "doc_id long, tie long, h long, low long"), f"{tag}-spans")
+    every = staged(read.mapInArrow(frugal(_occurrences), "doc_id long, tie long, h long, low long"), f"{tag}-spans")
     hashed = [F.col("h"), F.shiftright("low", _PLACE_BITS).alias("hash2")]
     occ = every.select(*hashed, "doc_id", "tie", F.col("low").bitwiseAND((1 << _PLACE_BITS) - 1).alias("at"))
     repeated = staged(occ.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1"), f"{tag}-repeated")
@@ -205,7 +205,7 @@ def dedup_spans(docs: DataFrame, tag: str = "spans") -> DataFrame:
 def _applied(docs: DataFrame, gone: DataFrame) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias("__span_doc"), F.col("tie").alias("__span_tie"), F.col("places").alias("__span_places"))
     here = (F.col("doc_id").cast("long") == F.col("__span_doc")) & (text_key() == F.col("__span_tie"))
-    return docs.drop("n_removed").join(gone, here, "left").drop("__span_doc", "__span_tie").mapInArrow(_rewritten, _schema(docs))
+    return docs.drop("n_removed").join(gone, here, "left").drop("__span_doc", "__span_tie").mapInArrow(frugal(_rewritten), _schema(docs))
 
 
 def _schema(docs: DataFrame) -> T.StructType:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -460,6 +461,29 @@ def test_bpe_over_many_blocks(spark, monkeypatch):
     assert got == {k: direct.encode_ordinary(t) for k, t in texts.items()}
 
 
+def test_ids_of_a_block_are_arrays_and_tasks_give_memory_back(spark, monkeypatch, tmp_path):
+    """The pipeline's last two text stages: no Python number for each token, nothing freed is kept by an idle worker."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    ids, table = np.zeros(1_000_000, np.uint32) + 300, [b"ab"] * 301
+    tracemalloc.start()
+    kept = [byte_bpe.checked_ids(ids, table) for _ in range(2)]
+    used, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [n for n, _ in kept] == [1_000_000] * 2 and used < 10_000_000
+    calls, tidied = [], str(tmp_path / "tidied")
+    for module in (byte_bpe, substring_dedup):
+        monkeypatch.setattr(module, "frugal", lambda run, own=module.frugal: calls.append(run.__name__) or own(run))
+    monkeypatch.setattr(byte_bpe, "give_back", lambda: open(tidied, "a").close())
+    docs = spark.createDataFrame([(k, body(k, n=60)) for k in range(8)], "doc_id long, text string")
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, ["doc_id"], byte_bpe.checked_ids, "n_tokens long, ids array<int>").collect()
+    assert substring_dedup.dedup_spans(docs).count() == 8
+    assert calls == ["run", "bpe", "_occurrences", "_rewritten"] and os.path.exists(tidied)
+
+
 def _small(run):
     def inner(batches):
         byte_bpe.BLOCK_CHARS = 500  # in the worker too
