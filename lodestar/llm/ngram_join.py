@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.shared import WordHashes, bounded_batches, byte_texts, components, drop, frugal, hot_keys, mixed, salted_join, shingle_hashes, signed, staged
+from lodestar.llm.shared import bounded_batches, byte_texts, components, drop, frugal, hot_keys, mixed, salted_join, shingle_hashes, signed, staged
 
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 20, 24
 CHUNKS = 64
@@ -67,10 +67,8 @@ _SET = "doc_id long, key long, sig binary, n int, prefix array<long>, last struc
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
     """(doc_id, distinct shingle hashes) of every row."""
-    hashes = WordHashes()
     for batch in batches:
-        for doc, text, *key in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), *[c.to_pylist() for c in batch.columns[2:]], strict=True):
-            yield (doc, *key, shingle_hashes(hashes(text.lower().split()), words) if text else np.empty(0, np.uint64))
+        yield from zip(batch.column(0).to_pylist(), *[c.to_pylist() for c in batch.columns[2:]], shingle_hashes(byte_texts(batch.column(1)), words), strict=True)
 
 
 def _cells(sets: np.ndarray, bits: int) -> np.ndarray:

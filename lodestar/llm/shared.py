@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.staging import _STAGED, drop, hot_keys, release, salted_join, shared_dir, staged
 
-__all__ = ["WORD_SPACE", "WordHashes", "_STAGED", "bounded_batches", "byte_texts", "components", "drop", "frugal", "give_back", "hot_keys", "mixed", "release", "salted_join", "shared_dir", "shingle_hashes", "signed", "staged"]
+__all__ = ["WORD_SPACE", "_STAGED", "bounded_batches", "byte_texts", "components", "drop", "frugal", "give_back", "hot_keys", "mixed", "release", "salted_join", "shared_dir", "shingle_hashes", "shingles", "signed", "staged", "word_hashes"]
 
 #: White space that separates words in every operator: U+0020 and U+0009 to U+000D.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
@@ -48,21 +49,6 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-class WordHashes:
-    """64-bit hashes of words, each computed once per worker; the table is emptied when it grows large."""
-
-    def __init__(self, most: int = 200_000):
-        self.most, self.table = most, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        table = self.table
-        if len(table) > self.most:
-            table.clear()
-        for w in set(words).difference(table):
-            table[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
-
-
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -73,15 +59,66 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the n-word shingles; with fewer words, of the whole sequence; none for none."""
-    if not len(word_hashes):
-        return word_hashes
-    n = min(n, len(word_hashes))
-    h = np.full(len(word_hashes) - n + 1, np.uint64(n), np.uint64)
+#: Bytes of texts whose words are hashed together: their arrays stay in a core's cache. Words of more bytes than LONG_WORD are hashed one by one.
+AT_ONCE, LONG_WORD = 1 << 17, 64
+_BYTES, _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), np.array([True])
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``text``, A-Z lower-cased, and where in it they begin."""
+    text = b" " + text.lower() + b" " * (16 - (len(text) + 1) % 8)  # whole blocks, and one more after each word
+    chars, blocks = np.frombuffer(text, np.uint8), np.frombuffer(text, "<u8")
+    space = (chars == 32) | (chars - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1  # words begin and end there by turns
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+
+    def piece(of, done):
+        at = starts[of] + done
+        block, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        # A shift by all 64 bits leaves nothing.
+        return ((blocks[block] >> shift) | (blocks[block + 1] << (np.uint64(64) - shift))) & _BYTES[np.minimum(sizes[of] - done, 8)]
+
+    h = mixed(piece(slice(None), 0) ^ mixed(sizes.astype(np.uint64)))
+    done, longer = 8, np.flatnonzero(sizes > 8)
+    while len(longer) and done < LONG_WORD:
+        h[longer] = mixed(h[longer] ^ piece(longer, done))
+        done += 8
+        longer = longer[sizes[longer] > done]
+    for i in longer.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + sizes[i]])
+    return h, starts - 1
+
+
+def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of every n words in a row."""
+    h = np.full(max(0, len(word_hashes) - n + 1), np.uint64(n), np.uint64)
     for k in range(n):
-        h = mixed(h * _MIX[1] + word_hashes[k : len(word_hashes) - n + 1 + k])
-    return np.unique(h)
+        h = mixed(h * _MIX[1] + word_hashes[k : k + len(h)])
+    return h
+
+
+def shingle_hashes(texts: Iterable[bytes | None], n: int) -> Iterator[np.ndarray]:
+    """Distinct 64-bit hashes of each text's n-word shingles, ascending; with fewer words, of the whole sequence; none for none.
+
+    Words and shingles are hashed for ``AT_ONCE`` bytes of texts together.
+    """
+    waiting, held = [], 0
+
+    def out():
+        words, at = word_hashes(b"\n".join(waiting))
+        every = shingles(words, n)
+        cuts = np.searchsorted(at, np.cumsum([0, *[len(t) + 1 for t in waiting]])).tolist()
+        for i, j in pairwise(cuts):
+            s = np.sort(every[i : j - n + 1] if j - i >= n else shingles(words[i:j], j - i)[: j - i])
+            yield s if len(s) < 2 else s[np.concatenate((_FIRST, s[1:] != s[:-1]))]
+
+    for t in texts:
+        waiting.append(t or b"")
+        held += len(waiting[-1])
+        if held > AT_ONCE:
+            yield from out()
+            waiting, held = [], 0
+    yield from out()
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -380,3 +380,50 @@ def test_the_filter_grows_with_what_is_wanted():
     from lodestar.llm import ngram_join
 
     assert [ngram_join.filter_bits(n) for n in (0, 10, 10_000, 1_000_000, 60_000_000)] == [16, 16, 18, 24, 28] and ngram_join.filter_bits(70_000_000) is None
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 17])
+def test_shingles_of_many_texts_at_once(monkeypatch, at_once):
+    """Words as split() finds them and A-Z alone lower-cased, wherever a text lies among others and however long a word is."""
+    from lodestar.llm import shared
+
+    monkeypatch.setattr(shared, "AT_ONCE", at_once)
+    r = random.Random(5)
+    some = ["a", "A", "ab", "ba", "Ärger", "ärger", " ", "\x1c", "\x00", "\x00\x00", "é" * 4, *["x" * k for k in (7, 8, 9, 15, 16, 17, 63, 64, 65, 400)], "x" * 64 + "y", "x" * 8 + "y" + "x" * 7]
+    texts = [None, "", " \n", "one", "ONE two", "one\ttwo\x0bthree\x0cfour\rfive", *["".join(r.choice(some) + r.choice([" ", "\n", " \t"]) for _ in range(r.randrange(40))) for _ in range(200)], None, "end"]
+    texts = [t.encode() if t is not None else None for t in texts]
+    got = list(shared.shingle_hashes(texts, 4))
+    assert len(got) == len(texts)
+    of = {}
+    for t, s in zip(texts, got, strict=True):
+        w = (t or b"").lower().split()
+        want = {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+        assert len(s) == len(want) and (s[1:] > s[:-1]).all() and s.dtype == np.uint64
+        assert of.setdefault(frozenset(want), s.tobytes()) == s.tobytes()
+    assert len(set(of.values())) == len(of)
+    one = list(shared.shingle_hashes([t for t in texts for t in (t, b"other words")], 4))[::2]
+    assert all((x == y).all() for x, y in zip(got, one, strict=True))
+
+
+def test_sets_cost_little_more_than_splitting():
+    """Many different words, as in any large corpus: no Python step for each, so hashing costs a few times the splitting at most."""
+    import time
+
+    import pyarrow as pa
+
+    from lodestar.llm import ngram_join
+
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(1_000_000)}" for _ in range(500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    split = least(lambda: [t.encode().lower().split() for t in texts])
+    assert least(lambda: list(ngram_join._sets(iter([batch]), 4))) < 4 * split
