@@ -159,13 +159,14 @@ def postings(reps: DataFrame, percent: int, tag: str) -> DataFrame:
     shared counts the node's earlier prefix shingles that other nodes have in their
     prefix too, odd all those that none has; last is the place of the prefix's last one.
     """
-    every = reps.select("node", "doc", "n", "last", F.posexplode("prefix").alias("pos", "shingle"))
+    every = reps.select("node", F.posexplode("prefix").alias("pos", "shingle"))
     shared_by = every.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
     some = staged(every.join(shared_by, "shingle", "left_semi"), f"{tag}-shared")
     by_node = Window.partitionBy("node")
     n = F.col("n").cast("long")
     length = n - F.floor((percent * n + 99) / 100) + 1
-    out = some.select(
+    # What a node has once is joined to the few postings that are left, not shuffled with all.
+    out = some.join(reps.select("node", "doc", "n", "last"), "node").select(
         "shingle", "node", "doc", "n", "pos", "last",
         (F.row_number().over(by_node.orderBy("pos")) - 1).alias("shared"),
         (length - F.count("*").over(by_node)).cast("int").alias("odd"),
@@ -320,7 +321,7 @@ def _across(now: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
     the join holds the rest only, so a bucket of one large component and a few others
     matches few rows.  Rows of a hot bucket are dealt over salts.
     """
-    columns = [c for c in now.columns if c != "shingle"]
+    columns = [c for c in now.columns if c not in ("shingle", "doc")]
     rest = now.where("comp <> major").select("shingle", F.struct(*columns).alias("p"))
     met = salted_join(now.select("shingle", F.struct(*columns).alias("q")), rest, ["shingle"], hot_keys(buckets, ["shingle"]), F.xxhash64("q.node"))
     # Where both belong to the rest, the pair comes twice.
