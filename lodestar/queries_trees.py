@@ -140,12 +140,21 @@ def tree_edges(spark, d):
     return trees.edges(_tree(spark, d))
 
 
-@query(f"WITH {EDGES_SQL} SELECT relationship, count(*) AS n FROM (SELECT DISTINCT e.* FROM tree_edges e JOIN part ON target = 'Catalog.' || {PART}) GROUP BY relationship")
+NODES_SQL = f"""
+tree_nodes AS (
+  SELECT 'Catalog.' || {PART} AS id FROM part
+  UNION ALL SELECT 'Catalog.' || {PART} || '.Form.ФормаЭлемента' FROM part
+  UNION ALL SELECT 'Catalog.' || {PART} || '.Form.Форма' || p_partkey % 4 FROM part
+  UNION ALL SELECT CASE j WHEN 0 THEN 'Document.Doc' WHEN 1 THEN 'AccumulationRegister.Acc' WHEN 2 THEN 'EventSubscription.Sub' WHEN 3 THEN 'ScheduledJob.Job'
+    WHEN 4 THEN 'DefinedType.Def' WHEN 5 THEN 'CommonAttribute.Com' WHEN 6 THEN 'Subsystem.System' WHEN 7 THEN 'HTTPService.Http' END || k FROM k)
+"""
+
+
+@query(f"WITH {EDGES_SQL}, {NODES_SQL} SELECT relationship, count(*) AS n FROM (SELECT DISTINCT e.* FROM tree_edges e JOIN tree_nodes ON target = id) GROUP BY relationship")
 def tree_graph_build(spark, d):
-    """Edges of the built graph whose targets are nodes, by kind: deduplicated and joined to the nodes."""
+    """Edges of the built graph whose targets are nodes of any type, by kind: deduplicated and joined to the nodes."""
     found = staged(_tree(spark, d), "tree")  # parsed once, read for nodes and for edges
-    nodes = trees.nodes(found).where("node_type = 'Catalog'")
-    edges = graph.existing(graph.dedup_edges(graph.number_edges(trees.edges(found))), nodes)
+    edges = graph.existing(graph.dedup_edges(graph.number_edges(trees.edges(found))), trees.nodes(found))
     return edges.groupBy("relationship").agg(F.count("*").alias("n"))
 
 

@@ -79,6 +79,23 @@ def test_tree(spark, tree):
     assert (module["owner_type"], module["owner"], module["module"]) == ("Catalogs", "Goods", "ObjectModule") and module["content"].startswith("Процедура")
 
 
+def test_the_built_graph_keeps_links_to_nodes_of_any_type(spark, tmp_path):
+    """Links to documents, registers and subsystems count as those to catalogs do; links to what has no file do not."""
+    import duckdb
+
+    from lodestar import queries as core
+
+    spark.range(9).selectExpr("id AS p_partkey", "'t' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(16).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {"attribute_reference": 9, "tabular_reference": 9, "form_ownership": 18, "dimension_type": 2, "common_attribute_usage": 2}
+    want |= {"defined_type_contains": 4, "event_subscription": 2, "register_movement": 1, "based_on": 1, "produces": 1, "subsystem_membership": 4, "subsystem_hierarchy": 1}
+    assert {r["relationship"]: r["n"] for r in core.QUERIES["tree_graph_build"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    for t in ("part", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert dict(con.execute(core.SQL["tree_graph_build"]).fetchall()) == want
+
+
 # --- streams -----------------------------------------------------------------
 
 
